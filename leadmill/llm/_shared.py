@@ -65,3 +65,18 @@ def gapless_rank(df: DataFrame, group: str, n_buckets: int, name: str) -> DataFr
     within = Window.partitionBy(group, "__bucket").orderBy("row_id")
     ranked = dealt.withColumn("__rank", F.row_number().over(within) - 1)
     return ranked.join(base.hint("shuffle_hash"), [group, "__bucket"]).withColumn(name, (F.col("__rank") + F.col("__base")).cast("long")).drop("__bucket", "__rank", "__base")
+
+
+#: Characters whose class, case and normal form are the same in Python and in the tokenizers' libraries.
+NOT_PLAIN = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac]")
+
+
+def plain(text: str) -> bool:
+    """No characters but those above, and nothing that begins a special token."""
+    if "<|" in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        return False
+    try:
+        text.encode("latin-1")  # the quick test
+    except UnicodeEncodeError:
+        return not NOT_PLAIN.search(text)
+    return True

@@ -6,24 +6,33 @@ stable: a token that starts right after white space. (The vocabularies handled h
 it, so the tokens of a run of other characters depend on this run alone.) Where the overlap holds no such boundary it is
 widened, in the end to all that remains, so the count is always the library's count of the whole text.
 
-The same law gives the short path inside a chunk: the count of a chunk is the sum of its runs' counts, and each distinct run
-is encoded once per task (a bounded memo). Chunks with the separators U+001C to U+001F, which Python splits on and the
-tokenizer does not, are encoded directly.
+Inside a chunk of plain characters (Latin script and common punctuation) the words that the tokenizer's splitting pattern
+finds are counted through a bounded memo, which the tokenizer fills; any other chunk is encoded directly. Both give the
+library's count.
 
 Null text: no bytes and no tokens; empty text: likewise. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters that str.split() takes as white space and the tokenizer's \s doesn't.
+from leadmill.llm._shared import plain
+
+#: Characters that Python's \\s takes as white space and the tokenizer's doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: What the last token of a word ends with.
+WORD_END = "</w>"
+_SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The splitting pattern of the vocabulary, over lower-cased plain text.
+WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 SPACE_THEN_WORD = re.compile(r"\s(?=\S)")
 
 Offsets = list[tuple[int, int]]
@@ -58,39 +67,55 @@ def resync_offsets(text: str, encode: Callable[[str], Offsets], chunk: int, over
     yield [(a, b) for a, b in left if a >= begin]
 
 
-class RunCounter:
-    """Counts tokens of a text with one tokenizer; memo: distinct runs kept at most."""
+class TokenCounter:
+    """Counts tokens of a text with one tokenizer; memo: distinct words kept at most."""
 
-    def __init__(self, path: str, chunk: int, overlap: int, memo: int = 200_000):
+    def __init__(self, path: str, memo: int = 400_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunk, self.overlap, self.memo = Tokenizer.from_file(path), chunk, overlap, memo
+        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.known: dict[str, int] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
     def offsets(self, text: str) -> Offsets:
         return self.tokenizer.encode(text, add_special_tokens=False).offsets
 
+    def learn(self, words: list[str]) -> None:
+        """Count the tokens of words, encoded together: white space keeps them apart."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int64)
+        counts = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1).tolist()
+        if len(counts) != len(words):
+            counts = [len(self.offsets(w)) for w in words]
+        self.known.update(zip(words, counts, strict=True))
+
     def one_chunk(self, text: str) -> int:
-        if ODD_SPACE.search(text):
+        if not plain(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        runs = text.split()
+        words = WORD.findall(text.lower())
         try:
-            return sum(map(self.known.__getitem__, runs))
+            return sum(map(self.known.__getitem__, words))
         except KeyError:
             if len(self.known) > self.memo:
                 self.known.clear()
-            new = list(set(runs).difference(self.known))
-            self.known.update(zip(new, (len(e.ids) for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            return sum(map(self.known.__getitem__, runs))
+            self.learn(list(set(words).difference(self.known)))
+            return sum(map(self.known.__getitem__, words))
 
-    def count(self, text: str | None) -> int:
+    def count(self, text: str | None, chunk: int, overlap: int) -> int:
         if not text:
             return 0
-        if len(text) <= self.chunk:
+        if len(text) <= chunk:
             return self.one_chunk(text)
-        return sum(len(part) for part in resync_offsets(text, self.offsets, self.chunk, self.overlap))
+        return sum(len(part) for part in resync_offsets(text, self.offsets, chunk, overlap))
+
+
+@functools.cache
+def counter_for(path: str) -> TokenCounter:
+    """One a Python worker, so that its memo serves all of the worker's tasks."""
+    return TokenCounter(path)
 
 
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = 65_536, overlap_chars: int = 512) -> DataFrame:
@@ -101,9 +126,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = RunCounter(tokenizer_path, chunk_chars, overlap_chars)
+        counter = counter_for(tokenizer_path)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": [counter.count(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_bytes": pdf["n_bytes"], "n_tokens": [counter.count(t, chunk_chars, overlap_chars) for t in pdf["text"]]})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return rows.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
