@@ -18,7 +18,7 @@ are ignored.
 from __future__ import annotations
 
 import bisect
-import re
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -27,50 +27,57 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.llm._shared import blocks, gapless_rank, numbered, staged
+from leadmill.llm._shared import blocks, gapless_rank, numbered, plain, staged
 
-#: Python's \s has U+001C to U+001F, the tokenizer's hasn't.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: White space with the word that follows. A byte-level BPE with the usual splitting pattern never joins a word with white
-#: space after it, so these units can be encoded alone.
-UNIT = re.compile(r"\s*\S+|\s+")
+LONGEST_WORD = 2000
 
 
-class UnitEncoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes; memo: distinct units kept at most."""
+class IdEncoder:
+    """Ids of a text as the tokenizer gives them, as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, memo: int = 250_000):
+    ranks_path names the same vocabulary as ranks. Plain texts are encoded with it, faster; where no two white-space
+    characters follow each other, with a splitting pattern that needs no look-ahead.
+    """
+
+    def __init__(self, path: str, ranks_path: str | None):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), memo
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.ranked = None
+        if ranks_path:
+            import base64
+
+            import public_tokenizers
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            single = public_tokenizers.PATTERN.replace(r"|\s+(?!\S)|\s+", r"|\s")
+            self.ranked = [tiktoken.Encoding(f"ranks-{k}", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for k, p in enumerate((single, public_tokenizers.PATTERN))]
 
     def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        words = text.split()
+        if not self.ranked or not plain(text) or max(map(len, words), default=0) > LONGEST_WORD:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(self.block(b) for b in blocks(text))
-
-    def block(self, text: str) -> bytes:
-        units = UNIT.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, units))
-        except KeyError:
-            if len(self.known) > self.memo:
-                self.known.clear()
-            new = list(set(units).difference(self.known))
-            for unit, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[unit] = np.asarray(e.ids, dtype="<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, units))
-
-
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+        inner = len(text) - sum(map(len, words)) - text[0].isspace() - text[-1].isspace()
+        encoding = self.ranked[not words or inner >= len(words)]
+        return b"".join(encoding.encode_to_numpy(b, disallowed_special=()).astype("<u4").tobytes() for b in blocks(text))
+
+
+@functools.cache
+def encoder_for(path: str, ranks_path: str | None) -> IdEncoder:
+    """One a Python worker."""
+    return IdEncoder(path, ranks_path)
+
+
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, ranks_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of the pieces of docs(doc_id, text); the first piece takes the remainder."""
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = UnitEncoder(tokenizer_path)
+        encoder = encoder_for(tokenizer_path, ranks_path)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -161,13 +168,13 @@ def plan_packing(counts: dict[int, int], capacity: int) -> Plan:
     return plan
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, rows_a_bucket: int = 20_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, ranks_path: str | None = None, rows_a_bucket: int = 20_000) -> DataFrame:
     """The pieces of token_pieces() with sequence_id and offset (gapless from 0 in each sequence).
 
     The driver holds the histogram and the plan, bounded by the capacity; the plan is broadcast (a few thousand rows).
     """
     spark = docs.sparkSession
-    pieces = staged(numbered(token_pieces(docs, tokenizer_path, capacity, end_id)), "pieces")
+    pieces = staged(numbered(token_pieces(docs, tokenizer_path, capacity, end_id, ranks_path)), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(counts, capacity)
     ranked = gapless_rank(pieces, "length", max(16, sum(counts.values()) // rows_a_bucket), "rank")

@@ -21,7 +21,7 @@ def tokenizer(name: str) -> str:
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadmill.llm.packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), ranks_path=tokenizer("byte_bpe_50k.tiktoken"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,12 +48,13 @@ def test_resync_is_exact(chunk, overlap):
         assert joined == encode(text)
 
 
-def test_packing(docs):
+@pytest.mark.parametrize("ranks", [True, None])
+def test_packing(docs, ranks):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer("byte_bpe_50k.json")
     t, cap = Tokenizer.from_file(path), 512
-    rows = packing.pack(docs, path, cap).collect()
+    rows = packing.pack(docs, path, cap, ranks_path=ranks and queries.tokenizer("byte_bpe_50k.tiktoken")).collect()
     want, parts = Counter(), Counter()
     for i, x in texts(docs):
         ids = t.encode(x or "", add_special_tokens=False).ids + [0]
