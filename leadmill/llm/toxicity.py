@@ -1,6 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms (lower-cased words), each hashed to one of 2**bits buckets. Its log-odds are
+A document is the set of its terms (lower-cased words, their beginnings with how often these come, its size), each hashed to one of 2**bits buckets. Its
+log-odds are
 
     b + sum_i w_i + 1/2 sum_f ((sum_i v_if)**2 - sum_i v_if**2)
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,15 +29,33 @@ from pyspark.sql import functions as F
 from leadmill.llm._shared import blocks
 
 TERM = re.compile(r"\w+")
+#: Lengths of the word beginnings that are terms too, how many distinct words with one beginning are told apart, and how
+#: many sizes of documents are.
+STEMS, MOST, SIZES = (5, 7), 4, 24
+
+
+def hashed(term: str, bits: int) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) & ((1 << bits) - 1)
+
+
+def size_terms(bits: int) -> list[int]:
+    """The buckets of the terms for a document's size."""
+    return [hashed(f"size {k}", bits) for k in range(SIZES)]
 
 
 def buckets(text: str | None, bits: int) -> np.ndarray:
-    """The distinct buckets of a text's terms."""
-    terms: set[str] = set()
+    """The distinct buckets of a text's terms: its words, the beginnings of longer words (``stem k``: in k distinct words at
+    least), and the size of its vocabulary as a power of two."""
+    words: set[str] = set()
     for b in blocks(text or ""):
-        terms.update(TERM.findall(b.lower()))
+        words.update(TERM.findall(b.lower()))
+    terms = list(words)
+    for n in STEMS:
+        stems = Counter([w[:n] for w in words if len(w) > n])
+        terms += [f"{s} {k}" for s, c in stems.items() for k in range(1, min(c, MOST) + 1)]
+    terms.append(f"size {min(SIZES - 1, len(words).bit_length())}")
     mask = (1 << bits) - 1
-    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) & mask for t in terms), dtype=np.int64, count=len(terms)))
+    return np.unique(np.fromiter(map(zlib.crc32, [t.encode("utf-8", "surrogatepass") for t in terms]), dtype=np.int64, count=len(terms)) & mask)
 
 
 @dataclass
@@ -59,7 +79,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 6, epochs: int = 40, rate: float = 0.15, decay: float = 2e-4, least_df: int = 3, least_chi2: float = 8.0, seed: int = 7) -> Model:
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 6, epochs: int = 40, rate: float = 0.3, decay: float = 3e-4, least_df: int = 3, least_chi2: float = 12.0, seed: int = 7) -> Model:
     """Fit by AdaGrad on batches of the log loss. rows: buckets of each document."""
     n, pos = len(rows), int(labels.sum())
     if not 0 < pos < n:
@@ -70,7 +90,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 6,
     with_label = np.bincount(feature, weights=labels[doc], minlength=len(kept))
     expected = df * pos / n
     chi2 = (with_label - expected) ** 2 / expected + (with_label - expected) ** 2 / np.maximum(df - expected, 1e-9)
-    keep = (df >= least_df) & (chi2 >= least_chi2)
+    keep = (df >= least_df) & ((chi2 >= least_chi2) | np.isin(kept, size_terms(bits)))
     number = np.cumsum(keep) - 1
     used = keep[feature]
     doc, feature, m = doc[used], number[feature[used]], int(keep.sum())
