@@ -118,19 +118,19 @@ class Index:
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(segment, start, end, edits) of the verified regions of one block of codes."""
         at, seg, pos = self.hits(codes)
-        if not len(at):
+        if len(at) < self.bound.min():
             return []
         diagonal, out, done = at - pos, [], set()
         width = 2 * (2 * self.k[seg] + 1)
         for shift in (0, 1):  # bands overlap by half: any 2k + 1 diagonals lie within one
             band = (diagonal + shift * (width // 2) + self.reach) // width
-            group = np.stack((seg, band), axis=1)
-            keys, inverse = np.unique(group, axis=0, return_inverse=True)
-            inverse = inverse.reshape(-1)
-            shared = np.bincount(np.unique(np.stack((inverse, at), axis=1), axis=0)[:, 0], minlength=len(keys))
-            for g in np.flatnonzero(shared >= self.bound[keys[:, 0]]):
-                s = int(keys[g, 0])
-                _, part, k, _ = self.segments[s]
+            groups, inverse = np.unique((seg << 40) | band, return_inverse=True)
+            shared = np.bincount(inverse, minlength=len(groups))  # at most; q-grams that repeat count once below
+            for g in np.flatnonzero(shared >= self.bound[groups >> 40]):
+                s = int(groups[g] >> 40)
+                _, part, k, bound = self.segments[s]
+                if len(np.unique(at[inverse == g])) < bound:
+                    continue
                 own = diagonal[inverse == g]
                 first = max(0, int(own.min()) - k)
                 if (s, first) in done:
