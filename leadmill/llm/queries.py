@@ -57,6 +57,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadmill.llm.jaccard_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadmill.llm.quality import BIT, apply_policy, ledger
 
