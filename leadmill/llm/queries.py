@@ -71,6 +71,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leadmill.llm.html_extraction import extract_text, train
+
+    return extract_text(table(spark, sf_dir, "pages"), train())
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from leadmill.llm.secret_scan import KINDS, scan, train, written
 
