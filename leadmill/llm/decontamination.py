@@ -187,12 +187,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: in
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 32, edit_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs, all their columns, whose text holds no item."""
-    for index in indexes(benchmark, q, segment, stride, edit_rate, block_chars):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    def filtered(rows: DataFrame, index: Index) -> DataFrame:
+        sent = rows.sparkSession.sparkContext.broadcast(index)
 
         @F.pandas_udf("boolean")
-        def holds(texts: pd.Series, sent=sent) -> pd.Series:
+        def holds(texts: pd.Series) -> pd.Series:
             return pd.Series([bool(sent.value.scan(t)) for t in texts], dtype=bool)
 
-        docs = docs.where(~holds("text"))
+        return rows.where(~holds("text"))
+
+    for index in indexes(benchmark, q, segment, stride, edit_rate, block_chars):
+        docs = filtered(docs, index)
     return docs
