@@ -16,7 +16,8 @@ Two passes, so that a large group of near copies never yields all its pairs:
 * the rest: pairs from different components that share enough of their prefixes, verified too. Pairs within one component
   need no check: they can't change the result.
 
-No cap on partners, candidates or postings. Verification compares whole sets. Null doc_id: such a row has a component of
+Before whole sets are compared, a pair must pass a bound on its intersection from counts by range of hashes. No cap on
+partners, candidates or postings. Null doc_id: such a row has a component of
 its class as any other, null if no member of its component has an id. Null and empty texts have no shingles and link with
 nothing. Repeated rows are copies. Other columns are ignored.
 """
@@ -67,7 +68,10 @@ def class_of(found: np.ndarray) -> int:
 
 
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """A row (doc_id, n, node) for each document, and rows (part, counts) of each task's sketch."""
+    """A row (doc_id, n, node, spread) for each document, and rows (part, counts) of each task's sketch.
+
+    spread counts the set's shingles in each of 64 ranges of their hashes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(SKETCH, dtype=np.uint32)
@@ -76,14 +80,14 @@ def described(docs: DataFrame, size: int) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 found = shingles(text, size)
                 np.add.at(sketch, (found >> np.uint64(44)).astype(np.int64), 1)
-                rows.append((doc_id, len(found), class_of(found)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "node"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(found), class_of(found), np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64)))
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "spread"]).astype({"doc_id": "Int64"})
             yield out.assign(part=pd.NA, counts=None).astype({"part": "Int32"})
         for part in np.flatnonzero(sketch.reshape(-1, PART).any(axis=1)):
             counts = zlib.compress(sketch[part * PART : (part + 1) * PART].tobytes(), 1)
-            yield pd.DataFrame({"doc_id": pd.array([pd.NA], dtype="Int64"), "n": [0], "node": [0], "part": pd.array([part], dtype="Int32"), "counts": [counts]})
+            yield pd.DataFrame({"doc_id": pd.array([pd.NA], dtype="Int64"), "n": [0], "node": [0], "spread": [None], "part": pd.array([part], dtype="Int32"), "counts": [counts]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n int, node long, part int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n int, node long, spread array<int>, part int, counts binary")
 
 
 def summed(parts: DataFrame) -> np.ndarray:
@@ -189,8 +193,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return got.join(wanted.hint("shuffle_hash"), ["doc_id", "node"], "left_semi").select("node", "found").dropDuplicates(["node"])
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b) whose sets can be similar enough: in no range of hashes do they share more than the lesser count."""
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("spread").alias(f"spread_{c}")).hint("shuffle_hash")
+    total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
+    most = total(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y)))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * most >= percent * (total(F.col("spread_a")) + total(F.col("spread_b")))).select("a", "b")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose sets are similar enough."""
+    """The pairs(a, b) of nodes whose sets are similar enough, from whole sets."""
+    pairs = staged(possible(pairs, classes, percent), "possible")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = staged(nodes.join(classes.hint("shuffle_hash"), "node").select("node", "doc_id"), "wanted")
     sets = staged(sets_of(docs, wanted, size), "sets")
@@ -205,9 +218,9 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     from pyspark.sql import Window
 
     facts = staged(described(docs, size), "described")
-    own = facts.where("part is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node")
+    own = facts.where("part is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "spread")
     sketch = summed(facts)
-    classes = staged(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "classes")
+    classes = staged(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("spread").alias("spread")), "classes")
     order = Window.partitionBy("token").orderBy("meta", "node")
     lists = postings(docs, sketch, size, percent).repartition("token").dropDuplicates(["token", "node", "meta"])
     near = lists.select("*", F.lead("node").over(order).alias("next"), F.lead("meta").over(order).alias("next_meta"), F.lag("node").over(order).alias("last"))
@@ -234,6 +247,6 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     whole = staged(components(links.unionByName(more)), "components")
     heads = whole.join(classes.hint("shuffle_hash"), "node").groupBy("component").agg(F.min("doc_id").alias("head"))
     heads = whole.join(heads.hint("shuffle_hash"), "component").select("node", "head")
-    named = classes.join(heads.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("head", "doc_id").alias("component_id"))
+    named = classes.drop("spread").join(heads.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("head", "doc_id").alias("component_id"))
     linked = own.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
     return linked.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
