@@ -11,8 +11,8 @@ and a candidate must then share l of them (the lesser l of the two sets counts)
 
 Two passes, so that a large group of near copies never yields all its pairs:
 
-* neighbours: in the posting list of each shingle, sorted by set size, each class is paired with the next one; pairs are
-  verified and linked into components (their number is at most that of the postings);
+* hubs: in the posting list of each shingle, each class is paired with the first one; pairs are verified and linked into
+  components (their number is at most that of the postings);
 * the rest: pairs from different components that share enough of their prefixes, verified too. Pairs within one component
   need no check: they can't change the result.
 
@@ -171,6 +171,28 @@ def similar_sizes(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n_of(a), n_of(b))) >= (percent * F.greatest(n_of(a), n_of(b)))
 
 
+def can_match(a: str, b: str, percent: int) -> Column:
+    """Whether two sets with a shared shingle at these places can be similar enough: sizes, and what can be shared before and
+    behind the places."""
+    most = F.least(place(a), place(b)) + F.least(n_of(a) - place(a), n_of(b) - place(b))
+    return similar_sizes(a, b, percent) & ((100 + percent) * most >= percent * (n_of(a) + n_of(b)))
+
+
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+
+
+def enough(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets with these counts by range of hashes can be similar enough."""
+    most = total(F.zip_with(a, b, lambda x, y: F.least(x, y)))
+    return (100 + percent) * most >= percent * (total(a) + total(b))
+
+
+def coarse(spread: Column) -> Column:
+    """The counts of 16 ranges from those of 64."""
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: sum((F.get(spread, 4 * k + j) for j in range(1, 4)), F.get(spread, 4 * k)))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, found): the whole sets of the nodes of wanted(node, doc_id), each once.
 
@@ -196,9 +218,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs(a, b) whose sets can be similar enough: in no range of hashes do they share more than the lesser count."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("spread").alias(f"spread_{c}")).hint("shuffle_hash")
-    total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
-    most = total(F.zip_with("spread_a", "spread_b", lambda x, y: F.least(x, y)))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * most >= percent * (total(F.col("spread_a")) + total(F.col("spread_b")))).select("a", "b")
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough(F.col("spread_a"), F.col("spread_b"), percent)).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -221,23 +241,24 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     own = facts.where("part is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "spread")
     sketch = summed(facts)
     classes = staged(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("spread").alias("spread")), "classes")
-    order = Window.partitionBy("token").orderBy("meta", "node")
+    order = Window.partitionBy("token").orderBy("node")
     lists = postings(docs, sketch, size, percent).repartition("token").dropDuplicates(["token", "node", "meta"])
-    near = lists.select("*", F.lead("node").over(order).alias("next"), F.lead("meta").over(order).alias("next_meta"), F.lag("node").over(order).alias("last"))
-    shared = staged(near.where("next is not null or last is not null").drop("last"), "postings")
-    first = shared.where("next is not null").where(similar_sizes("meta", "next_meta", percent)).select(F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b")).distinct()
-    first = staged(first, "neighbours")
+    near = lists.select("*", F.first("node").over(order).alias("hub"), F.first("meta").over(order).alias("hub_meta"), F.lead("node").over(order).alias("next"))
+    shared = staged(near.where("next is not null or hub <> node").drop("next"), "postings")
+    first = shared.where("hub <> node").where(can_match("meta", "hub_meta", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    first = staged(first, "hubs")
     links = staged(verified(first, docs, classes, size, percent), "links")
     part = components(links)
     # postings with their components, where a shingle has several
     known = shared.join(part.hint("shuffle_hash"), "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("component"))
     mixed = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    rest = staged(known.join(mixed.hint("shuffle_hash"), "token", "left_semi"), "mixed")
-    left, right = rest.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "meta", "component")]), rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "meta", "component")])
+    rest = staged(known.join(mixed.hint("shuffle_hash"), "token", "left_semi").join(classes.select("node", coarse(F.col("spread")).alias("spread")).hint("shuffle_hash"), "node"), "mixed")
+    left, right = rest.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "meta", "component", "spread")]), rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "meta", "component", "spread")])
     asked = F.least(matches_of("meta_a"), matches_of("meta_b"))
     pairs = (
         left.hint("merge").join(right, "token")
-        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & similar_sizes("meta_a", "meta_b", percent))
+        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & can_match("meta_a", "meta_b", percent))
+        .where(enough(F.col("spread_a"), F.col("spread_b"), percent))
         .where((place("meta_a") < base_prefix("meta_a", percent) + asked - 1) & (place("meta_b") < base_prefix("meta_b", percent) + asked - 1))
         .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n"), F.min(asked).alias("asked"))
         .where("n >= asked").select("a", "b")
