@@ -85,10 +85,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 6,
     if not 0 < pos < n:
         return Model(bits, bias=-30.0 if not pos else 30.0)
     size = np.array([len(r) for r in rows])
-    flat, doc = np.concatenate(rows), np.repeat(np.arange(n), size)
+    flat, doc = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), size)
     kept, feature, df = np.unique(flat, return_inverse=True, return_counts=True)
     with_label = np.bincount(feature, weights=labels[doc], minlength=len(kept))
     expected = df * pos / n
+    del flat
     chi2 = (with_label - expected) ** 2 / expected + (with_label - expected) ** 2 / np.maximum(df - expected, 1e-9)
     keep = (df >= least_df) & ((chi2 >= least_chi2) | np.isin(kept, size_terms(bits)))
     number = np.cumsum(keep) - 1
@@ -133,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, sample_docs: int =
     # at most sample_docs rows of two numbers are broadcast
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
     got = rows.mapInPandas(run, "doc_id long, toxic int, buckets binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    return fit([np.frombuffer(b, dtype="<i4").astype(np.int64) for b in got["buckets"]], (got["toxic"] > 0).to_numpy(dtype=float), bits)
+    return fit([np.frombuffer(b, dtype="<i4") for b in got["buckets"]], (got["toxic"] > 0).to_numpy(dtype=float), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
