@@ -221,7 +221,7 @@ def labelled_page(rng: random.Random) -> str:
             "ad": lambda: rng.choice((words(3, 25), para(4, 25), link(3, 10))),
             "notice": lambda: rng.choice((para(5, 30), words(5, 30))) + rng.choice(("", "<button>OK</button>", link(1, 2))),
             "form": lambda: "<label>" + words(1, 3) + '</label><input name="q">' + rng.choice(("", el("p", 0, words(2, 12)))) + el("button", 0, words(1, 2)),
-            "comments": lambda: el("h3", 0, words(1, 2)) + "".join(el(rng.choice(("div", "li", "p", "article")), 0, rng.choice((words(5, 80), para(5, 80), el("p", 0, link(1, 2)) + para(5, 60))), rng.choice(("", name("comments")))) for _ in range(rng.randint(1, 5))),
+            "comments": lambda: el("h3", 0, words(1, 2)) + "".join(el(rng.choice(("div", "li", "div", "p")), 0, rng.choice((words(5, 80), para(5, 80), el("p", 0, link(1, 2)) + para(5, 60))), rng.choice(("", name("comments")))) for _ in range(rng.randint(1, 5))),
             "share": lambda: listed(0, True, 4) if rng.random() < 0.5 else link(1, 1) + link(1, 1),
         }[kind]()
         own = {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
