@@ -11,8 +11,9 @@ and a candidate must then share l of them (the lesser l of the two sets counts)
 
 Two passes, so that a large group of near copies never yields all its pairs:
 
-* hubs: in the posting list of each shingle, each class is paired with the first one; pairs are verified and linked into
-  components (their number is at most that of the postings);
+* hubs: in the posting list of each shingle, the class that has it at the earliest place of its prefix is the hub: it has the
+  fewest rare shingles of its own, so it stands nearest to the text that the others were copied from. Each class is paired
+  with the HUBS hubs that it shares most shingles with; pairs are verified and linked into components;
 * the rest: pairs from different components that share enough of their prefixes, verified too. Pairs within one component
   need no check: they can't change the result.
 
@@ -40,6 +41,8 @@ from leadmill.llm.components import components
 SKETCH, PART = 1 << 20, 1 << 12
 #: The longest extension of a prefix, and the cost of verifying a candidate in postings scanned.
 MOST_MATCHES, VERIFY_COST = 8, 4.0
+#: Hubs that a class is verified against before the rest of its candidates.
+HUBS = 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -241,11 +244,13 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     own = facts.where("part is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "spread")
     sketch = summed(facts)
     classes = staged(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("spread").alias("spread")), "classes")
-    order = Window.partitionBy("token").orderBy("node")
+    order = Window.partitionBy("token").orderBy(place("meta"), "node")
     lists = postings(docs, sketch, size, percent).repartition("token").dropDuplicates(["token", "node", "meta"])
     near = lists.select("*", F.first("node").over(order).alias("hub"), F.first("meta").over(order).alias("hub_meta"), F.lead("node").over(order).alias("next"))
     shared = staged(near.where("next is not null or hub <> node").drop("next"), "postings")
-    first = shared.where("hub <> node").where(can_match("meta", "hub_meta", percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tied = shared.where("hub <> node").where(can_match("meta", "hub_meta", percent)).repartition("node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
+    first = tied.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     first = staged(first, "hubs")
     links = staged(verified(first, docs, classes, size, percent), "links")
     part = components(links)
