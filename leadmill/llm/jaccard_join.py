@@ -174,11 +174,30 @@ def similar_sizes(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(n_of(a), n_of(b))) >= (percent * F.greatest(n_of(a), n_of(b)))
 
 
-def can_match(a: str, b: str, percent: int) -> Column:
+def reaches(most: Column, a: str, b: str, percent: int) -> Column:
+    """Whether sets that share at most so many shingles can be similar enough."""
+    return (100 + percent) * most >= percent * (n_of(a) + n_of(b))
+
+
+def can_match(a: str, b: str, seen_a: str, seen_b: str, percent: int) -> Column:
     """Whether two sets with a shared shingle at these places can be similar enough: sizes, and what can be shared before and
-    behind the places."""
-    most = F.least(place(a), place(b)) + F.least(n_of(a) - place(a), n_of(b) - place(b))
-    return similar_sizes(a, b, percent) & ((100 + percent) * most >= percent * (n_of(a) + n_of(b)))
+    behind the places. Before them, only shingles that stand in other prefixes too: one before a shared place would be in the
+    other prefix if it were in the other set."""
+    most = F.least(seen_a, seen_b) + F.least(n_of(a) - place(a), n_of(b) - place(b))
+    return similar_sizes(a, b, percent) & reaches(most, a, b, percent)
+
+
+def can_match_after(n: str, a: str, b: str, percent: int) -> Column:
+    """Whether sets that share n shingles of their prefixes, the last at these places, can be similar enough.
+
+    Of the two prefixes, one ends first in the common order. Of its set, only what is behind its end can still be shared; of
+    the other set, only what is behind the last place.
+    """
+    asked = F.least(matches_of(a), matches_of(b))
+    behind = lambda m: n_of(m) - base_prefix(m, percent) - asked + 1
+    left = lambda m: n_of(m) - place(m) - 1
+    most = F.col(n) + F.greatest(F.least(behind(a), left(b)), F.least(behind(b), left(a)))
+    return (F.col(n) >= asked) & reaches(most, a, b, percent)
 
 
 def total(counts: Column) -> Column:
@@ -191,11 +210,6 @@ def enough(a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (total(a) + total(b))
 
 
-def coarse(spread: Column) -> Column:
-    """The counts of 16 ranges from those of 64."""
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: sum((F.get(spread, 4 * k + j) for j in range(1, 4)), F.get(spread, 4 * k)))
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, found): the whole sets of the nodes of wanted(node, doc_id), each once.
 
@@ -215,7 +229,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [class_of(f) for f in found], "found": [f.astype(np.int64) for f in found]})
 
     got = rows.mapInPandas(run, "doc_id long, node long, found array<long>")
-    return got.join(wanted.hint("shuffle_hash"), ["doc_id", "node"], "left_semi").select("node", "found").dropDuplicates(["node"])
+    chosen = wanted.select("node", F.col("doc_id").alias("chosen")).hint("shuffle_hash")
+    return got.join(chosen, "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "found").dropDuplicates(["node"])
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -229,7 +244,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, p
     pairs = staged(possible(pairs, classes, percent), "possible")
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = staged(nodes.join(classes.hint("shuffle_hash"), "node").select("node", "doc_id"), "wanted")
-    sets = staged(sets_of(docs, wanted, size), "sets")
+    sets = sets_of(docs, wanted, size)  # both joins read one shuffle of it, dealt by node
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")).hint("shuffle_hash"), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")).hint("shuffle_hash"), "b")
     shared = F.size(F.array_intersect("fa", "fb"))
     counted = both.select("a", "b", shared.alias("shared"), (F.size("fa") + F.size("fb")).alias("total"))
@@ -244,29 +259,33 @@ def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     own = facts.where("part is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "spread")
     sketch = summed(facts)
     classes = staged(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("spread").alias("spread")), "classes")
-    order = Window.partitionBy("token").orderBy(place("meta"), "node")
+    by_node = Window.partitionBy("token").orderBy("node")
     lists = postings(docs, sketch, size, percent).repartition("token").dropDuplicates(["token", "node", "meta"])
-    near = lists.select("*", F.first("node").over(order).alias("hub"), F.first("meta").over(order).alias("hub_meta"), F.lead("node").over(order).alias("next"))
-    shared = staged(near.where("next is not null or hub <> node").drop("next"), "postings")
-    tied = shared.where("hub <> node").where(can_match("meta", "hub_meta", percent)).repartition("node").groupBy("node", "hub").agg(F.count("*").alias("n"))
+    near = lists.select("*", F.lag("node").over(by_node).alias("before"), F.lead("node").over(by_node).alias("next"))
+    near = near.where("before is not null or next is not null").select("token", "node", "meta")
+    seen = F.row_number().over(Window.partitionBy("node").orderBy("meta")) - 1
+    shared = staged(near.withColumn("seen", seen), "postings")
+    order = Window.partitionBy("token").orderBy(place("meta"), "node")
+    held = shared.select("*", *[F.first(c).over(order).alias(f"hub_{c}") for c in ("node", "meta", "seen")]).withColumnRenamed("hub_node", "hub")
+    tied = held.where("hub <> node").where(can_match("meta", "hub_meta", "seen", "hub_seen", percent)).repartition("node").groupBy("node", "hub").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
     first = tied.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     first = staged(first, "hubs")
     links = staged(verified(first, docs, classes, size, percent), "links")
     part = components(links)
     # postings with their components, where a shingle has several
-    known = shared.join(part.hint("shuffle_hash"), "node", "left").select("token", "node", "meta", F.coalesce("component", "node").alias("component"))
-    mixed = known.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    rest = staged(known.join(mixed.hint("shuffle_hash"), "token", "left_semi").join(classes.select("node", coarse(F.col("spread")).alias("spread")).hint("shuffle_hash"), "node"), "mixed")
-    left, right = rest.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "meta", "component", "spread")]), rest.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "meta", "component", "spread")])
+    known = shared.join(part.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    alike = Window.partitionBy("token")
+    mixed = known.select("*", F.min("component").over(alike).alias("x"), F.max("component").over(alike).alias("y")).where("x < y").drop("x", "y")
+    rest = staged(mixed, "mixed")
+    left, right = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "meta", "seen", "component")]) for side in "ab")
     asked = F.least(matches_of("meta_a"), matches_of("meta_b"))
     pairs = (
         left.hint("merge").join(right, "token")
-        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & can_match("meta_a", "meta_b", percent))
-        .where(enough(F.col("spread_a"), F.col("spread_b"), percent))
+        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & can_match("meta_a", "meta_b", "seen_a", "seen_b", percent))
         .where((place("meta_a") < base_prefix("meta_a", percent) + asked - 1) & (place("meta_b") < base_prefix("meta_b", percent) + asked - 1))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n"), F.min(asked).alias("asked"))
-        .where("n >= asked").select("a", "b")
+        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n"), F.max("meta_a").alias("meta_a"), F.max("meta_b").alias("meta_b"))
+        .where(can_match_after("n", "meta_a", "meta_b", percent)).select("a", "b")
     )
     pairs = staged(pairs.join(first.hint("shuffle_hash"), ["a", "b"], "left_anti"), "pairs")
     more = verified(pairs, docs, classes, size, percent)
