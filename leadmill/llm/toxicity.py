@@ -84,21 +84,23 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 6,
     n, pos = len(rows), int(labels.sum())
     if not 0 < pos < n:
         return Model(bits, bias=-30.0 if not pos else 30.0)
-    size = np.array([len(r) for r in rows])
-    flat, doc = np.concatenate(rows).astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), size)
-    kept, feature, df = np.unique(flat, return_inverse=True, return_counts=True)
-    with_label = np.bincount(feature, weights=labels[doc], minlength=len(kept))
+    df, with_label = np.zeros(1 << bits), np.zeros(1 << bits)
+    for r, label in zip(rows, labels, strict=True):
+        df[r] += 1
+        with_label[r] += label
+    present = np.flatnonzero(df)
+    df, with_label = df[present], with_label[present]
     expected = df * pos / n
-    del flat
     chi2 = (with_label - expected) ** 2 / expected + (with_label - expected) ** 2 / np.maximum(df - expected, 1e-9)
-    keep = (df >= least_df) & ((chi2 >= least_chi2) | np.isin(kept, size_terms(bits)))
-    number = np.cumsum(keep) - 1
-    used = keep[feature]
-    doc, feature, m = doc[used], number[feature[used]], int(keep.sum())
+    kept = present[(df >= least_df) & ((chi2 >= least_chi2) | np.isin(present, size_terms(bits)))]
+    m = len(kept)
+    number = np.full(1 << bits, -1, dtype=np.int32)
+    number[kept] = np.arange(m)
+    rows = [f[f >= 0] for f in (number[r] for r in rows)]
+    feature, starts = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(f) for f in rows])])
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(m), rng.normal(0, 0.02, (m, factors)), float(np.log(pos / (n - pos)))
     gw, gv, gb = np.full(m, 1e-6), np.full((m, factors), 1e-6), 1e-6
-    starts = np.searchsorted(doc, np.arange(n + 1))
     for _ in range(epochs):
         order = rng.permutation(n)
         for batch in np.array_split(order, max(1, n // 256)):
@@ -119,7 +121,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int, factors: int = 6,
             w -= rate * dw / np.sqrt(gw)
             v -= 0.3 * rate * dv / np.sqrt(gv)
             b -= rate * g.sum() / gb**0.5
-    return Model(bits, b, kept[keep], w, v)
+    return Model(bits, b, kept, w, v)
 
 
 def train(docs: DataFrame, labels: DataFrame, bits: int = 20, sample_docs: int = 12_000) -> Model:
