@@ -6,8 +6,8 @@ the graph is a tree, one upward and one downward pass of sum-product messages gi
 elements whose marginal reaches one half is kept. Both potentials are counted on labelled pages.
 
 The labelled pages are drawn here, from rules for how sites frame an article (``labelled_page``); their number is a parameter
-of ``train``. Text in inline elements belongs to the block element around it. Scripts, styles and other raw elements hold no
-text. Null and empty html: empty text. Pages are read whole; nothing is shuffled; other columns are ignored.
+of ``train``. Text in inline elements belongs to the block element around it, that of formulas too. Scripts, styles and other raw
+elements hold no text; one that closes itself (<svg/>), or has no end and isn't script-like, is empty. Null and empty html: empty text. Pages are read whole; nothing is shuffled; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +28,16 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 NAMES = re.compile(r"""\b(class|id|role|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 WORD, SPACE = re.compile(r"[a-z]+"), re.compile(r"\s+")
 #: Fixed lists of the HTML standard.
-RAW = frozenset("script style noscript template title textarea svg math iframe object select canvas head".split())
+RAW = frozenset("script style noscript template title textarea svg iframe object select canvas head".split())
+#: Raw elements whose text is no markup: a '/' at the end of the opening tag does not close them.
+UNPARSED = frozenset("script style noscript title textarea iframe".split())
+#: The end tag of each raw element; ASCII letters only, so that no other letter folds to one of them.
+END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I | re.A) for t in RAW}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+#: The elements of MathML and the shapes of SVG: their text belongs to the block around the formula or the drawing without an end.
+INLINE |= frozenset("circle clippath defs ellipse g line lineargradient path polygon polyline radialgradient rect stop symbol textpath tspan use".split())
+INLINE |= frozenset("math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
 #: What an opening tag ends, if such an element is open within the same list, table or block.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 KEEPS_P = INLINE | VOID - {"hr"}
@@ -55,11 +62,11 @@ class Page:
     blocks: list[tuple[int, list[str]]] = field(default_factory=list)
 
 
-def parse(source: str) -> Page:
-    """Block elements of a page in document order, and its text by block."""
+def parse(source: str, labelled: bool = True) -> Page:
+    """Block elements of a page in document order, and its text by block; labelled: data-label is our training mark."""
     page = Page([Node("html", -1)])
     nodes, blocks, stack, at, links, fresh = page.nodes, page.blocks, [0], 0, 0, True
-    lower = ""
+    unended: set[str] = set()
 
     def text(raw: str) -> None:
         nonlocal fresh
@@ -74,9 +81,7 @@ def parse(source: str) -> Page:
         if links:
             nodes[stack[-1]].linked += n
 
-    for m in TAG.finditer(source):
-        if m.start() < at:
-            continue  # within a raw element
+    while m := TAG.search(source, at):
         if m.start() > at:
             text(source[at : m.start()])
         at = m.end()
@@ -87,10 +92,14 @@ def parse(source: str) -> Page:
         if tag == "a":
             links = 0 if close else 1
         if tag in RAW and tag != "head":
-            if not close:
-                lower = lower or source.lower()
-                end = lower.find(f"</{tag}", at)
-                at = len(source) if end < 0 else end
+            empty = bool(rest) and rest.endswith("/")
+            if not close and not (empty and tag not in UNPARSED):
+                end = None if tag in unended else END[tag].search(source, at)
+                if end:
+                    at = end.start()
+                else:  # an element without an end holds the rest only where the rest is no markup
+                    unended.add(tag)
+                    at = len(source) if tag in UNPARSED and not empty else at
             continue
         if tag == "br" and not fresh:
             text(" ")
@@ -121,7 +130,7 @@ def parse(source: str) -> Page:
             for a in NAMES.findall(rest):
                 value = a[1] or a[2] or a[3]
                 if a[0].lower() == "data-label":
-                    node.label = int(value)
+                    node.label = int(value) if labelled else None
                 else:
                     node.names += " " + value.lower()
         if tag in ("html", "body") and len(nodes) > 1 and any(nodes[k].tag == tag for k in stack):
@@ -174,7 +183,7 @@ class Model:
     def extract(self, source: str | None) -> str:
         if not source:
             return ""
-        page = parse(source)
+        page = parse(source, labelled=False)
         belief = self.marginals(page.nodes)
         kept = (SPACE.sub(" ", entities.unescape("".join(parts))).strip() for owner, parts in page.blocks if belief[owner] >= 0)
         return "\n".join(t for t in kept if t)

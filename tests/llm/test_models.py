@@ -137,6 +137,24 @@ def test_html_extraction(spark, sf):
         assert "&copy;" not in rows[p.page_id].text and "track(" not in rows[p.page_id].text and rows[p.page_id].n_chars == len(rows[p.page_id].text) > 0
 
 
+@pytest.fixture(scope="module")
+def html_model():
+    return html_extraction.train()
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ("<p>one<svg class='i'/> two<p>three", "one two\nthree"), ("<p>one<svg/> two<p>three <svg><text>no</text></svg>four", "one two\nthree four"), ("<p>one<canvas/> two<p>three", "one two\nthree"),
+        ("<p>one <svg><path> two<p>three", "one two\nthree"), ("<p>one <math><mi>x</mi><mo>=</mo><mn>2</mn></math> two", "one x=2 two"), ("<p>one <math/> two", "one two"),
+        ("<p data-label='Price'>one<p data-label=''>two<p data-label=0>three", "one\ntwo\nthree"), ("<p>" + "\u0130" * 30 + "<STYLE>no</Style>one<p>two", "\u0130" * 30 + "one\ntwo"),
+        ("<p>one<script>no '<!--' no</script> two<p>three", "one two\nthree"), ("<p>one<script src='x'/> no</script> two<p>three", "one two\nthree"), ("<p>one<script>no", "one"), ("<p>one<title>no</titles>no</title> two", "one two"),
+    ],
+)
+def test_html_raw_elements_cut_nothing_else(html_model, inside, want):
+    assert html_model.extract(f"<html><body><article>{inside}") == want
+
+
 def test_html_marginals_on_unseen_labelled_pages():
     model, rng, right, n = html_extraction.train(), random.Random(77), 0, 0
     for _ in range(100):
