@@ -61,6 +61,41 @@ def priority_links(pages: DataFrame, others: int = 5) -> DataFrame:
     return links.withColumn("rn", order).where(F.col("is_priority") | (F.col("rn") <= others)).select("page_id", "pos", "target", "is_priority")
 
 
+#: Paths and link texts that lead to contact forms, as the reference lists them. Fixed values.
+CONTACT_PATHS = (
+    r"(?i)(/contact/?$|/contact\.html?/?$|/contact\.php/?$|/contact-us/?$|/contact_us/?$|/contactus/?$|/inquiry[0-9]*/?$|/inquiry[0-9]*\.html?/?$|/inquiry[0-9]*\.php/?$|/inquire/?$"
+    r"|/inquiry-form/?$|/inquiry_form/?$|/inquiryform/?$|/form/?$|/form\.html?/?$|/form\.php/?$|/form-contact/?$|/[^\s]*お問い合わせ[^\s]*/?$|/[^\s]*問い合わせ[^\s]*/?$|/[^\s]*otoiawase[^\s]*/?$"
+    r"|/[^\s]*toiawase[^\s]*/?$|/[^\s]*soudan[^\s]*/?$|/[^\s]*\?.*(inquiry|contact|form|CNo|uid)[^\s]*$|/contents/[^\s]*(inquiry|contact)[^\s]*$|/menu/[^\s]*\.php$|/contact-form/?$|/contact_form/?$|/contactform/?$)"
+)
+CONTACT_TEXTS = (
+    "お問い合わせ|お問合せ|問い合わせ|ご相談|相談|お申し込み|申込|資料請求|お見積り|見積もり|コンタクト|メッセージ|お問い合わせフォーム"
+    "|contact|inquiry|inquire|message|reach out|get in touch|contact us|send message|request|consultation|quote|estimate"
+)
+#: An opening tag up to its '>', after its name; the value of its href, in quotes or bare.
+IN_TAG = r"""^(?:[^>"']+|"[^"]*"|'[^']*')*"""
+HREF = r"""(?i)(?:^|[\s"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+))"""
+
+
+def anchors_with_text(pages: DataFrame) -> DataFrame:
+    """page_id, pos, url, target, text (lower case) of each link outside comments and scripts, however its href is quoted."""
+    html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
+    piece = pages.select("page_id", "url", F.posexplode(F.slice(F.split(html, r"(?i)<a\s"), F.lit(2), F.lit(1 << 30))).alias("pos", "piece")).withColumn("tag", F.regexp_extract("piece", IN_TAG, 0))
+    href = F.replace(F.trim(F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)])), F.lit("&amp;"), F.lit("&"))
+    inside = F.regexp_extract(F.expr("substring(piece, length(tag) + 2)"), r"(?is)^(.*?)(?:</a[\s>]|\z)", 1)
+    text = F.lower(F.trim(F.regexp_replace(inside, r"<[^>]*>", "")))
+    target = F.when(F.startswith(href, F.lit("?")), F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.regexp_replace(href, r"#.*$", ""))).otherwise(joined_url(F.col("url"), href))
+    return piece.select("page_id", F.col("pos").cast("long").alias("pos"), "url", target.alias("target"), text.alias("text"))
+
+
+def contact_links(pages: DataFrame, others: int = 5) -> DataFrame:
+    """The page's links to other pages of its host: those whose path or text tells of contact, and the first others of the rest."""
+    own = anchors_with_text(pages).where((host(F.col("url")) == host(F.col("target"))) & (F.col("target") != F.regexp_replace("url", r"#.*$", "")))
+    likely = F.rlike(F.regexp_extract("target", r"^https?://[^/?#]+(.*)$", 1), F.lit(CONTACT_PATHS)) | F.rlike("text", F.lit(CONTACT_TEXTS))
+    links = own.select("page_id", "pos", "target", likely.alias("is_priority"))
+    order = F.row_number().over(Window.partitionBy("page_id", "is_priority").orderBy("pos"))
+    return links.withColumn("rn", order).where(F.col("is_priority") | (F.col("rn") <= others)).select("page_id", "pos", "target", "is_priority")
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """Title, first heading, footer and visible text. The html goes no further."""
     return pages.select(

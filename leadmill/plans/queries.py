@@ -58,6 +58,14 @@ add("u2_exclude_patterns", "pages", pages.excluded, "SELECT page_id, url, CASE W
 add("u4_url_parts", "pages", pages.url_parts, rf"SELECT page_id, {HOST.format('url')} AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages")
 add("u7_site_links", "pages", pages.site_links, f"SELECT DISTINCT page_id, target FROM ({ANCHORS}) WHERE {HOST.format('url')} = {HOST.format('target')}")
 add("u8_priority_links", "pages", pages.priority_links, f"SELECT page_id, CAST(pos AS INTEGER) AS pos, target, is_priority FROM (SELECT *, row_number() OVER (PARTITION BY page_id, is_priority ORDER BY pos) AS rn FROM (SELECT page_id, pos, target, {' OR '.join(f"ends_with(lower(target), '/{w}')" for w in pages.CONTACT)} AS is_priority FROM ({ANCHORS}) WHERE target IS NOT NULL)) WHERE is_priority OR rn <= 5")
+IN_TAG, IN_HREF = (p.replace("'", "''") for p in (pages.IN_TAG, pages.HREF))
+LINKS = rf"""SELECT page_id, pos, url, text, CASE WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || h WHEN h = '' THEN NULL WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h
+ WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS target
+ FROM (SELECT *, {HREF} AS h, lower(trim(regexp_replace(regexp_extract(substr(piece, length(tag) + 2), '(?is)^(.*?)(?:</a[\s>]|\z)', 1), '<[^>]*>', '', 'g'))) AS text
+ FROM (SELECT *, replace(trim(regexp_extract(tag, '{IN_HREF}', 1) || regexp_extract(tag, '{IN_HREF}', 2) || regexp_extract(tag, '{IN_HREF}', 3)), '&amp;', '&') AS href
+ FROM (SELECT page_id, url, i - 2 AS pos, a[i] AS piece, regexp_extract(a[i], '{IN_TAG}', 0) AS tag FROM (SELECT page_id, url, a, unnest(range(2, len(a) + 1)) AS i
+ FROM (SELECT page_id, url, string_split_regex(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<a\s') AS a FROM pages)))))"""
+add("u8_contact_links", "pages", pages.contact_links, f"SELECT page_id, pos, target, is_priority FROM (SELECT *, row_number() OVER (PARTITION BY page_id, is_priority ORDER BY pos) AS rn FROM (SELECT page_id, pos, target, regexp_matches(regexp_extract(target, '^https?://[^/?#]+(.*)$', 1), '{pages.CONTACT_PATHS}') OR regexp_matches(text, '{pages.CONTACT_TEXTS}') AS is_priority FROM ({LINKS}) WHERE {HOST.format('url')} = {HOST.format('target')} AND target <> regexp_replace(url, '#.*$', ''))) WHERE is_priority OR rn <= 5")
 add("h1_h2_h10_sections", "pages", pages.sections, SECTIONS)
 add("h7_list_items", "pages", pages.list_items, rf"SELECT page_id, CAST(i - 1 AS BIGINT) AS pos, {visible('a[i]')} AS item FROM (SELECT page_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS a FROM pages))")
 add("e6_e12_page_addresses", "pages", pages.addresses, mails("pages", "page_id", "html"), key="page_id", text="html")
