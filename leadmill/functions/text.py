@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-#: Domains of placeholder addresses. Fixed values.
-PLACEHOLDER = r"@(example|test|sample|dummy|localhost)\.(com|org|net|jp)$"
+#: What tells a placeholder address, as the reference lists it. Fixed values.
+PLACEHOLDER = r"test@test|@test\.|noreply|no-reply|placeholder|dummy@|@dummy"
+#: Ways to write the signs of an address. Fixed values.
+SIGNS = {"@": r"(?i)＠|&#0*64;|&#x0*40;|&commat;| ?[\[(（]at[\])）] ?", ".": r"(?i)．|&#0*46;|&#x0*2e;|&period;| ?[\[(（]dot[\])）] ?"}
 
 
 def visible_text(html: Column) -> Column:
@@ -22,16 +27,30 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def plain_signs(text: Column) -> Column:
+    """Full-width signs, entities and obfuscated signs of addresses to @ and dots."""
+    plain, lower = text, F.lower(text)
+    for sign, forms in SIGNS.items():
+        plain = F.regexp_replace(plain, forms, sign)
+    hints = ("＠", "．", "&#", "&commat;", "&period;", "at]", "at)", "at）", "dot]", "dot)", "dot）")
+    return F.when(reduce(or_, (F.contains(lower, F.lit(h)) for h in hints)), plain).otherwise(text)  # most texts hold none
+
+
 def normalised_email(address: Column) -> Column:
-    """Full-width signs to ASCII, mailto: and query dropped, obfuscated signs restored, lower case."""
-    out = F.lower(F.translate(F.trim(address), "＠．", "@."))
-    out = F.regexp_replace(out, r"^mailto:", "")
-    out = F.regexp_replace(out, r"\?.*$", "")
-    return F.regexp_replace(F.regexp_replace(out, r"[\[(]at[\])]", "@"), r"[\[(]dot[\])]", ".")
+    """Plain signs; mailto:, query, brackets and titles dropped; leading digits and phone numbers cut; lower case.
+
+    The reference also cuts up to the last '+' of the local part, which gives another address; that is kept here.
+    """
+    out = plain_signs(F.trim(address))
+    for pattern in (r"(?i)^mailto:", r"\?.*$", r"[（）()]", r"代表|担当|事務局"):
+        out = F.regexp_replace(out, pattern, "")
+    local, domain = F.substring_index(out, "@", 1), F.regexp_replace(out, r"^[^@]*@", "")
+    local = F.coalesce(extract(local, r"[A-Za-z][A-Za-z0-9._%+-]*$", 0), extract(local, r"[\p{L}\p{N}._%+-]+(?=[^\p{L}\p{N}._%+-]*$)", 0), local)
+    return F.when(F.contains(out, F.lit("@")), F.lower(F.concat(local, F.lit("@"), domain)))
 
 
 def valid_email(address: Column) -> Column:
-    return address.rlike(f"^{EMAIL}$") & ~address.rlike(PLACEHOLDER)
+    return address.rlike(f"^{EMAIL}$") & (F.length(address) > 5) & ~address.rlike(PLACEHOLDER)
 
 
 def formatted_phone(phone: Column) -> Column:

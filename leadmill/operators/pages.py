@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.functions.text import EMAIL, extract, normalised_email, valid_email, visible_text
+from leadmill.functions.text import EMAIL, extract, normalised_email, plain_signs, valid_email, visible_text
 
 #: Link texts and paths that lead to contact pages. Fixed values.
 CONTACT = ["contact", "inquiry", "about", "the", "and"]
@@ -110,7 +110,7 @@ def list_items(pages: DataFrame) -> DataFrame:
 
 def addresses(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Candidate addresses by place: key, email, pos; valid ones only, each once."""
-    found = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))).alias("pos", "raw"))
+    found = texts.select(key, F.posexplode(F.regexp_extract_all(plain_signs(F.col(text)), F.lit(EMAIL), F.lit(0))).alias("pos", "raw"))
     mail = found.select(key, "pos", normalised_email(F.col("raw")).alias("email")).where(valid_email(F.col("email")))
     return mail.groupBy(key, "email").agg(F.min("pos").cast("long").alias("pos"))
 

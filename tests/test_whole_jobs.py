@@ -1,7 +1,9 @@
 """The page and outreach operators on small inputs that the generated tables lack."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from leadmill.functions.text import normalised_email
 from leadmill.operators import pages
 
 
@@ -16,3 +18,20 @@ def test_contact_links(spark):
     want = ["/contact/", "/contact.html", "/contact-us", "/INQUIRY.php", "/form", "/about/otoiawase.html", "/x.php?a=1&form=2", "/q", "/jp"]
     assert [r.target for r in got if r.is_priority] == [f"https://h.example{p}" for p in want]
     assert [r.target for r in got if not r.is_priority] == [f"https://h.example/n{k}" for k in range(5)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("info＠firma．jp", ["info@firma.jp"]), ("a [at] firma [dot] jp, b(at)firma.jp", ["a@firma.jp", "b@firma.jp"]), ("info&#64;firma&#46;jp", ["info@firma.jp"]), ("a@example.com b@sample.net", ["a@example.com", "b@sample.net"]),
+        ("noreply@x.jp no-reply@x.jp a@test.de dummy@x.jp a@dummy.de placeholder@x.jp test@testing.de", []), ("03-1234-5678info@x.jp", ["info@x.jp"]), ("<a href='mailto:A.B@x.jp?subject=c'>", ["a.b@x.jp"]), ("a+b@x.jp 12@x.jp", ["a+b@x.jp", "12@x.jp"]),
+    ],
+)
+def test_addresses(spark, text, want):
+    got = pages.addresses(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text").orderBy("pos").collect()
+    assert [r.email for r in got] == want
+
+
+@pytest.mark.parametrize("raw, want", [("mailto:Info（代表）＠x．jp?subject=y", "info@x.jp"), ("担当sales@x.jp", "sales@x.jp"), ("(info@x.jp)", "info@x.jp"), ("no sign", None)])
+def test_normalised_email(spark, raw, want):
+    assert spark.createDataFrame([(raw,)], "raw string").select(normalised_email(F.col("raw"))).first()[0] == want
