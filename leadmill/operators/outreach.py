@@ -68,3 +68,30 @@ def sent_history(log: DataFrame) -> DataFrame:
 def hourly_counts(log: DataFrame) -> DataFrame:
     """Sends by hour and status; on a stream, with a watermark, the same expression counts late data too."""
     return log.groupBy(F.window("sent_at", "1 hour").alias("w"), "send_status").agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("hour_us"), "send_status", "n")
+
+
+def mailable(targets: DataFrame, history: DataFrame, as_of: str = AS_OF, days: int = 30, blacklist: tuple[str, ...] = ("example.com", "test.com", "localhost")) -> DataFrame:
+    """Rows of targets(email, ...) with an address, not sent to within the cooldown by history(email, sent_at), whose domain isn't blacklisted."""
+    since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")
+    recent = history.where(F.col("sent_at") > since).select("email").distinct()
+    domain = F.lower(F.coalesce(F.get(F.split("email", "@"), F.lit(1)), F.lit("")))
+    return targets.where(F.col("email").isNotNull() & (F.col("email") != "") & ~domain.isin(*blacklist)).join(recent, "email", "left_anti")
+
+
+def capped_today(rows: DataFrame, cap: int, by: str, log: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """The first rows of the day's list: cap less the successful sends of the day. Only the first cap rows meet in one task."""
+    n = sent_today(log, as_of).where("send_status = 'success'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__sent"))
+    first = rows.orderBy(by).limit(cap).withColumn("place", F.row_number().over(Window.partitionBy().orderBy(by)).cast("long"))
+    return first.crossJoin(F.broadcast(n)).where(F.col("place") <= F.lit(cap) - F.col("__sent")).drop("__sent")
+
+
+def upserted_history(history: DataFrame, sends: DataFrame) -> DataFrame:
+    """The last send of each address: the state history(email, sent_at) after the given sends."""
+    return history.select("email", "sent_at").unionByName(sends.select("email", "sent_at")).groupBy("email").agg(F.max("sent_at").alias("sent_at"))
+
+
+def evicted_history(history: DataFrame, as_of: str = AS_OF, older_than_days: int | None = None) -> DataFrame:
+    """Without the sends of that many days ago and older; without any if no number is given."""
+    if older_than_days is None:
+        return history.where("false")
+    return history.where(F.col("sent_at") > F.lit(as_of).cast("timestamp") - F.expr(f"interval {older_than_days} days"))

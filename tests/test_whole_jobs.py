@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leadmill.functions.text import normalised_email
-from leadmill.operators import pages
+from leadmill.operators import outreach, pages
 
 
 def test_contact_links(spark):
@@ -35,3 +35,20 @@ def test_addresses(spark, text, want):
 @pytest.mark.parametrize("raw, want", [("mailto:Info（代表）＠x．jp?subject=y", "info@x.jp"), ("担当sales@x.jp", "sales@x.jp"), ("(info@x.jp)", "info@x.jp"), ("no sign", None)])
 def test_normalised_email(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "raw string").select(normalised_email(F.col("raw"))).first()[0] == want
+
+
+def test_mailable_and_history(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "email string, day string").select("email", F.col("day").cast("timestamp").alias("sent_at"))
+    history = frame([("old@x.jp", "2023-12-31 12:00:00"), ("new@x.jp", "2024-01-10 00:00:00"), ("new@x.jp", "2023-01-01 00:00:00")])
+    targets = spark.createDataFrame([("old@x.jp",), ("new@x.jp",), ("a@Example.com",), ("a@mail.example.com",), ("a@localhost",), ("",), (None,)], "email string")
+    assert sorted(r.email for r in outreach.mailable(targets, history).collect()) == ["a@mail.example.com", "old@x.jp"]
+    after = outreach.upserted_history(history, frame([("old@x.jp", "2024-01-30 00:00:00"), ("b@x.jp", "2024-01-01 00:00:00")]))
+    assert {r.email: str(r.sent_at.date()) for r in after.collect()} == {"old@x.jp": "2024-01-30", "new@x.jp": "2024-01-10", "b@x.jp": "2024-01-01"}
+    assert {r.email for r in outreach.evicted_history(after, older_than_days=25).collect()} == {"old@x.jp", "new@x.jp"} and outreach.evicted_history(after).count() == 0
+
+
+def test_cap_of_the_day(spark):
+    log = spark.createDataFrame([("2024-01-30 01:00:00", "success")] * 4 + [("2024-01-30 01:00:00", "failed"), ("2024-01-29 01:00:00", "success")], "at string, send_status string").select(F.col("at").cast("timestamp").alias("sent_at"), "send_status")
+    rows = spark.range(50).select("id", (F.col("id") % 5).alias("segment"))
+    assert [(r.id, r.place) for r in outreach.capped_today(rows, 10, "id", log).orderBy("id").collect()] == [(k, k + 1) for k in range(6)]
+    assert outreach.capped_today(rows, 3, "id", log).count() == 0 and outreach.capped_today(rows, 10, "id", log.where("false")).count() == 10
