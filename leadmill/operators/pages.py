@@ -96,16 +96,24 @@ def contact_links(pages: DataFrame, others: int = 5) -> DataFrame:
     return links.withColumn("rn", order).where(F.col("is_priority") | (F.col("rn") <= others)).select("page_id", "pos", "target", "is_priority")
 
 
-def sections(pages: DataFrame) -> DataFrame:
-    """Title, first heading, footer and visible text. The html goes no further."""
+def sections(pages: DataFrame, *more: Column) -> DataFrame:
+    """Title, first heading, footer (without one, the last fifth of the visible text) and visible text. The html goes no further."""
+    text = visible_text(F.col("html"))
+    tail = F.when(~F.rlike("html", F.lit(r"(?i)<footer[\s>]")), F.substring(text, F.floor(F.length(text) * 0.8).cast("int") + 1, F.length(text)))
     return pages.select(
         "page_id", "url", extract(F.col("html"), r"(?is)<title[^>]*>(.*?)</title>").alias("title"), extract(F.col("html"), r"(?is)<h1[^>]*>(.*?)</h1>").alias("h1"),
-        F.nullif(visible_text(F.regexp_extract("html", r"(?is)<footer[^>]*>(.*?)</footer>", 1)), F.lit("")).alias("footer"), F.length(visible_text(F.col("html"))).cast("long").alias("text_chars"),
+        F.nullif(F.coalesce(tail, visible_text(F.regexp_extract("html", r"(?is)<footer[^>]*>(.*?)(?:</footer>|\z)", 1))), F.lit("")).alias("footer"), F.length(text).cast("long").alias("text_chars"), *more,
     )
 
 
+#: An item up to its end, the next item or the end of its list.
+ITEM = r"(?is)<(?:li|dd)(?:\s[^>]*)?>(.*?)(?:</(?:li|dd|ul|ol|dl)\s*>|(?=<(?:li|dt|dd)[\s>])|\z)"
+
+
 def list_items(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<li[^>]*>(.*?)</li>"), F.lit(1))).alias("pos", "item")).select("page_id", F.col("pos").cast("long").alias("pos"), visible_text(F.col("item")).alias("item"))
+    """Items of lists and of definitions."""
+    found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ITEM), F.lit(1))).alias("pos", "item"))
+    return found.select("page_id", F.col("pos").cast("long").alias("pos"), visible_text(F.col("item")).alias("item"))
 
 
 def addresses(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -125,10 +133,32 @@ def copyright_name(pages: DataFrame) -> DataFrame:
     return sections(pages).select("page_id", F.trim(F.regexp_extract("footer", r"^(?:&copy;|©) *([^&]+)", 1)).alias("company_name")).where("company_name <> ''")
 
 
+#: Words of inquiry forms, as the reference lists them. Fixed values.
+INQUIRY = "contact|inquiry|consult|request|form|message|reach|get in touch|問い合わせ|相談|お問合せ|コンタクト|フォーム|メッセージ|連絡|お申し込み"
+
+
+def attribute(tag: Column, names: str) -> Column:
+    """The value of the tag's first attribute of one of the names, empty if none."""
+    return F.concat(*[F.regexp_extract(tag, rf"""(?i)[\s"'](?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k) for k in (1, 2, 3)])
+
+
+def form_action(html: Column) -> Column:
+    """The action of the page's first inquiry form, by its text, id, class, name or buttons; null if there is none."""
+    forms = F.regexp_extract_all(html, F.lit(r"(?is)<form\s[^>]*>.*?(?:</form\s*>|(?=<form[\s>])|\z)"), F.lit(0))
+    tag = lambda f: F.regexp_extract(f, r"^<[^>]*>", 0)
+    buttons = lambda f: F.transform(F.regexp_extract_all(f, F.lit(r"""(?i)<(?:input|button)\s[^>]*type\s*=\s*["']?(?:submit|button)[^>]*>"""), F.lit(0)), lambda b: attribute(b, "value"))
+    said = lambda f: F.lower(F.concat_ws(" ", F.regexp_replace(f, r"<[^>]*>", ""), *[attribute(tag(f), n) for n in ("id", "class", "name")], buttons(f)))
+    found = F.filter(forms, lambda f: (F.trim(attribute(tag(f), "action")) != "") & F.rlike(said(f), F.lit(INQUIRY)))
+    return F.replace(attribute(tag(F.get(found, F.lit(0))), "action"), F.lit("&amp;"), F.lit("&"))
+
+
 def site_profiles(pages: DataFrame) -> DataFrame:
     """One row a page: status, host, sections, best address, name, and the form URL with its method."""
-    shred = sections(pages)
+    action = form_action(F.col("html"))
+    form = F.when(action.isNotNull(), F.coalesce(joined_url(F.col("url"), action), F.col("url"))).otherwise(F.col("url"))
+    status = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "error").otherwise("success")
+    shred = sections(pages, form.alias("form_url"), F.when(action.isNotNull(), "basic_detector").otherwise("homepage_fallback").alias("form_method"), status.alias("crawl_status"))
     mail = best_address(pages, "page_id", "html")
     name = copyright_name(pages)
     rows = shred.join(mail, "page_id", "left").join(name, "page_id", "left")
-    return rows.select("page_id", host(F.col("url")).alias("host"), "title", "h1", "email", "company_name", F.col("url").alias("form_url"), F.lit("homepage_fallback").alias("form_method"), F.lit("success").alias("crawl_status"))
+    return rows.select("page_id", host(F.col("url")).alias("host"), "title", "h1", "email", "company_name", "form_url", "form_method", "crawl_status")

@@ -52,3 +52,13 @@ def test_cap_of_the_day(spark):
     rows = spark.range(50).select("id", (F.col("id") % 5).alias("segment"))
     assert [(r.id, r.place) for r in outreach.capped_today(rows, 10, "id", log).orderBy("id").collect()] == [(k, k + 1) for k in range(6)]
     assert outreach.capped_today(rows, 3, "id", log).count() == 0 and outreach.capped_today(rows, 10, "id", log.where("false")).count() == 10
+
+
+def test_profiles_lists_and_footers(spark):
+    rows = [(1, None), (2, ""), (3, "<p>no form</p>"), (4, "<form action='/search'>Find</form><FORM method=post class=contact action='/send?a=1&amp;b=2'>"), (5, "<form action=s><input type=submit value=Inquiry></form>"), (6, "<dl><dt>t<dd>one<dt>u<dd>two</dl><ul><li>three<li>four</ul><link rel=x>"), (7, "<p>" + "a" * 80 + "b" * 20)]
+    frame = spark.createDataFrame([(i, "https://h.example/p/q", h) for i, h in rows], "page_id long, url string, html string")
+    got = {r.page_id: (r.form_url.removeprefix("https://h.example"), r.form_method, r.crawl_status) for r in pages.site_profiles(frame).collect()}
+    home = ("/p/q", "homepage_fallback", "success")
+    assert got == {1: (*home[:2], "error"), 2: (*home[:2], "error"), 3: home, 4: ("/send?a=1&b=2", "basic_detector", "success"), 5: ("/p/s", "basic_detector", "success"), 6: home, 7: home}
+    assert [r.item for r in pages.list_items(frame.where("page_id = 6")).orderBy("pos").collect()] == ["one", "two", "three", "four"]
+    assert pages.sections(frame.where("page_id = 7")).first().footer == "b" * 20
