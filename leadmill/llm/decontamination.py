@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are normalised to lower-case letters and digits with one blank between words. Every benchmark item is covered by
-segments of ``segment`` characters, one each ``stride``; an item that is shorter is one segment. Where a text holds a segment
+segments of ``segment`` characters, one from each word's start and in longer words one each ``stride``; an item that is shorter is
+one segment. So an unedited excerpt is surely caught from ``segment`` normalised characters on where it begins with a word (or
+holds the item's end), from ``segment + stride - 1`` on (64 and 71 here) anywhere. Where a text holds a segment
 of m characters with at most k edits, they share at least (m - q + 1) - k * q q-grams, all on diagonals (text position minus
 segment position) within k of each other. So shared q-grams are counted in overlapping bands of diagonals; bands that reach
 the bound are verified by an alignment limited to the band's window.
@@ -9,7 +11,7 @@ the bound are verified by an alignment limited to the band's window.
 The index of a block of items (at most about ``block_chars`` characters, a fixed bound) goes to every task; a larger
 benchmark takes more passes over the texts, one a block. Nothing is shuffled. Texts are read whole, in blocks that overlap.
 Null and empty texts match nothing; items with fewer than q normalised characters are skipped, since they can't be told from
-chance. Other columns are ignored.
+chance. Items without item_id count too; their item_id stays null. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,24 +77,38 @@ def within(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int] | N
     return int(row.min()), int(row.argmin())
 
 
+def starts(codes: np.ndarray, segment: int, stride: int) -> list[int]:
+    """Where segments begin: at each word, each stride characters within a word, and the last place that leaves a whole segment."""
+    last = max(0, len(codes) - segment)
+    words = [0, *(w for w in (np.flatnonzero(codes == 0) + 1).tolist() if w < last), last]
+    even = range(0, last, 32)  # edited excerpts may match there only
+    return sorted({*even} | {s for a, z in zip(words, [*words[1:], last + 1], strict=True) for s in range(a, z, stride)})
+
+
 class Index:
     """The segments of a block of items with their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, segment: int, stride: int, edit_rate: float):
         self.q, self.segments = q, []
         keys, seg, pos = [], [], []
-        for item, text in items:
+        least = min([0, *(i for i, _ in items if i is not None)])
+        #: Numbers that stand for items without an id.
+        self.nameless: set[int] = set()
+        for n, (item, text) in enumerate(items):
+            if item is None:
+                item = least - 1 - n
+                self.nameless.add(item)
             codes = np.trim_zeros(normalised(text or "")[0])
             if len(codes) < q:
                 continue
-            starts = [0] if len(codes) <= segment else [*range(0, len(codes) - segment, stride), len(codes) - segment]
-            for s in starts:
+            every = qgrams(codes, q)
+            for s in starts(codes, segment, stride):
                 part = codes[s : s + segment]
                 k = min(int(edit_rate * len(part)), (len(part) - q) // q)
-                grams = qgrams(part, q)
+                grams = every[s : s + len(part) - q + 1]
                 keys.append(grams)
-                seg.append(np.full(len(grams), len(self.segments)))
-                pos.append(np.arange(len(grams)))
+                seg.append(np.full(len(grams), len(self.segments), dtype=np.int32))
+                pos.append(np.arange(len(grams), dtype=np.int32))
                 self.segments.append((item, part, k, len(grams) - k * q))
         if not self.segments:
             self.keys = np.zeros(0, dtype=np.uint64)
@@ -113,7 +129,7 @@ class Index:
         low, high = np.searchsorted(self.keys, grams[at], "left"), np.searchsorted(self.keys, grams[at], "right")
         n = high - low
         which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, dtype=np.int64)
-        return np.repeat(at, n), self.seg[which], self.pos[which]
+        return np.repeat(at, n), self.seg[which].astype(np.int64), self.pos[which].astype(np.int64)
 
     def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(segment, start, end, edits) of the verified regions of one block of codes."""
@@ -160,15 +176,15 @@ class Index:
 
 def indexes(benchmark: DataFrame, q: int, segment: int, stride: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
     """Indexes of bounded size that together hold benchmark(item_id, text)."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).orderBy("item_id").collect()
+        part = items.where(F.pmod(F.xxhash64(F.coalesce("item_id", F.xxhash64("text"))), F.lit(n)) == b).orderBy("item_id").collect()
         yield Index([(r["item_id"], r["text"]) for r in part], q, segment, stride, edit_rate)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 32, edit_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 8, edit_rate: float = 0.05, block_chars: int = 800_000) -> DataFrame:
     """doc_id, item_id, start, end, edits, segments: a row for each text of docs(doc_id, text) and item that it holds."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, start long, end long, edits int, segments int"
@@ -177,15 +193,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: in
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(d, i, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, m in sorted(sent.value.scan(t).items())]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits", "segments"]).astype({"doc_id": "Int64"})
+                rows = [(d, None if i in sent.value.nameless else i, *m) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i, m in sorted(sent.value.scan(t).items())]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "start", "end", "edits", "segments"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 32, edit_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 8, edit_rate: float = 0.05, block_chars: int = 800_000) -> DataFrame:
     """The rows of docs, all their columns, whose text holds no item."""
     def filtered(rows: DataFrame, index: Index) -> DataFrame:
         sent = rows.sparkSession.sparkContext.broadcast(index)

@@ -71,6 +71,23 @@ def test_decontamination(spark, odd_docs, no_docs):
     assert decontamination.contaminated(no_docs, benchmark).count() == 0 and decontamination.contaminated(table, benchmark.where("false")).count() == 0
 
 
+def test_decontamination_of_short_excerpts(spark):
+    rng = random.Random(8)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(2, 9)))
+    prose = lambda a, n: " ".join(word(a) for _ in range(n))
+    items = [(1, prose("abcdefghijkl", 60)), (None, prose("abcdefghijkl", 60)), (3, "".join(word("abcdefghijkl") for _ in range(60)))]
+    docs, want = [], []
+    for item, text in items:
+        for at in range(0, 100, 3):
+            for n in (72, 75, 80, 90):
+                want.append((len(docs), item))
+                docs.append((len(docs), f"{prose('mnopqrstuv', 30)} {text[at : at + n].strip()} {prose('mnopqrstuv', 30)}"))
+    whole = {i for i, t in docs if len(" ".join(t.split()[30:-30])) >= 71}
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} >= {(d, i) for d, i in want if d in whole} and len(whole) > 380
+    assert decontamination.without_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where(F.col("doc_id").isin(list(whole))).count() == 0
+
+
 def test_within():
     p, t = np.array([1, 2, 3, 4, 5]), np.array([9, 9, 1, 2, 7, 4, 5, 9])
     assert decontamination.within(p, t, 1) == (1, 7) and decontamination.within(p, t, 0) is None
