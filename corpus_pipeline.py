@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the columns of
 documents. Rows that a stage keeps stay as they are, but that masking secrets changes text and n_chars. Null texts pass every
-filter. Rows without a doc_id can't be told apart from each other, so the near-duplicate stage keeps them all.
+filter. Rows without a doc_id are rows like others; where rows share a doc_id and their texts differ, each is judged by its own text.
 """
 
 from __future__ import annotations
@@ -28,11 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of 5-word shingle sets with a similarity of 0.8 or more: the smallest doc_id's."""
-    docs = docs.select(*COLUMNS)
-    heads = jaccard_join.similar_components(docs, size=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(heads.hint("shuffle_hash"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    """One row of each component of 5-word shingle sets with a similarity of 0.8 or more: that with the smallest doc_id, then the smallest text hash."""
+    return jaccard_join.without_similar(docs.select(*COLUMNS), size=5, percent=80)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

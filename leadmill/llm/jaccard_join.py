@@ -14,13 +14,18 @@ Two passes, so that a large group of near copies never yields all its pairs:
 * hubs: in the posting list of each shingle, the class that has it at the earliest place of its prefix is the hub: it has the
   fewest rare shingles of its own, so it stands nearest to the text that the others were copied from. Each class is paired
   with the HUBS hubs that it shares most shingles with; pairs are verified and linked into components;
-* the rest: pairs from different components that share enough of their prefixes, verified too. Pairs within one component
-  need no check: they can't change the result.
+* the rest: in each list, the classes outside the hub's component are joined with the list's other components, and a joined
+  row must pass every bound, that from counts by range of hashes included, before it leaves the join. Pairs within one
+  component need no check: they can't change the result.
+
+No list meets in one task: a list is dealt in parts by node, as many as the sketch's estimate of its length asks for (PART_ROWS
+postings each), its hub is found with map-side aggregates and goes to each part, and the rest are joined part by part. A hub
+with many classes is dealt likewise when whole sets are compared.
 
 Before whole sets are compared, a pair must pass a bound on its intersection from counts by range of hashes. No cap on
-partners, candidates or postings. Null doc_id: such a row has a component of
-its class as any other, null if no member of its component has an id. Null and empty texts have no shingles and link with
-nothing. Repeated rows are copies. Other columns are ignored.
+partners, candidates or postings. Null doc_id: such a row has the component of its class as any other, null if no member of
+its component has an id. Null and empty texts have no shingles and link with nothing. Repeated rows are copies. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.llm._shared import staged
@@ -43,6 +48,8 @@ SKETCH, PART = 1 << 20, 1 << 12
 MOST_MATCHES, VERIFY_COST = 8, 4.0
 #: Hubs that a class is verified against before the rest of its candidates.
 HUBS = 2
+#: Postings of a list, and classes of a hub, that one task should meet.
+PART_ROWS = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,27 +77,32 @@ def class_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes())).astype(np.int64))
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash that tells apart rows of one doc_id."""
+    return F.xxhash64(text)
+
+
 def described(docs: DataFrame, size: int) -> DataFrame:
-    """A row (doc_id, n, node, spread) for each document, and rows (part, counts) of each task's sketch.
+    """A row (doc_id, copy, n, node, spread) for each document, and rows (part, counts) of each task's sketch.
 
-    spread counts the set's shingles in each of 64 ranges of their hashes.
+    copy is the hash of the text, spread counts the set's shingles in each of 64 ranges of their hashes.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketch = np.zeros(SKETCH, dtype=np.uint32)
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for doc_id, copy, text in zip(pdf["doc_id"], pdf["copy"], pdf["text"], strict=True):
                 found = shingles(text, size)
                 np.add.at(sketch, (found >> np.uint64(44)).astype(np.int64), 1)
-                rows.append((doc_id, len(found), class_of(found), np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "node", "spread"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, copy, len(found), class_of(found), np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64)))
+            out = pd.DataFrame(rows, columns=["doc_id", "copy", "n", "node", "spread"]).astype({"doc_id": "Int64"})
             yield out.assign(part=pd.NA, counts=None).astype({"part": "Int32"})
         for part in np.flatnonzero(sketch.reshape(-1, PART).any(axis=1)):
             counts = zlib.compress(sketch[part * PART : (part + 1) * PART].tobytes(), 1)
-            yield pd.DataFrame({"doc_id": pd.array([pd.NA], dtype="Int64"), "n": [0], "node": [0], "spread": [None], "part": pd.array([part], dtype="Int32"), "counts": [counts]})
+            yield pd.DataFrame({"doc_id": pd.array([pd.NA], dtype="Int64"), "copy": [0], "n": [0], "node": [0], "spread": [None], "part": pd.array([part], dtype="Int32"), "counts": [counts]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n int, node long, spread array<int>, part int, counts binary")
+    return docs.select(F.col("doc_id").cast("long"), text_key(F.col("text")).alias("copy"), "text").mapInPandas(run, "doc_id long, copy long, n int, node long, spread array<int>, part int, counts binary")
 
 
 def summed(parts: DataFrame) -> np.ndarray:
@@ -126,16 +138,16 @@ def prefix_of(found: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.n
 
 
 def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, node, meta) of all prefixes; meta holds the set's size, the place in the prefix and the matches asked for.
+    """(token, parts, salt, node, meta) of all prefixes; meta holds the set's size, the place in the prefix and the matches asked for.
 
-    Copies within a task come once.
+    parts is the number of parts of the token's list, from the sketch; salt, the node's part. Copies within a task come once.
     """
     sent = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.float32))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            tokens, nodes, metas = [], [], []
+            tokens, nodes, metas, parts = [], [], [], []
             for text in pdf["text"]:
                 found = shingles(text, size)
                 if not len(found) or (node := class_of(found)) in seen:
@@ -145,12 +157,14 @@ def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
                 seen.add(node)
                 own, matches = prefix_of(found, sent.value, percent)
                 tokens.append(own.astype(np.int64))
+                parts.append(1 + (sent.value[(own >> np.uint64(44)).astype(np.int64)] // PART_ROWS).astype(np.int64))
                 nodes.append(np.full(len(own), node))
                 metas.append((len(found) << 32) | (np.arange(len(own), dtype=np.int64) << 4) | matches)
             if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "node": np.concatenate(nodes), "meta": np.concatenate(metas)})
+                n, node = np.concatenate(parts), np.concatenate(nodes)
+                yield pd.DataFrame({"token": np.concatenate(tokens), "parts": n, "salt": node % n, "node": node, "meta": np.concatenate(metas)})
 
-    return docs.select("text").mapInPandas(run, "token long, node long, meta long")
+    return docs.select("text").mapInPandas(run, "token long, parts long, salt long, node long, meta long")
 
 
 def n_of(meta: str) -> Column:
@@ -210,13 +224,17 @@ def enough(a: Column, b: Column, percent: int) -> Column:
     return (100 + percent) * most >= percent * (total(a) + total(b))
 
 
+def each_part(rows: DataFrame, name: str = "salt") -> DataFrame:
+    """A row for each of its parts."""
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, found): the whole sets of the nodes of wanted(node, doc_id), each once.
+    """(node, salt, found): the whole sets of the nodes of wanted(node, salt, doc_id), each once.
 
     A bitmap of 2**23 bits over the wanted doc_ids (a fixed bound) spares most other texts; what it lets through beside them
     goes at the exact join.
     """
-    spark = docs.sparkSession
     hashed = F.xxhash64(F.col("doc_id").cast("long"))
     word, bit = F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(1 << 17)), hashed.bitwiseAND(F.lit(63)).cast("int")
     bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(cast(doc_id as long)) & 63 as int))")).alias("bits"))
@@ -229,69 +247,120 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "node": [class_of(f) for f in found], "found": [f.astype(np.int64) for f in found]})
 
     got = rows.mapInPandas(run, "doc_id long, node long, found array<long>")
-    chosen = wanted.select("node", F.col("doc_id").alias("chosen")).hint("shuffle_hash")
-    return got.join(chosen, "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "found").dropDuplicates(["node"])
+    chosen = wanted.select("node", "salt", F.col("doc_id").alias("chosen")).hint("shuffle_hash")
+    return got.join(chosen, "node").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).select("node", "salt", "found").dropDuplicates(["node", "salt"])
 
 
 def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b) whose sets can be similar enough: in no range of hashes do they share more than the lesser count."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("spread").alias(f"spread_{c}")).hint("shuffle_hash")
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough(F.col("spread_a"), F.col("spread_b"), percent)).select("a", "b")
+    """The pairs(a, b, parts, salt_a) whose sets can be similar enough: in no range of hashes do they share more than the lesser count."""
+    spread = lambda c: F.col("spread").alias(f"spread_{c}")
+    one = classes.select(F.col("node").alias("b"), spread("b")).hint("shuffle_hash")
+    dealt = each_part(pairs.select(F.col("a").alias("node"), "parts").distinct(), "salt_a").join(classes.hint("shuffle_hash"), "node")
+    both = pairs.join(one, "b").join(dealt.select(F.col("node").alias("a"), "salt_a", spread("a")).hint("shuffle_hash"), ["a", "salt_a"])
+    return both.where(enough(F.col("spread_a"), F.col("spread_b"), percent)).select("a", "b", "parts", "salt_a")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs(a, b) of nodes whose sets are similar enough, from whole sets."""
+    """The pairs (a, b) of pairs(a, b, parts) whose whole sets are similar enough; those of an a are dealt in parts by b."""
+    pairs = pairs.withColumn("salt_a", F.pmod(F.xxhash64("b"), F.col("parts")))
     pairs = staged(possible(pairs, classes, percent), "possible")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = staged(nodes.join(classes.hint("shuffle_hash"), "node").select("node", "doc_id"), "wanted")
-    sets = sets_of(docs, wanted, size)  # both joins read one shuffle of it, dealt by node
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("fa")).hint("shuffle_hash"), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("fb")).hint("shuffle_hash"), "b")
-    shared = F.size(F.array_intersect("fa", "fb"))
-    counted = both.select("a", "b", shared.alias("shared"), (F.size("fa") + F.size("fb")).alias("total"))
+    nodes = pairs.select(F.col("a").alias("node"), F.col("salt_a").alias("salt")).unionByName(pairs.select(F.col("b").alias("node"), F.lit(0).cast("long").alias("salt"))).distinct()
+    wanted = staged(nodes.join(classes.hint("shuffle_hash"), "node").select("node", "salt", "doc_id"), "wanted")
+    sets = sets_of(docs, wanted, size)  # both joins read one shuffle of it, dealt by node and part
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("salt").alias(f"salt_{c}"), F.col("found").alias(f"found_{c}")).hint("shuffle_hash")
+    both = pairs.withColumn("salt_b", F.lit(0).cast("long")).join(side("a"), ["a", "salt_a"]).join(side("b"), ["b", "salt_b"])
+    shared = F.size(F.array_intersect("found_a", "found_b"))
+    counted = both.select("a", "b", shared.alias("shared"), (F.size("found_a") + F.size("found_b")).alias("total"))
     return counted.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id of the component) for each row of docs(doc_id, text)."""
-    from pyspark.sql import Window
+def shared_postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
+    """The postings of lists with several classes, and how many of the class's postings before each are such ones (seen)."""
+    lists = postings(docs, sketch, size, percent).repartition("token", "salt").dropDuplicates(["token", "salt", "node", "meta"])
+    near = lists.withColumn("n", F.count("*").over(Window.partitionBy("token", "salt"))).where("n > 1 or parts > 1").drop("n")
+    return near.withColumn("seen", F.row_number().over(Window.partitionBy("node").orderBy("meta")) - 1)
+
+
+def list_hubs(shared: DataFrame) -> DataFrame:
+    """(token, parts, hub, hub_meta, hub_seen, hub_parts): the class with the earliest place in each list."""
+    first = F.min(F.struct(place("meta").alias("at"), "node", "meta", "seen")).alias("hub")
+    tops = shared.groupBy("token").agg(first, F.max("parts").alias("parts"), F.count("*").alias("n")).where("n > 1")
+    tops = tops.select("token", "parts", F.col("hub.node").alias("hub"), F.col("hub.meta").alias("hub_meta"), F.col("hub.seen").alias("hub_seen"), "n")
+    longest = F.max("n").over(Window.partitionBy("hub"))
+    return tops.withColumn("hub_parts", 1 + F.floor(longest / PART_ROWS)).drop("n")
+
 
+def hub_pairs(shared: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, parts): each class b with the HUBS hubs a that it shares most shingles with."""
+    held = shared.drop("parts").join(each_part(hubs).hint("shuffle_hash"), ["token", "salt"])
+    tied = held.where(F.col("hub") != F.col("node")).where(can_match("meta", "hub_meta", "seen", "hub_seen", percent)).groupBy("node", "hub").agg(F.count("*").alias("n"), F.max("hub_parts").alias("parts"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
+    return tied.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.col("hub").alias("a"), F.col("node").alias("b"), "parts")
+
+
+def cross_pairs(shared: DataFrame, hubs: DataFrame, part: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components whose prefixes and counts allow enough similarity."""
+    of = lambda node: part.select(F.col("node").alias(node), "component").hint("shuffle_hash")
+    main = hubs.join(of("hub"), "hub", "left").select("token", "parts", F.coalesce("component", "hub").alias("main"))
+    known = shared.drop("parts").join(of("node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    outside = F.col("component") != F.col("main")
+    known = staged(known.join(each_part(main).hint("shuffle_hash"), ["token", "salt"]).withColumn("outside", outside).drop("main"), "known")
+    lists = each_part(known.where("outside").groupBy("token").agg(F.max("parts").alias("parts"))).select("token", "salt")
+    mixed = known.join(lists.hint("shuffle_hash"), ["token", "salt"], "left_semi").join(classes.select("node", "spread").hint("shuffle_hash"), "node")
+    mixed = staged(mixed, "mixed")
+    columns = ["node", "meta", "seen", "component", "outside", "spread"]
+    side = lambda rows, c: rows.select("token", "part_a", "part_b", *[F.col(x).alias(f"{x}_{c}") for x in columns])
+    left = side(each_part(mixed.where("outside").withColumnRenamed("salt", "part_a"), "part_b"), "a")
+    right = side(each_part(mixed.withColumnRenamed("salt", "part_b"), "part_a"), "b")
+    asked = F.least(matches_of("meta_a"), matches_of("meta_b"))
+    once = ~F.col("outside_b") | (F.col("node_a") < F.col("node_b"))
+    near = (place("meta_a") < base_prefix("meta_a", percent) + asked - 1) & (place("meta_b") < base_prefix("meta_b", percent) + asked - 1)
+    joined = left.hint("merge").join(right, ["token", "part_a", "part_b"]).where(
+        (F.col("component_a") != F.col("component_b")) & once & near & can_match("meta_a", "meta_b", "seen_a", "seen_b", percent) & enough(F.col("spread_a"), F.col("spread_b"), percent)
+    )
+    counted = joined.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n"), F.max("meta_a").alias("meta_a"), F.max("meta_b").alias("meta_b"))
+    return counted.where(can_match_after("n", "meta_a", "meta_b", percent)).select("a", "b")
+
+
+def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, copy, n_shingles, node) of each row of docs, and (node, component) of the classes that link with another."""
     facts = staged(described(docs, size), "described")
-    own = facts.where("part is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node", "spread")
+    own = facts.where("part is null").select("doc_id", "copy", F.col("n").cast("long").alias("n_shingles"), "node", "spread")
     sketch = summed(facts)
     classes = staged(own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("spread").alias("spread")), "classes")
-    by_node = Window.partitionBy("token").orderBy("node")
-    lists = postings(docs, sketch, size, percent).repartition("token").dropDuplicates(["token", "node", "meta"])
-    near = lists.select("*", F.lag("node").over(by_node).alias("before"), F.lead("node").over(by_node).alias("next"))
-    near = near.where("before is not null or next is not null").select("token", "node", "meta")
-    seen = F.row_number().over(Window.partitionBy("node").orderBy("meta")) - 1
-    shared = staged(near.withColumn("seen", seen), "postings")
-    order = Window.partitionBy("token").orderBy(place("meta"), "node")
-    held = shared.select("*", *[F.first(c).over(order).alias(f"hub_{c}") for c in ("node", "meta", "seen")]).withColumnRenamed("hub_node", "hub")
-    tied = held.where("hub <> node").where(can_match("meta", "hub_meta", "seen", "hub_seen", percent)).repartition("node").groupBy("node", "hub").agg(F.count("*").alias("n"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "hub"))
-    first = tied.withColumn("rank", best).where(F.col("rank") <= HUBS).select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    first = staged(first, "hubs")
+    shared = staged(shared_postings(docs, sketch, size, percent), "postings")
+    hubs = staged(list_hubs(shared), "lists")
+    first = staged(hub_pairs(shared, hubs, percent), "hubs")
     links = staged(verified(first, docs, classes, size, percent), "links")
-    part = components(links)
-    # postings with their components, where a shingle has several
-    known = shared.join(part.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    alike = Window.partitionBy("token")
-    mixed = known.select("*", F.min("component").over(alike).alias("x"), F.max("component").over(alike).alias("y")).where("x < y").drop("x", "y")
-    rest = staged(mixed, "mixed")
-    left, right = (rest.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "meta", "seen", "component")]) for side in "ab")
-    asked = F.least(matches_of("meta_a"), matches_of("meta_b"))
-    pairs = (
-        left.hint("merge").join(right, "token")
-        .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & can_match("meta_a", "meta_b", "seen_a", "seen_b", percent))
-        .where((place("meta_a") < base_prefix("meta_a", percent) + asked - 1) & (place("meta_b") < base_prefix("meta_b", percent) + asked - 1))
-        .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n"), F.max("meta_a").alias("meta_a"), F.max("meta_b").alias("meta_b"))
-        .where(can_match_after("n", "meta_a", "meta_b", percent)).select("a", "b")
-    )
-    pairs = staged(pairs.join(first.hint("shuffle_hash"), ["a", "b"], "left_anti"), "pairs")
-    more = verified(pairs, docs, classes, size, percent)
-    whole = staged(components(links.unionByName(more)), "components")
-    heads = whole.join(classes.hint("shuffle_hash"), "node").groupBy("component").agg(F.min("doc_id").alias("head"))
-    heads = whole.join(heads.hint("shuffle_hash"), "component").select("node", "head")
-    named = classes.drop("spread").join(heads.hint("shuffle_hash"), "node", "left").select("node", F.coalesce("head", "doc_id").alias("component_id"))
-    linked = own.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    rest = cross_pairs(shared, hubs, components(links), classes, percent)
+    tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    rest = staged(rest.join(tried.hint("shuffle_hash"), ["a", "b"], "left_anti").withColumn("parts", F.lit(1).cast("long")), "pairs")
+    more = verified(rest, docs, classes, size, percent)
+    return own.drop("spread"), staged(components(links.unionByName(more)), "components")
+
+
+def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the component) for each row of docs(doc_id, text)."""
+    own, whole = linked(docs, size, percent)
+    classes = own.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    joined = classes.join(whole.hint("shuffle_hash"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = joined.join(heads.hint("shuffle_hash"), "component").select("node", "component_id")
+    members = own.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id")
+    return members.unionByName(own.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def without_similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all their columns, that stay when one row of each component does: that with the smallest doc_id (null
+    last) and then the smallest hash of the text. Repeated rows are copies; rows without words all stay."""
+    own, whole = linked(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "copy")).alias("head")
+    classes = own.where("n_shingles > 0").groupBy("node").agg(first).join(whole.hint("shuffle_hash"), "node", "left")
+    heads = classes.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("head").alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("__id"), F.col("head.copy").alias("__copy"))
+    dealt = docs.withColumn("__copy", text_key(F.col("text")))
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    named = dealt.where(worded & F.col("doc_id").isNotNull()).withColumn("__id", F.col("doc_id").cast("long")).join(heads.hint("shuffle_hash"), ["__id", "__copy"], "left_semi")
+    nameless = dealt.where(worded & F.col("doc_id").isNull()).dropDuplicates(["__copy"]).join(heads.where("__id is null").select("__copy").hint("shuffle_hash"), "__copy", "left_semi")
+    kept = named.dropDuplicates(["__id", "__copy"]).select(*docs.columns).unionByName(nameless.select(*docs.columns))
+    return kept.unionByName(docs.where(~worded | F.col("text").isNull()))
