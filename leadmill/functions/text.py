@@ -54,7 +54,41 @@ def valid_email(address: Column) -> Column:
 
 
 def formatted_phone(phone: Column) -> Column:
-    """Digits grouped by their number: 10 as 3-3-4, 11 as 3-4-4, others as they are."""
+    """Japanese grouping by the number of digits: 10 as 2-4-4, 11 as 3-4-4, 11 or 12 behind country code 81, other 12 as 4-4-4, more in
+    fours from the end; shorter ones stay as they are."""
     digits = F.regexp_replace(phone, r"[^0-9]", "")
-    grouped = lambda *n: F.concat_ws("-", *[F.substring(digits, 1 + sum(n[:k]), n[k]) for k in range(len(n))])
-    return F.when(F.length(digits) == 10, grouped(3, 3, 4)).when(F.length(digits) == 11, grouped(3, 4, 4)).otherwise(digits)
+    n = F.length(digits)
+    part = lambda text, a, k=1 << 30: F.substring(text, a, k)
+    grouped = lambda text, *sizes: F.concat_ws("-", *[part(text, 1 + sum(sizes[:k]), sizes[k]) for k in range(len(sizes))])
+    local = part(digits, 3)
+    last = F.regexp_replace(digits, r"^([0-9]*?)([0-9]{4})([0-9]{4})$", "$1-$2-$3")
+    return (
+        F.when(n == 10, grouped(digits, 2, 4, 4)).when(n == 11, grouped(digits, 3, 4, 4)).when(digits.startswith("81") & (n == 12), F.concat(F.lit("0"), grouped(local, 1, 4, 5)))
+        .when(n == 12, grouped(digits, 4, 4, 4)).when(n > 12, last).otherwise(phone)
+    )
+
+
+JAPANESE = r"[぀-ヿ一-龯]"
+
+
+def formatted_address(address: Column) -> Column:
+    low = F.lower(F.trim(address))
+    return F.when(low.rlike(f"^{EMAIL}$"), low).otherwise(F.replace(low, F.lit(" "), F.lit("")))
+
+
+def formatted_person(name: Column) -> Column:
+    """Single spaces; a name without Japanese letters in capitals of words."""
+    bare = F.trim(F.regexp_replace(name, r"\s+", " "))
+    return F.when(bare.rlike(JAPANESE), bare).otherwise(F.initcap(bare))
+
+
+def formatted_company(name: Column) -> Column:
+    """As a person's name, but with legal abbreviations in capitals."""
+    bare = F.trim(F.regexp_replace(name, r"\s+", " "))
+    words = F.transform(F.split(bare, " "), lambda w: F.when(F.upper(w).isin("LLC", "INC", "LTD", "CORP", "CO"), F.upper(w)).otherwise(F.initcap(w)))
+    return F.when(bare.rlike(JAPANESE), bare).otherwise(F.array_join(words, " "))
+
+
+def formatted_message(text: Column) -> Column:
+    """Line feeds alone, two in a row at most, trimmed."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")

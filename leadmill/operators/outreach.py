@@ -35,24 +35,6 @@ def state_shares(log: DataFrame) -> DataFrame:
     return counts.select("status", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2).alias("share"))
 
 
-def targets(customers: DataFrame, log: DataFrame, as_of: str = AS_OF, days: int = 3) -> DataFrame:
-    """Customers without a send within the cooldown: an interval anti-join."""
-    since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")
-    recent = log.where((F.col("sent_at") > since) & (F.col("send_status") == "success")).select(F.col("site").alias("c_custkey")).distinct()
-    return customers.join(recent, "c_custkey", "left_anti").select("c_custkey", F.coalesce(F.nullif(F.trim("c_name"), F.lit("")), F.lit("御社")).alias("name"), "c_mktsegment")
-
-
-def capped(rows: DataFrame, cap: int, by: str, group: str) -> DataFrame:
-    """The first cap rows of each group."""
-    order = F.row_number().over(Window.partitionBy(group).orderBy(by))
-    return rows.withColumn("place", order.cast("long")).where(F.col("place") <= cap)
-
-
-def scheduled(rows: DataFrame, per_minute: int) -> DataFrame:
-    """The minute, from the start, in which each row is sent."""
-    return rows.withColumn("minute", F.floor((F.col("place") - 1) / F.lit(per_minute)).cast("long"))
-
-
 def gaps(log: DataFrame, seconds: int) -> DataFrame:
     """Sends to a site that came sooner after the last one than the least gap."""
     last = F.lag("sent_at").over(Window.partitionBy("site").orderBy("sent_at", "id"))
@@ -95,3 +77,82 @@ def evicted_history(history: DataFrame, as_of: str = AS_OF, older_than_days: int
     if older_than_days is None:
         return history.where("false")
     return history.where(F.col("sent_at") > F.lit(as_of).cast("timestamp") - F.expr(f"interval {older_than_days} days"))
+
+
+def found_sends(log: DataFrame, n: int, skip: int = 0, **equal: object) -> DataFrame:
+    """Sends with the given values, newest first; ties by id. A value of None asks nothing."""
+    for column, value in equal.items():
+        log = log if value is None else log.where(F.col(column) == value)
+    return log.orderBy(F.desc("sent_at"), F.desc("id")).offset(skip).limit(n)
+
+
+def send_statistics(log: DataFrame, as_of: str = AS_OF) -> DataFrame:
+    """Sends in all and today, by status (null: in all), with the number of recipients."""
+    today = F.to_date("sent_at") == F.to_date(F.lit(as_of).cast("timestamp"))
+    rows = log.groupingSets([[], ["send_status"]], "send_status").agg(F.count("*").alias("n"), F.count_if(today).alias("n_today"), F.countDistinct("site").alias("n_recipients"))
+    return rows.select("send_status", "n", "n_today", "n_recipients")
+
+
+def campaign_runs(log: DataFrame) -> DataFrame:
+    """One run a day and mode: sends, successes, failures, and the failed recipients in order."""
+    failed = F.when(F.col("send_status") != "success", F.struct("id", "site", "send_status"))
+    rows = log.groupBy(F.to_date("sent_at").alias("day"), "mode").agg(F.count("*").alias("total"), F.count_if(F.col("send_status") == "success").alias("successful"), F.array_sort(F.collect_list(failed)).alias("details"))
+    return rows.withColumn("failed", F.col("total") - F.col("successful"))
+
+
+def rolled_up(runs: DataFrame) -> DataFrame:
+    """day, mode, totals and the first failures of each run, as text."""
+    first = F.array_join(F.transform(F.slice("details", 1, 3), lambda d: F.concat_ws(":", d["id"].cast("string"), d["send_status"])), ",")
+    return runs.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "mode", "total", "successful", "failed", first.alias("first_failures"))
+
+
+def campaign_statistics(runs: DataFrame, history: DataFrame) -> DataFrame:
+    """Runs, sends, failures, and recipients ever reached."""
+    reached = history.agg(F.count("*").alias("unique_recipients"))
+    return runs.agg(F.count("*").alias("total_campaigns"), F.sum("successful").alias("total_sent"), F.sum("failed").alias("total_failed")).crossJoin(F.broadcast(reached))  # two single rows
+
+
+def submission_summary(log: DataFrame) -> DataFrame:
+    """Outcome classes with their shares of all posts."""
+    counts = log.groupBy("send_status").agg(F.count("*").alias("n"))
+    return counts.select("send_status", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 1).alias("share"))  # a handful of classes
+
+
+def valid_addresses(rows: DataFrame, column: str) -> Column:
+    """One sign, a local part, and a domain with a dot."""
+    parts = F.split(F.coalesce(F.col(column), F.lit("")), "@")
+    return (F.size(parts) == 2) & (parts[0] != "") & F.contains(F.get(parts, F.lit(1)), F.lit("."))
+
+
+def recipients(rows: DataFrame, subject: str, body: str) -> DataFrame:
+    """rows(page_id, email, company_name) with valid addresses, names defaulted, and {field} and {{field}} of both texts filled."""
+    name = F.coalesce(F.nullif(F.trim("company_name"), F.lit("")), F.lit("御社"))
+    filled = rows.where(valid_addresses(rows, "email")).select("page_id", "email", name.alias("company_name"))
+
+    def of(text: str) -> Column:
+        out = F.lit(text)
+        for c in ("company_name", "email"):
+            out = F.replace(F.replace(out, F.lit("{{" + c + "}}"), F.col(c)), F.lit("{" + c + "}"), F.col(c))
+        return out
+
+    return filled.select("page_id", "email", "company_name", of(subject).alias("subject"), of(body).alias("body"))
+
+
+def form_targets(profiles: DataFrame, skip_with_email: bool = False) -> DataFrame:
+    """Every profile with the decision whether its form is posted to, and why not."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    reason = F.when(blank("form_url"), "no form URL").when(blank("company_name"), "no company name").when(F.lit(skip_with_email) & ~blank("email"), "has email")
+    return profiles.select("page_id", F.when(reason.isNull(), "submit").otherwise("skip").alias("decision"), reason.alias("reason"))
+
+
+def polite_times(pages: DataFrame, gap_seconds: int, start: str = AS_OF) -> DataFrame:
+    """When each page is fetched: pages of a site follow each other by the gap, in order of page_id."""
+    site = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    place = F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1
+    rows = pages.select("page_id", site.alias("site")).withColumn("place", place)
+    return rows.select("page_id", "site", (F.unix_seconds(F.lit(start).cast("timestamp")) + F.col("place") * gap_seconds).cast("long").alias("at_seconds"))
+
+
+def delayed(targets: DataFrame, per_minute: int, start: str = AS_OF) -> DataFrame:
+    """The second at which each row of a list with a place is sent, so many a minute over the whole list."""
+    return targets.withColumn("at_seconds", (F.unix_seconds(F.lit(start).cast("timestamp")) + F.floor((F.col("place") - 1) * 60 / F.lit(per_minute))).cast("long"))

@@ -5,24 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.functions.html import ITEM, attribute
 from leadmill.functions.text import EMAIL, extract, normalised_email, plain_signs, valid_email, visible_text
 
-#: Link texts and paths that lead to contact pages. Fixed values.
-CONTACT = ["contact", "inquiry", "about", "the", "and"]
-
-
 def host(url: Column) -> Column:
     return extract(url, r"^https?://([^/?#]+)")
 
 
 def url_parts(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", host(F.col("url")).alias("host"), F.coalesce(extract(F.col("url"), r"^https?://[^/?#]+([^?#]*)"), F.lit("/")).alias("path"))
+    """Origin, host, path and query (null if none)."""
+    url = F.col("url")
+    return pages.select("page_id", extract(url, r"^(https?://[^/?#]+)").alias("origin"), host(url).alias("host"), F.coalesce(extract(url, r"^https?://[^/?#]+([^?#]*)"), F.lit("/")).alias("path"), extract(url, r"^[^?#]*\?([^#]*)").alias("query"))
 
 
 def cleaned_urls(pages: DataFrame) -> DataFrame:
-    """Trimmed, with a scheme; empty ones dropped."""
-    bare = F.trim(F.regexp_replace("url", r"^https?://", ""))
-    return pages.where((bare != "") & (F.lower(bare) != "nan")).select("page_id", F.concat(F.lit("https://"), bare).alias("url"))
+    """Trimmed, with a scheme where there is none; empty ones dropped."""
+    bare = F.trim("url")
+    return pages.where((bare != "") & (F.lower(bare) != "nan")).select("page_id", F.when(bare.rlike("^https?://"), bare).otherwise(F.concat(F.lit("https://"), bare)).alias("url"))
+
+
+def first_urls(pages: DataFrame, n: int) -> DataFrame:
+    """The first n cleaned URLs, by page_id."""
+    return cleaned_urls(pages).orderBy("page_id", "url").limit(n)
 
 
 def excluded(pages: DataFrame, patterns: list[str]) -> DataFrame:
@@ -31,14 +35,25 @@ def excluded(pages: DataFrame, patterns: list[str]) -> DataFrame:
     return pages.select("page_id", "url", F.when(hit, "skipped").otherwise("pending").alias("crawl_status"))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path with . and .. resolved; a closing . or .. leaves its folder."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
+    tail = F.when(F.element_at(parts, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    step = lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p)))
+    joined = F.concat(F.lit("/"), F.array_join(F.concat(F.aggregate(parts, F.array().cast("array<string>"), step), tail), "/"))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), joined).otherwise(path)
+
+
 def joined_url(base: Column, href: Column) -> Column:
     """An absolute URL without fragment; null where the link leaves http."""
     href = F.regexp_replace(F.trim(href), r"#.*$", "")
     origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_replace(base, r"[?#].*$", ""), r"[^/]*$", "")
+    path = F.coalesce(extract(base, r"^https?://[^/?#]+([^?#]*)"), F.lit("/"))
+    target, query = F.regexp_extract(href, r"^([^?]*)", 1), F.regexp_extract(href, r"^[^?]*(\?.*)$", 1)
+    relative = F.when(target.startswith("/"), target).otherwise(F.concat(F.regexp_replace(path, r"[^/]*$", ""), target))
     return (
         F.when(href == "", None).when(href.rlike(r"^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^(https?:)", 1), href))
-        .when(href.startswith("/"), F.concat(origin, href)).when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).otherwise(F.concat(folder, href))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("?"), F.concat(origin, path, href)).otherwise(F.concat(origin, without_dots(relative), query))
     )
 
 
@@ -53,14 +68,6 @@ def site_links(pages: DataFrame) -> DataFrame:
     return anchors(pages).where(host(F.col("url")) == host(F.col("target"))).select("page_id", "target").distinct()
 
 
-def priority_links(pages: DataFrame, others: int = 5) -> DataFrame:
-    """Contact-like links, and the first others of the rest, by place."""
-    likely = F.exists(F.array(*[F.lit(w) for w in CONTACT]), lambda w: F.endswith(F.lower("target"), F.concat(F.lit("/"), w)))
-    links = anchors(pages).where("target is not null").select("page_id", "pos", "target", likely.alias("is_priority"))
-    order = F.row_number().over(Window.partitionBy("page_id", "is_priority").orderBy("pos"))
-    return links.withColumn("rn", order).where(F.col("is_priority") | (F.col("rn") <= others)).select("page_id", "pos", "target", "is_priority")
-
-
 #: Paths and link texts that lead to contact forms, as the reference lists them. Fixed values.
 CONTACT_PATHS = (
     r"(?i)(/contact/?$|/contact\.html?/?$|/contact\.php/?$|/contact-us/?$|/contact_us/?$|/contactus/?$|/inquiry[0-9]*/?$|/inquiry[0-9]*\.html?/?$|/inquiry[0-9]*\.php/?$|/inquire/?$"
@@ -83,8 +90,7 @@ def anchors_with_text(pages: DataFrame) -> DataFrame:
     href = F.replace(F.trim(F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)])), F.lit("&amp;"), F.lit("&"))
     inside = F.regexp_extract(F.expr("substring(piece, length(tag) + 2)"), r"(?is)^(.*?)(?:</a[\s>]|\z)", 1)
     text = F.lower(F.trim(F.regexp_replace(inside, r"<[^>]*>", "")))
-    target = F.when(F.startswith(href, F.lit("?")), F.concat(F.regexp_replace("url", r"[?#].*$", ""), F.regexp_replace(href, r"#.*$", ""))).otherwise(joined_url(F.col("url"), href))
-    return piece.select("page_id", F.col("pos").cast("long").alias("pos"), "url", target.alias("target"), text.alias("text"))
+    return piece.select("page_id", F.col("pos").cast("long").alias("pos"), "url", joined_url(F.col("url"), href).alias("target"), text.alias("text"))
 
 
 def contact_links(pages: DataFrame, others: int = 5) -> DataFrame:
@@ -106,10 +112,6 @@ def sections(pages: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-#: An item up to its end, the next item or the end of its list.
-ITEM = r"(?is)<(?:li|dd)(?:\s[^>]*)?>(.*?)(?:</(?:li|dd|ul|ol|dl)\s*>|(?=<(?:li|dt|dd)[\s>])|\z)"
-
-
 def list_items(pages: DataFrame) -> DataFrame:
     """Items of lists and of definitions."""
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ITEM), F.lit(1))).alias("pos", "item"))
@@ -128,20 +130,19 @@ def best_address(texts: DataFrame, key: str, text: str) -> DataFrame:
     return addresses(texts, key, text).groupBy(key).agg(F.min_by("email", "pos").alias("email"), F.count("*").alias("n_emails"))
 
 
+def copyright_of(footer: str) -> Column:
+    return F.trim(F.regexp_extract(footer, r"(?:&copy;|©) *([^&]+)", 1))
+
+
 def copyright_name(pages: DataFrame) -> DataFrame:
     """The name in the footer's copyright line."""
-    return sections(pages).select("page_id", F.trim(F.regexp_extract("footer", r"^(?:&copy;|©) *([^&]+)", 1)).alias("company_name")).where("company_name <> ''")
+    return sections(pages).select("page_id", copyright_of("footer").alias("company_name")).where("company_name <> ''")
 
 
 #: Words of inquiry forms, as the reference lists them. Fixed values.
 INQUIRY = "contact|inquiry|consult|request|form|message|reach|get in touch|問い合わせ|相談|お問合せ|コンタクト|フォーム|メッセージ|連絡|お申し込み"
 
 
-def attribute(tag: Column, names: str) -> Column:
-    """The value of the tag's first attribute of one of the names, empty if none."""
-    return F.concat(*[F.regexp_extract(tag, rf"""(?i)[\s"'](?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k) for k in (1, 2, 3)])
-
-
 def form_action(html: Column) -> Column:
     """The action of the page's first inquiry form, by its text, id, class, name or buttons; null if there is none."""
     forms = F.regexp_extract_all(html, F.lit(r"(?is)<form\s[^>]*>.*?(?:</form\s*>|(?=<form[\s>])|\z)"), F.lit(0))
@@ -152,13 +153,47 @@ def form_action(html: Column) -> Column:
     return F.replace(attribute(tag(F.get(found, F.lit(0))), "action"), F.lit("&amp;"), F.lit("&"))
 
 
+def crawl_status(html: Column) -> Column:
+    """success where there is content, else error."""
+    return F.when(F.coalesce(F.trim(html), F.lit("")) == "", "error").otherwise("success")
+
+
+def statuses(responses: DataFrame) -> DataFrame:
+    """Status of stored fetches (id, http_status, content): success with content and status 200, else error with its message."""
+    ok = (F.col("http_status") == 200) & (F.coalesce(F.trim("content"), F.lit("")) != "")
+    return responses.select("id", F.when(ok, "success").otherwise("error").alias("crawl_status"), F.when(~ok, F.concat(F.lit("HTTP "), F.col("http_status").cast("string"))).alias("message"))
+
+
 def site_profiles(pages: DataFrame) -> DataFrame:
-    """One row a page: status, host, sections, best address, name, and the form URL with its method."""
-    action = form_action(F.col("html"))
-    form = F.when(action.isNotNull(), F.coalesce(joined_url(F.col("url"), action), F.col("url"))).otherwise(F.col("url"))
-    status = F.when(F.coalesce(F.trim("html"), F.lit("")) == "", "error").otherwise("success")
-    shred = sections(pages, form.alias("form_url"), F.when(action.isNotNull(), "basic_detector").otherwise("homepage_fallback").alias("form_method"), status.alias("crawl_status"))
-    mail = best_address(pages, "page_id", "html")
-    name = copyright_name(pages)
-    rows = shred.join(mail, "page_id", "left").join(name, "page_id", "left")
-    return rows.select("page_id", host(F.col("url")).alias("host"), "title", "h1", "email", "company_name", "form_url", "form_method", "crawl_status")
+    """One row a page row, in one pass: status, host, sections, first address, copyright name, and the form URL with its method."""
+    action, url = form_action(F.col("html")), F.col("url")
+    form = F.coalesce(F.when(action.isNotNull(), joined_url(url, action)), url)
+    text = plain_signs(F.col("html"))
+    mails = F.filter(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), normalised_email), valid_email)
+    shred = sections(pages, form.alias("form_url"), F.when(action.isNotNull(), "basic_detector").otherwise("homepage_fallback").alias("form_method"), crawl_status(F.col("html")).alias("crawl_status"), F.get(mails, F.lit(0)).alias("email"))
+    return shred.select("page_id", host(url).alias("host"), "title", "h1", "email", F.nullif(copyright_of("footer"), F.lit("")).alias("company_name"), "form_url", "form_method", "crawl_status")
+
+
+def allowed(pages: DataFrame, rules: DataFrame, agent: str = "*", ignore: bool = False) -> DataFrame:
+    """Whether each page may be fetched: by its site's first rule for the agent whose path prefix fits; without one, or where rules are ignored, it may."""
+    origin, path = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.coalesce(extract(F.col("url"), r"^https?://[^/?#]+([^#]*)"), F.lit("/"))
+    own = pages.select("page_id", origin.alias("origin"), path.alias("path"))
+    if ignore:
+        return own.select("page_id", F.lit(True).alias("allowed"))
+    mine = rules.where(F.col("agent").isin("*", agent)).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("seq", "allow", "path_prefix"))).alias("rules"))
+    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path_prefix"])), F.lit(0))
+    return own.join(mine.hint("shuffle_hash"), "origin", "left").select("page_id", F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
+
+
+def reached(pages: DataFrame, hops: int = 3, most: int = 15) -> DataFrame:
+    """Stored pages that links of own host reach from each site's first page, with the least number of hops; at most so many a site.
+
+    Each hop is one join of the reached pages with the links, and their least hops one aggregate."""
+    keyed = pages.select("page_id", "url", host(F.col("url")).alias("site"))
+    links = site_links(pages).join(keyed.select(F.col("url").alias("target"), F.col("page_id").alias("next"), "site").hint("shuffle_hash"), "target").select("page_id", "next", "site")
+    found = keyed.groupBy("site").agg(F.min("page_id").alias("page_id")).withColumn("hop", F.lit(0))
+    for k in range(1, hops + 1):
+        step = found.where(F.col("hop") == k - 1).join(links.drop("site").hint("shuffle_hash"), "page_id").select("site", F.col("next").alias("page_id"), F.lit(k).alias("hop"))
+        found = found.unionByName(step).groupBy("site", "page_id").agg(F.min("hop").alias("hop"))
+    order = F.row_number().over(Window.partitionBy("site").orderBy("hop", "page_id"))
+    return found.withColumn("rn", order).where(F.col("rn") <= most).select("site", "page_id", F.col("hop").cast("long").alias("hop"))

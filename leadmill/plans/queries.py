@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.operators import contacts, outreach, pages
+from leadmill.operators import contacts, industry, outreach, pages
 from leadmill.sources.tables import read_table, send_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,11 +35,11 @@ def visible(x: str) -> str:
 
 HREF = r"regexp_replace(trim(href), '#.*$', '')"
 ANCHORS = rf"""SELECT page_id, pos, url, CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h
- WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS target
+ WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(h, '?') THEN string_split(url, '?')[1] || h ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS target
  FROM (SELECT page_id, url, i - 1 AS pos, {HREF.replace("href", "a[i]")} AS h FROM (SELECT page_id, url, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS a FROM pages)))"""
 SECTIONS = rf"""SELECT page_id, url, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '') AS h1,
  nullif({visible("regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")}, '') AS footer, CAST(length({visible("html")}) AS BIGINT) AS text_chars FROM pages"""
-NAME = r"trim(regexp_extract(footer, '^(?:&copy;|©) *([^&]+)', 1))"
+NAME = r"trim(regexp_extract(footer, '(?:&copy;|©) *([^&]+)', 1))"
 
 
 def mails(table: str, key: str, text: str) -> str:
@@ -48,16 +48,16 @@ def mails(table: str, key: str, text: str) -> str:
         clean = f"regexp_replace({clean}, '{a}', '{b}', 'g')"
     mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
     return rf"""SELECT {key}, email, CAST(min(pos) AS BIGINT) AS pos FROM (SELECT {key}, pos, {clean} AS email FROM (SELECT {key}, i - 1 AS pos, a[i] AS raw FROM (SELECT {key}, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT {key}, regexp_extract_all({text}, '{mail}', 0) AS a FROM {table}))))
- WHERE regexp_matches(email, '^{mail}$') AND NOT regexp_matches(email, '@(example|test|sample|dummy|localhost)\.(com|org|net|jp)$') GROUP BY ALL"""
+ WHERE regexp_matches(email, '^{mail}$') AND NOT regexp_matches(email, 'test@test|@test[.]|noreply|no-reply|placeholder|dummy@|@dummy') GROUP BY ALL"""
 
 
 BEST = "SELECT {0}, arg_min(email, pos) AS email, count(*) AS n_emails FROM ({1}) GROUP BY {0}"
 
-add("u1_clean_urls", "pages", pages.cleaned_urls, r"SELECT page_id, 'https://' || trim(regexp_replace(url, '^https?://', '')) AS url FROM pages WHERE trim(regexp_replace(url, '^https?://', '')) <> '' AND lower(trim(regexp_replace(url, '^https?://', ''))) <> 'nan'")
+add("u1_clean_urls", "pages", pages.cleaned_urls, r"SELECT page_id, CASE WHEN starts_with(trim(url), 'http://') OR starts_with(trim(url), 'https://') THEN trim(url) ELSE 'https://' || trim(url) END AS url FROM pages WHERE trim(url) <> '' AND lower(trim(url)) <> 'nan'")
+add("u3_first_urls", "pages", pages.first_urls, r"SELECT page_id, CASE WHEN url LIKE 'http%' THEN trim(url) ELSE 'https://' || trim(url) END AS url FROM pages WHERE trim(url) <> '' AND lower(trim(url)) <> 'nan' ORDER BY page_id, url LIMIT 100", n=100)
 add("u2_exclude_patterns", "pages", pages.excluded, "SELECT page_id, url, CASE WHEN contains(url, 'm.') OR contains(url, '.net') THEN 'skipped' ELSE 'pending' END AS crawl_status FROM pages", patterns=["m.", ".net"])
-add("u4_url_parts", "pages", pages.url_parts, rf"SELECT page_id, {HOST.format('url')} AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path FROM pages")
+add("u4_url_parts", "pages", pages.url_parts, rf"SELECT page_id, string_split(url, '/')[1] || '//' || {HOST.format('url')} AS origin, {HOST.format('url')} AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path, CASE WHEN contains(url, '?') THEN nullif(string_split(string_split(url, '?')[2], '#')[1], '') END AS query FROM pages")
 add("u7_site_links", "pages", pages.site_links, f"SELECT DISTINCT page_id, target FROM ({ANCHORS}) WHERE {HOST.format('url')} = {HOST.format('target')}")
-add("u8_priority_links", "pages", pages.priority_links, f"SELECT page_id, CAST(pos AS INTEGER) AS pos, target, is_priority FROM (SELECT *, row_number() OVER (PARTITION BY page_id, is_priority ORDER BY pos) AS rn FROM (SELECT page_id, pos, target, {' OR '.join(f"ends_with(lower(target), '/{w}')" for w in pages.CONTACT)} AS is_priority FROM ({ANCHORS}) WHERE target IS NOT NULL)) WHERE is_priority OR rn <= 5")
 IN_TAG, IN_HREF = (p.replace("'", "''") for p in (pages.IN_TAG, pages.HREF))
 LINKS = rf"""SELECT page_id, pos, url, text, CASE WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || h WHEN h = '' THEN NULL WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h
  WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS target
@@ -72,11 +72,11 @@ add("e6_e12_page_addresses", "pages", pages.addresses, mails("pages", "page_id",
 add("e7_e15_document_addresses", "documents", pages.addresses, mails("documents", "doc_id", "text"), key="doc_id", text="text")
 add("e14_best_address", "documents", pages.best_address, BEST.format("doc_id", mails("documents", "doc_id", "text")), key="doc_id", text="text")
 add("c11_copyright_name", "pages", pages.copyright_name, f"SELECT * FROM (SELECT page_id, {NAME} AS company_name FROM ({SECTIONS})) WHERE company_name <> ''")
-add("b5_site_profiles", "pages", pages.site_profiles, f"SELECT s.page_id, {HOST.format('url')} AS host, title, h1, email, company_name, url AS form_url, 'homepage_fallback' AS form_method, 'success' AS crawl_status FROM ({SECTIONS}) s LEFT JOIN ({BEST.format('page_id', mails('pages', 'page_id', 'html'))}) m USING (page_id) LEFT JOIN (SELECT * FROM (SELECT page_id, {NAME} AS company_name FROM ({SECTIONS})) WHERE company_name <> '') n USING (page_id)")
+add("b5_site_profiles", "pages", pages.site_profiles, f"SELECT s.page_id, {HOST.format('url')} AS host, title, h1, email, company_name, url AS form_url, CASE WHEN html ILIKE '%<form%' THEN 'basic_detector' ELSE 'homepage_fallback' END AS form_method, CASE WHEN coalesce(trim(html), '') = '' THEN 'error' ELSE 'success' END AS crawl_status FROM ({SECTIONS}) s JOIN (SELECT page_id, html FROM pages) USING (page_id) LEFT JOIN ({BEST.format('page_id', mails('pages', 'page_id', 'html'))}) m USING (page_id) LEFT JOIN (SELECT * FROM (SELECT page_id, {NAME} AS company_name FROM ({SECTIONS})) WHERE company_name <> '') n USING (page_id)")
 DIGITS = "regexp_replace(phone, '[^0-9]', '', 'g')"
-add("t1_phones", "documents", contacts.phones, rf"SELECT doc_id, phone, CASE length({DIGITS}) WHEN 10 THEN substr({DIGITS},1,3) || '-' || substr({DIGITS},4,3) || '-' || substr({DIGITS},7,4) WHEN 11 THEN substr({DIGITS},1,3) || '-' || substr({DIGITS},4,4) || '-' || substr({DIGITS},8,4) ELSE {DIGITS} END AS formatted FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{contacts.PHONE}', 0)) AS phone FROM documents)")
+add("t1_phones", "documents", contacts.phones, rf"SELECT doc_id, phone, CASE length({DIGITS}) WHEN 10 THEN substr({DIGITS},1,2) || '-' || substr({DIGITS},3,4) || '-' || substr({DIGITS},7,4) WHEN 11 THEN substr({DIGITS},1,3) || '-' || substr({DIGITS},4,4) || '-' || substr({DIGITS},8,4) WHEN 12 THEN substr({DIGITS},1,4) || '-' || substr({DIGITS},5,4) || '-' || substr({DIGITS},9,4) ELSE phone END AS formatted FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\+?[0-9]*[ (-]+[0-9]{{3}}[) -]+[0-9]{{3}}-[0-9]{{4}}', 0)) AS phone FROM documents)")
 add("t4_scripts", "documents", contacts.scripts, "SELECT doc_id, CAST(len(regexp_extract_all(text, '[぀-ヿ]')) AS BIGINT) AS n_kana, CAST(len(regexp_extract_all(text, '[一-鿿]')) AS BIGINT) AS n_ideographs, CAST(len(regexp_extract_all(text, '[À-ɏ]')) AS BIGINT) AS n_accented FROM documents")
-add("i6_topics", "documents", contacts.topics, "SELECT doc_id, CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w in ws) + f" THEN '{t}'" for t, ws in contacts.TOPICS.items()) + " ELSE 'other' END AS topic FROM documents")
+add("i6_description_industry", "documents", industry.described, "SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'tech|software|it') THEN 'technology' WHEN regexp_matches(lower(text), 'finance|banking|financial|investment') THEN 'finance' WHEN regexp_matches(lower(text), 'retail|shop|store|e-commerce') THEN 'retail' WHEN regexp_matches(lower(text), 'health|medical|hospital|clinic') THEN 'healthcare' WHEN regexp_matches(lower(text), 'education|school|university|learning') THEN 'education' WHEN regexp_matches(lower(text), 'manufacturing|factory|production') THEN 'manufacturing' END AS industry FROM documents", key="doc_id", text="text")
 add_log("l1_latest_sends", outreach.latest_sends, "SELECT id, site, mode FROM (SELECT * FROM log WHERE send_status = 'success' ORDER BY sent_at DESC, id DESC LIMIT 50 OFFSET 10)", status="success", n=50, skip=10)
 add_log("l3_statistics", outreach.status_statistics, "SELECT send_status, mode, count(*) AS n, round(100.0 * count(*) FILTER (send_status = 'success') / count(*), 2)::DOUBLE AS success_rate FROM log GROUP BY GROUPING SETS ((), (send_status), (mode)) HAVING grouping(mode) = 1 OR mode IS NOT NULL")
 add_log("l4_sent_today", outreach.sent_today, "SELECT send_status, count(*) AS n FROM log WHERE CAST(sent_at AS DATE) = DATE '2024-01-30' GROUP BY 1")
@@ -84,26 +84,16 @@ LATEST = "SELECT site, send_status AS status, id FROM (SELECT *, row_number() OV
 add_log("q2_latest_state", outreach.latest_state, LATEST)
 add_log("q3_state_shares", outreach.state_shares, f"SELECT status, n, round(100.0 * n / sum(n) OVER (), 2)::DOUBLE AS share FROM (SELECT status, count(*) AS n FROM ({LATEST}) GROUP BY 1)")
 add_log("u11_gap_violations", outreach.gaps, "SELECT * FROM (SELECT id, site, epoch_us(sent_at) - epoch_us(lag(sent_at) OVER (PARTITION BY site ORDER BY sent_at, id)) AS gap_us FROM log) WHERE gap_us < 3600000000", seconds=3600)
-add_log("k6_sent_history", outreach.sent_history, "SELECT site, max(epoch_us(sent_at)) AS sent_us, count(*) AS n FROM log WHERE send_status = 'success' GROUP BY 1")
 add_log("x3_hourly_counts", outreach.hourly_counts, "SELECT epoch_us(date_trunc('hour', sent_at)) AS hour_us, send_status, count(*) AS n FROM log GROUP BY 1, 2")
-TARGETS = "SELECT c_custkey, coalesce(nullif(trim(c_name), ''), '御社') AS name, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT site FROM log WHERE sent_at > TIMESTAMP '2024-01-27 12:00:00' AND send_status = 'success')"
-
-
-def k1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outreach.targets(read_table(spark, sf_dir, "customer"), send_log(read_table(spark, sf_dir, "events")))
-
-
-def k2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outreach.scheduled(outreach.capped(k1(spark, sf_dir), 100, "c_custkey", "c_mktsegment"), 10)
-
+def every() -> dict[str, tuple[Query, str | None]]:
+    from leadmill.plans import company_queries
 
-FOUND["k1_targets"] = (k1, f"WITH log AS ({LOG}) {TARGETS}")
-FOUND["k2_k3_capped_schedule"] = (k2, f"WITH log AS ({LOG}) SELECT *, (place - 1) // 10 AS minute FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS place FROM ({TARGETS})) WHERE place <= 100")
+    return FOUND | company_queries.FOUND
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in FOUND.items()}
+    return {k: q for k, (q, _) in every().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in FOUND.items()}
+    return {k: s for k, (_, s) in every().items() if s}

@@ -1 +1 @@
-
+"""Streaming forms of the log and page operators."""

@@ -21,9 +21,9 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(queries.FOUND))
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(spark, duck, name):
-    query, sql = queries.FOUND[name]
+    query, sql = queries.every()[name]
     got = query(spark, SF)
     want = duck.execute(sql)
     columns = [d[0] for d in want.description]
