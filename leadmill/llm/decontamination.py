@@ -1,17 +1,19 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are normalised to lower-case letters and digits with one blank between words. Every benchmark item is covered by
-segments of ``segment`` characters, one from each word's start and in longer words one each ``stride``; an item that is shorter is
-one segment. So an unedited excerpt is surely caught from ``segment`` normalised characters on where it begins with a word (or
-holds the item's end), from ``segment + stride - 1`` on (64 and 71 here) anywhere. Where a text holds a segment
-of m characters with at most k edits, they share at least (m - q + 1) - k * q q-grams, all on diagonals (text position minus
-segment position) within k of each other. So shared q-grams are counted in overlapping bands of diagonals; bands that reach
-the bound are verified by an alignment limited to the band's window.
-
-The index of a block of items (at most about ``block_chars`` characters, a fixed bound) goes to every task; a larger
+Texts are normalised to lower-case letters and digits with one blank between words. A text holds an item where some segment of
+``segment`` characters of the item (the whole item, if it is shorter) matches with at most k edits. Then the two share at least
+(m - q + 1) - k * q of the segment's q-grams, all on diagonals (text position minus item position) within k of each other. So
+shared q-grams are sorted into overlapping bands of diagonals, and in each band a window slides over their item positions:
+where as many as the bound asks for begin within one segment, the segments that begin at the first and end at the last of them
+are verified. One passes when it equals the text; where no segment of an item does, by an alignment limited to the band.
+
+An unedited excerpt is surely caught from ``segment`` normalised characters on, wherever it begins. Items under q normalised
+characters can't be told from chance inside a text; they match only texts that hold nothing else.
+
+The index of a block of items (about ``block_chars`` characters, or one longer item; a fixed bound) goes to every task; a larger
 benchmark takes more passes over the texts, one a block. Nothing is shuffled. Texts are read whole, in blocks that overlap.
-Null and empty texts match nothing; items with fewer than q normalised characters are skipped, since they can't be told from
-chance. Items without item_id count too; their item_id stays null. Other columns are ignored.
+Null and empty texts match nothing, null and empty items are matched by nothing. Items without item_id count too; their item_id stays null. Repeated rows
+of either table give repeated results (items with one id are one item). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,57 +42,74 @@ def characters() -> np.ndarray:
     return table
 
 
-def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (0: a blank) and the position of each in the text."""
-    codes = characters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-    keep = (codes != 0) | np.concatenate(([False], codes[:-1] != 0)) if len(codes) else np.zeros(0, dtype=bool)
+def normalised(text: str, inside: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (0: a blank) and the position of each in the text; inside: what precedes the text ends in a word."""
+    if text.isascii():
+        codes = characters()[:128][np.frombuffer(text.encode("ascii"), dtype=np.uint8)]
+    else:
+        codes = characters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    keep = codes != 0
+    keep[1:] |= keep[:-1]
+    if inside and len(keep):
+        keep[0] = True
     at = np.flatnonzero(keep)
     return codes[at], at
 
 
 def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
-    """A 64-bit hash of each q-gram."""
+    """A 64-bit hash of each q-gram: hashes of powers of two, doubled up and joined."""
     n = len(codes) - q + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    value = codes.astype(np.uint64) + np.uint64(1)
-    out = value[:n].copy()
     with np.errstate(over="ignore"):
-        for k in range(1, q):
-            out *= BASE
-            out += value[k : k + n]
+        width, power = 1, BASE
+        part = codes.astype(np.uint64) + np.uint64(1)
+        out, done, rest = None, 0, q
+        while rest:
+            if rest & 1:
+                own = part[done : done + n]
+                out = own.copy() if out is None else out * power + own
+                done += width
+            rest >>= 1
+            if rest:
+                part = part[:-width] * power + part[width:]
+                width, power = 2 * width, power * power
         out *= np.uint64(0xFF51AFD7ED558CCD)
     return out ^ (out >> np.uint64(33))
 
 
-def within(pattern: np.ndarray, text: np.ndarray, k: int) -> tuple[int, int] | None:
-    """Least number of edits, if at most k, between the pattern and a stretch of text, and the end of the first such one."""
-    row = np.zeros(len(text) + 1, dtype=np.int32)
-    step = np.arange(len(text) + 1, dtype=np.int32)
+def within(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int] | None:
+    """Least number of edits, if at most k, between the pattern and a stretch of text, and the end of the first such one.
+
+    Banded: text position minus pattern position stays between low and high. The stretch may begin and end anywhere.
+    """
+    width, far = high - low + 1, k + 1
+    padded = np.full(len(pattern) + width + abs(low) + len(text), np.iinfo(np.uint32).max, dtype=np.uint32)  # equals no code
+    shift = max(0, -low)
+    padded[shift : shift + len(text)] = text
+    step = np.arange(width, dtype=np.int32)
+    begins = np.arange(low, high + 1)
+    row = np.where((begins >= 0) & (begins <= len(text)), 0, far).astype(np.int32)  # row i, cell d: text position i + low + d
     for i, c in enumerate(pattern, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - step) + step
+        at = i + low
+        new = row + (padded[shift + at - 1 : shift + at - 1 + width] != c)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        outside = (at + step < 0) | (at + step > len(text))
+        new[outside] = far
+        row = np.minimum(np.minimum.accumulate(new - step) + step, far)
+        row[outside] = far
         if row.min() > k:
             return None
-    return int(row.min()), int(row.argmin())
-
-
-def starts(codes: np.ndarray, segment: int, stride: int) -> list[int]:
-    """Where segments begin: at each word, each stride characters within a word, and the last place that leaves a whole segment."""
-    last = max(0, len(codes) - segment)
-    words = [0, *(w for w in (np.flatnonzero(codes == 0) + 1).tolist() if w < last), last]
-    even = range(0, last, 32)  # edited excerpts may match there only
-    return sorted({*even} | {s for a, z in zip(words, [*words[1:], last + 1], strict=True) for s in range(a, z, stride)})
+    return int(row.min()), int(row.argmin()) + len(pattern) + low
 
 
 class Index:
-    """The segments of a block of items with their q-grams."""
+    """The q-grams of a block of items, one entry a position."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, segment: int, stride: int, edit_rate: float):
-        self.q, self.segments = q, []
-        keys, seg, pos = [], [], []
+    def __init__(self, items: list[tuple[int | None, str]], q: int, segment: int, edit_rate: float):
+        self.q, self.codes, self.ids = q, [], []
+        #: Short items by their codes.
+        self.short: dict[bytes, list[int]] = {}
         least = min([0, *(i for i, _ in items if i is not None)])
         #: Numbers that stand for items without an id.
         self.nameless: set[int] = set()
@@ -99,96 +118,133 @@ class Index:
                 item = least - 1 - n
                 self.nameless.add(item)
             codes = np.trim_zeros(normalised(text or "")[0])
-            if len(codes) < q:
-                continue
-            every = qgrams(codes, q)
-            for s in starts(codes, segment, stride):
-                part = codes[s : s + segment]
-                k = min(int(edit_rate * len(part)), (len(part) - q) // q)
-                grams = every[s : s + len(part) - q + 1]
-                keys.append(grams)
-                seg.append(np.full(len(grams), len(self.segments), dtype=np.int32))
-                pos.append(np.arange(len(grams), dtype=np.int32))
-                self.segments.append((item, part, k, len(grams) - k * q))
-        if not self.segments:
-            self.keys = np.zeros(0, dtype=np.uint64)
-            return
-        self.keys, self.seg, self.pos = np.concatenate(keys), np.concatenate(seg), np.concatenate(pos)
-        order = np.argsort(self.keys, kind="stable")
-        self.keys, self.seg, self.pos = self.keys[order], self.seg[order], self.pos[order]
+            if 0 < len(codes) < q:
+                self.short.setdefault(codes.tobytes(), []).append(item)
+            elif len(codes):
+                self.codes.append(codes)
+                self.ids.append(item)
+        grams = [qgrams(c, q) for c in self.codes]
+        keys = np.concatenate([np.zeros(0, dtype=np.uint64), *grams])
+        number = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([np.zeros(0, dtype=np.int32), *(np.arange(len(g), dtype=np.int32) for g in grams)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.number, self.place = keys[order], number[order], place[order]
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[self.keys >> np.uint64(42)] = True
-        self.k = np.array([s[2] for s in self.segments])
-        self.bound = np.array([s[3] for s in self.segments])
-        self.reach = max(len(s[1]) + 2 * s[2] for s in self.segments)
+        self.m = np.array([min(segment, len(c)) for c in self.codes], dtype=np.int64)
+        self.k = np.minimum((edit_rate * self.m).astype(np.int64), (self.m - q) // q)
+        self.bound = self.m - q + 1 - self.k * q
+        self.longest = max((len(c) for c in self.codes), default=0)
+        self.reach = int((self.m + 2 * self.k).max(initial=0)) + q
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in the codes, segments and positions there of shared q-grams."""
+        """Positions in the codes, items and positions there of shared q-grams, of items with enough of them."""
         grams = qgrams(codes, self.q)
         at = np.flatnonzero(self.seen[grams >> np.uint64(42)])
-        low, high = np.searchsorted(self.keys, grams[at], "left"), np.searchsorted(self.keys, grams[at], "right")
-        n = high - low
-        which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if n.sum() else np.zeros(0, dtype=np.int64)
-        return np.repeat(at, n), self.seg[which].astype(np.int64), self.pos[which].astype(np.int64)
-
-    def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(segment, start, end, edits) of the verified regions of one block of codes."""
-        at, seg, pos = self.hits(codes)
-        if len(at) < self.bound.min():
-            return []
-        diagonal, out, done = at - pos, [], set()
-        width = 2 * (2 * self.k[seg] + 1)
+        low = np.searchsorted(self.keys, grams[at], "left")
+        known = low < len(self.keys)
+        known[known] = self.keys[low[known]] == grams[at[known]]
+        at, low = at[known], low[known]
+        n = np.searchsorted(self.keys, grams[at], "right") - low
+        which = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(at) else low
+        at, number, place = np.repeat(at, n), self.number[which], self.place[which].astype(np.int64)
+        _, which, shared = np.unique(number, return_inverse=True, return_counts=True)
+        enough = shared[which] >= self.bound[number]
+        return at[enough], number[enough].astype(np.int64), place[enough]
+
+    def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, text positions, item positions): by item, where segments that reach the bound begin."""
+        at, number, place = self.hits(codes)
+        if not len(at):
+            return
+        found = []
+        width = 2 * (2 * self.k[number] + 1)
         for shift in (0, 1):  # bands overlap by half: any 2k + 1 diagonals lie within one
-            band = (diagonal + shift * (width // 2) + self.reach) // width
-            groups, inverse = np.unique((seg << 40) | band, return_inverse=True)
-            shared = np.bincount(inverse, minlength=len(groups))  # at most; q-grams that repeat count once below
-            for g in np.flatnonzero(shared >= self.bound[groups >> 40]):
-                s = int(groups[g] >> 40)
-                _, part, k, bound = self.segments[s]
-                if len(np.unique(at[inverse == g])) < bound:
-                    continue
-                own = diagonal[inverse == g]
-                first = max(0, int(own.min()) - k)
-                if (s, first) in done:
+            band = (at - place + shift * (width // 2) + width * (1 + self.longest // width)) // width
+            order = np.lexsort((at, place, band, number))
+            n, b, p, t = number[order], band[order], place[order], at[order]
+            once = np.ones(len(order), dtype=bool)
+            once[1:] = (n[1:] != n[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])
+            n, b, p, t = n[once], b[once], p[once], t[once]
+            last = np.arange(len(n)) + self.bound[n] - 1
+            fits = last < len(n)
+            i, j = np.flatnonzero(fits), last[fits]
+            near = (n[i] == n[j]) & (b[i] == b[j]) & (p[j] - p[i] <= self.m[n[i]] - self.q)
+            i, j = i[near], j[near]
+            begin = np.maximum(0, p[j] + self.q - self.m[n[j]])  # of the segment that ends with the last of them
+            found += [np.stack([n[i], t[i], p[i]], axis=1), np.stack([n[j], t[j] - (p[j] - begin), begin], axis=1)]
+        every = np.unique(np.concatenate(found), axis=0)
+        for item in np.unique(every[:, 0]):
+            own = every[every[:, 0] == item]
+            yield int(item), own[:, 1], own[:, 2]
+
+    def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(item, start, end, edits, segments) of one block of codes; the segments are those verified."""
+        for item, at, place in self.candidates(codes):
+            own, m, k = self.codes[item], int(self.m[item]), int(self.k[item])
+            first = np.minimum(place, len(own) - m)  # where the segment begins: it may not pass the item's end
+            start = at - (place - first)
+            whole = (start >= 0) & (start + m <= len(codes))
+            equal = np.zeros(len(start), dtype=bool)
+            step = np.arange(m)
+            for part in np.array_split(np.flatnonzero(whole), max(1, whole.sum() * m // (1 << 20))):
+                equal[part] = (codes[start[part][:, None] + step] == own[first[part][:, None] + step]).all(axis=1)
+            if equal.any():
+                s = start[equal]
+                yield item, int(s.min()), int(s.max()) + m, 0, len(np.unique(first[equal]))
+                continue
+            tried: set[tuple[int, int]] = set()
+            spans = []
+            for t, s in zip(start.tolist(), first.tolist(), strict=True):
+                if (key := (s // 4, (t - s) // (2 * k + 1))) in tried:  # at most 3 characters from a segment that was tried
                     continue
-                done.add((s, first))
-                window = codes[first : int(own.max()) + len(part) + k]
-                if found := within(part, window, k):
-                    end = first + found[1]
-                    out.append((s, max(0, end - len(part)), end, found[0]))
-        return out
+                tried.add(key)
+                base = max(0, t - k)
+                window = codes[base : t + m + 2 * k + 1]
+                if hit := within(own[s : s + m], window, t - base - k, t - base + k, k):
+                    end = base + hit[1]
+                    spans.append((max(0, end - m), end, hit[0]))
+            if spans:
+                yield item, min(x[0] for x in spans), max(x[1] for x in spans), min(x[2] for x in spans), len(spans)
 
     def scan(self, text: str | None) -> dict[int, tuple[int, int, int, int]]:
         """By item: start and end (code points of the text) of what its matched segments span, the least edits, segments."""
-        found: dict[int, tuple[int, int, int, int, set]] = {}
-        if not text or not self.segments:
+        found: dict[int, tuple[int, int, int, int]] = {}
+        if not text:
             return {}
-        codes, at = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        codes, at, inside, total = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), False, 0
         for b in range(0, len(text), BLOCK):
-            new, where = normalised(text[b : b + BLOCK])
-            codes, at = np.concatenate((codes[-self.reach :], new)), np.concatenate((at[-self.reach :], where + b))
-            for s, start, end, edits in self.matches(codes):
-                item = self.segments[s][0]
-                a, z, e, _, segs = found.get(item, (len(text), 0, 1 << 30, 0, set()))
-                found[item] = (min(a, int(at[start])), max(z, int(at[end - 1]) + 1), min(e, edits), 0, segs | {s})
-        return {i: (a, z, e, len(segs)) for i, (a, z, e, _, segs) in found.items()}
-
-
-def indexes(benchmark: DataFrame, q: int, segment: int, stride: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
+            new, where = normalised(text[b : b + BLOCK], inside)
+            inside, total = bool(len(new)) and bool(new[-1]), total + len(new)
+            behind = max(0, len(codes) - self.reach)
+            codes, at = np.concatenate((codes[behind:], new)), np.concatenate((at[behind:], where + b))
+            for number, start, end, edits, segments in self.matches(codes):
+                item = self.ids[number]
+                a, z, e, n = found.get(item, (len(text), 0, 1 << 30, 0))
+                found[item] = (min(a, int(at[start])), max(z, int(at[end - 1]) + 1), min(e, edits), n + segments)
+        if self.short and 0 < total <= self.q:
+            whole = np.trim_zeros(codes)
+            for item in self.short.get(whole.tobytes(), []):
+                a, z = np.flatnonzero(codes)[[0, -1]]
+                found[item] = (int(at[a]), int(at[z]) + 1, 0, 1)
+        return found
+
+
+def indexes(benchmark: DataFrame, q: int, segment: int, edit_rate: float, block_chars: int) -> Iterator[Index]:
     """Indexes of bounded size that together hold benchmark(item_id, text)."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64(F.coalesce("item_id", F.xxhash64("text"))), F.lit(n)) == b).orderBy("item_id").collect()
-        yield Index([(r["item_id"], r["text"]) for r in part], q, segment, stride, edit_rate)
+        yield Index([(r["item_id"], r["text"]) for r in part], q, segment, edit_rate)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 8, edit_rate: float = 0.05, block_chars: int = 800_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, edit_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, start, end, edits, segments: a row for each text of docs(doc_id, text) and item that it holds."""
     spark, out = docs.sparkSession, None
     schema = "doc_id long, item_id long, start long, end long, edits int, segments int"
-    for index in indexes(benchmark, q, segment, stride, edit_rate, block_chars):
+    for index in indexes(benchmark, q, segment, edit_rate, block_chars):
         sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
@@ -201,7 +257,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: in
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, stride: int = 8, edit_rate: float = 0.05, block_chars: int = 800_000) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, segment: int = 64, edit_rate: float = 0.05, block_chars: int = 4_000_000) -> DataFrame:
     """The rows of docs, all their columns, whose text holds no item."""
     def filtered(rows: DataFrame, index: Index) -> DataFrame:
         sent = rows.sparkSession.sparkContext.broadcast(index)
@@ -212,6 +268,6 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 12, seg
 
         return rows.where(~holds("text"))
 
-    for index in indexes(benchmark, q, segment, stride, edit_rate, block_chars):
+    for index in indexes(benchmark, q, segment, edit_rate, block_chars):
         docs = filtered(docs, index)
     return docs

@@ -62,7 +62,7 @@ def test_decontamination(spark, odd_docs, no_docs):
         edited[at] = "z"
     docs = [(0, prose(50) + " " + items[0][1] + " " + prose(50)), (1, prose(200)), (2, "".join(edited)), (3, items[5][1].upper().replace(" ", " ### ")), (4, prose(40) + items[7][1][40:150]), (5, None), (6, "")]
     table = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd_docs.select(F.col("doc_id") + 100, "text").toDF("doc_id", "text"))
-    benchmark = spark.createDataFrame([*items, (98, None), (99, "short"), (None, "null id")], "item_id long, text string")
+    benchmark = spark.createDataFrame([*items, (98, None), (99, "Short!"), (97, ""), (None, "null id")], "item_id long, text string")
     for block in (4_000_000, 1500):  # one block, several blocks
         rows = decontamination.contaminated(table, benchmark, block_chars=block).collect()
         assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 0), (2, 3), (3, 5), (4, 7)]
@@ -90,7 +90,7 @@ def test_decontamination_of_short_excerpts(spark):
 
 def test_within():
     p, t = np.array([1, 2, 3, 4, 5]), np.array([9, 9, 1, 2, 7, 4, 5, 9])
-    assert decontamination.within(p, t, 1) == (1, 7) and decontamination.within(p, t, 0) is None
+    assert decontamination.within(p, t, 0, 3, 1) == (1, 7) and decontamination.within(p, t, 0, 3, 0) is None and decontamination.within(p, t, 5, 7, 1) is None
 
 
 def brute_components(rows, size, percent):
