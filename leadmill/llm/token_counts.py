@@ -1,20 +1,21 @@
 """Token counts by overlap resynchronisation.
 
-Texts up to ``chunk_chars`` are one chunk. A longer text is encoded as chunks that overlap by ``overlap_chars``, each with
-the character offsets of its tokens. Two neighbours are spliced at a boundary that both encodings have and that is proven
-stable: a token that starts right after white space. (The vocabularies handled here drop white space and never merge across
+A text is encoded as chunks of ``chunk_chars`` that overlap by ``overlap_chars``; a text of one chunk or less is one chunk. Each
+chunk gives units (offset, tokens). Two neighbours are spliced at a boundary that both encodings have and that is proven
+stable: a unit that starts right after white space. (The vocabularies handled here drop white space and never merge across
 it, so the tokens of a run of other characters depend on this run alone.) Where the overlap holds no such boundary it is
 widened, in the end to all that remains, so the count is always the library's count of the whole text.
 
-Inside a chunk of plain characters (Latin script and common punctuation) the words that the tokenizer's splitting pattern
-finds are counted through a bounded memo, which the tokenizer fills; any other chunk is encoded directly. Both give the
-library's count.
+The units of a chunk of plain characters (Latin script and common punctuation) are the words that the tokenizer's splitting
+pattern finds, counted through a bounded memo, which the tokenizer fills; those of any other chunk are the tokens themselves.
+Both give the library's count.
 
 Null text: no bytes and no tokens; empty text: likewise. Repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Callable, Iterator
@@ -35,7 +36,8 @@ _SPACE, _LETTER, _NUMBER = r"\t-\r \x85\xa0", r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u0
 WORD = re.compile(f"'(?:[stmd]|re|ve|ll)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 SPACE_THEN_WORD = re.compile(r"\s(?=\S)")
 
-Offsets = list[tuple[int, int]]
+#: Offsets of units and the tokens in each.
+Units = tuple[list[int], list[int]]
 
 
 def stable_boundaries(text: str, start: int, end: int) -> set[int]:
@@ -43,28 +45,31 @@ def stable_boundaries(text: str, start: int, end: int) -> set[int]:
     return {m.end() for m in SPACE_THEN_WORD.finditer(text, start, end) if not ODD_SPACE.match(m.group())}
 
 
-def resync_offsets(text: str, encode: Callable[[str], Offsets], chunk: int, overlap: int) -> Iterator[Offsets]:
-    """The token offsets of a text, in parts: chunks encoded alone, spliced at stable boundaries common to neighbours."""
+def resynchronised(text: str, encode: Callable[[str], Units], chunk: int, overlap: int) -> Iterator[Units]:
+    """The units of a text, in parts: chunks encoded alone, spliced at stable boundaries common to neighbours."""
     if not 0 < overlap < chunk:
         raise ValueError("0 < overlap < chunk is needed")
-    n, begin, low = len(text), 0, 0
+    n, low = len(text), 0
     end = min(n, chunk)
-    left = encode(text[:end])
+    at, tokens = encode(text[:end])
     while end < n:
         wide = overlap
         while True:
             start = max(low, end - wide)
             stop = min(n, max(start + chunk, end + wide))
-            right = [(a + start, b + start) for a, b in encode(text[start:stop])]
-            common = stable_boundaries(text, start, end) & {a for a, _ in left} & {a for a, _ in right}
-            common = {x for x in common if x > low}
+            own, counts = encode(text[start:stop])
+            right = [a + start for a in own]
+            common = stable_boundaries(text, max(start, low + 1), end)
+            common.intersection_update(at[bisect.bisect_left(at, start) :])
+            common.intersection_update(right[: bisect.bisect_right(right, end)])
             if common or (start == low and stop == n):
                 break
             wide *= 2  # no common stable boundary: look further back and further ahead
         splice = max(common) if common else low
-        yield [(a, b) for a, b in left if begin <= a < splice]
-        left, begin, low, end = [x for x in right if x[0] >= splice], splice, splice, stop
-    yield [(a, b) for a, b in left if a >= begin]
+        cut, first = bisect.bisect_left(at, splice), bisect.bisect_left(right, splice)
+        yield at[:cut], tokens[:cut]
+        at, tokens, low, end = right[first:], counts[first:], splice, stop
+    yield at, tokens
 
 
 class TokenCounter:
@@ -81,7 +86,7 @@ class TokenCounter:
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
 
-    def offsets(self, text: str) -> Offsets:
+    def offsets(self, text: str) -> list[tuple[int, int]]:
         return self.tokenizer.encode(text, add_special_tokens=False).offsets
 
     def learn(self, words: list[str]) -> None:
@@ -92,24 +97,31 @@ class TokenCounter:
             counts = [len(self.offsets(w)) for w in words]
         self.known.update(zip(words, counts, strict=True))
 
-    def one_chunk(self, text: str) -> int:
-        if not plain(text):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        words = WORD.findall(text.lower())
+    def counted(self, words: list[str]) -> list[int]:
+        """Tokens of each word."""
         try:
-            return sum(map(self.known.__getitem__, words))
+            return list(map(self.known.__getitem__, words))
         except KeyError:
             if len(self.known) > self.memo:
                 self.known.clear()
             self.learn(list(set(words).difference(self.known)))
-            return sum(map(self.known.__getitem__, words))
+            return list(map(self.known.__getitem__, words))
+
+    def units(self, chunk: str) -> Units:
+        if not plain(chunk):
+            at = [a for a, _ in self.offsets(chunk)]
+            return at, [1] * len(at)
+        low = chunk.lower()
+        return [m.start() for m in WORD.finditer(low)], self.counted(WORD.findall(low))
 
     def count(self, text: str | None, chunk: int, overlap: int) -> int:
         if not text:
             return 0
-        if len(text) <= chunk:
-            return self.one_chunk(text)
-        return sum(len(part) for part in resync_offsets(text, self.offsets, chunk, overlap))
+        if len(text) > chunk:
+            return sum(sum(tokens) for _, tokens in resynchronised(text, self.units, chunk, overlap))
+        if plain(text):  # one chunk: no offsets are needed
+            return sum(self.counted(WORD.findall(text.lower())))
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 @functools.cache
@@ -118,7 +130,7 @@ def counter_for(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = 65_536, overlap_chars: int = 512) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, chunk_chars: int = 4096, overlap_chars: int = 128) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), for every row of docs(doc_id, text).
 
     tokenizer_path: a file of the tokenizers library whose tokens never hold white space. The work of a row follows its

@@ -42,10 +42,22 @@ def test_resync_is_exact(chunk, overlap):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
-    encode = lambda s: t.encode(s, add_special_tokens=False).offsets
-    for text in ["word " * 100, "x" * 700, "ab cd" * 150 + "y" * 500 + " end of it", "é " * 200, "a<|endoftext|>b c " * 50]:
-        joined = [o for part in token_counts.resync_offsets(text, encode, chunk, overlap) for o in part]
-        assert joined == encode(text)
+    encode = lambda s: ([a for a, _ in t.encode(s, add_special_tokens=False).offsets],) * 2
+    counter = token_counts.TokenCounter(queries.tokenizer("word_bpe_49k.json"))
+    for text in ["word " * 100, "x" * 700, "ab cd" * 150 + "y" * 500 + " end of it", "é " * 200, "a<|endoftext|>b c " * 50, "It's 1234 don't!? (x) " * 40, " \n\t" * 90, "漢字 かな " * 60]:
+        joined = [o for part, _ in token_counts.resynchronised(text, encode, chunk, overlap) for o in part]
+        assert joined == encode(text)[0]
+        parts = list(token_counts.resynchronised(text, counter.units, chunk, overlap))
+        assert sum(sum(n) for _, n in parts) == len(joined)
+
+
+def test_long_texts_of_the_corpus_are_resynchronised(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) > 4096").collect()]
+    counter = token_counts.TokenCounter(queries.tokenizer("word_bpe_49k.json"))
+    assert len(texts) > 20
+    for text in texts:
+        parts = list(token_counts.resynchronised(text, counter.units, 4096, 128))
+        assert len(parts) > 1 and sum(sum(n) for _, n in parts) == len(counter.offsets(text)) == counter.count(text, 4096, 128)
 
 
 @pytest.mark.parametrize("ranks", [True, None])
