@@ -6,10 +6,12 @@ log-likelihood ratio a character reaches ``threshold``. Spans of fixed patterns
 runs) are found beside them, and they too serve as labelled samples of random strings.
 
 Samples. Random: base64 and upper-case strings drawn from SHA-256 (``DRAWN`` rows), and the values that the patterns find.
-Ordinary: words of the corpus outside such spans, alone and joined in the ways of identifiers. Both come from at most about
-``sample_docs`` documents, chosen by a hash of doc_id.
+Ordinary: words of the corpus outside such spans, alone and, ``joined_words`` distinct ones of each text, joined in the ways of
+identifiers. Both come from at most about ``sample_docs`` documents, chosen by a hash of doc_id: with joined_words the bounds of
+what is learned from. Scanning reads every text whole.
 
-Offsets count code points, ends are exclusive. Null text: no spans. Other columns are ignored.
+Offsets count code points, ends are exclusive. Null and empty text: no spans. Repeated rows give repeated results. Other columns
+pass through; columns of a caller that are named spans or base_spans are replaced.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ PATTERN = {
     "hex": r"[0-9a-f]{24,}",
 }
 LEAST_VALUE = 6
-MIN_CHARS = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+MIN_CHARS = 16
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+KEY_LIKE = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z]"
 #: Symbols of the models by position from 1; any other character is 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
 STATES = len(ALPHABET) + 1
@@ -68,8 +71,8 @@ def transitions(string: Column) -> Column:
     return F.transform(F.array(symbols(string)), lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: a * STATES + b))[0]
 
 
-def train(docs: DataFrame, sample_docs: int = 3000, smoothing: float = 0.5) -> list[float]:
-    """Log-likelihood ratios (random to ordinary) of all transitions, from counts summed in Spark."""
+def train(docs: DataFrame, sample_docs: int = 3000, joined_words: int = 60, smoothing: float = 0.5) -> list[float]:
+    """Log-likelihood ratios (random to ordinary) of all transitions, from pairs of characters counted in Spark."""
     spark = docs.sparkSession
     n = max(1, docs.count())
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1, sample_docs / n))).where("text is not null").select("text")
@@ -77,13 +80,17 @@ def train(docs: DataFrame, sample_docs: int = 3000, smoothing: float = 0.5) -> l
     drawn = spark.range(DRAWN).select(F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.translate(F.base64(F.unhex(digest)), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), digest)).alias("s"))
     values = part.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(PATTERN["assign"]), F.lit(2)), F.regexp_extract_all("text", F.lit(PATTERN["access"]), F.lit(0)))).alias("s")).where(F.char_length("s") >= MIN_CHARS)
     rest = F.regexp_replace(F.regexp_replace("text", PATTERN["assign"], " "), PATTERN["hex"], " ")
-    words = part.select(F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z]{3,}"), F.lit(0))).alias("w"))
-    joined = words.select(F.explode(F.concat("w", F.zip_with(F.slice("w", F.lit(1), F.lit(60)), F.slice("w", F.lit(2), F.lit(60)), lambda a, b: F.concat(F.coalesce(a, F.lit("x")), F.lit("_"), F.coalesce(b, F.lit("1")))), F.transform(F.slice("w", F.lit(1), F.lit(60)), lambda a: F.concat(F.lower(a), F.initcap(a), F.lit("2"))))).alias("s"))
+    words = part.select(F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z]{3,}"), F.lit(0))).alias("w")).select("w", F.slice("w", 1, joined_words).alias("first"))
+    pairs = F.zip_with("first", F.slice("first", F.lit(2), F.size("first")), lambda a, b: F.concat(a, F.lit("_"), F.coalesce(b, F.lit("1"))))
+    joined = words.select(F.explode(F.concat("w", pairs, F.transform("first", lambda a: F.concat(F.lower(a), F.initcap(a), F.lit("2"))))).alias("s"))
     labelled = drawn.withColumn("random", F.lit(1)).unionByName(values.withColumn("random", F.lit(1))).unionByName(joined.withColumn("random", F.lit(0)))
-    counts = labelled.select("random", F.explode(transitions(F.col("s"))).alias("t")).groupBy("random", "t").count().collect()
+    # one string a row, behind a sign for its start; signs outside the alphabet count as one
+    signs = labelled.select("random", F.concat(F.lit("~"), F.regexp_replace("s", f"[^{ALPHABET}]", "~")).alias("s"))
+    seen = signs.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
     table = [[smoothing] * STATES**2 for _ in range(2)]
-    for r in counts:  # two rows a transition at most
-        table[r["random"]][r["t"]] += r["count"]
+    place = {c: i for i, c in enumerate("~" + ALPHABET)}
+    for r in seen.groupBy("random", "pair").count().collect():  # two rows a transition at most
+        table[r["random"]][place[r["pair"][0]] * STATES + place[r["pair"][1]]] += r["count"]
     out = []
     for a in range(STATES):
         sums = [sum(t[a * STATES : (a + 1) * STATES]) for t in table]
@@ -106,7 +113,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = 1.0) -> DataFra
     base = docs.withColumn("base_spans", base_spans(text))
     added = F.filter(
         spans_of(text, CANDIDATE, len(KINDS)),
-        lambda s: F.transform(F.array(F.substring(text, s["start"] + 1, s["end"] - s["start"])), lambda c: c.rlike("[0-9]") & c.rlike("[A-Za-z]") & (ratio(c, model) >= threshold))[0]
+        lambda s: F.transform(F.array(F.substring(text, s["start"] + 1, s["end"] - s["start"])), lambda c: c.rlike(KEY_LIKE) & (ratio(c, model) >= threshold))[0]
         & ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     return base.withColumn("spans", F.sort_array(F.concat("base_spans", added)))
