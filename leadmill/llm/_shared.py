@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one is set where it is unset, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, a temporary one in local mode, as in tests; an
+    error on a cluster, whose executors would each write to a disk of their own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="leadmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

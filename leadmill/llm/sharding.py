@@ -127,13 +127,14 @@ def shard_of(key: Column, cuts: list[int]) -> Column:
 def shard_documents(docs: DataFrame, n_shards: int = 24, overhead: int = 8, rows_a_bucket: int = 20_000) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard) for docs(doc_id, text)."""
     text = F.col("text").cast("binary")
-    rows = docs.select(
+    rows = numbered(docs.select("doc_id", "text")).select(
+        "row_id",
         F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.lit("no text"), "doc_id")).alias("key"),
+        F.when(F.col("text").isNotNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.lit("no text"), "doc_id", "row_id")).alias("key"),
     )
-    rows = staged(numbered(rows), "shard-rows")
+    rows = staged(rows, "shard-rows")
     groups = staged(rows.groupBy("key").agg(F.sum("size").alias("size")), "shard-groups")
     _, cuts = minimax_cuts(groups, n_shards)
     dealt = rows.withColumn("shard", shard_of(F.col("key"), cuts).cast("int"))
