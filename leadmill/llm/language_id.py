@@ -44,13 +44,11 @@ def grams(text: str) -> np.ndarray:
     codes = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     codes = np.concatenate(([0], codes, [0])).astype(np.uint64)
     codes = codes[(codes != 0) | np.concatenate(([True], codes[:-1] != 0))]  # one blank between words
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
-    pairs, first = (codes[:-1] << np.uint64(BITS)) | codes[1:], np.uint64(1 << 2 * BITS)
-    inner = b != BLANK
-    triples = (a[inner] << np.uint64(2 * BITS)) | (b[inner] << np.uint64(BITS)) | c[inner]
-    pairs = pairs[(codes[:-1] != 0) | (codes[1:] != 0)]
-    # the top bit and the one below tell the lengths apart
-    return np.concatenate((codes[codes != 0], pairs | (first << np.uint64(BITS)), triples | np.uint64(1 << 63)))
+    letter = codes != BLANK
+    codes += np.uint64(1)  # so that a blank differs from no character
+    pairs = (codes[:-1] << np.uint64(BITS)) | codes[1:]
+    triples = (codes[:-2] << np.uint64(2 * BITS)) | pairs[1:]
+    return np.concatenate((codes[letter], pairs[letter[:-1] | letter[1:]], triples[letter[1:-1]]))
 
 
 def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
