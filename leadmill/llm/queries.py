@@ -94,3 +94,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that it can express on whole tables; the tests hold the others against brute force."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    joined = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS.format(lower)} AS ws FROM documents),
+ s AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+ n AS (SELECT rid, count(*) AS n FROM s GROUP BY 1),
+ p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS shared FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY 1, 2),
+ e AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ r AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id FROM d LEFT JOIN n USING (rid) JOIN r ON r.a = d.rid JOIN d o ON o.rid = r.b GROUP BY d.rid, d.doc_id"""
+    rules = rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+ w AS (SELECT *, {WORDS.format("t")} AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+ g AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+ c AS (SELECT rid, count(DISTINCT i + k) AS n FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS times FROM g) CROSS JOIN range(5) r(k) WHERE times > 1 GROUP BY 1),
+ m AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(t) - length(replace(t, '!', '')) AS n_exclamations FROM w LEFT JOIN c USING (rid)),
+ f AS (SELECT *, n_words < 10 AS few, 100 * n_repeat_words > 20 * n_words AS repeated, 10 * n_symbols > 5 * n_words AS symbols, 100 * n_dup_lines > 30 * n_lines AS dup, word_chars < 2 * n_words AS short, word_chars > 20 * n_words AS long, 10 * n_exclamations > 5 * n_words AS shout FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, few OR repeated AS base_failed, NOT (few OR repeated OR symbols OR dup OR short OR long OR shout) AS kept,
+ CAST(few::INT + 2 * repeated::INT + 4 * symbols::INT + 8 * dup::INT + 16 * short::INT + 32 * long::INT + 64 * shout::INT AS BIGINT) AS failed FROM f"""
+    return {"op6_ngram_jaccard_join": joined, "op7_quality_rules": rules}

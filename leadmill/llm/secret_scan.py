@@ -79,7 +79,7 @@ def train(docs: DataFrame, sample_docs: int = 3000, joined_words: int = 60, smoo
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     drawn = spark.range(DRAWN).select(F.explode(F.array(F.rtrim(F.base64(F.unhex(digest)), F.lit("=")), F.translate(F.base64(F.unhex(digest)), "abcdefghijklmnopqrstuvwxyz+/=", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), digest)).alias("s"))
     values = part.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(PATTERN["assign"]), F.lit(2)), F.regexp_extract_all("text", F.lit(PATTERN["access"]), F.lit(0)))).alias("s")).where(F.char_length("s") >= MIN_CHARS)
-    rest = F.regexp_replace(F.regexp_replace("text", PATTERN["assign"], " "), PATTERN["hex"], " ")
+    rest = F.regexp_replace(F.regexp_replace("text", PATTERN["assign"], " "), CANDIDATE, " ")  # candidates are no labelled words
     words = part.select(F.array_distinct(F.regexp_extract_all(rest, F.lit(r"[A-Za-z]{3,}"), F.lit(0))).alias("w")).select("w", F.slice("w", 1, joined_words).alias("first"))
     pairs = F.zip_with("first", F.slice("first", F.lit(2), F.size("first")), lambda a, b: F.concat(a, F.lit("_"), F.coalesce(b, F.lit("1"))))
     joined = words.select(F.explode(F.concat("w", pairs, F.transform("first", lambda a: F.concat(F.lower(a), F.initcap(a), F.lit("2"))))).alias("s"))
