@@ -27,7 +27,12 @@ CUTS = "代表|所在地|住所|電話|TEL|〒|東京都|大阪府|京都府|北
 DESCRIPTORS = "会社案内|会社概要|企業情報|企業概要|について|のご案内|のご紹介|紹介|トップ|ホーム|HOME|TOP|Company|About|Overview|Profile".split("|")
 BRANDS = r"ドットコム|ドット|\.com|さん|くん|ちゃん|オンライン|ネット|web|Web| (?:京都|東京|大阪|福岡|札幌)$"
 #: Phase and least confidence with which a method's candidate is taken at once.
-PHASES = {"json_ld": (0, 96), "table_field": (1, 95), "dl_field": (1, 95), "semantic_pair": (2, 93), "title": (3, 85), "black_square": (4, 97), "footer": (5, 92), "footer_img": (5, 92)}
+PHASES = {"json_ld": (0, 96), "table_field": (1, 95), "dl_field": (1, 95), "semantic_pair": (2, 93), "title": (3, 85), "black_square": (4, 97), "footer": (5, 92), "footer_img": (5, 92), "explicit_label": (6, 93)}
+INTRODUCTIONS = "事務所概要|事務所案内|会社概要|会社案内|ご案内|について|紹介|案内|概要"
+DESIGNATIONS = "行政書士|弁護士|司法書士|税理士|公認会計士|社会保険労務士|弁理士"
+NAV_ALTS = r"(?i)about|案内|ガイド|guide|menu|メニュー|home|ホーム|top|トップ|back|戻る|logo|ロゴ|nav|icon|button"
+BUSINESS = "探偵事務所|調査事務所|探偵社|調査会社|法律事務所|会計事務所|コンサルティング"
+MERGED_LABELS, STOPS = "事務所名|会社名|法人名|名称", "代表|所在地|連絡先|TEL|電話|FAX|(?i:e-mail)|Email"
 CANDIDATE = "array<struct<method:string,name:string,conf:int,legal:boolean>>"
 
 
@@ -140,9 +145,38 @@ def detected(html: Column) -> Column:
     )
 
 
+def more_detected(html: Column) -> Column:
+    """Weaker candidates: labels with the value in one element, images, headings with a legal form or a trade, and introductions."""
+    pair = lambda a, b: F.struct(a.alias("label"), b.alias("value"))
+    merged = F.transform(H.every(html, r"(?is)<dt(?:\s[^>]*)?>(.*?)(?=</dt|<dt[\s>]|<dd[\s>]|</dl|\z)", 1), lambda t: F.regexp_extract(H.inner_text(t, " "), rf"(?:{MERGED_LABELS})(.*?)(?:{STOPS}|$)", 1))
+    dts = when_valid(F.transform(F.filter(F.transform(merged, lambda m: clean(m)), lambda m: F.char_length(m) >= 3), lambda m: candidate("dt_merged", m, F.when(has_legal(m), 97).otherwise(94))))
+    rows = F.transform(F.filter(F.transform(H.every(html, H.ROW, 1), lambda r: F.transform(H.every(r, H.CELL, 1), lambda x: H.inner_text(x))), lambda c: F.size(c) >= 2), lambda c: pair(c[0], c[1]))
+    both = lambda pattern, a, b: F.transform(H.every_pair(html, pattern, a, b), lambda x: pair(H.inner_text(x["a"]), H.inner_text(x["b"])))
+    told = F.filter(F.concat(rows, both(H.PAIR, 1, 2), both(H.SIBLINGS, 2, 4)), lambda p: p["label"].rlike(TEXT_LABELS))
+    labels = when_valid(F.filter(F.transform(F.transform(told, lambda p: clean(without_seo(p["value"]))), lambda v: candidate("explicit_label", v, F.lit(93))), lambda c: F.char_length(c["name"]) >= 5), False)
+    alts = lambda tag: F.transform(H.every(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)(?:</{tag}|\z)", 1), r"(?i)<img\s[^>]*>"), lambda t: clean(H.attribute(t, "alt")))
+    named = F.filter(F.concat(alts("header"), alts("footer")), lambda a: ~a.rlike(NAV_ALTS) & (has_legal(a) | a.rlike("事務所|オフィス|会社|法人")))
+    images = when_valid(F.filter(F.transform(F.transform(named, lambda a: F.trim(F.regexp_extract(a, "^([^〒【】]*)", 1))), lambda a: candidate("img_alt", a, F.when(has_legal(a), 92).otherwise(89))), lambda c: F.char_length(c["name"]).between(5, 60)), False)
+    heading = lambda n: F.transform(H.every(html, rf"(?is)<h{n}(?:\s[^>]*)?>(.*?)</h{n}", 1), lambda h: clean(H.inner_text(h)))
+    forms = "|".join(LEGAL)
+    whole = F.filter(heading(1), lambda h: ~F.contains(h, F.lit("|")))
+    first = lambda h: F.coalesce(*[F.when(F.char_length(F.regexp_extract(h, rf"^((?:{forms}).*?){d}", 1)).between(5, 40), F.trim(F.regexp_extract(h, rf"^((?:{forms}).*?){d}", 1))) for d in ("での", "による", "へ", "の")], h)
+    starts = F.transform(F.filter(whole, lambda h: h.rlike(f"^(?:{forms})")), lambda h: candidate("h1_smart_split", first(h), F.lit(94)))
+    holding = F.transform(F.filter(whole, lambda h: has_legal(h) & ~h.rlike(f"^(?:{forms})")), lambda h: F.coalesce(F.nullif(F.trim(F.regexp_extract(h, rf"^(.+?(?:{forms}).*?)(?: |での|による|の|へ|、)", 1)), F.lit("")), h))
+    split = F.slice(when_valid(F.concat(starts, F.transform(holding, lambda h: candidate("h1_smart_split", h, F.lit(93))))), 1, 1)
+    trades = F.filter(whole, lambda h: h.rlike(BUSINESS) & ~has_legal(h))
+    trade = F.slice(when_valid(F.transform(F.transform(trades, lambda h: F.coalesce(F.nullif(F.regexp_extract(h, "^(.{2,}?)(?: |での|なら|へ|の)", 1), F.lit("")), h)), lambda h: candidate("business_name", h, F.lit(88))), False), 1, 1)
+    texts = F.concat(heading(1), heading(2), F.array(clean(H.inner_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)))))
+    left = F.filter(F.transform(texts, lambda t: F.regexp_replace(F.regexp_extract(t, f"^(.*?)の?(?:{INTRODUCTIONS})$", 1), r"[\s|-]+$", "")), lambda t: has_legal(t) | t.rlike(DESIGNATIONS))
+    introduced = F.transform(left, lambda t: candidate("title_intro", F.regexp_replace(t, f"^(?:{DESIGNATIONS})+", ""), F.when(has_legal(t), 90).otherwise(88)))
+    kinds = r"^(.*?(?:事務所|オフィス)|.*?(?=法人|株式会社|会社|協会|組合))(?:法人|株式会社|会社|協会|組合)?の(?:" + INTRODUCTIONS + ")"
+    offices = F.transform(F.filter(F.transform(texts, lambda t: F.regexp_extract(t, kinds, 1)), lambda t: t != ""), lambda t: candidate("title_intro", t, F.when(has_legal(t), 89).otherwise(87)))
+    return F.concat(dts, labels, images, split, trade, F.slice(when_valid(F.concat(introduced, offices)), 1, 1))
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, pos, method, name, conf, legal: every name that a detector finds, in order of discovery, each name once a method."""
-    found = pages.select("page_id", F.posexplode(detected(F.col("html"))).alias("pos", "c"))
+    found = pages.select("page_id", F.posexplode(F.concat(detected(F.col("html")), more_detected(F.col("html")))).alias("pos", "c"))
     return found.groupBy("page_id", "c.method", "c.name").agg(F.min("pos").cast("long").alias("pos"), F.max("c.conf").cast("long").alias("conf"), F.first("c.legal").alias("legal"))
 
 
@@ -171,6 +205,20 @@ def completed(pages: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("page_id", whole.alias("company_name"), "method", (F.when(sure, F.col("conf")).otherwise(F.least("conf", F.lit(82))) / F.lit(100.0)).alias("confidence"), wants.alias("completed"))
 
 
+def surely_completed(text: Column, name: Column, rewrite: bool = False) -> Column:
+    """The name with the legal form that the text shows beside it, else with one that the text has twice or more, else with one
+    within 50 characters of it; null if none. rewrite: the reference's change of 有限会社 to 株式会社, off by default."""
+    low, bare = F.lower(text), F.lower(name)
+    squeezed = F.regexp_replace(low, r"\s+", "")
+    tight = F.regexp_replace(bare, r"\s+", "")
+    before, behind = F.filter(array(LEGAL), lambda e: F.contains(squeezed, F.concat(e, tight))), F.filter(array(LEGAL), lambda e: F.contains(squeezed, F.concat(tight, e)))
+    times = F.filter(F.transform(array(LEGAL), lambda e, i: F.struct(((F.length(low) - F.length(F.replace(low, e))) / F.length(e)).alias("n"), (-i).alias("i"), e.alias("e"))), lambda c: c["n"] >= 2)
+    around = F.substring(low, F.greatest(F.lit(1), F.instr(low, bare) - 50), F.length(bare) + 100)
+    near = F.when(F.instr(low, bare) > 0, F.filter(array(LEGAL), lambda e: F.contains(around, e))).otherwise(F.array().cast("array<string>"))
+    out = F.when(F.size(before) > 0, F.concat(before[0], name)).when(F.size(behind) > 0, F.concat(name, behind[0])).when(F.size(times) > 0, F.concat(F.array_max(times)["e"], name)).when(F.size(near) > 0, F.concat(near[0], name))
+    return F.replace(out, F.lit("有限会社"), F.lit("株式会社")) if rewrite else out
+
+
 def completeness(name: Column) -> Column:
     """How full a name is, in hundredths."""
     parts, n = F.size(F.split(name, "　")), F.char_length(name)

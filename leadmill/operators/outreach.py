@@ -156,3 +156,13 @@ def polite_times(pages: DataFrame, gap_seconds: int, start: str = AS_OF) -> Data
 def delayed(targets: DataFrame, per_minute: int, start: str = AS_OF) -> DataFrame:
     """The second at which each row of a list with a place is sent, so many a minute over the whole list."""
     return targets.withColumn("at_seconds", (F.unix_seconds(F.lit(start).cast("timestamp")) + F.floor((F.col("place") - 1) * 60 / F.lit(per_minute))).cast("long"))
+
+
+def cooled_down(log: DataFrame, days: int) -> DataFrame:
+    """The sends that a cooldown lets through: the first to each site, and each that comes the cooldown or more after the last one let
+    through. A site's sends are walked in order within its row, so the state of a site is its last passed time."""
+    sends = log.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("sent_at").alias("at"), "id"))).alias("all"))
+    gap = F.lit(days * 86_400_000_000)
+    none = F.array().cast("array<struct<at:bigint,id:bigint>>")
+    passed = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] >= gap), F.concat(acc, F.array(x))).otherwise(acc))
+    return sends.select("site", F.explode(passed).alias("p")).select(F.col("p.id").alias("id"), "site")

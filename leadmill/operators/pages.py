@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadmill.functions.html import ITEM, attribute
+from leadmill.functions.html import ITEM, attribute, inner_text
 from leadmill.functions.text import EMAIL, extract, normalised_email, plain_signs, valid_email, visible_text
 
 def host(url: Column) -> Column:
@@ -112,6 +112,26 @@ def sections(pages: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def visible_texts(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", visible_text(F.col("html")).alias("text"))
+
+
+def headings(pages: DataFrame) -> DataFrame:
+    """page_id, level, pos, heading: the first three h1, and every h2 and h3."""
+    text = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.replace(x, F.lit("&amp;"), F.lit("&")), r"[ \t\r\n]+", " "), r"<[^>]*>", ""))
+    each = lambda n, most: F.transform(F.slice(F.regexp_extract_all("html", F.lit(rf"(?is)<h{n}(?:\s[^>]*)?>(.*?)</h{n}\s*>"), F.lit(1)), 1, most), lambda x, i: F.struct(F.lit(n).cast("long").alias("level"), i.cast("long").alias("pos"), text(x).alias("heading")))
+    rows = pages.select("page_id", F.explode(F.concat(each(1, 3), each(2, 1 << 30), each(3, 1 << 30))).alias("h"))
+    return rows.select("page_id", "h.*")
+
+
+def page_sections(pages: DataFrame) -> DataFrame:
+    """Header and footer text and the texts of images in them, of pages with one or the other."""
+    part = lambda tag: F.regexp_extract("html", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)(?:</{tag}\s*>|\z)", 1)
+    images = F.transform(F.regexp_extract_all(F.concat(part("header"), part("footer")), F.lit(r"(?i)<img\s[^>]*>"), F.lit(0)), lambda t: attribute(t, "alt"))
+    rows = pages.where(F.rlike("html", F.lit(r"(?i)<(?:header|footer)[\s>]")))
+    return rows.select("page_id", F.nullif(inner_text(part("header"), " "), F.lit("")).alias("header"), F.nullif(inner_text(part("footer"), " "), F.lit("")).alias("footer"), F.array_join(images, ", ").alias("images"))
+
+
 def list_items(pages: DataFrame) -> DataFrame:
     """Items of lists and of definitions."""
     found = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ITEM), F.lit(1))).alias("pos", "item"))

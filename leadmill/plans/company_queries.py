@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leadmill.operators import companies, contacts, emails, forms, industry, merging, outreach, pages, profiles
-from leadmill.plans.queries import LOG
+from leadmill.plans.queries import ANCHORS, LOG, visible
 from leadmill.sources import derived
 from leadmill.sources.tables import logged, read_table, send_log
 
@@ -89,6 +89,7 @@ add_pages("a7_multi_step", forms.multi_step, planted("current_step, total_steps,
 NAMES = [
     (0, "title", "株式会社{n}", 88, True), (0, "table_field", "株式会社{n}", 99, True), (0, "footer", "株式会社{n}", 94, True), (1, "dl_field", "合同会社{n}", 98, True), (2, "json_ld", "株式会社{n}", 96, True), (3, "meta_tag", "株式会社{n}", 95, True),
     (6, "semantic_pair", "協会{n}", 97, False), (6, "black_square", "株式会社{n}", 97, True), (6, "footer_img", "{n}事務所", 92, False), (6, "h1_smart_split", "税理士法人{n}", 94, True),
+    (0, "explicit_label", "株式会社{n}", 93, True), (1, "explicit_label", "合同会社{n}", 93, True), (6, "img_alt", "{n}事務所", 89, False), (0, "title_intro", "株式会社{n}", 90, True), (6, "title_intro", "法人{n}", 90, False),
 ]
 CHOSEN = [(0, "株式会社{n}", "table_field", 0.99), (1, "合同会社{n}", "dl_field", 0.98), (2, "株式会社{n}", "json_ld", 0.96), (3, "株式会社{n}", "meta_tag", 0.95), (6, "協会{n}", "semantic_pair", 0.97)]
 add_pages("c1_c18_name_candidates", lambda p: companies.candidates(p).drop("pos"), planted("method, name, conf, legal", NAMES))
@@ -107,7 +108,12 @@ add_pages("b1_b2_crawl_summary", lambda p: profiles.crawl_summary(profiles.compa
 add_pages("k7_form_targets", lambda p: outreach.form_targets(profiles.company_profiles(p), skip_with_email=True), f"SELECT page_id, CASE WHEN company_name IS NULL OR email IS NOT NULL THEN 'skip' ELSE 'submit' END AS decision, CASE WHEN company_name IS NULL THEN 'no company name' WHEN email IS NOT NULL THEN 'has email' END AS reason FROM ({PROFILE})")
 add_pages("k4_k5_recipients", lambda p: outreach.recipients(profiles.company_profiles(p), "To {company_name}", "Dear {{company_name}}, this is for {email}."), f"SELECT page_id, email, coalesce(company_name, '御社') AS company_name, 'To ' || coalesce(company_name, '御社') AS subject, 'Dear ' || coalesce(company_name, '御社') || ', this is for ' || email || '.' AS body FROM ({PROFILE}) WHERE email IS NOT NULL")
 add_pages("u10_polite_times", outreach.polite_times, "SELECT k AS page_id, 'c' || s || '.example.jp' AS site, CAST(epoch(TIMESTAMP '2024-01-30 12:00:00') AS BIGINT) AS at_seconds FROM p", gap_seconds=2)
-FOUND["u9_reached_pages"] = (lambda spark, d: pages.reached(read_table(spark, d, "pages")), None)
+STORED = f"p AS (SELECT page_id, url, split_part(split_part(url, '//', 2), '/', 1) AS site FROM pages), l AS (SELECT DISTINCT a.page_id, q.page_id AS next FROM ({ANCHORS}) a JOIN p ON p.page_id = a.page_id JOIN p q ON q.url = a.target AND q.site = p.site)"
+FOUND["u9_reached_pages"] = (lambda spark, d: pages.reached(read_table(spark, d, "pages")), f"WITH RECURSIVE {STORED}, r AS (SELECT site, min(page_id) AS page_id, 0 AS hop FROM p GROUP BY 1 UNION SELECT site, next, hop + 1 FROM r JOIN l USING (page_id) WHERE hop < 3) SELECT site, page_id, CAST(hop AS BIGINT) AS hop FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY hop, page_id) AS rn FROM (SELECT site, page_id, min(hop) AS hop FROM r GROUP BY 1, 2)) WHERE rn <= 15")
+FOUND["h1_visible_text"] = (lambda spark, d: pages.visible_texts(read_table(spark, d, "pages")), f"SELECT page_id, {visible('html')} AS text FROM pages")
+FOUND["h2_headings"] = (lambda spark, d: pages.headings(read_table(spark, d, "pages")), "SELECT page_id, 1::BIGINT AS level, 0::BIGINT AS pos, trim(regexp_replace(regexp_replace(regexp_replace(string_split(string_split(html, '<h1>')[2], '</h1>')[1], '&amp;', '&', 'g'), '[ \t\r\n]+', ' ', 'g'), '<[^>]*>', '', 'g')) AS heading FROM pages")
+add_pages("h10_sections", pages.page_sections, planted("header, footer, images", [(0, None, "Copyright © 2024 株式会社{n} All Rights Reserved", ""), (1, None, "Since 2001", ""), (3, "Open house", None, ""), (6, None, "foot{k}@foot.example.jp", "{n}事務所")]))
+add_pages("c27_sure_completion", lambda p: p.where("page_id % 8 = 6").select("page_id", companies.surely_completed(F.col("html"), F.lit("協会")).alias("near"), companies.surely_completed(F.col("html"), F.lit("所在地")).alias("none")), planted("near, none", [(6, "株式会社協会", "株式会社所在地")]))
 FOUND["u10_site_times"] = (lambda spark, d: outreach.polite_times(read_table(spark, d, "pages"), 10), "SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS site, CAST(epoch(TIMESTAMP '2024-01-30 12:00:00') + 10 * (row_number() OVER (PARTITION BY split_part(split_part(url, '//', 2), '/', 1) ORDER BY page_id) - 1) AS BIGINT) AS at_seconds FROM pages")
 
 
@@ -165,6 +171,7 @@ add_log("l1_l2_found_sends", outreach.found_sends, "SELECT id, site, send_status
 add_log("l4_send_statistics", outreach.send_statistics, "SELECT send_status, count(*) AS n, count(*) FILTER (CAST(sent_at AS DATE) = DATE '2024-01-30') AS n_today, count(DISTINCT site) AS n_recipients FROM log GROUP BY GROUPING SETS ((), (send_status))")
 add_log("b4_submission_summary", outreach.submission_summary, "SELECT send_status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM log GROUP BY 1")
 RUNS = "SELECT CAST(sent_at AS DATE) AS d, mode, count(*) AS total, count(*) FILTER (send_status = 'success') AS successful, count(*) FILTER (send_status <> 'success') AS failed, list(id || ':' || send_status ORDER BY id) FILTER (send_status <> 'success') AS bad FROM log GROUP BY 1, 2"
+add_log("x2_cooldown_sends", outreach.cooled_down, "SELECT id, site FROM (SELECT id, site, sent_at, row_number() OVER (PARTITION BY site ORDER BY sent_at, id) AS rn FROM log) WHERE rn = 1", days=30)
 add_log("k9_bulk_results", lambda log: outreach.rolled_up(outreach.campaign_runs(log)), f"SELECT strftime(d, '%Y-%m-%d') AS day, mode, total, successful, failed, coalesce(array_to_string(bad[1:3], ','), '') AS first_failures FROM ({RUNS})")
 add_log("k8_campaign_statistics", lambda log: outreach.campaign_statistics(outreach.campaign_runs(log), outreach.sent_history(log)), f"SELECT count(*) AS total_campaigns, sum(successful)::BIGINT AS total_sent, sum(failed)::BIGINT AS total_failed, (SELECT count(DISTINCT site) FROM log WHERE send_status = 'success') AS unique_recipients FROM ({RUNS})")
 

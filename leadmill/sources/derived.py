@@ -17,7 +17,7 @@ TEMPLATE = {
 x{k}@cell.example.jp</td></tr></table><footer>Copyright © 2024 株式会社{n} All Rights Reserved</footer></body></html>""",
     LIST: """<html><head><title>Profile</title></head><body><h2>About</h2><dl><dt>商号<dd>合同会社{n}<dt>メール<dd>info{k}@s{k}.example.jp</dl><ul><li>contact: li{k}@list.example.jp<li>Open daily</ul><footer>Since 2001</footer></body></html>""",
     STRUCTURED: """<html><head><title>Home</title><script type="application/ld+json">{{"@type":"Organization","name":"株式会社{n}","industry":"金融","contactPoint":[{{"email":"ld{k}@ld.example.jp"}}]}}</script></head><body><p>Welcome to our site</p></body></html>""",
-    META: """<html><head><title>{n} Home</title><meta property="og:site_name" content="株式会社{n} | Official"><meta name="description" content="病院とクリニックの情報システム"><meta name='keywords' content='物流'></head><body><h1>Start</h1><span>お問い合わせ</span><span>sp{k}@c{k}.example.jp</span></body></html>""",
+    META: """<html><head><title>{n} Home</title><meta property="og:site_name" content="株式会社{n} | Official"><meta name="description" content="病院とクリニックの情報システム"><meta name='keywords' content='物流'></head><body><header>Open house</header><h1>Start</h1><span>お問い合わせ</span><span>sp{k}@c{k}.example.jp</span></body></html>""",
     FORM: """<html><head><title>Write to us</title><meta name="csrf-param" content="m{k}"></head><body><form action="/send?a=1" method="post" id="f1" class="contact-form"><p><label>お名前</label><input name="yourname" required="required"></p><p><label>Mail</label><input type="email" name="mail" required="required"></p><p><label>Tel</label><input type="tel" name="tel"></p><p><label>会社</label><input name="company"></p><p><label>Text</label><textarea name="body"></textarea></p><input type="hidden" name="csrf_token" value="tok{k}"><input type="submit" value="送信"></form></body></html>""",
     LOGIN: """<html><head><title>Members</title></head><body><form action="/login" method="post"><input name="user"><input type="password" name="password"><button type="submit">Login</button></form><p>News of the year and other things that are told at some length here</p><a href="mailto:Sales{k}@m.example.jp?subject=x">営業</a><p>Opening hours and further notes, again told at some length in this place</p><div class="contact-box">box{k}@box.example.jp</div><p>The end of it all, which is also told at length</p></body></html>""",
     HEADINGS: """<html><head><title>Guide</title></head><body><h1>税理士法人{n}｜会社概要</h1><h2>団体名</h2><div>協会{n}</div><p>■会社名 株式会社{n}<br>■所在地 東京</p><img src="h.png" alt="Header"><footer><img src="f.png" alt="{n}事務所">foot{k}@foot.example.jp</footer></body></html>""",
