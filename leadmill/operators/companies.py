@@ -152,7 +152,7 @@ def more_detected(html: Column) -> Column:
     dts = when_valid(F.transform(F.filter(F.transform(merged, lambda m: clean(m)), lambda m: F.char_length(m) >= 3), lambda m: candidate("dt_merged", m, F.when(has_legal(m), 97).otherwise(94))))
     rows = F.transform(F.filter(F.transform(H.every(html, H.ROW, 1), lambda r: F.transform(H.every(r, H.CELL, 1), lambda x: H.inner_text(x))), lambda c: F.size(c) >= 2), lambda c: pair(c[0], c[1]))
     both = lambda pattern, a, b: F.transform(H.every_pair(html, pattern, a, b), lambda x: pair(H.inner_text(x["a"]), H.inner_text(x["b"])))
-    told = F.filter(F.concat(rows, both(H.PAIR, 1, 2), both(H.SIBLINGS, 2, 4)), lambda p: p["label"].rlike(TEXT_LABELS))
+    told = F.filter(F.concat(rows, both(H.PAIR, 1, 2), both(H.SIBLINGS, 2, 4)), lambda p: p["label"].rlike(TEXT_LABELS) & ~p["value"].rlike(DATE))
     labels = when_valid(F.filter(F.transform(F.transform(told, lambda p: clean(without_seo(p["value"]))), lambda v: candidate("explicit_label", v, F.lit(93))), lambda c: F.char_length(c["name"]) >= 5), False)
     alts = lambda tag: F.transform(H.every(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>(.*?)(?:</{tag}|\z)", 1), r"(?i)<img\s[^>]*>"), lambda t: clean(H.attribute(t, "alt")))
     named = F.filter(F.concat(alts("header"), alts("footer")), lambda a: ~a.rlike(NAV_ALTS) & (has_legal(a) | a.rlike("事務所|オフィス|会社|法人")))

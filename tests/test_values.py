@@ -66,8 +66,8 @@ def page(spark, html, url="https://h.jp/"):
 @pytest.mark.parametrize(
     "html, want",
     [
-        ("<title>山田商店 | ようこそ</title><p>株式会社 山田商店へ</p>", ("株式会社山田商店", "title", 0.84)), ("<footer>Copyright © 2024 山田商店街</footer><p>有限会社 有限会社 合同会社</p>", ("有限会社山田商店街", "footer", 0.82)), ("<footer>Copyright (C) 山田オンライン All Rights Reserved</footer>", ("山田オンライン", "footer", 0.91)),
-        ("<p>会社名：山田商店</p>", ("株式会社山田商店", "text_pattern_label", 0.82)), ("<table><tr><td>会社名<td>2019年6月3日</table>", None), ("<table><tr><td>住所<td>株式会社A</table>", None), ("<p>none</p>", None), (None, None), ("", None),
+        ("<title>山田商店 | ようこそ</title><p>株式会社 山田商店へ</p>", ("株式会社山田商店", "title", 0.84)), ("<p>有限会社 有限会社 合同会社</p><footer>Copyright © 2024 山田商店街</footer>", ("有限会社山田商店街", "footer", 0.82)), ("<footer>Copyright (C) 山田オンライン All Rights Reserved</footer>", ("山田オンライン", "footer", 0.91)),
+        ("<p>会社名：山田商店</p>", ("株式会社山田商店", "text_pattern_label", 0.82)), ("<table><tr><td>会社名<td>2019年6月3日</table>", None), ("<table><tr><td>住所<td>株式会社A</table>", None), ("<p>none</p>", None), ("<h1>弁護士法人八千代での相談なら</h1>", ("弁護士法人八千代", "h1_smart_split", 0.94)), ("<h1>名古屋の探偵事務所なら山田</h1>", ("株式会社名古屋", "business_name", 0.82)), ("<dl><dt>会社名 合同会社山田 代表 山田<dt>x</dl>", ("合同会社山田", "dt_merged", 0.97)), (None, None), ("", None),
     ],
 )
 def test_names(spark, html, want):
@@ -78,7 +78,7 @@ def test_names(spark, html, want):
 def test_ranked_addresses(spark):
     html = "<p>1@ b1@x.jp c2@x.jp</p><div><label>Mail</label><span>z9@h.jp</span></div><footer>c2@x.jp</footer><p>d@x.jp 10 items</p>"
     r = emails.ranked(page(spark, html)).first()
-    assert (r.email, r.confidence, r.n_emails) == ("z9@h.jp", 0.72, 4) and r.candidates.split(",")[1] == "c2@x.jp:regex_plain:40"
+    assert (r.email, r.confidence, r.n_emails) == ("z9@h.jp", 0.72, 4) and r.candidates.split(",")[1] == "c2@x.jp:regex_plain:45"
     assert emails.ranked(page(spark, None)).count() == 0 == emails.ranked(page(spark, "no sign")).count()
 
 
