@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges(a, b): component is the smallest node reachable.
 
     Each round points every node's larger neighbours to the smallest one, then every node's smaller ones; the rounds needed
-    grow with the logarithm of the longest path. The edges of a round are a staged table, so a lost executor costs little.
+    grow with the logarithm of the longest path. The edges of a round are a staged table, so a lost executor costs little. Repeated
+edges, loops and edges with a null end change nothing; without edges there are no rows.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = fingerprint(edges)

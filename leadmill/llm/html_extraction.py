@@ -7,7 +7,8 @@ elements whose marginal reaches one half is kept. Both potentials are counted on
 
 The labelled pages are drawn here, from rules for how sites frame an article (``labelled_page``); their number is a parameter
 of ``train``. Text in inline elements belongs to the block element around it, that of formulas too. Scripts, styles and other raw
-elements hold no text; one that closes itself (<svg/>), or has no end and isn't script-like, is empty. Null and empty html: empty text. Pages are read whole; nothing is shuffled; other columns are ignored.
+elements hold no text; one that closes itself (<svg/>), or has no end and isn't script-like, is empty. Null and empty html: empty text. Pages are
+read whole; repeated rows give repeated results; nothing is shuffled; other columns are ignored.
 """
 
 from __future__ import annotations

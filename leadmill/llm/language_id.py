@@ -7,7 +7,7 @@ wins, ties by name.
 
 Training counts n-grams in Spark over a sample of labelled rows of about ``sample_docs`` documents (chosen by a hash of
 doc_id); prediction reads every text whole, in blocks. Null texts and texts without a letter: ``und`` with score 0. Without
-labelled rows every text is ``und``. Other columns are ignored.
+labelled rows every text is ``und``. Repeated rows are predicted alike. Other columns are ignored.
 """
 
 from __future__ import annotations

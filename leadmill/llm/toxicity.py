@@ -10,7 +10,8 @@ can mean together what neither means alone. Buckets are screened by a chi-square
 
 Training is a bounded fit: at most ``sample_docs`` labelled documents, those with the smallest hash of doc_id. Scoring reads
 every text whole; nothing is shuffled. Null and empty texts score as a text without terms. Without labelled rows the score is
-0. Other columns are ignored.
+0. Repeated rows are scored alike; of rows that share a labelled doc_id the one with the least buckets is learned from, as toxic if
+any label of it says so. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -135,7 +136,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, sample_docs: int =
 
     # at most sample_docs rows of two numbers are broadcast
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
-    got = rows.mapInPandas(run, "doc_id long, toxic int, buckets binary").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    got = rows.mapInPandas(run, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("buckets").alias("buckets")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     return fit([np.frombuffer(b, dtype="<i4") for b in got["buckets"]], (got["toxic"] > 0).to_numpy(dtype=float), bits)
 
 

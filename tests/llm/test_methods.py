@@ -301,3 +301,25 @@ def test_pipeline_of_odd_and_no_rows(spark, odd_docs, no_docs):
                 assert left.columns == corpus_pipeline.COLUMNS
         assert left.count() >= (rows.count() > 0)
     assert packing.pack(no_docs, queries.tokenizer("byte_bpe_50k.json")).count() == 0
+
+
+def test_ids_of_many_kinds_of_texts():
+    """The faster encoding of plain texts against the tokenizer, over random texts of every kind that counts as plain, and others."""
+    from leadmill.llm._shared import plain
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    encoder = packing.encoder_for(path, queries.tokenizer("byte_bpe_50k.tiktoken"))
+    rng = random.Random(21)
+    latin = "".join(chr(c) for c in [*range(0xA0, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC])
+    kinds = [string.ascii_lowercase, string.ascii_letters, string.digits, " ", "  \n", "\t\r\n\x0b\x0c ", string.punctuation, latin, "\x00\x01\x1b\x7f\x85", "'s 't 're 've 'll 'd 'm", "<|endof>", "漢字かな😀é\u0301\u2028\u200b\u0130"]
+    seen = Counter()
+    for k in range(4000):
+        chosen = rng.sample(kinds, rng.randint(1, 4))
+        text = "".join("".join(rng.choice(a) for _ in range(rng.randint(1, 9))) for a in (rng.choice(chosen) for _ in range(rng.randint(1, 30))))
+        seen[plain(text)] += 1
+        want = np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert encoder.encode(text) == want, repr(text)
+    assert min(seen[True], seen[False]) > 800
+    for unit in ("word ", "a1 b2\n\n", "x" * 1500 + " ", "é, “q” — \t"):  # cut into blocks
+        text = unit * ((1 << 20) // len(unit) + 50)
+        assert encoder.encode(text) == np.asarray(encoder.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
