@@ -167,7 +167,7 @@ def add_log(name: str, operator: Callable[..., DataFrame], sql: str, **parameter
     add(name, send_log, "events", operator, f"WITH log AS ({LOG}) {sql}", **parameters)
 
 
-add_log("l1_l2_found_sends", outreach.found_sends, "SELECT id, site, send_status, mode, sent_at FROM log WHERE send_status = 'failed' AND mode = 'browser' ORDER BY sent_at DESC, id DESC LIMIT 40 OFFSET 5", n=40, skip=5, send_status="failed", mode="browser", site=None)
+add_log("l1_l2_found_sends", lambda log: outreach.found_sends(log, 40, 5, send_status="failed", mode="browser", site=None).select("id", "site", "send_status", "mode", F.unix_micros("sent_at").alias("sent_us")), "SELECT id, site, send_status, mode, epoch_us(sent_at) AS sent_us FROM log WHERE send_status = 'failed' AND mode = 'browser' ORDER BY sent_at DESC, id DESC LIMIT 40 OFFSET 5")
 add_log("l4_send_statistics", outreach.send_statistics, "SELECT send_status, count(*) AS n, count(*) FILTER (CAST(sent_at AS DATE) = DATE '2024-01-30') AS n_today, count(DISTINCT site) AS n_recipients FROM log GROUP BY GROUPING SETS ((), (send_status))")
 add_log("b4_submission_summary", outreach.submission_summary, "SELECT send_status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM log GROUP BY 1")
 RUNS = "SELECT CAST(sent_at AS DATE) AS d, mode, count(*) AS total, count(*) FILTER (send_status = 'success') AS successful, count(*) FILTER (send_status <> 'success') AS failed, list(id || ':' || send_status ORDER BY id) FILTER (send_status <> 'success') AS bad FROM log GROUP BY 1, 2"
