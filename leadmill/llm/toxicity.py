@@ -136,8 +136,11 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = 20, sample_docs: int =
 
     # at most sample_docs rows of two numbers are broadcast
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("toxic").cast("int"), "text")
-    got = rows.mapInPandas(run, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("buckets").alias("buckets")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    return fit([np.frombuffer(b, dtype="<i4") for b in got["buckets"]], (got["toxic"] > 0).to_numpy(dtype=float), bits)
+    one = rows.mapInPandas(run, "doc_id long, toxic int, buckets binary").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("buckets").alias("buckets"))
+    # in parts, so that the driver's JVM never holds the whole sample
+    parts = one.select(F.xxhash64("doc_id").alias("order"), "doc_id", "toxic", "buckets").repartition(16, "doc_id").toLocalIterator()
+    got = sorted((r["order"], r["doc_id"], r["toxic"], bytes(r["buckets"])) for r in parts)
+    return fit([np.frombuffer(b, dtype="<i4") for *_, b in got], np.array([t > 0 for _, _, t, _ in got], dtype=float), bits)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
