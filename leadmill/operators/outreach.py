@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadmill.operators.ordering import preceding, running
+
 AS_OF = "2024-01-30 12:00:00"
 
 
@@ -26,8 +28,8 @@ def sent_today(log: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 def latest_state(log: DataFrame) -> DataFrame:
     """The last status of each site; ties by id."""
-    order = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("sent_at"), F.desc("id")))
-    return log.withColumn("rn", order).where("rn = 1").select("site", F.col("send_status").alias("status"), "id")
+    last = F.max_by(F.struct("send_status", "id"), F.struct("sent_at", "id")).alias("last")
+    return log.groupBy("site").agg(last).select("site", F.col("last.send_status").alias("status"), "last.id")
 
 
 def state_shares(log: DataFrame) -> DataFrame:
@@ -37,9 +39,8 @@ def state_shares(log: DataFrame) -> DataFrame:
 
 def gaps(log: DataFrame, seconds: int) -> DataFrame:
     """Sends to a site that came sooner after the last one than the least gap."""
-    last = F.lag("sent_at").over(Window.partitionBy("site").orderBy("sent_at", "id"))
-    gap = F.unix_micros("sent_at") - F.unix_micros(last)
-    return log.select("id", "site", gap.alias("gap_us")).where(F.col("gap_us") < seconds * 1_000_000)
+    rows = preceding(log.select("id", "site", F.unix_micros("sent_at").alias("at")), "site", ["at", "id"], "at", "last")
+    return rows.select("id", "site", (F.col("at") - F.col("last")).alias("gap_us")).where(F.col("gap_us") < seconds * 1_000_000)
 
 
 def sent_history(log: DataFrame) -> DataFrame:
@@ -52,6 +53,13 @@ def hourly_counts(log: DataFrame) -> DataFrame:
     return log.groupBy(F.window("sent_at", "1 hour").alias("w"), "send_status").agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("hour_us"), "send_status", "n")
 
 
+def sliding_hours(log: DataFrame, cap: int, every: str = "5 minutes") -> DataFrame:
+    """Sends of each window of an hour, one beginning every few minutes, and whether they are over the cap; on a stream, with a watermark, the
+    same expression gives each window once no more can come."""
+    counts = log.groupBy(F.window("sent_at", "1 hour", every).alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col("send_status") == "success").alias("n_success"))
+    return counts.select(F.unix_micros("w.start").alias("from_us"), F.unix_micros("w.end").alias("to_us"), "n", "n_success", (F.col("n") > cap).alias("over_cap"))
+
+
 def mailable(targets: DataFrame, history: DataFrame, as_of: str = AS_OF, days: int = 30, blacklist: tuple[str, ...] = ("example.com", "test.com", "localhost")) -> DataFrame:
     """Rows of targets(email, ...) with an address, not sent to within the cooldown by history(email, sent_at), whose domain isn't blacklisted."""
     since = F.lit(as_of).cast("timestamp") - F.expr(f"interval {days} days")
@@ -93,10 +101,16 @@ def send_statistics(log: DataFrame, as_of: str = AS_OF) -> DataFrame:
     return rows.select("send_status", "n", "n_today", "n_recipients")
 
 
-def campaign_runs(log: DataFrame) -> DataFrame:
-    """One run a day and mode: sends, successes, failures, and the failed recipients in order."""
-    failed = F.when(F.col("send_status") != "success", F.struct("id", "site", "send_status"))
-    rows = log.groupBy(F.to_date("sent_at").alias("day"), "mode").agg(F.count("*").alias("total"), F.count_if(F.col("send_status") == "success").alias("successful"), F.array_sort(F.collect_list(failed)).alias("details"))
+def campaign_runs(log: DataFrame, details: int = 3) -> DataFrame:
+    """One run a day and mode: sends, successes, failures, and the first failed recipients in order of id. Only so many failures a run
+    outlive a task."""
+    dated = log.withColumn("day", F.to_date("sent_at"))
+    totals = dated.groupBy("day", "mode").agg(F.count("*").alias("total"), F.count_if(F.col("send_status") == "success").alias("successful"))
+    place = F.row_number().over(Window.partitionBy("day", "mode").orderBy("id", "site", "send_status"))
+    first = dated.where(F.col("send_status") != "success").withColumn("place", place).where(F.col("place") <= details)
+    failed = first.groupBy(F.col("day").alias("d"), F.col("mode").alias("m")).agg(F.array_sort(F.collect_list(F.struct("id", "site", "send_status"))).alias("details"))
+    same = F.col("day").eqNullSafe(F.col("d")) & F.col("mode").eqNullSafe(F.col("m"))
+    rows = totals.join(failed.hint("merge"), same, "left").drop("d", "m").withColumn("details", F.coalesce("details", F.array().cast("array<struct<id:bigint,site:bigint,send_status:string>>")))
     return rows.withColumn("failed", F.col("total") - F.col("successful"))
 
 
@@ -148,21 +162,10 @@ def form_targets(profiles: DataFrame, skip_with_email: bool = False) -> DataFram
 def polite_times(pages: DataFrame, gap_seconds: int, start: str = AS_OF) -> DataFrame:
     """When each page is fetched: pages of a site follow each other by the gap, in order of page_id."""
     site = F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
-    place = F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1
-    rows = pages.select("page_id", site.alias("site")).withColumn("place", place)
-    return rows.select("page_id", "site", (F.unix_seconds(F.lit(start).cast("timestamp")) + F.col("place") * gap_seconds).cast("long").alias("at_seconds"))
+    rows = running(pages.select("page_id", site.alias("site")), "site", ["page_id"], "place")
+    return rows.select("page_id", "site", (F.unix_seconds(F.lit(start).cast("timestamp")) + (F.col("place") - 1) * gap_seconds).cast("long").alias("at_seconds"))
 
 
 def delayed(targets: DataFrame, per_minute: int, start: str = AS_OF) -> DataFrame:
     """The second at which each row of a list with a place is sent, so many a minute over the whole list."""
     return targets.withColumn("at_seconds", (F.unix_seconds(F.lit(start).cast("timestamp")) + F.floor((F.col("place") - 1) * 60 / F.lit(per_minute))).cast("long"))
-
-
-def cooled_down(log: DataFrame, days: int) -> DataFrame:
-    """The sends that a cooldown lets through: the first to each site, and each that comes the cooldown or more after the last one let
-    through. A site's sends are walked in order within its row, so the state of a site is its last passed time."""
-    sends = log.groupBy("site").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros("sent_at").alias("at"), "id"))).alias("all"))
-    gap = F.lit(days * 86_400_000_000)
-    none = F.array().cast("array<struct<at:bigint,id:bigint>>")
-    passed = F.aggregate("all", none, lambda acc, x: F.when((F.size(acc) == 0) | (x["at"] - F.element_at(acc, -1)["at"] >= gap), F.concat(acc, F.array(x))).otherwise(acc))
-    return sends.select("site", F.explode(passed).alias("p")).select(F.col("p.id").alias("id"), "site")

@@ -57,17 +57,6 @@ def joined_url(base: Column, href: Column) -> Column:
     )
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, pos, url, target of each link."""
-    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    return found.select("page_id", "pos", "url", joined_url(F.col("url"), F.col("href")).alias("target"))
-
-
-def site_links(pages: DataFrame) -> DataFrame:
-    """Distinct links of a page to its own host."""
-    return anchors(pages).where(host(F.col("url")) == host(F.col("target"))).select("page_id", "target").distinct()
-
-
 #: Paths and link texts that lead to contact forms, as the reference lists them. Fixed values.
 CONTACT_PATHS = (
     r"(?i)(/contact/?$|/contact\.html?/?$|/contact\.php/?$|/contact-us/?$|/contact_us/?$|/contactus/?$|/inquiry[0-9]*/?$|/inquiry[0-9]*\.html?/?$|/inquiry[0-9]*\.php/?$|/inquire/?$"
@@ -93,11 +82,24 @@ def anchors_with_text(pages: DataFrame) -> DataFrame:
     return piece.select("page_id", F.col("pos").cast("long").alias("pos"), "url", joined_url(F.col("url"), href).alias("target"), text.alias("text"))
 
 
-def contact_links(pages: DataFrame, others: int = 5) -> DataFrame:
-    """The page's links to other pages of its host: those whose path or text tells of contact, and the first others of the rest."""
-    own = anchors_with_text(pages).where((host(F.col("url")) == host(F.col("target"))) & (F.col("target") != F.regexp_replace("url", r"#.*$", "")))
+def site_links(pages: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct links of a page to its own host, however they are written, without those that hold one of the patterns."""
+    own = anchors_with_text(pages).where(host(F.col("url")) == host(F.col("target")))
+    for pattern in exclude:
+        own = own.where(~F.contains("target", F.lit(pattern)))
+    return own.select("page_id", "target").distinct()
+
+
+def own_links(pages: DataFrame) -> DataFrame:
+    """page_id, pos, url, target, is_priority of each link to the page's own host: whether its path or text tells of contact."""
+    own = anchors_with_text(pages).where(host(F.col("url")) == host(F.col("target")))
     likely = F.rlike(F.regexp_extract("target", r"^https?://[^/?#]+(.*)$", 1), F.lit(CONTACT_PATHS)) | F.rlike("text", F.lit(CONTACT_TEXTS))
-    links = own.select("page_id", "pos", "target", likely.alias("is_priority"))
+    return own.select("page_id", "pos", "url", "target", likely.alias("is_priority"))
+
+
+def contact_links(pages: DataFrame, others: int = 5) -> DataFrame:
+    """The page's links to other pages of its host: those that tell of contact, and the first others of the rest."""
+    links = own_links(pages).where(F.col("target") != F.regexp_replace("url", r"#.*$", "")).drop("url")
     order = F.row_number().over(Window.partitionBy("page_id", "is_priority").orderBy("pos"))
     return links.withColumn("rn", order).where(F.col("is_priority") | (F.col("rn") <= others)).select("page_id", "pos", "target", "is_priority")
 
@@ -192,28 +194,3 @@ def site_profiles(pages: DataFrame) -> DataFrame:
     mails = F.filter(F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), normalised_email), valid_email)
     shred = sections(pages, form.alias("form_url"), F.when(action.isNotNull(), "basic_detector").otherwise("homepage_fallback").alias("form_method"), crawl_status(F.col("html")).alias("crawl_status"), F.get(mails, F.lit(0)).alias("email"))
     return shred.select("page_id", host(url).alias("host"), "title", "h1", "email", F.nullif(copyright_of("footer"), F.lit("")).alias("company_name"), "form_url", "form_method", "crawl_status")
-
-
-def allowed(pages: DataFrame, rules: DataFrame, agent: str = "*", ignore: bool = False) -> DataFrame:
-    """Whether each page may be fetched: by its site's first rule for the agent whose path prefix fits; without one, or where rules are ignored, it may."""
-    origin, path = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.coalesce(extract(F.col("url"), r"^https?://[^/?#]+([^#]*)"), F.lit("/"))
-    own = pages.select("page_id", origin.alias("origin"), path.alias("path"))
-    if ignore:
-        return own.select("page_id", F.lit(True).alias("allowed"))
-    mine = rules.where(F.col("agent").isin("*", agent)).groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("seq", "allow", "path_prefix"))).alias("rules"))
-    first = F.get(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path_prefix"])), F.lit(0))
-    return own.join(mine.hint("shuffle_hash"), "origin", "left").select("page_id", F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
-
-
-def reached(pages: DataFrame, hops: int = 3, most: int = 15) -> DataFrame:
-    """Stored pages that links of own host reach from each site's first page, with the least number of hops; at most so many a site.
-
-    Each hop is one join of the reached pages with the links, and their least hops one aggregate."""
-    keyed = pages.select("page_id", "url", host(F.col("url")).alias("site"))
-    links = site_links(pages).join(keyed.select(F.col("url").alias("target"), F.col("page_id").alias("next"), "site").hint("shuffle_hash"), "target").select("page_id", "next", "site")
-    found = keyed.groupBy("site").agg(F.min("page_id").alias("page_id")).withColumn("hop", F.lit(0))
-    for k in range(1, hops + 1):
-        step = found.where(F.col("hop") == k - 1).join(links.drop("site").hint("shuffle_hash"), "page_id").select("site", F.col("next").alias("page_id"), F.lit(k).alias("hop"))
-        found = found.unionByName(step).groupBy("site", "page_id").agg(F.min("hop").alias("hop"))
-    order = F.row_number().over(Window.partitionBy("site").orderBy("hop", "page_id"))
-    return found.withColumn("rn", order).where(F.col("rn") <= most).select("site", "page_id", F.col("hop").cast("long").alias("hop"))

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadmill.operators import companies, contacts, emails, forms, industry, merging, outreach, pages, profiles
-from leadmill.plans.queries import ANCHORS, LOG, visible
+from leadmill.operators import companies, contacts, cooldown, emails, forms, industry, merging, outreach, pages, profiles, robots
+from leadmill.plans.queries import LOG, visible
 from leadmill.sources import derived
 from leadmill.sources.tables import logged, read_table, send_log
 
@@ -108,8 +108,6 @@ add_pages("b1_b2_crawl_summary", lambda p: profiles.crawl_summary(profiles.compa
 add_pages("k7_form_targets", lambda p: outreach.form_targets(profiles.company_profiles(p), skip_with_email=True), f"SELECT page_id, CASE WHEN company_name IS NULL OR email IS NOT NULL THEN 'skip' ELSE 'submit' END AS decision, CASE WHEN company_name IS NULL THEN 'no company name' WHEN email IS NOT NULL THEN 'has email' END AS reason FROM ({PROFILE})")
 add_pages("k4_k5_recipients", lambda p: outreach.recipients(profiles.company_profiles(p), "To {company_name}", "Dear {{company_name}}, this is for {email}."), f"SELECT page_id, email, coalesce(company_name, '御社') AS company_name, 'To ' || coalesce(company_name, '御社') AS subject, 'Dear ' || coalesce(company_name, '御社') || ', this is for ' || email || '.' AS body FROM ({PROFILE}) WHERE email IS NOT NULL")
 add_pages("u10_polite_times", outreach.polite_times, "SELECT k AS page_id, 'c' || s || '.example.jp' AS site, CAST(epoch(TIMESTAMP '2024-01-30 12:00:00') AS BIGINT) AS at_seconds FROM p", gap_seconds=2)
-STORED = f"p AS (SELECT page_id, url, split_part(split_part(url, '//', 2), '/', 1) AS site FROM pages), l AS (SELECT DISTINCT a.page_id, q.page_id AS next FROM ({ANCHORS}) a JOIN p ON p.page_id = a.page_id JOIN p q ON q.url = a.target AND q.site = p.site)"
-FOUND["u9_reached_pages"] = (lambda spark, d: pages.reached(read_table(spark, d, "pages")), f"WITH RECURSIVE {STORED}, r AS (SELECT site, min(page_id) AS page_id, 0 AS hop FROM p GROUP BY 1 UNION SELECT site, next, hop + 1 FROM r JOIN l USING (page_id) WHERE hop < 3) SELECT site, page_id, CAST(hop AS BIGINT) AS hop FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY hop, page_id) AS rn FROM (SELECT site, page_id, min(hop) AS hop FROM r GROUP BY 1, 2)) WHERE rn <= 15")
 FOUND["h1_visible_text"] = (lambda spark, d: pages.visible_texts(read_table(spark, d, "pages")), f"SELECT page_id, {visible('html')} AS text FROM pages")
 FOUND["h2_headings"] = (lambda spark, d: pages.headings(read_table(spark, d, "pages")), "SELECT page_id, 1::BIGINT AS level, 0::BIGINT AS pos, trim(regexp_replace(regexp_replace(regexp_replace(string_split(string_split(html, '<h1>')[2], '</h1>')[1], '&amp;', '&', 'g'), '[ \t\r\n]+', ' ', 'g'), '<[^>]*>', '', 'g')) AS heading FROM pages")
 add_pages("h10_sections", pages.page_sections, planted("header, footer, images", [(0, None, "Copyright © 2024 株式会社{n} All Rights Reserved", ""), (1, None, "Since 2001", ""), (3, "Open house", None, ""), (6, None, "foot{k}@foot.example.jp", "{n}事務所")]))
@@ -119,7 +117,7 @@ FOUND["u10_site_times"] = (lambda spark, d: outreach.polite_times(read_table(spa
 
 def u6(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read_table(spark, sf_dir, "customer")
-    return pages.allowed(derived.company_pages(customers), derived.robots_rules(customers))
+    return robots.allowed(derived.company_pages(customers), derived.robots_rules(customers))
 
 
 FOUND["u6_allowed"] = (u6, f"{BASE} SELECT k AS page_id, NOT (k % 4 <> 3 AND v IN (0, 1)) AS allowed FROM p")
@@ -164,14 +162,20 @@ add("s6_statuses", derived.form_responses, "events", pages.statuses, "SELECT eve
 
 
 def add_log(name: str, operator: Callable[..., DataFrame], sql: str, **parameters: object) -> None:
-    add(name, send_log, "events", operator, f"WITH log AS ({LOG}) {sql}", **parameters)
+    more = " RECURSIVE" if sql.startswith(",") else ""
+    add(name, send_log, "events", operator, f"WITH{more} log AS ({LOG}) {sql}", **parameters)
 
 
 add_log("l1_l2_found_sends", lambda log: outreach.found_sends(log, 40, 5, send_status="failed", mode="browser", site=None).select("id", "site", "send_status", "mode", F.unix_micros("sent_at").alias("sent_us")), "SELECT id, site, send_status, mode, epoch_us(sent_at) AS sent_us FROM log WHERE send_status = 'failed' AND mode = 'browser' ORDER BY sent_at DESC, id DESC LIMIT 40 OFFSET 5")
 add_log("l4_send_statistics", outreach.send_statistics, "SELECT send_status, count(*) AS n, count(*) FILTER (CAST(sent_at AS DATE) = DATE '2024-01-30') AS n_today, count(DISTINCT site) AS n_recipients FROM log GROUP BY GROUPING SETS ((), (send_status))")
 add_log("b4_submission_summary", outreach.submission_summary, "SELECT send_status, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM log GROUP BY 1")
 RUNS = "SELECT CAST(sent_at AS DATE) AS d, mode, count(*) AS total, count(*) FILTER (send_status = 'success') AS successful, count(*) FILTER (send_status <> 'success') AS failed, list(id || ':' || send_status ORDER BY id) FILTER (send_status <> 'success') AS bad FROM log GROUP BY 1, 2"
-add_log("x2_cooldown_sends", outreach.cooled_down, "SELECT id, site FROM (SELECT id, site, sent_at, row_number() OVER (PARTITION BY site ORDER BY sent_at, id) AS rn FROM log) WHERE rn = 1", days=30)
+add_log("x2_cooldown_sends", cooldown.cooled_down, "SELECT id, site FROM (SELECT id, site, sent_at, row_number() OVER (PARTITION BY site ORDER BY sent_at, id) AS rn FROM log) WHERE rn = 1", days=30)
+add_log("x2_cooldown_of_days", cooldown.cooled_down, """, f AS (SELECT site, min({'at': sent_at, 'id': id}) AS x FROM log GROUP BY 1),
+ r AS (SELECT site, x, 1 AS n FROM f UNION ALL SELECT r.site, min({'at': l.sent_at, 'id': l.id}), r.n + 1 FROM r JOIN log l ON l.site = r.site AND l.sent_at >= r.x.at + INTERVAL 2 DAY GROUP BY r.site, r.n)
+SELECT x.id AS id, site FROM r""", days=2)
+add_log("x3_sliding_hours", outreach.sliding_hours, """SELECT epoch_us(f) AS from_us, epoch_us(f + INTERVAL 1 HOUR) AS to_us, count(*) AS n, count(*) FILTER (send_status = 'success') AS n_success, count(*) > 20 AS over_cap
+ FROM (SELECT send_status, unnest(range(time_bucket(INTERVAL 5 MINUTE, sent_at) - INTERVAL 55 MINUTE, time_bucket(INTERVAL 5 MINUTE, sent_at) + INTERVAL 1 MINUTE, INTERVAL 5 MINUTE)) AS f FROM log) GROUP BY f""", cap=20)
 add_log("k9_bulk_results", lambda log: outreach.rolled_up(outreach.campaign_runs(log)), f"SELECT strftime(d, '%Y-%m-%d') AS day, mode, total, successful, failed, coalesce(array_to_string(bad[1:3], ','), '') AS first_failures FROM ({RUNS})")
 add_log("k8_campaign_statistics", lambda log: outreach.campaign_statistics(outreach.campaign_runs(log), outreach.sent_history(log)), f"SELECT count(*) AS total_campaigns, sum(successful)::BIGINT AS total_sent, sum(failed)::BIGINT AS total_failed, (SELECT count(DISTINCT site) FROM log WHERE send_status = 'success') AS unique_recipients FROM ({RUNS})")
 

@@ -34,9 +34,6 @@ def visible(x: str) -> str:
 
 
 HREF = r"regexp_replace(trim(href), '#.*$', '')"
-ANCHORS = rf"""SELECT page_id, pos, url, CASE WHEN h = '' THEN NULL WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h
- WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(h, '?') THEN string_split(url, '?')[1] || h ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS target
- FROM (SELECT page_id, url, i - 1 AS pos, {HREF.replace("href", "a[i]")} AS h FROM (SELECT page_id, url, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page_id, url, regexp_extract_all(html, '<a[^>]*href="([^"]*)"', 1) AS a FROM pages)))"""
 SECTIONS = rf"""SELECT page_id, url, nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '') AS title, nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '') AS h1,
  nullif({visible("regexp_extract(html, '(?is)<footer[^>]*>(.*?)</footer>', 1)")}, '') AS footer, CAST(length({visible("html")}) AS BIGINT) AS text_chars FROM pages"""
 NAME = r"trim(regexp_extract(footer, '(?:&copy;|©) *([^&]+)', 1))"
@@ -57,7 +54,6 @@ add("u1_clean_urls", "pages", pages.cleaned_urls, r"SELECT page_id, CASE WHEN st
 add("u3_first_urls", "pages", pages.first_urls, r"SELECT page_id, CASE WHEN url LIKE 'http%' THEN trim(url) ELSE 'https://' || trim(url) END AS url FROM pages WHERE trim(url) <> '' AND lower(trim(url)) <> 'nan' ORDER BY page_id, url LIMIT 100", n=100)
 add("u2_exclude_patterns", "pages", pages.excluded, "SELECT page_id, url, CASE WHEN contains(url, 'm.') OR contains(url, '.net') THEN 'skipped' ELSE 'pending' END AS crawl_status FROM pages", patterns=["m.", ".net"])
 add("u4_url_parts", "pages", pages.url_parts, rf"SELECT page_id, string_split(url, '/')[1] || '//' || {HOST.format('url')} AS origin, {HOST.format('url')} AS host, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/') AS path, CASE WHEN contains(url, '?') THEN nullif(string_split(string_split(url, '?')[2], '#')[1], '') END AS query FROM pages")
-add("u7_site_links", "pages", pages.site_links, f"SELECT DISTINCT page_id, target FROM ({ANCHORS}) WHERE {HOST.format('url')} = {HOST.format('target')}")
 IN_TAG, IN_HREF = (p.replace("'", "''") for p in (pages.IN_TAG, pages.HREF))
 LINKS = rf"""SELECT page_id, pos, url, text, CASE WHEN starts_with(href, '?') THEN regexp_replace(url, '[?#].*$', '') || h WHEN h = '' THEN NULL WHEN regexp_matches(h, '^https?://') THEN h WHEN starts_with(h, '//') THEN regexp_extract(url, '^(https?:)', 1) || h
  WHEN starts_with(h, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || h WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || h END AS target
@@ -86,9 +82,9 @@ add_log("q3_state_shares", outreach.state_shares, f"SELECT status, n, round(100.
 add_log("u11_gap_violations", outreach.gaps, "SELECT * FROM (SELECT id, site, epoch_us(sent_at) - epoch_us(lag(sent_at) OVER (PARTITION BY site ORDER BY sent_at, id)) AS gap_us FROM log) WHERE gap_us < 3600000000", seconds=3600)
 add_log("x3_hourly_counts", outreach.hourly_counts, "SELECT epoch_us(date_trunc('hour', sent_at)) AS hour_us, send_status, count(*) AS n FROM log GROUP BY 1, 2")
 def every() -> dict[str, tuple[Query, str | None]]:
-    from leadmill.plans import company_queries
+    from leadmill.plans import company_queries, site_queries
 
-    return FOUND | company_queries.FOUND
+    return FOUND | company_queries.FOUND | site_queries.FOUND
 
 
 def queries() -> dict[str, Query]:

@@ -84,3 +84,39 @@ def model_replies(customers: DataFrame) -> DataFrame:
     reply = chosen(F.col("c_custkey") % 4, {v: filled(t, n=name, k=k) for v, t in forms.items()})
     at = F.lit("2024-01-30 12:00:00").cast("timestamp") - F.make_dt_interval(hours=(F.col("c_custkey") % 48).cast("int"))
     return customers.select(F.concat(F.lit("https://c"), k, F.lit(".example.jp/")).alias("url"), F.col("c_custkey").alias("page_id"), reply.alias("reply"), at.alias("responded_at"))
+
+
+#: Customers that make up one site of linked pages.
+SITE_PAGES = 24
+LINKED = """<html><body><!-- <a href="/p{next}">old</a> --><script>var a = '<a href="/p5">no</a>';</script><A CLASS="x" HREF='/p{b}'>Two</A><a title="a > b" href="/p{a}#part">One</a><a href=/p{c}>{word}</a>
+<a href="https://other.example/p1">Elsewhere</a><a href="mailto:x@y.example">Mail</a><a href="#top">Top</a><a name="none">No link</a><a href="./p{d}?x=1&amp;y=2">Three</a><a href="/missing{j}">Gone</a><a href="//{host}/p{e}">Four</a>
+<a href="/p{a}">Again</a><a href="/p{f}">Five</a><a href="/p{g}">Six</a>{form}</body></html>"""
+
+
+def linked_pages(customers: DataFrame) -> DataFrame:
+    """page_id, url, html: sites of 24 pages that link each other in all ways that anchors are written; every seventh page has a form, page 8
+    is empty."""
+    j, site = F.col("c_custkey") % SITE_PAGES, F.floor(F.col("c_custkey") / SITE_PAGES).cast("string")
+    host = F.concat(F.lit("g"), site, F.lit(".example.jp"))
+    to = lambda x: (x % SITE_PAGES).cast("string")
+    targets = {"a": 2 * j + 1, "b": 2 * j + 2, "c": j + 7, "d": j + 11, "e": j + 13, "f": j + 3, "g": j + 5, "next": j + 1, "j": j}
+    word = F.when(j % 3 == 0, "お問い合わせ").otherwise("Seven")
+    html = filled(LINKED, host=host, word=word, form=F.when(j % 7 == 3, "<FORM></FORM>").otherwise(""), **{k: to(v) for k, v in targets.items()})
+    return customers.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://"), host, F.lit("/p"), to(j)).alias("url"), F.when(j != 8, html).alias("html"))
+
+
+def site_rules(pages: DataFrame) -> DataFrame:
+    """origin, agent, seq, allow, path_prefix: rules of each page's site, by the length of its origin; every fifth has none."""
+    origins = pages.select(F.nullif(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), F.lit("")).alias("origin")).where("origin is not null").distinct()
+    rule = lambda r: F.struct(*[F.lit(v).alias(c) for v, c in zip(r, ("agent", "seq", "allow", "path_prefix"), strict=True)])
+    by = chosen(F.length("origin") % 5, {v: F.array(*map(rule, rules)) for v, rules in SITE_RULES.items()}, None)
+    return origins.select("origin", F.explode(by).alias("r")).select("origin", "r.*")
+
+
+#: Rules by the length of the origin % 5: overlapping prefixes, equal numbers, agents, escapes, an empty rule and a sign that no path begins with.
+SITE_RULES = {
+    1: [("*", 1, False, "/en/1"), ("*", 2, True, "/en/"), ("*", 3, False, "/")],
+    2: [("*", 1, False, "/"), ("LeadBot", 5, True, "/fr"), ("LeadBot", 5, False, "/fr/8"), ("LeadBot", 5, True, "/en/"), ("LeadBot", 6, False, "/e")],
+    3: [("other", 1, False, "/"), ("*", 2, False, "/%65n/3"), ("*", 3, True, "/en"), ("*", 4, False, "*")],
+    4: [("*", 1, False, ""), ("*", 2, False, "/"), ("lead", 3, False, "/de"), ("leadbot", 4, False, "/es")],
+}

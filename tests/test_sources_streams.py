@@ -82,7 +82,7 @@ def streamed(spark, tmp_path, name, batches, schema, operator, mode):
 
 def test_cooldown_counts_and_states(spark, tmp_path):
     sends = [[{"email": "a", "sent_at": "2024-01-01T00:00:00Z"}, {"email": "a", "sent_at": "2024-01-02T00:00:00Z"}], [{"email": "b", "sent_at": "2024-01-03T00:00:00Z"}, {"email": "a", "sent_at": "2024-01-04T00:00:00Z"}]]
-    assert sorted(r.email for r in streamed(spark, tmp_path, "cool", sends, "email string, sent_at timestamp", streams.cooled_down, "append").collect()) == ["a", "b"]
+    assert sorted(r.email for r in streamed(spark, tmp_path, "cool", sends, "email string, sent_at timestamp", streams.first_of_cooldown, "append").collect()) == ["a", "b"]
     row = lambda i, site, status, at: {"id": i, "site": site, "send_status": status, "sent_at": f"2024-01-01T{at}Z"}
     logs = [[row(1, 7, "queued", "00:10:00"), row(2, 8, "queued", "01:10:00")], [row(3, 7, "success", "00:50:00"), row(4, 7, "queued", "00:40:00")]]
     states = streamed(spark, tmp_path, "states", logs, LOG, streams.latest_states, "complete")

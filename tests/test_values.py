@@ -108,13 +108,3 @@ def test_forms_of_odd_pages(spark):
         rows = page(spark, html)
         assert forms.scored_forms(rows).count() >= 0 and forms.analysed_forms(rows).count() >= 0 and forms.multi_step(rows).count() >= 0
     assert [(r.name, r.required) for r in forms.form_fields(page(spark, "<form><form><input name=a required><select name='b'></form>")).orderBy("field_pos").collect()] == [("a", True), ("b", False)]
-
-
-def test_rules_and_reach(spark):
-    rows = spark.createDataFrame([(1, "https://h.jp/", "<a href='/a'>x"), (2, "https://h.jp/a", '<a href="/b">x'), (3, "https://h.jp/b", ""), (4, "https://h.jp/c", None), (5, "https://other.jp/", "")], "page_id long, url string, html string")
-    linked = rows.replace("<a href='/a'>x", '<a href="/a">x', "html")
-    got = {r.page_id: r.hop for r in pages.reached(linked, hops=2).collect()}
-    assert got == {1: 0, 2: 1, 3: 2, 5: 0} and pages.reached(linked, hops=1).count() == 3 and pages.reached(linked, most=1).count() == 2
-    rules = spark.createDataFrame([("https://h.jp", "*", 1, True, "/a"), ("https://h.jp", "*", 2, False, "/"), ("https://h.jp", "other", 0, False, "/a")], "origin string, agent string, seq int, allow boolean, path_prefix string")
-    assert {r.page_id: r.allowed for r in pages.allowed(rows, rules).collect()} == {1: False, 2: True, 3: False, 4: False, 5: True}
-    assert pages.allowed(rows, rules, ignore=True).where("allowed").count() == 5
