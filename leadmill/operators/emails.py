@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
+from leadmill.functions.structured import strings_of_objects
 from leadmill.functions.text import EMAIL, normalised_email, plain_signs, valid_email
 
 #: Words that tell an address, those that raise its score, and the detectors' base scores. Fixed values.
@@ -13,7 +14,6 @@ KEYWORDS = ["email", "mail", "e-mail", "メール", "メールアドレス", "co
 CONTEXT = ["mail", "email", "contact", "inquiry", "メール", "お問い合わせ", "連絡先"]
 BASE = {"mailto_link": 45, "definition_list": 38, "label_value_pair": 37, "table_cell": 35, "list_item_email": 32, "regex_plain": 25, "text_scanning": 20, "dom_inspection": 30, "jsonld_schema": 35}
 CONTACT_CLASS = r"""(?is)<(div|span)\s[^>]*class\s*=\s*["'][^"']*(?:email|contact)[^"']*["'][^>]*>(.*?)</\1\s*>"""
-STRING_VALUE = r'"(?:[^"\\]|\\.)*"\s*:\s*"((?:[^"\\]|\\.)*)"'
 FOUND = "array<struct<method:string,raw:string,snippet:string>>"
 
 
@@ -45,7 +45,7 @@ def detected(html: Column) -> Column:
     row = lambda c: F.when((F.size(c) >= 2) & told(F.get(c, F.lit(0))), mails("table_cell", F.get(c, F.lit(1)), F.concat(F.get(c, F.lit(0)), F.lit(": "), F.get(c, F.lit(1))))).otherwise(none)
     item = lambda t: F.when(told(t), mails("list_item_email", t, F.substring(t, 1, 150))).otherwise(none)
     plain = F.transform(mails("regex_plain", html, F.lit("")), lambda c: F.struct(c["method"], c["raw"], snippet(html, c["raw"]).alias("snippet")))
-    json = F.filter(each(F.filter(H.every(html, H.JSON_LD, 1), lambda b: F.try_parse_json(b).isNotNull()), lambda b: H.every(b, STRING_VALUE, 1)), lambda v: v.rlike(f"^(?:{EMAIL})"))
+    json = F.filter(strings_of_objects(html), lambda v: v.rlike(f"^(?:{EMAIL})"))
     return F.concat(
         each(links, lambda x: F.slice(mails("mailto_link", H.attribute(F.concat(F.lit(" "), x["a"]), "href"), F.substring(H.inner_text(x["b"]), 1, 100)), 1, 1)),
         each(pairs, lambda x: labelled("definition_list", x)), each(siblings, lambda x: labelled("label_value_pair", x)),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
+from leadmill.functions.structured import json_nodes, text_of
 
 #: Keywords by industry, in order of precedence, and their names. Fixed values.
 KEYWORDS = {
@@ -50,16 +51,24 @@ def shown(industry: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for p in NAMES.items() for x in p]), industry)
 
 
+def structured_industry(html: Column) -> Column:
+    """The first industry that an object of the structured data tells of, each before those within it: by the keywords of its fields in
+    their order, else by its type."""
+    field = lambda v, name: F.lower(text_of(F.try_variant_get(v, f"$['{name}']", "variant")))
+    typed = F.create_map(*[F.lit(x) for p in SCHEMA_TYPES.items() for x in p])
+    told = lambda v: F.coalesce(*[best_match(field(v, n)) for n in ("industry", "sector", "businessType", "@type")], F.element_at(typed, field(v, "@type")))
+    found = F.transform(F.filter(json_nodes(html), lambda x: x["kind"] == "object"), lambda x: told(x["v"]))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
 def page_industries(pages: DataFrame) -> DataFrame:
     """page_id, source, industry, confidence of each source of a page that tells of an industry."""
     html = F.col("html")
-    values = lambda keys: F.lower(F.array_join(F.flatten(F.transform(H.every(html, H.JSON_LD, 1), lambda b: F.when(F.try_parse_json(b).isNotNull(), H.every(b, rf'"(?:{keys})"\s*:\s*"([^"]*)"', 1)).otherwise(F.array().cast("array<string>")))), " "))
     meta = lambda name: F.lower(F.coalesce(H.meta_content(html, name), F.lit("")))
     heads = F.slice(H.every(html, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1), 1, 3)
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)
-    rows = pages.select("page_id", values("industry|sector|businessType|@type").alias("json"), values("@type").alias("type"), meta("description").alias("description"), meta("og:description").alias("og"), meta("keywords").alias("keywords"), F.lower(H.inner_text(F.concat_ws(" ", title, heads))).alias("head"))
-    typed = F.element_at(F.create_map(*[F.lit(x) for p in SCHEMA_TYPES.items() for x in p]), F.col("type"))
-    found = rows.select("page_id", F.coalesce(best_match(F.col("json")), typed).alias("jsonld"), *[best_match(F.col(c)).alias(f"by_{c}") for c in ("description", "og", "keywords")], best_match(F.concat_ws(" ", "head", "description")).alias("text"))
+    rows = pages.select("page_id", structured_industry(html).alias("jsonld"), meta("description").alias("description"), meta("og:description").alias("og"), meta("keywords").alias("keywords"), F.lower(H.inner_text(F.concat_ws(" ", title, heads))).alias("head"))
+    found = rows.select("page_id", "jsonld", *[best_match(F.col(c)).alias(f"by_{c}") for c in ("description", "og", "keywords")], best_match(F.concat_ws(" ", "head", "description")).alias("text"))
     one = lambda source, industry, conf: F.struct(F.lit(source).alias("source"), shown(industry).alias("industry"), conf.alias("conf"))
     meta_conf = F.when(F.coalesce("by_description", "by_og").isNotNull(), 80).otherwise(75)
     each = F.array(one("jsonld", F.col("jsonld"), F.lit(90)), one("metadata", F.coalesce("by_description", "by_og", "by_keywords"), meta_conf), one("text", F.col("text"), F.lit(60)))

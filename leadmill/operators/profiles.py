@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
+from leadmill.functions.structured import json_nodes, text_of
 from leadmill.operators import companies, emails, forms, industry
 from leadmill.operators.pages import crawl_status, host
 
@@ -70,9 +71,14 @@ def shredded(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
 
 
+def json_tree(pages: DataFrame) -> DataFrame:
+    """page_id, block, path, key, kind, value of every scalar in the structured data of a page, at whatever depth; containers beyond the cap are
+    given as JSON."""
+    leaves = F.filter(json_nodes(F.col("html")), lambda x: ~x["kind"].isin("object", "array") | x["open"])
+    rows = pages.select("page_id", F.explode(F.transform(leaves, lambda x: F.struct(x["block"], x["path"], x["key"], x["kind"], text_of(x["v"]).alias("value")))).alias("x"))
+    return rows.select("page_id", "x.*")
+
+
 def json_values(pages: DataFrame) -> DataFrame:
-    """page_id, block, key, value of every string in the structured data of a page, at whatever depth."""
-    string = r'"((?:[^"\\]|\\.)*)"\s*:\s*"((?:[^"\\]|\\.)*)"'
-    blocks = pages.select("page_id", F.posexplode(H.every(F.col("html"), H.JSON_LD, 1)).alias("block", "json")).where(F.try_parse_json("json").isNotNull())
-    rows = blocks.select("page_id", F.col("block").cast("long").alias("block"), F.explode(H.every_pair(F.col("json"), string, 1, 2)).alias("p"))
-    return rows.select("page_id", "block", F.col("p.a").alias("key"), F.col("p.b").alias("value"))
+    """page_id, block, key, value of every string that is an object's value in the structured data of a page."""
+    return json_tree(pages).where("kind = 'string' and key is not null").select("page_id", "block", "key", "value")

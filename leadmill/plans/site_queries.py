@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leadmill.operators import pages, reach, robots
+from leadmill.operators import emails, industry, pages, profiles, reach, robots
 from leadmill.sources import derived
 from leadmill.sources.tables import read_table
 
@@ -65,3 +65,21 @@ FOUND["u6_prefix_rules"] = (u6, rf"""WITH r(v, agent, seq, allow, path) AS (VALU
  g AS (SELECT v, coalesce(arg_min(agent, seq) FILTER (agent <> '*' AND contains('leadbot', lower(agent))), '*') AS agent FROM r GROUP BY 1),
  m AS (SELECT page_id, url, allow OR r.path = '' AS allow, row_number() OVER (PARTITION BY page_id, url ORDER BY seq, length(url_decode(r.path)) DESC, allow DESC) AS rn FROM p JOIN g USING (v) JOIN r ON r.v = p.v AND r.agent = g.agent AND starts_with(p.path, url_decode(r.path)))
 SELECT p.page_id, coalesce(m.allow, true) AS allowed FROM p LEFT JOIN m ON m.page_id = p.page_id AND m.url = p.url AND rn = 1""")
+
+
+def on_graphs(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: operator(derived.graph_pages(read_table(spark, d, "customer")))
+
+
+#: What each of the four pages with structured data holds, as it stands in the templates.
+LEAVES = """(0, 0, '$.@graph[0].@type', '@type', 'string', 'WebSite'), (0, 0, '$.@graph[0].name', 'name', 'string', 'a "quoted" 日'), (0, 0, '$.@graph[1].@type', '@type', 'string', 'Organization'),
+ (0, 0, '$.@graph[1].contactPoint.email', 'email', 'string', 'deep{k}@g.example.jp'), (0, 0, '$.@graph[1].contactPoint.tel[0]', NULL, 'string', '03'), (0, 0, '$.@graph[1].contactPoint.tel[1]', NULL, 'string', '04'),
+ (0, 0, '$.@graph[1].n', 'n', 'number', '3.5'), (0, 0, '$.@graph[1].none', 'none', 'null', NULL), (0, 0, '$.@graph[1].ok', 'ok', 'boolean', 'true'),
+ (1, 0, '$[0].mails[0]', NULL, 'string', 'no{k}@arr.example.jp'), (1, 0, '$[0].email', 'email', 'string', 'yes{k}@arr.example.jp'), (1, 0, '$[1].@type', '@type', 'string', 'Hospital'), (1, 0, '$[1].beds', 'beds', 'number', '{k}'),
+ (2, 1, '$.a.b.c.d.industry', 'industry', 'string', '物流の会社'), (2, 1, '$.@type[0]', NULL, 'string', 'Thing'), (2, 1, '$.@type[1]', NULL, 'string', 'Store')"""
+FOUND["h4_json_tree"] = (on_graphs(profiles.json_tree), f"""SELECT c_custkey AS page_id, block::BIGINT AS block, path, key, kind, replace(value, '{{k}}', CAST(c_custkey AS VARCHAR)) AS value
+ FROM customer JOIN (VALUES {LEAVES}) t(v, block, path, key, kind, value) ON v = c_custkey % 4""")
+FOUND["e9_structured_addresses"] = (on_graphs(lambda p: emails.candidates(p).where("method = 'jsonld_schema'").select("page_id", "email")), """SELECT c_custkey AS page_id,
+ CASE c_custkey % 4 WHEN 0 THEN 'deep' || c_custkey || '@g.example.jp' ELSE 'yes' || c_custkey || '@arr.example.jp' END AS email FROM customer WHERE c_custkey % 4 < 2""")
+FOUND["i3_structured_industries"] = (on_graphs(lambda p: industry.page_industries(p).where("source = 'jsonld'")), """SELECT c_custkey AS page_id, 'jsonld' AS source,
+ CASE c_custkey % 4 WHEN 1 THEN '医療・ヘルスケア' ELSE '物流・運輸' END AS industry, 0.9::DOUBLE AS confidence FROM customer WHERE c_custkey % 4 IN (1, 2)""")

@@ -120,3 +120,19 @@ SITE_RULES = {
     3: [("other", 1, False, "/"), ("*", 2, False, "/%65n/3"), ("*", 3, True, "/en"), ("*", 4, False, "*")],
     4: [("*", 1, False, ""), ("*", 2, False, "/"), ("lead", 3, False, "/de"), ("leadbot", 4, False, "/es")],
 }
+
+
+#: Pages with structured data of all shapes, by key % 4: a graph with escapes and scalars, a list, a broken block before a deep one, none.
+GRAPHS = {
+    0: """<script type="application/ld+json">{{"@graph":[{{"@type":"WebSite","name":"a \\"quoted\\" \\u65e5"}},{{"@type":"Organization","contactPoint":{{"email":"deep{k}@g.example.jp","tel":["03","04"]}},"n":3.5,"ok":true,"none":null}}]}}</script>""",
+    1: """<SCRIPT TYPE='application/ld+json'>[{{"mails":["no{k}@arr.example.jp"],"email":"yes{k}@arr.example.jp"}},{{"@type":"Hospital","beds":{k} }}]</SCRIPT>""",
+    2: """<script type="application/ld+json">{{"industry":"金融",}}</script><script id=x type=application/ld+json>{{"a":{{"b":{{"c":{{"d":{{"industry":"物流の会社"}}}}}}}},"@type":["Thing","Store"],"e":{{}},"f":[]}}</script>""",
+    3: """<script type="application/ld+json"></script><script>{{"industry":"金融","email":"script{k}@no.example.jp"}}</script>""",
+}
+
+
+def graph_pages(customers: DataFrame) -> DataFrame:
+    """page_id, url, html: a page for each customer whose content is structured data."""
+    k = F.col("c_custkey").cast("string")
+    html = chosen(F.col("c_custkey") % 4, {v: filled(t, k=k) for v, t in GRAPHS.items()})
+    return customers.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://j"), k, F.lit(".example.jp/")).alias("url"), html.alias("html"))
