@@ -5,6 +5,7 @@ Confidences are whole hundredths until the last step. Full-width letters and sig
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,10 +45,21 @@ def holds(text: Column, words: list[str]) -> Column:
     return F.exists(array(words), lambda w: F.contains(text, w))
 
 
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value) with value worked out once, however often of uses it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def repaired(text: Column) -> Column:
+    """Text whose UTF-8 was read as Latin-1, read anew; other text as it is."""
+    narrow = lambda t: t.rlike(r"^[\x00-\xFF]*[\x80-\xFF][\x00-\xFF]*$")
+    return bound(text, lambda t: F.coalesce(F.when(narrow(t), F.try_validate_utf8(F.encode(F.when(narrow(t), t), "ISO-8859-1").cast("string"))), t))
+
+
 def clean(text: Column) -> Column:
-    """Full-width letters, digits and signs folded, white space squeezed."""
+    """Read anew where its encoding was mistaken; full-width letters, digits and signs folded, white space squeezed."""
     wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    return F.trim(F.regexp_replace(F.translate(text, wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(repaired(text), wide, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "), r"\s+", " "))
 
 
 def without_seo(text: Column) -> Column:
@@ -96,9 +108,13 @@ def when_valid(found: Column, garbage: bool = True) -> Column:
 
 def labelled(pairs: Column, method: str, legal: int, base: int, garbage: bool) -> Column:
     """Candidates of (label, value) pairs whose label announces a name; step by step, so that no step is written out twice."""
-    known = F.transform(F.filter(pairs, lambda p: ~p["value"].rlike(DATE) & valid(p["value"])), lambda p: F.struct(label_boost(p["label"]).alias("boost"), clean(without_seo(p["value"])).alias("value")))
+    read = F.transform(pairs, lambda p: F.struct(repaired(p["label"]).alias("label"), repaired(p["value"]).alias("value")))
+    fit = F.filter(read, lambda p: ~p["value"].rlike(DATE) & valid(p["value"]))
+    known = F.transform(fit, lambda p: F.struct(label_boost(p["label"]).alias("boost"), clean(without_seo(p["value"])).alias("value")))
     named = F.transform(F.filter(known, lambda p: p["boost"].isNotNull()), lambda p: F.struct(p["boost"], unmixed(p["value"]).alias("name")))
-    return when_valid(F.transform(named, lambda p: candidate(method, p["name"], F.when(has_legal(p["name"]), legal).otherwise(base + 4 * p["boost"] / 100))), garbage)
+    fuller = lambda name: completeness(name) * 0.02 if method == "table_field" else F.lit(0)
+    sure = lambda p: F.when(has_legal(p["name"]), legal).otherwise(base + 4 * p["boost"] / 100) + fuller(p["name"])
+    return when_valid(F.transform(named, lambda p: candidate(method, p["name"], F.least(F.lit(99), sure(p)))), garbage)
 
 
 def detected(html: Column) -> Column:
@@ -226,12 +242,6 @@ def completeness(name: Column) -> Column:
     return F.least(score, F.lit(100))
 
 
-def repaired(text: Column) -> Column:
-    """Text whose UTF-8 was read as Latin-1, read anew; other text as it is."""
-    narrow = text.rlike(r"^[\x00-\xFF]*[\x80-\xFF][\x00-\xFF]*$")
-    return F.coalesce(F.when(narrow, F.try_validate_utf8(F.encode(F.when(narrow, text), "ISO-8859-1").cast("string"))), text)
-
-
 def basic_names(pages: DataFrame) -> DataFrame:
     """The title up to its first dash or bar, else og:title."""
     title = H.inner_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title", 1))

@@ -108,13 +108,14 @@ def basic_forms(pages: DataFrame) -> DataFrame:
     return forms.unionByName(links).where("form_url is not null").distinct()
 
 
-def scored_forms(pages: DataFrame) -> DataFrame:
-    """Forms that aren't excluded, with counts of their fields, keywords, score in hundredths and a remark."""
+def scored_forms(pages: DataFrame, found_by: str | None = None) -> DataFrame:
+    """Forms that aren't excluded, with counts of their fields, keywords, score in hundredths and a remark. found_by: how all the pages were found;
+    without it their paths tell."""
     count = lambda test: F.size(F.filter("fields", test))
     has = lambda kind: F.exists("fields", lambda f: f["kind"] == kind)
     path = F.regexp_extract("url", r"^https?://[^/?#]+([^#]*)", 1)
     rows = page_forms(pages).where(~F.lower("form").rlike(EXCLUDED)).select(
-        "page_id", "url", "pos", "button", F.when(F.col("method") == "", "GET").otherwise(F.col("method")).alias("method"), F.when(path.rlike(CONTACT_PATHS), "pattern_match").otherwise("crawl").alias("detection"),
+        "page_id", "url", "pos", "button", F.when(F.col("method") == "", "GET").otherwise(F.col("method")).alias("method"), F.lit(found_by).alias("detection") if found_by else F.when(path.rlike(CONTACT_PATHS), "pattern_match").otherwise("crawl").alias("detection"),
         *[has(k).alias(f"has_{k}") for k in FIELD_KINDS], F.exists("fields", lambda f: f["message"]).alias("has_message"), count(lambda f: f["required"]).alias("n_required"),
         count(lambda f: (f["element"] != "textarea") & f["type"].isin("text", "email", "tel", "url")).alias("n_text"), F.size(hits(F.col("text"), CONTACT_TEXTS.split("|"))).alias("n_keywords"),
     )
@@ -122,7 +123,7 @@ def scored_forms(pages: DataFrame) -> DataFrame:
     score = F.lit(10) + F.least(F.lit(20), 5 * F.col("n_keywords"))
     for flag, n in points.items():
         score = score + F.when(F.col(flag), n).otherwise(0)
-    for test, n in ((F.col("n_text") >= 1, 8), (F.lower("url").rlike("contact|inquiry|form|otoiawase|toiawase"), 25), (F.coalesce(F.lower("button").rlike("send|送信|submit|確認|confirm"), F.lit(False)), 15), (F.col("method") == "POST", 10), (F.col("n_required") >= 2, 8), (F.col("detection") == "pattern_match", 40)):
+    for test, n in ((F.col("n_text") >= 1, 8), (F.lower("url").rlike("contact|inquiry|form|otoiawase|toiawase"), 25), (F.coalesce(F.lower("button").rlike("send|送信|submit|確認|confirm"), F.lit(False)), 15), (F.col("method") == "POST", 10), (F.col("n_required") >= 2, 8), (F.col("detection").isin("pattern_match", "parameter_link"), 40)):
         score = score + F.when(test, n).otherwise(0)
     rows = rows.withColumn("score", F.least(F.lit(100), F.greatest(F.lit(10), score)).cast("long"))
     names = F.concat_ws(", ", *[F.when(F.col(f"has_{k}"), k) for k in ("email", "phone", "name", "message")])
@@ -133,7 +134,9 @@ def scored_forms(pages: DataFrame) -> DataFrame:
 def best_forms(pages: DataFrame, keep: int = 3) -> DataFrame:
     """The best form of each site and its first candidates in rank order."""
     order = F.struct((-F.col("score")).alias("s"), "page_id", "pos", "url", "score", "detection")
-    sites = scored_forms(pages).groupBy(host(F.col("url")).alias("site")).agg(F.array_sort(F.collect_list(order)).alias("all"))
+    found = scored_forms(pages).select(host(F.col("url")).alias("site"), order.alias("order"))
+    first = found.withColumn("rank", F.row_number().over(Window.partitionBy("site").orderBy("order"))).where(F.col("rank") <= keep)  # keep rows a site and task
+    sites = first.groupBy("site").agg(F.array_sort(F.collect_list("order")).alias("all"))
     top = F.col("all")[0]
     return sites.select("site", top["url"].alias("form_url"), (top["score"] / F.lit(100.0)).alias("score"), top["detection"].alias("detection"), F.array_join(F.transform(F.slice("all", 1, keep), lambda c: F.concat_ws(":", c["page_id"].cast("string"), c["pos"].cast("string"), c["score"].cast("string"))), ",").alias("candidates"))
 
@@ -153,6 +156,52 @@ def parameter_links(pages: DataFrame) -> DataFrame:
     return links.where(F.col("text").rlike(CONTACT_TEXTS) | query.rlike("(?i)inquiry|contact|form|CNo|uid")).select("page_id", "target").distinct()
 
 
+def parameter_forms(pages: DataFrame, keep: int = 3) -> DataFrame:
+    """page_id, form_url, score, candidates, remark: of each page the best form behind its links with a query that tells of contact, and the
+    first so many in rank order. Links are joined with the stored pages that they lead to; those without a form give nothing."""
+    address = F.regexp_replace("url", r"#.*$", "")
+    links = parameter_links(pages).withColumnRenamed("page_id", "from_id")
+    targets = pages.join(links.select(F.col("target").alias("t")).distinct().hint("merge"), address == F.col("t"), "left_semi")
+    scored = scored_forms(targets, "parameter_link").select(address.alias("target"), "page_id", "pos", "score")
+    met = links.hint("merge").join(scored, "target")
+    order = Window.partitionBy("from_id").orderBy(F.desc("score"), "target", "page_id", "pos")
+    first = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    said = F.concat_ws(":", "target", F.col("pos").cast("string"), F.col("score").cast("string"))
+    best = first.groupBy(F.col("from_id").alias("page_id")).agg(F.min_by(F.struct("target", "score"), "rank").alias("b"), F.array_sort(F.collect_list(F.struct("rank", said.alias("said")))).alias("all"))
+    told = F.concat(F.lit("Found via parameter link (score: "), F.format_string("%.2f", F.col("b.score") / F.lit(100.0)), F.lit(")"))
+    joined = F.array_join(F.transform("all", lambda c: c["said"]), ",")
+    return best.select("page_id", F.col("b.target").alias("form_url"), (F.col("b.score") / F.lit(100.0)).alias("score"), joined.alias("candidates"), told.alias("remark"))
+
+
+def guarded_forms(pages: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The queue rows of forms behind a captcha: url, form_url, captcha, company_name, email, form_action, form_method, required_fields, notes,
+    status. profiles(page_id, company_name, email) may lack pages; of repeated ids the greatest values count."""
+    named = lambda f: (f["name"] != "") & ~f["type"].isin("submit", "button", "reset", "hidden", "image") & f["required"]
+    action = F.when(F.col("action") != "", F.coalesce(joined_url(F.col("url"), F.col("action")), "action"))
+    rows = page_forms(pages).withColumn("captcha", captcha_type(F.col("html"))).where("captcha is not null").select(
+        "page_id", "pos", "url", F.col("url").alias("form_url"), "captcha", action.alias("form_action"), F.when(F.col("method") == "", "POST").otherwise(F.col("method")).alias("form_method"),
+        F.transform(F.filter("fields", named), lambda f: f["name"]).alias("required_fields"),
+    )
+    known = profiles.groupBy("page_id").agg(F.max("company_name").alias("company_name"), F.max("email").alias("email"))
+    note = F.concat(F.lit("CAPTCHA detected during crawl. Manual intervention required."), F.coalesce(F.concat(F.lit(" Email found: "), "email"), F.lit("")))
+    return rows.hint("merge").join(known, "page_id", "left").select(*rows.columns, "company_name", "email", note.alias("notes"), F.lit("pending").alias("status"))
+
+
+def queue_summary(queue: DataFrame) -> DataFrame:
+    """Counts and shares (% of the queue) by status and by captcha type, in one pass."""
+    rows = queue.groupingSets([["status"], ["captcha"], []], "status", "captcha").agg(F.count("*").alias("n"), F.grouping("status").alias("s"), F.grouping("captcha").alias("c"))
+    kind = F.when(F.col("s") == 0, "status").when(F.col("c") == 0, "captcha").otherwise("total")
+    counts = rows.select(kind.alias("kind"), F.coalesce("status", "captcha").alias("name"), "n")
+    total = counts.where("kind = 'total'").select(F.col("n").alias("total"))
+    return counts.crossJoin(F.broadcast(total)).select("kind", "name", "n", F.round(100.0 * F.col("n") / F.col("total"), 1).alias("share"))  # one row
+
+
+def submission_errors(responses: DataFrame) -> DataFrame:
+    """id, url, error of the posts that ended in an error other than a captcha."""
+    failed = captcha_routing(responses).where("status <> 'captcha_blocked'").select("id")
+    return responses.hint("merge").join(failed, "id", "left_semi").select("id", "url", F.coalesce(F.nullif(F.trim("error"), F.lit("")), F.lit("Unknown error")).alias("error"))
+
+
 def captcha_type(html: Column) -> Column:
     return first_pattern(html, CAPTCHA)
 
@@ -211,7 +260,8 @@ def multi_step(pages: DataFrame) -> DataFrame:
 
 
 def outcomes(responses: DataFrame) -> DataFrame:
-    """Confidence that a post succeeded, by status, URL, words, validation errors and a form that is still there; and the strict rule."""
+    """Confidence that a post succeeded, by status, URL, words, validation errors and a form that is still there, with what speaks for and
+    against it; and the strict rule."""
     content, url, back = F.lower(F.coalesce("content", F.lit(""))), F.col("url"), F.col("response_url")
     good, bad, form = hits(content, SUCCESS_WORDS), hits(content, ERROR_WORDS), content.rlike(r"<form[\s>]")
     status, moved = F.col("http_status"), ~back.eqNullSafe(url)
@@ -222,8 +272,14 @@ def outcomes(responses: DataFrame) -> DataFrame:
     )
     points = F.least(F.lit(100), F.greatest(F.lit(0), score))
     warnings = F.concat_ws("; ", F.when(F.size(bad) > 0, F.concat(F.lit("Error keywords: "), F.array_join(F.slice(bad, 1, 3), ", "))), F.when(content.rlike(INVALID), "Validation error detected"), F.when(told_form == -25, "Form still present on same page").when(told_form == -30, "Form on error page").when(told_form == -5, "Form still present"))
+    code = F.concat(F.lit("HTTP "), status.cast("string"), F.when(status.between(200, 299), "").when(status.between(300, 399), " (redirect)").otherwise(" (error)"))
+    known = F.get(F.filter(F.array(*[F.lit(x) for x in SUCCESS_URL.removeprefix("(?i)").split("|")]), lambda x: F.rlike(F.lower(back), x)), F.lit(0))
+    indicators = F.concat_ws(
+        "; ", code, F.when(moved, "URL changed"), F.when(moved, F.concat(F.lit("Success URL pattern: "), known)),
+        F.when(F.size(good) > 0, F.concat(F.lit("Success keywords: "), F.array_join(F.slice(good, 1, 3), ", "))), F.when(told_form == 10, "Form on confirmation page (expected)"),
+    )
     strict = content.rlike(STRICT_SUCCESS) & ~content.rlike(STRICT_ERROR) & ~form
-    return responses.select("id", (points / F.lit(100.0)).alias("confidence"), (points >= 30).alias("success"), warnings.alias("warnings"), strict.alias("strict_success"))
+    return responses.select("id", (points / F.lit(100.0)).alias("confidence"), (points >= 30).alias("success"), indicators.alias("indicators"), warnings.alias("warnings"), strict.alias("strict_success"))
 
 
 def captcha_routing(responses: DataFrame) -> DataFrame:
@@ -242,5 +298,6 @@ def review_queue(responses: DataFrame) -> DataFrame:
 
 def latest_queue(queue: DataFrame) -> DataFrame:
     """The last row of each form, completed ones dropped."""
-    order = F.row_number().over(Window.partitionBy("form_url").orderBy(F.desc("id")))
-    return queue.withColumn("rn", order).where("rn = 1 and status <> 'completed'").drop("rn")
+    others = [c for c in queue.columns if c != "form_url"]
+    last = queue.groupBy("form_url").agg(F.max_by(F.struct(*others), "id").alias("r"))
+    return last.where("r.status <> 'completed'").select(*[f"r.{c}" if c != "form_url" else c for c in queue.columns])

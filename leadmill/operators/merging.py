@@ -75,6 +75,13 @@ def answers(replies: DataFrame) -> DataFrame:
     return best.join(keyed, "url").select("page_id", "field", "b.value", "b.conf")
 
 
+def with_page_addresses(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """found(page_id, ..., email) with the first address of the page that isn't refused where the reply gave none. Only the address of a page is
+    joined; of pages that share an id the one with the least address counts."""
+    own = pages.select("page_id", address_in(F.col("html")).alias("page_email")).where("page_email is not null").groupBy("page_id").agg(F.min("page_email").alias("page_email"))
+    return found.hint("merge").join(own, "page_id", "left").withColumn("email", F.coalesce("email", "page_email")).select(*found.columns)
+
+
 def requests(values: DataFrame) -> DataFrame:
     """The gate: values(page_id, field, value, conf) that are missing or below their field's least confidence."""
     least = F.element_at(F.create_map(*[F.lit(x) for p in ENOUGH.items() for x in p]), F.col("field"))

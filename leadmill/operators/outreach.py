@@ -152,6 +152,29 @@ def recipients(rows: DataFrame, subject: str, body: str) -> DataFrame:
     return filled.select("page_id", "email", "company_name", of(subject).alias("subject"), of(body).alias("body"))
 
 
+#: What a letter says where no template is given. Fixed values.
+DEFAULT_SUBJECT = "{company_name}様へのご提案"
+DEFAULT_MESSAGE = "\n{company_name}様の新製品・サービスについてお問い合わせさせていただきたくご連絡いたしました。\n\n弊社では、企業様のビジネス成長をサポートするサービスを提供しております。\n\n詳細につきましてはお手数ですが、お気軽にお問い合わせください。\n"
+DEFAULT_BODY = "\n{company_name}様\n\nお世話になっております。\n{sender_name}と申します。\n\n{message_body}\n\nご不明な点がございましたら、お気軽にお問い合わせください。\n\nよろしくお願いいたします。\n\n{sender_name}\n{sender_email}\n"
+
+
+def letters(rows: DataFrame, sender_name: str, sender_email: str, subject: str = DEFAULT_SUBJECT, body: str = DEFAULT_BODY, message: str = DEFAULT_MESSAGE) -> DataFrame:
+    """rows(page_id, url, email, company_name) with valid addresses as letters: company_name (a default where there is none), subject and body, with
+    {field} and {{field}} filled from company_name, sender_name, sender_email, message_body and website_url."""
+    name = F.coalesce(F.nullif(F.trim("company_name"), F.lit("")), F.lit("御社"))
+    fields = {"company_name": F.col("company_name"), "sender_name": F.lit(sender_name), "sender_email": F.lit(sender_email), "website_url": F.coalesce("url", F.lit(""))}
+
+    def filled(text: str, known: dict[str, Column]) -> Column:
+        out = F.lit(text)
+        for c, value in known.items():
+            out = F.replace(F.replace(out, F.lit("{{" + c + "}}"), value), F.lit("{" + c + "}"), value)
+        return out
+
+    own = rows.where(valid_addresses(rows, "email")).select("page_id", "url", "email", name.alias("company_name")).withColumn("message_body", filled(message, fields))
+    whole = {"message_body": F.col("message_body")} | fields
+    return own.select("page_id", "email", "company_name", "message_body", filled(subject, whole).alias("subject"), filled(body, whole).alias("body"))
+
+
 def form_targets(profiles: DataFrame, skip_with_email: bool = False) -> DataFrame:
     """Every profile with the decision whether its form is posted to, and why not."""
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""

@@ -32,11 +32,13 @@ def values(profiles: DataFrame) -> DataFrame:
 
 def crawl_summary(profiles: DataFrame) -> DataFrame:
     """Counts and shares of all profiles, and of those found among successful ones, in one aggregate."""
-    ok, n = F.count_if(F.col("crawl_status") == "success"), F.count("*")
+    ok, failed = (F.count_if(F.col("crawl_status") == x) for x in ("success", "error"))
+    n, skipped, forms_found = F.count("*"), F.count_if(F.col("crawl_status") == "skipped"), F.count_if(F.coalesce(F.col("form_url"), F.lit("")) != "")
     share = lambda part, of: F.round(100.0 * part / of, 1)
     found = {c: F.count(c) for c in ("email", "company_name")}
     return profiles.agg(
-        n.alias("total"), ok.alias("successful"), share(ok, n).alias("successful_pct"), *[x.alias(f"{c}_found") for c, x in found.items()], *[share(x, ok).alias(f"{c}_pct") for c, x in found.items()],
+        n.alias("total"), ok.alias("successful"), share(ok, n).alias("successful_pct"), failed.alias("failed"), share(failed, n).alias("failed_pct"), skipped.alias("skipped"),
+        forms_found.alias("forms_found"), share(forms_found, n).alias("forms_found_pct"), *[x.alias(f"{c}_found") for c, x in found.items()], *[share(x, ok).alias(f"{c}_pct") for c, x in found.items()],
         F.count_if(F.col("form_method") == "enhanced_detector").alias("forms_detected"), F.count_if(F.col("form_method") == "homepage_fallback").alias("forms_fallback"),
     )
 
@@ -44,8 +46,9 @@ def crawl_summary(profiles: DataFrame) -> DataFrame:
 def extraction_metrics(merged: DataFrame) -> DataFrame:
     """By field: values found, their mean confidence, model uses and the share of those that gave a value."""
     found, used = F.col("value").isNotNull(), F.col("used_model")
-    rows = merged.groupBy("field").agg(F.count_if(found).alias("n_found"), F.sum(F.when(found, F.round(100 * F.col("confidence")).cast("long"))).alias("points"), F.count_if(used).alias("n_model"))
-    return rows.select("field", "n_found", F.round(F.col("points") / F.col("n_found") / 100, 4).alias("mean_confidence"), "n_model")
+    rows = merged.groupBy("field").agg(F.count_if(found).alias("n_found"), F.sum(F.when(found, F.round(100 * F.col("confidence")).cast("long"))).alias("points"), F.count_if(used).alias("n_model"), F.count_if(used & found).alias("n_gave"))
+    rate = F.round(100.0 * F.col("n_gave") / F.greatest("n_model", F.lit(1)), 1)
+    return rows.select("field", "n_found", F.round(F.col("points") / F.col("n_found") / 100, 4).alias("mean_confidence"), "n_model", rate.alias("model_success_rate"))
 
 
 def excerpts(pages: DataFrame) -> DataFrame:

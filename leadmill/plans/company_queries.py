@@ -104,7 +104,7 @@ PROFILE = "SELECT k AS page_id, 'c' || s || '.example.jp' AS host, 'success' AS
     planted("industry, industry_confidence", [(v, *{2: ("金融", 0.9), 3: ("医療・ヘルスケア", 0.8), 6: ("会計・税務", 0.6)}.get(v, ("その他サービス", 0.3))) for v in range(8)]),
 )
 add_pages("b5_company_profiles", profiles.company_profiles, PROFILE)
-add_pages("b1_b2_crawl_summary", lambda p: profiles.crawl_summary(profiles.company_profiles(p)), f"SELECT count(*) AS total, count(*) AS successful, 100.0::DOUBLE AS successful_pct, count(email) AS email_found, count(company_name) AS company_name_found, round(100.0 * count(email) / count(*), 1)::DOUBLE AS email_pct, round(100.0 * count(company_name) / count(*), 1)::DOUBLE AS company_name_pct, count(*) FILTER (form_method = 'enhanced_detector') AS forms_detected, count(*) FILTER (form_method = 'homepage_fallback') AS forms_fallback FROM ({PROFILE})")
+add_pages("b1_b2_crawl_summary", lambda p: profiles.crawl_summary(profiles.company_profiles(p)), f"SELECT count(*) AS total, count(*) AS successful, 100.0::DOUBLE AS successful_pct, CAST(0 AS BIGINT) AS failed, 0.0::DOUBLE AS failed_pct, CAST(0 AS BIGINT) AS skipped, count(*) AS forms_found, 100.0::DOUBLE AS forms_found_pct, count(email) AS email_found, count(company_name) AS company_name_found, round(100.0 * count(email) / count(*), 1)::DOUBLE AS email_pct, round(100.0 * count(company_name) / count(*), 1)::DOUBLE AS company_name_pct, count(*) FILTER (form_method = 'enhanced_detector') AS forms_detected, count(*) FILTER (form_method = 'homepage_fallback') AS forms_fallback FROM ({PROFILE})")
 add_pages("k7_form_targets", lambda p: outreach.form_targets(profiles.company_profiles(p), skip_with_email=True), f"SELECT page_id, CASE WHEN company_name IS NULL OR email IS NOT NULL THEN 'skip' ELSE 'submit' END AS decision, CASE WHEN company_name IS NULL THEN 'no company name' WHEN email IS NOT NULL THEN 'has email' END AS reason FROM ({PROFILE})")
 add_pages("k4_k5_recipients", lambda p: outreach.recipients(profiles.company_profiles(p), "To {company_name}", "Dear {{company_name}}, this is for {email}."), f"SELECT page_id, email, coalesce(company_name, '御社') AS company_name, 'To ' || coalesce(company_name, '御社') AS subject, 'Dear ' || coalesce(company_name, '御社') || ', this is for ' || email || '.' AS body FROM ({PROFILE}) WHERE email IS NOT NULL")
 add_pages("u10_polite_times", outreach.polite_times, "SELECT k AS page_id, 'c' || s || '.example.jp' AS site, CAST(epoch(TIMESTAMP '2024-01-30 12:00:00') AS BIGINT) AS at_seconds FROM p", gap_seconds=2)
@@ -151,9 +151,9 @@ MERGE = f"""{BASE}, rules AS (SELECT page_id, unnest(['company_name', 'email', '
 FOUND["m1_requests"] = (lambda spark, d: merging.requests(values_of(spark, d)), f"{MERGE} SELECT page_id, field, value, CAST(conf AS INTEGER) AS conf FROM rules WHERE value IS NULL OR conf < CASE field WHEN 'email' THEN 50 ELSE 60 END")
 FOUND["m7_merged_values"] = (merged_of, f"{MERGE} SELECT * FROM merged")
 FOUND["m9_model_fields"] = (lambda spark, d: merging.model_fields(merged_of(spark, d)), f"{MERGE} SELECT page_id, string_agg(field, ',' ORDER BY field) AS fields FROM merged WHERE used_model GROUP BY 1")
-FOUND["b3_extraction_metrics"] = (lambda spark, d: profiles.extraction_metrics(merged_of(spark, d)), f"{MERGE} SELECT field, count(value) AS n_found, round(sum(round(100 * confidence)) FILTER (value IS NOT NULL) / count(value) / 100, 4)::DOUBLE AS mean_confidence, count(*) FILTER (used_model) AS n_model FROM merged GROUP BY 1")
+FOUND["b3_extraction_metrics"] = (lambda spark, d: profiles.extraction_metrics(merged_of(spark, d)), f"{MERGE} SELECT field, count(value) AS n_found, round(sum(round(100 * confidence)) FILTER (value IS NOT NULL) / count(value) / 100, 4)::DOUBLE AS mean_confidence, count(*) FILTER (used_model) AS n_model, CASE WHEN bool_or(used_model) THEN 100.0 ELSE 0.0 END::DOUBLE AS model_success_rate FROM merged GROUP BY 1")
 
-add("v1_v2_outcomes", derived.form_responses, "events", forms.outcomes, "SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 0.75 WHEN 'click' THEN 0.4 WHEN 'signup' THEN 0.35 ELSE 0.0 END::DOUBLE AS confidence, event_type IN ('purchase', 'click', 'signup') AS success, CASE event_type WHEN 'view' THEN 'Validation error detected; Form still present on same page' WHEN 'error' THEN 'Error keywords: error, invalid; Form on error page' WHEN 'signup' THEN 'Form still present' ELSE '' END AS warnings, event_type = 'purchase' AS strict_success FROM events")
+add("v1_v2_outcomes", derived.form_responses, "events", forms.outcomes, "SELECT event_id AS id, CASE event_type WHEN 'purchase' THEN 0.75 WHEN 'click' THEN 0.4 WHEN 'signup' THEN 0.35 ELSE 0.0 END::DOUBLE AS confidence, event_type IN ('purchase', 'click', 'signup') AS success, CASE event_type WHEN 'view' THEN 'Validation error detected; Form still present on same page' WHEN 'error' THEN 'Error keywords: error, invalid; Form on error page' WHEN 'signup' THEN 'Form still present' ELSE '' END AS warnings, event_type = 'purchase' AS strict_success, CASE event_type WHEN 'purchase' THEN 'HTTP 200; URL changed; Success URL pattern: /thanks?; Success keywords: thank you' WHEN 'view' THEN 'HTTP 200' WHEN 'error' THEN 'HTTP 500 (error); URL changed' WHEN 'click' THEN 'HTTP 302 (redirect); Success keywords: 完了, お問い合わせ' ELSE 'HTTP 200; URL changed' END AS indicators FROM events")
 KIND = "CASE user_id % 5 WHEN 0 THEN 'recaptcha_v2' WHEN 1 THEN 'recaptcha_v3' WHEN 2 THEN 'hcaptcha' WHEN 3 THEN 'image' ELSE 'unknown' END"
 POSTED = "'https://h' || user_id || '.example.jp/contact'"
 add("v3_captcha_routing", derived.form_responses, "events", forms.captcha_routing, f"SELECT event_id AS id, {POSTED} AS url, CASE event_type WHEN 'click' THEN 'captcha_blocked' ELSE 'failed' END AS status, CASE event_type WHEN 'click' THEN {KIND} END AS captcha FROM events WHERE event_type IN ('click', 'error')")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from leadmill.operators import emails, industry, pages, profiles, reach, robots
+from leadmill.operators import companies, emails, forms, industry, merging, outreach, pages, profiles, reach, robots
 from leadmill.sources import derived
 from leadmill.sources.tables import read_table
 
@@ -83,3 +84,40 @@ FOUND["e9_structured_addresses"] = (on_graphs(lambda p: emails.candidates(p).whe
  CASE c_custkey % 4 WHEN 0 THEN 'deep' || c_custkey || '@g.example.jp' ELSE 'yes' || c_custkey || '@arr.example.jp' END AS email FROM customer WHERE c_custkey % 4 < 2""")
 FOUND["i3_structured_industries"] = (on_graphs(lambda p: industry.page_industries(p).where("source = 'jsonld'")), """SELECT c_custkey AS page_id, 'jsonld' AS source,
  CASE c_custkey % 4 WHEN 1 THEN '医療・ヘルスケア' ELSE '物流・運輸' END AS industry, 0.9::DOUBLE AS confidence FROM customer WHERE c_custkey % 4 IN (1, 2)""")
+
+
+def on_contact_sites(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, d: operator(derived.contact_sites(read_table(spark, d, "customer")))
+
+
+def known(rows: DataFrame) -> DataFrame:
+    """The name in a page's title and its best address."""
+    named = companies.basic_names(rows).withColumnRenamed("name", "company_name")
+    return named.hint("merge").join(emails.ranked(rows).select("page_id", "email"), "page_id", "left")
+
+
+def letters(rows: DataFrame) -> DataFrame:
+    return outreach.letters(rows.select("page_id", "url").hint("merge").join(known(rows), "page_id"), "山田", "yamada@own.example.jp", body="{{company_name}}|{sender_name}|{sender_email}|{message_body}|{{website_url}}", message="M {company_name}")
+
+
+def addressed(spark: SparkSession, d: str) -> DataFrame:
+    customers = read_table(spark, d, "customer")
+    replies = derived.model_replies(customers)
+    found = merging.from_labels(replies).join(replies.select("url", "page_id").hint("merge"), "url").select("page_id", "email")
+    return merging.with_page_addresses(found, derived.company_pages(customers))
+
+
+ASKED = "WITH a AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s, 'https://q' || c_custkey || '.example.jp' AS site, 'Q' || replace(c_name, '#', '') AS name FROM customer)"
+FOUND["f3_parameter_forms"] = (on_contact_sites(forms.parameter_forms), f"""{ASKED} SELECT 2 * k AS page_id, site || '/ask?form=2' AS form_url, 1.0::DOUBLE AS score, site || '/ask?form=2:0:100' AS candidates,
+ 'Found via parameter link (score: 1.00)' AS remark FROM a""")
+FOUND["q1_guarded_forms"] = (on_contact_sites(lambda p: forms.guarded_forms(p, known(p)).withColumn("required_fields", F.array_join("required_fields", ","))), f"""{ASKED} SELECT 2 * k + 1 AS page_id, 0::BIGINT AS pos,
+ site || '/ask?form=2#top' AS url, site || '/ask?form=2#top' AS form_url, CASE k % 3 WHEN 0 THEN 'recaptcha_v2' ELSE 'hcaptcha' END AS captcha, site || '/post' AS form_action, 'POST' AS form_method, 'name,mail' AS required_fields,
+ NULL::VARCHAR AS company_name, NULL::VARCHAR AS email, 'CAPTCHA detected during crawl. Manual intervention required.' AS notes, 'pending' AS status FROM a WHERE k % 3 < 2""")
+FOUND["k4_letters"] = (on_contact_sites(letters), f"""{ASKED} SELECT 2 * k AS page_id, 'mail' || s || '@q.example.jp' AS email, name AS company_name, 'M ' || name AS message_body, name || '様へのご提案' AS subject,
+ name || '|山田|yamada@own.example.jp|M ' || name || '|' || site || '/' AS body FROM a""")
+FOUND["m6_page_addresses"] = (addressed, """SELECT c_custkey AS page_id, CASE c_custkey % 8 WHEN 2 THEN 'ld' || c_custkey || '@ld.example.jp' WHEN 6 THEN 'foot' || c_custkey || '@foot.example.jp'
+ ELSE CASE c_custkey % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'json' ELSE 'free' END || c_custkey || '@r.example.jp' END AS email FROM customer""")
+FOUND["q3_queue_summary"] = (lambda spark, d: forms.queue_summary(forms.review_queue(derived.form_responses(read_table(spark, d, "events")))), """WITH q AS (SELECT 'pending' AS status,
+ CASE user_id % 5 WHEN 0 THEN 'recaptcha_v2' WHEN 1 THEN 'recaptcha_v3' WHEN 2 THEN 'hcaptcha' WHEN 3 THEN 'image' ELSE 'unknown' END AS captcha FROM events WHERE event_type = 'click'), n AS (SELECT count(*) AS total FROM q)
+SELECT kind, name, n, round(100.0 * n / total, 1)::DOUBLE AS share FROM (SELECT 'status' AS kind, status AS name, count(*) AS n FROM q GROUP BY 2 UNION ALL SELECT 'captcha', captcha, count(*) FROM q GROUP BY 2 UNION ALL SELECT 'total', NULL, count(*) FROM q), n""")
+FOUND["b4_submission_errors"] = (lambda spark, d: forms.submission_errors(derived.form_responses(read_table(spark, d, "events"))), "SELECT event_id AS id, 'https://h' || user_id || '.example.jp/contact' AS url, 'Connection refused' AS error FROM events WHERE event_type = 'error'")

@@ -136,3 +136,18 @@ def graph_pages(customers: DataFrame) -> DataFrame:
     k = F.col("c_custkey").cast("string")
     html = chosen(F.col("c_custkey") % 4, {v: filled(t, k=k) for v, t in GRAPHS.items()})
     return customers.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://j"), k, F.lit(".example.jp/")).alias("url"), html.alias("html"))
+
+
+#: A home page with links of many kinds, and the page that one of them leads to, by key % 3: behind a captcha (two kinds) or open.
+ASKING = """<html><head><title>Q{n} - Home</title></head><body><a href="/ask?form=2">Write</a><a href='/gone?inquiry=1'>Old</a><a href="/plain">お問い合わせ</a><a href="mailto:mail{k}@q.example.jp">Mail</a></body></html>"""
+ASKED = """<html><body><form action="/post" method="post"><input name="name" required><input type="email" name="mail" required><textarea name="text"></textarea><button>Send</button></form>{c}</body></html>"""
+GUARDS = {0: CAPTCHAS[0], 1: CAPTCHAS[2]}
+
+
+def contact_sites(customers: DataFrame) -> DataFrame:
+    """page_id, url, html: two pages for each customer, the home page (2 * key) and its form (2 * key + 1)."""
+    k, n = F.col("c_custkey").cast("string"), F.replace(F.col("c_name"), F.lit("#"), F.lit(""))
+    site = F.concat(F.lit("https://q"), k, F.lit(".example.jp"))
+    home = F.struct((2 * F.col("c_custkey")).alias("page_id"), F.concat(site, F.lit("/")).alias("url"), filled(ASKING, n=n, k=k).alias("html"))
+    form = F.struct((2 * F.col("c_custkey") + 1).alias("page_id"), F.concat(site, F.lit("/ask?form=2#top")).alias("url"), filled(ASKED, c=chosen(F.col("c_custkey") % 3, GUARDS, "")).alias("html"))
+    return customers.select(F.inline(F.array(home, form)))
