@@ -135,8 +135,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
         return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
     n, quantile = own.count(), chi_square_quantile(confidence, dims)
     directions = np.random.default_rng(2).standard_normal((d, dims))
-    sample = own.select("v").orderBy(F.xxhash64("v")).limit(sample_rows).collect()
-    tree = Tree(np.array([r[0] for r in sample]) @ directions, min(MOST_LEVELS, max(0, math.ceil(math.log2(n / block_rows)))))
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("h"), lists(block(b, "v", d) @ directions)], ["h", "p"])
+
+    drawn = own.select(F.xxhash64("v").alias("h"), "v").mapInArrow(projected, "h long, p array<double>").orderBy("h").limit(sample_rows)
+    tree = Tree(np.array([r["p"] for r in drawn.collect()]), min(MOST_LEVELS, max(0, math.ceil(math.log2(n / block_rows)))))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
