@@ -82,9 +82,9 @@ add_log("q3_state_shares", outreach.state_shares, f"SELECT status, n, round(100.
 add_log("u11_gap_violations", outreach.gaps, "SELECT * FROM (SELECT id, site, epoch_us(sent_at) - epoch_us(lag(sent_at) OVER (PARTITION BY site ORDER BY sent_at, id)) AS gap_us FROM log) WHERE gap_us < 3600000000", seconds=3600)
 add_log("x3_hourly_counts", outreach.hourly_counts, "SELECT epoch_us(date_trunc('hour', sent_at)) AS hour_us, send_status, count(*) AS n FROM log GROUP BY 1, 2")
 def every() -> dict[str, tuple[Query, str | None]]:
-    from leadmill.plans import company_queries, site_queries
+    from leadmill.plans import company_queries, site_queries, store_queries
 
-    return FOUND | company_queries.FOUND | site_queries.FOUND
+    return FOUND | company_queries.FOUND | site_queries.FOUND | store_queries.FOUND
 
 
 def queries() -> dict[str, Query]:

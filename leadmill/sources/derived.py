@@ -151,3 +151,20 @@ def contact_sites(customers: DataFrame) -> DataFrame:
     home = F.struct((2 * F.col("c_custkey")).alias("page_id"), F.concat(site, F.lit("/")).alias("url"), filled(ASKING, n=n, k=k).alias("html"))
     form = F.struct((2 * F.col("c_custkey") + 1).alias("page_id"), F.concat(site, F.lit("/ask?form=2#top")).alias("url"), filled(ASKED, c=chosen(F.col("c_custkey") % 3, GUARDS, "")).alias("html"))
     return customers.select(F.inline(F.array(home, form)))
+
+
+#: Pages whose names only weaker detectors find, by key % 6: a label and its value in one dt, a label in the text, a business word in the heading,
+#: a name before an address and a person, labels and names whose UTF-8 was read as Latin-1, a full name with its short form.
+NAMED = {
+    0: "<dl><dt>会社名 合同会社{n} 代表 山田<dt>x</dl>", 1: "<p>会社名：山田商店{k}</p>", 2: "<h1>名古屋の探偵事務所なら{n}</h1>", 3: "<table><tr><td>会社名<td>株式会社N{k} 東京都港区1-1</table>",
+    4: "<table><tr><td>{garbled}<td>{garbled_name}{n}</table>", 5: "<table><tr><td>法人名<td>{n}商店・略称：{k}（ワイ）</table>",
+}
+
+
+def name_pages(customers: DataFrame) -> DataFrame:
+    """page_id, url, html: a page for each customer that tells its name in one of six ways."""
+    k, n = F.col("c_custkey").cast("string"), F.replace(F.col("c_name"), F.lit("#"), F.lit(""))
+    garbled = lambda text: F.lit(text.encode().decode("latin-1"))
+    values = {"n": n, "k": k, "garbled": garbled("会社名"), "garbled_name": garbled("株式会社")}
+    html = chosen(F.col("c_custkey") % 6, {v: filled(t, **values) for v, t in NAMED.items()})
+    return customers.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://n"), k, F.lit(".example.jp/")).alias("url"), html.alias("html"))

@@ -57,7 +57,7 @@ def ordered(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def write_ordered_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    ordered(df, order).write.mode("overwrite").option("header", True).csv(path)
+    ordered(df, order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def logged(sends: DataFrame, as_of: str) -> DataFrame:
@@ -68,8 +68,22 @@ def logged(sends: DataFrame, as_of: str) -> DataFrame:
 
 
 def append_log(sends: DataFrame, path: str, as_of: str) -> None:
-    """Send rows appended to a log that is parted by day."""
-    logged(sends, as_of).write.mode("append").partitionBy("sent_date").parquet(path)
+    """Send rows appended to a log that is parted by day. Rows are dealt by ranges of (day, site, time) and sorted so within files, so a day's
+    files cover few sites each and their row groups short times: the footers' least and greatest values stand in for an index."""
+    order = ["sent_date", "base_url", "sent_at"]
+    rows = logged(sends, as_of).repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("append").partitionBy("sent_date").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, first_day: str | None = None, last_day: str | None = None, **equal: object) -> DataFrame:
+    """The stored sends of a range of days (both included) that have the given values; None asks nothing. Days choose folders, values the row
+    groups that are read."""
+    log = spark.read.parquet(path)
+    for test, day in ((F.col("sent_date") >= F.lit(first_day).cast("date"), first_day), (F.col("sent_date") <= F.lit(last_day).cast("date"), last_day)):
+        log = log.where(test) if day else log
+    for column, value in equal.items():
+        log = log if value is None else log.where(F.col(column) == value)
+    return log
 
 
 def queue_export(queue: DataFrame) -> DataFrame:
