@@ -5,13 +5,13 @@ Confidences are whole hundredths until the last step. Full-width letters and sig
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
+from leadmill.functions.text import bound
 
 #: Legal forms, labels, suffixes and marks of other text, as fixed values.
 LEGAL = ["株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "一般社団法人", "一般財団法人", "公益社団法人", "公益財団法人", "特定非営利活動法人", "学校法人", "医療法人", "社会医療法人", "社会福祉法人", "宗教法人", "労働組合", "組合", "行政書士", "弁護士", "法務書士", "税理士", "公認会計士", "弁護士法人"]
@@ -45,11 +45,6 @@ def holds(text: Column, words: list[str]) -> Column:
     return F.exists(array(words), lambda w: F.contains(text, w))
 
 
-def bound(value: Column, of: Callable[[Column], Column]) -> Column:
-    """of(value) with value worked out once, however often of uses it."""
-    return F.get(F.transform(F.array(value), of), F.lit(0))
-
-
 def repaired(text: Column) -> Column:
     """Text whose UTF-8 was read as Latin-1, read anew; other text as it is."""
     narrow = lambda t: t.rlike(r"^[\x00-\xFF]*[\x80-\xFF][\x00-\xFF]*$")
@@ -196,29 +191,59 @@ def candidates(pages: DataFrame) -> DataFrame:
     return found.groupBy("page_id", "c.method", "c.name").agg(F.min("pos").cast("long").alias("pos"), F.max("c.conf").cast("long").alias("conf"), F.first("c.legal").alias("legal"))
 
 
-def chosen(found: DataFrame) -> DataFrame:
-    """The waterfall: the first phase with a candidate over its threshold gives the name; else the final rank does (phase 9)."""
+def ranking(method: Column, name: Column, conf: Column, legal: Column, pos: Column) -> Column:
+    """The order of candidates as a struct that begins with the phase, the least first: the first phase with a candidate over its threshold gives
+    the name; else the final rank does (phase 9)."""
     rows = [F.lit(x) for m, (p, c) in PHASES.items() for x in (m, p * 1000 + c)]
-    rule = F.element_at(F.create_map(*rows), F.col("method"))
-    at_once = (F.col("conf") >= rule % 1000) & ((F.col("method") != "json_ld") | F.col("legal") & ~F.col("name").rlike(r"[|｜]"))
-    phase = F.when(at_once, F.floor(rule / 1000)).otherwise(9)
-    rank = [F.when(F.col("phase") < 9, 0).when(F.col("method").isin("dl_field", "table_field", "black_square"), -3).otherwise(0), F.when((F.col("phase") == 9) & (F.col("method") == "title") & (F.col("conf") >= 88), -2).otherwise(0), F.when(F.col("phase") == 9, ~F.col("legal")), F.desc("conf"), F.when(F.col("phase") == 9, F.char_length("name")), "pos"]
-    order = F.row_number().over(Window.partitionBy("page_id").orderBy("phase", *rank))
-    return found.withColumn("phase", F.coalesce(phase, F.lit(9)).cast("long")).withColumn("rn", order).where("rn = 1").select("page_id", "name", "method", "conf", "legal", "phase")
+    rule = F.element_at(F.create_map(*rows), method)
+    at_once = (conf >= rule % 1000) & ((method != "json_ld") | legal & ~name.rlike(r"[|｜]"))
+    phase = F.coalesce(F.when(at_once, F.floor(rule / 1000)), F.lit(9)).cast("long")
+    last = phase == 9
+    structured = F.when(last & method.isin("dl_field", "table_field", "black_square"), -3).otherwise(0)
+    titled = F.when(last & (method == "title") & (conf >= 88), -2).otherwise(0)
+    return F.struct(phase.alias("phase"), structured.alias("a"), titled.alias("b"), F.when(last, ~legal).alias("c"), (-conf).alias("d"), F.when(last, F.char_length(name)).alias("e"), pos.alias("pos"))
 
 
-def completed(pages: DataFrame, names: DataFrame) -> DataFrame:
-    """Names of the final rank without a legal form get one: that which stands beside the name, else the page's commonest, else the usual one."""
-    text = H.inner_text(H.outside_scripts(F.col("html")), " ")
-    near = F.filter(array(LEGAL), lambda e: F.contains(F.col("text"), F.concat(e, "name")) | F.contains(F.col("text"), F.concat(e, F.lit(" "), "name")))
-    behind = F.filter(array(LEGAL), lambda e: F.contains(F.col("text"), F.concat("name", e)) | F.contains(F.col("text"), F.concat("name", F.lit(" "), e)))
-    counts = F.filter(F.transform(array(LEGAL), lambda e, i: F.struct((F.length("text") - F.length(F.replace(F.col("text"), e))).alias("n"), (-i).alias("i"), e.alias("e"))), lambda c: c["n"] > 0)
-    often = F.array_max(F.transform(counts, lambda c: F.struct((c["n"] / F.length(c["e"])).alias("n"), c["i"], c["e"])))["e"]
-    wants = (F.col("phase") == 9) & ~F.col("legal") & ~F.col("name").rlike(BRANDS)
-    rows = names.join(pages.select("page_id", text.alias("text")), "page_id")
-    whole = F.when(~wants, F.col("name")).when(F.size(near) > 0, F.concat(near[0], "name")).when(F.size(behind) > 0, F.concat("name", behind[0])).otherwise(F.concat(F.coalesce(often, F.lit("株式会社")), "name"))
+def chosen(found: DataFrame) -> DataFrame:
+    """One name a page, by the order of candidates."""
+    order = ranking(*(F.col(c) for c in ("method", "name", "conf", "legal", "pos")))
+    best = found.groupBy("page_id").agg(F.min(F.struct(order.alias("order"), "name", "method", "conf", "legal")).alias("b"))
+    return best.select("page_id", "b.name", "b.method", "b.conf", "b.legal", "b.order.phase")
+
+
+def page_text(html: Column) -> Column:
+    return H.inner_text(H.outside_scripts(html), " ")
+
+
+def completion(text: Column, c: Column) -> Column:
+    """struct(company_name, conf, completed) of a chosen name c(name, conf, legal, phase). One of the final rank without a legal form gets one: that which
+    stands beside the name, else the page's commonest, else the usual one."""
+    name = c["name"]
+    near = F.filter(array(LEGAL), lambda e: F.contains(text, F.concat(e, name)) | F.contains(text, F.concat(e, F.lit(" "), name)))
+    behind = F.filter(array(LEGAL), lambda e: F.contains(text, F.concat(name, e)) | F.contains(text, F.concat(name, F.lit(" "), e)))
+    counts = F.filter(F.transform(array(LEGAL), lambda e, i: F.struct((F.length(text) - F.length(F.replace(text, e))).alias("n"), (-i).alias("i"), e.alias("e"))), lambda x: x["n"] > 0)
+    often = F.array_max(F.transform(counts, lambda x: F.struct((x["n"] / F.length(x["e"])).alias("n"), x["i"], x["e"])))["e"]
+    wants = (c["phase"] == 9) & ~c["legal"] & ~name.rlike(BRANDS)
+    whole = F.when(~wants, name).when(F.size(near) > 0, F.concat(near[0], name)).when(F.size(behind) > 0, F.concat(name, behind[0])).otherwise(F.concat(F.coalesce(often, F.lit("株式会社")), name))
     sure = ~wants | (F.size(near) > 0) | (F.size(behind) > 0)
-    return rows.select("page_id", whole.alias("company_name"), "method", (F.when(sure, F.col("conf")).otherwise(F.least("conf", F.lit(82))) / F.lit(100.0)).alias("confidence"), wants.alias("completed"))
+    return F.struct(whole.alias("company_name"), F.when(sure, c["conf"]).otherwise(F.least(c["conf"], F.lit(82))).alias("conf"), wants.alias("completed"))
+
+
+def completed(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """The chosen names, completed. Of pages that share an id the one with the least text counts."""
+    texts = pages.select("page_id", page_text(F.col("html")).alias("text")).groupBy("page_id").agg(F.min("text").alias("text"))
+    rows = names.hint("shuffle_hash").join(texts, "page_id").select("page_id", "method", completion(F.col("text"), F.struct("name", "conf", "legal", "phase")).alias("c"))
+    return rows.select("page_id", "c.company_name", "method", (F.col("c.conf") / F.lit(100.0)).alias("confidence"), "c.completed")
+
+
+def best_in_row(html: Column) -> Column:
+    """The name of one page as a struct(company_name, conf, completed), null if none: what chosen() and completed() find, without leaving the row."""
+    found = F.concat(detected(html), more_detected(html))
+    order = lambda c, i: ranking(c["method"], c["name"], c["conf"].cast("long"), c["legal"], i.cast("long"))
+    ranks = F.transform(found, lambda c, i: F.struct(order(c, i).alias("order"), c["name"].alias("name"), c["conf"].cast("long").alias("conf"), c["legal"].alias("legal")))
+    page = F.struct(F.array_min(ranks).alias("best"), page_text(html).alias("text"))
+    chosen_ = lambda x: F.struct(x["best"]["name"].alias("name"), x["best"]["conf"].alias("conf"), x["best"]["legal"].alias("legal"), x["best"]["order"]["phase"].alias("phase"))
+    return bound(page, lambda x: F.when(x["best"].isNotNull(), completion(x["text"], chosen_(x))))
 
 
 def surely_completed(text: Column, name: Column, rewrite: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
 from leadmill.functions.structured import strings_of_objects
-from leadmill.functions.text import EMAIL, normalised_email, plain_signs, valid_email
+from leadmill.functions.text import EMAIL, bound, normalised_email, plain_signs, valid_email
 
 #: Words that tell an address, those that raise its score, and the detectors' base scores. Fixed values.
 KEYWORDS = ["email", "mail", "e-mail", "メール", "メールアドレス", "contact", "お問い合わせ", "連絡先", "電子メール", "eメール", "inquiry", "お問合せ"]
@@ -57,22 +57,45 @@ def detected(html: Column) -> Column:
     )
 
 
+def likely(html: Column) -> Column:
+    """Whether a page can hold an address at all."""
+    return F.contains(html, F.lit("@")) | F.rlike(html, F.lit("(?i)＠|&#|&commat;|at[\\])）]"))
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, method, email, snippet of every address that a detector finds, normalised and valid; in order of discovery."""
-    found = pages.select("page_id", "url", H.footer_text(F.col("html")).alias("footer"), F.posexplode(F.when(F.contains("html", F.lit("@")) | F.rlike("html", F.lit("(?i)＠|&#|&commat;|at[\\])）]")), detected(F.col("html")))).alias("pos", "c"))
+    found = pages.select("page_id", "url", H.footer_text(F.col("html")).alias("footer"), F.posexplode(F.when(likely(F.col("html")), detected(F.col("html")))).alias("pos", "c"))
     rows = found.select("page_id", "url", "footer", "pos", "c.method", normalised_email(F.col("c.raw")).alias("email"), "c.snippet")
     return rows.where(valid_email(F.col("email")))
 
 
+def score_of(email: Column, method: Column, snippet: Column, url: Column, footer: Column) -> Column:
+    """Points of an address by its detector, the footer, the page's domain and the words around it, at most 100."""
+    domain = lambda x: F.regexp_replace(F.lower(x), r"^[w.]+", "")
+    same = domain(F.element_at(F.split(email, "@"), -1)) == domain(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
+    base = F.element_at(F.create_map(*[F.lit(x) for p in BASE.items() for x in p]), method)
+    words = F.size(F.filter(F.array(*[F.lit(w) for w in CONTEXT]), lambda w: F.contains(F.lower(snippet), w)))
+    score = base + F.when(F.contains(F.lower(footer), email), 15).otherwise(0) + F.when(same, 30).otherwise(0) + F.least(F.lit(20), 5 * words)
+    return F.least(score, F.lit(100)).cast("long")
+
+
 def scored(found: DataFrame) -> DataFrame:
     """One row a page and address, as its first detector found it, with its score."""
     first = found.groupBy("page_id", "email").agg(F.min(F.struct("pos", "method", "snippet", "url", "footer")).alias("c")).select("page_id", "email", "c.*")
-    domain = lambda x: F.regexp_replace(F.lower(x), r"^[w.]+", "")
-    same = domain(F.element_at(F.split("email", "@"), -1)) == domain(F.regexp_extract("url", r"^https?://([^/?#:]+)", 1))
-    base = F.element_at(F.create_map(*[F.lit(x) for p in BASE.items() for x in p]), F.col("method"))
-    words = F.size(F.filter(F.array(*[F.lit(w) for w in CONTEXT]), lambda w: F.contains(F.lower("snippet"), w)))
-    score = base + F.when(F.contains(F.lower("footer"), F.col("email")), 15).otherwise(0) + F.when(same, 30).otherwise(0) + F.least(F.lit(20), 5 * words)
-    return first.select("page_id", "email", F.col("pos").cast("long").alias("pos"), "method", "snippet", F.least(score, F.lit(100)).cast("long").alias("score"))
+    score = score_of(*(F.col(c) for c in ("email", "method", "snippet", "url", "footer")))
+    return first.select("page_id", "email", F.col("pos").cast("long").alias("pos"), "method", "snippet", score.alias("score"))
+
+
+def best_in_row(html: Column, url: Column) -> Column:
+    """The best address of one page as a struct(email, score), null if none: what ranked() finds, without leaving the row. Candidates stand in order of
+    address and discovery, so that the first of each address is the one behind another address."""
+    found = F.transform(F.when(likely(html), detected(html)), lambda c, i: F.struct(normalised_email(c["raw"]).alias("email"), i.alias("pos"), c["method"].alias("method"), c["snippet"].alias("snippet")))
+    inside = lambda x: F.filter(x["all"], lambda c, i: (i == 0) | (F.get(x["all"], i - 1)["email"] != c["email"]))
+    score = lambda c, x: score_of(c["email"], c["method"], c["snippet"], x["url"], x["footer"])
+    ranks = lambda x: F.transform(inside(x), lambda c: F.struct(score(c, x).alias("score"), (-c["pos"]).alias("place"), c["email"].alias("email")))
+    page = F.struct(F.array_sort(F.filter(found, lambda c: valid_email(c["email"]))).alias("all"), H.footer_text(html).alias("footer"), url.alias("url"))
+    best = bound(page, lambda x: F.array_max(ranks(x)))
+    return F.when(best.isNotNull(), best)
 
 
 def ranked(pages: DataFrame) -> DataFrame:

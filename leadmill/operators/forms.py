@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
-from leadmill.functions.text import extract
+from leadmill.functions.text import bound, extract
 from leadmill.operators.pages import CONTACT_PATHS, CONTACT_TEXTS, INQUIRY, anchors_with_text, host, joined_url
 
 #: What excludes a form, what its fields are for (in order of precedence), and the patterns of captchas. Fixed values.
@@ -77,23 +77,28 @@ def field(tag: Column, before: Column) -> Column:
     )
 
 
-def page_forms(pages: DataFrame) -> DataFrame:
-    """One row a form: page, place, attributes, fields, buttons, text; and the whole html beside it for what stands outside."""
-    forms = pages.where(F.contains(F.lower("html"), F.lit("<form"))).select("page_id", "url", "html", F.posexplode(H.every(F.col("html"), H.FORM)).alias("pos", "form"))
-    tag = F.regexp_extract("form", r"^<[^>]*>", 0)
-    tags, gaps = H.every(F.col("form"), H.FIELD), F.split("form", H.FIELD)
+def form_parts(form: Column) -> Column:
+    """A form's attributes, fields, first button with a text, and text, as a struct."""
+    tag = F.regexp_extract(form, r"^<[^>]*>", 0)
+    tags, gaps = H.every(form, H.FIELD), F.split(form, H.FIELD)
     buttons = F.concat(
-        F.transform(H.every(F.col("form"), r"""(?is)<button(?:\s[^>]*)?>(.*?)</button""", 1), lambda x: H.inner_text(x)),
+        F.transform(H.every(form, r"""(?is)<button(?:\s[^>]*)?>(.*?)</button"""), lambda x: H.inner_text(F.regexp_extract(x, r"""(?is)<button(?:\s[^>]*)?>(.*?)</button""", 1))),
         F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)type\s*=\s*["']?(?:submit|button)""")), lambda t: F.trim(H.attribute(t, "value"))),
     )
-    method = F.upper(H.attribute(tag, "method"))
-    return forms.select(
-        "page_id", "url", "html", F.col("pos").cast("long").alias("pos"), "form", H.attribute(tag, "action").alias("action"), method.alias("method"), H.attribute(tag, "id").alias("form_id"), H.attribute(tag, "name").alias("form_name"), H.attribute(tag, "class").alias("form_class"),
-        F.transform(F.arrays_zip(tags.alias("t"), F.slice(gaps, F.lit(1), F.size(tags)).alias("g")), lambda x: field(x["t"], x["g"])).alias("fields"),
-        F.get(F.filter(buttons, lambda b: b != ""), F.lit(0)).alias("button"), H.inner_text(F.regexp_replace("form", r"(?is)<script.*?</script\s*>", " "), " ").alias("text"),
+    fields = bound(F.struct(tags.alias("t"), gaps.alias("g")), lambda x: F.transform(F.arrays_zip(x["t"].alias("t"), F.slice(x["g"], F.lit(1), F.size(x["t"])).alias("g")), lambda y: field(y["t"], y["g"])))
+    named = [H.attribute(tag, a).alias(f"form_{a}") for a in ("id", "name", "class")]
+    return F.struct(
+        H.attribute(tag, "action").alias("action"), F.upper(H.attribute(tag, "method")).alias("method"), *named, fields.alias("fields"),
+        F.get(F.filter(buttons, lambda b: b != ""), F.lit(0)).alias("button"), H.inner_text(F.regexp_replace(form, r"(?is)<script.*?</script\s*>", " "), " ").alias("text"),
     )
 
 
+def page_forms(pages: DataFrame) -> DataFrame:
+    """One row a form: page, place, attributes, fields, buttons, text; and the whole html beside it for what stands outside."""
+    forms = pages.where(F.contains(F.lower("html"), F.lit("<form"))).select("page_id", "url", "html", F.posexplode(H.every(F.col("html"), H.FORM)).alias("pos", "form"))
+    return forms.select("page_id", "url", "html", F.col("pos").cast("long").alias("pos"), "form", form_parts(F.col("form")).alias("p")).select("page_id", "url", "html", "pos", "form", "p.*")
+
+
 def form_fields(pages: DataFrame) -> DataFrame:
     """Named fields that a visitor fills in, with their purpose."""
     rows = page_forms(pages).select("page_id", "pos", F.posexplode("fields").alias("field_pos", "f"))
@@ -108,27 +113,49 @@ def basic_forms(pages: DataFrame) -> DataFrame:
     return forms.unionByName(links).where("form_url is not null").distinct()
 
 
+def scored(html: Column, url: Column, found_by: str | None = None) -> Column:
+    """The page's forms that aren't excluded, in their order, as structs: place, method, detection, counts of fields and keywords, button, score in
+    hundredths, and what fields there are. found_by: how all the pages were found; without it their paths tell."""
+    path = F.regexp_extract(url, r"^https?://[^/?#]+([^#]*)", 1)
+    detection = F.lit(found_by) if found_by else F.when(path.rlike(CONTACT_PATHS), "pattern_match").otherwise("crawl")
+    points = {"email": 30, "message": 30, "name": 15, "phone": 10, "company": 8, "subject": 5}  # a message field counts as a text area too
+
+    def counted(x: Column) -> Column:
+        f, method = x["p"]["fields"], F.when(x["p"]["method"] == "", "GET").otherwise(x["p"]["method"])
+        kinds = F.array_distinct(F.concat(F.transform(f, lambda y: y["kind"]), F.when(F.exists(f, lambda y: y["message"]), F.array(F.lit("message"))).otherwise(F.array().cast("array<string>"))))
+        n = lambda test: F.size(F.filter(f, test)).cast("long")
+        return F.struct(
+            x["pos"].alias("pos"), method.alias("method"), detection.alias("detection"), n(lambda y: y["required"]).alias("n_required"),
+            n(lambda y: (y["element"] != "textarea") & y["type"].isin("text", "email", "tel", "url")).alias("n_text"), F.size(hits(x["p"]["text"], CONTACT_TEXTS.split("|"))).cast("long").alias("n_keywords"),
+            x["p"]["button"].alias("button"), kinds.alias("kinds"), F.lower(url).rlike("contact|inquiry|form|otoiawase|toiawase").alias("told"),
+        )
+
+    def rated(c: Column) -> Column:
+        score = F.lit(10) + F.least(F.lit(20), 5 * c["n_keywords"])
+        tests = [(F.array_contains(c["kinds"], k), n) for k, n in points.items()]
+        tests += [(c["n_text"] >= 1, 8), (c["told"], 25), (F.coalesce(F.lower(c["button"]).rlike("send|送信|submit|確認|confirm"), F.lit(False)), 15), (c["method"] == "POST", 10), (c["n_required"] >= 2, 8)]
+        for test, n in [*tests, (c["detection"].isin("pattern_match", "parameter_link"), 40)]:
+            score = score + F.when(test, n).otherwise(0)
+        return F.struct(*[c[k].alias(k) for k in ("pos", "method", "detection", "n_required", "n_text", "n_keywords", "button", "kinds")], F.least(F.lit(100), F.greatest(F.lit(10), score)).cast("long").alias("score"))
+
+    forms = F.transform(F.when(F.contains(F.lower(html), F.lit("<form")), H.every(html, H.FORM)), lambda f, i: F.struct(i.cast("long").alias("pos"), f.alias("form")))
+    open_ = F.filter(forms, lambda x: ~F.lower(x["form"]).rlike(EXCLUDED))
+    parts = F.transform(open_, lambda x: F.struct(x["pos"].alias("pos"), form_parts(x["form"]).alias("p")))
+    return F.transform(F.transform(parts, counted), rated)
+
+
 def scored_forms(pages: DataFrame, found_by: str | None = None) -> DataFrame:
-    """Forms that aren't excluded, with counts of their fields, keywords, score in hundredths and a remark. found_by: how all the pages were found;
-    without it their paths tell."""
-    count = lambda test: F.size(F.filter("fields", test))
-    has = lambda kind: F.exists("fields", lambda f: f["kind"] == kind)
-    path = F.regexp_extract("url", r"^https?://[^/?#]+([^#]*)", 1)
-    rows = page_forms(pages).where(~F.lower("form").rlike(EXCLUDED)).select(
-        "page_id", "url", "pos", "button", F.when(F.col("method") == "", "GET").otherwise(F.col("method")).alias("method"), F.lit(found_by).alias("detection") if found_by else F.when(path.rlike(CONTACT_PATHS), "pattern_match").otherwise("crawl").alias("detection"),
-        *[has(k).alias(f"has_{k}") for k in FIELD_KINDS], F.exists("fields", lambda f: f["message"]).alias("has_message"), count(lambda f: f["required"]).alias("n_required"),
-        count(lambda f: (f["element"] != "textarea") & f["type"].isin("text", "email", "tel", "url")).alias("n_text"), F.size(hits(F.col("text"), CONTACT_TEXTS.split("|"))).alias("n_keywords"),
-    )
-    points = {"has_email": 30, "has_message": 30, "has_name": 15, "has_phone": 10, "has_company": 8, "has_subject": 5}  # a message field counts as a text area too
-    score = F.lit(10) + F.least(F.lit(20), 5 * F.col("n_keywords"))
-    for flag, n in points.items():
-        score = score + F.when(F.col(flag), n).otherwise(0)
-    for test, n in ((F.col("n_text") >= 1, 8), (F.lower("url").rlike("contact|inquiry|form|otoiawase|toiawase"), 25), (F.coalesce(F.lower("button").rlike("send|送信|submit|確認|confirm"), F.lit(False)), 15), (F.col("method") == "POST", 10), (F.col("n_required") >= 2, 8), (F.col("detection").isin("pattern_match", "parameter_link"), 40)):
-        score = score + F.when(test, n).otherwise(0)
-    rows = rows.withColumn("score", F.least(F.lit(100), F.greatest(F.lit(10), score)).cast("long"))
-    names = F.concat_ws(", ", *[F.when(F.col(f"has_{k}"), k) for k in ("email", "phone", "name", "message")])
+    """One row a form that isn't excluded, with counts of its fields, keywords, score in hundredths and a remark."""
+    rows = pages.select("page_id", "url", F.explode(scored(F.col("html"), F.col("url"), found_by)).alias("f")).select("page_id", "url", "f.*")
+    names = F.array_join(F.filter(F.array(*map(F.lit, ("email", "phone", "name", "message"))), lambda k: F.array_contains("kinds", k)), ", ")
     remark = F.concat_ws("; ", F.when(names != "", F.concat(F.lit("Fields: "), names)), F.concat(F.lit("Method: "), "detection"), F.concat(F.lit("Score: "), F.format_string("%.2f", F.col("score") / F.lit(100.0))), F.when(F.col("n_keywords") > 0, F.concat(F.lit("Keywords: "), F.col("n_keywords").cast("string"))), F.concat(F.lit("Button: '"), "button", F.lit("'")))
-    return rows.select("page_id", "url", "pos", "method", "detection", *[F.col(c).cast("long").alias(c) for c in ("n_required", "n_text", "n_keywords")], "button", "score", remark.alias("remark"))
+    return rows.select("page_id", "url", "pos", "method", "detection", "n_required", "n_text", "n_keywords", "button", "score", remark.alias("remark"))
+
+
+def best_in_row(html: Column, url: Column) -> Column:
+    """The best form of one page as a struct with its score and detection, null if none."""
+    best = F.array_max(F.transform(scored(html, url), lambda c: F.struct(c["score"].alias("score"), (-c["pos"]).alias("place"), c["detection"].alias("detection"))))
+    return F.when(best.isNotNull(), best)
 
 
 def best_forms(pages: DataFrame, keep: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
 from leadmill.functions.structured import json_nodes, text_of
+from leadmill.functions.text import bound
 
 #: Keywords by industry, in order of precedence, and their names. Fixed values.
 KEYWORDS = {
@@ -61,25 +62,36 @@ def structured_industry(html: Column) -> Column:
     return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
 
 
-def page_industries(pages: DataFrame) -> DataFrame:
-    """page_id, source, industry, confidence of each source of a page that tells of an industry."""
-    html = F.col("html")
+def told(html: Column) -> Column:
+    """struct(source, industry, conf) of each source of a page that tells of an industry, the surest first."""
     meta = lambda name: F.lower(F.coalesce(H.meta_content(html, name), F.lit("")))
     heads = F.slice(H.every(html, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1), 1, 3)
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)
-    rows = pages.select("page_id", structured_industry(html).alias("jsonld"), meta("description").alias("description"), meta("og:description").alias("og"), meta("keywords").alias("keywords"), F.lower(H.inner_text(F.concat_ws(" ", title, heads))).alias("head"))
-    found = rows.select("page_id", "jsonld", *[best_match(F.col(c)).alias(f"by_{c}") for c in ("description", "og", "keywords")], best_match(F.concat_ws(" ", "head", "description")).alias("text"))
-    one = lambda source, industry, conf: F.struct(F.lit(source).alias("source"), shown(industry).alias("industry"), conf.alias("conf"))
-    meta_conf = F.when(F.coalesce("by_description", "by_og").isNotNull(), 80).otherwise(75)
-    each = F.array(one("jsonld", F.col("jsonld"), F.lit(90)), one("metadata", F.coalesce("by_description", "by_og", "by_keywords"), meta_conf), one("text", F.col("text"), F.lit(60)))
-    return found.select("page_id", F.explode(F.filter(each, lambda c: c["industry"].isNotNull())).alias("c")).select("page_id", "c.source", "c.industry", (F.col("c.conf") / F.lit(100.0)).alias("confidence"))
+    head = F.lower(H.inner_text(F.concat_ws(" ", title, heads)))
+    page = F.struct(structured_industry(html).alias("jsonld"), meta("description").alias("description"), meta("og:description").alias("og"), meta("keywords").alias("keywords"), head.alias("head"))
+    met = bound(page, lambda x: F.struct(
+        x["jsonld"].alias("jsonld"), F.coalesce(best_match(x["description"]), best_match(x["og"])).alias("described"), best_match(x["keywords"]).alias("keywords"),
+        best_match(F.concat_ws(" ", x["head"], x["description"])).alias("text")))
+    one = lambda source, industry, conf: F.struct(F.lit(source).alias("source"), shown(industry).alias("industry"), F.lit(conf).alias("conf"))
+    each = lambda x: F.array(one("jsonld", x["jsonld"], 90), one("metadata", x["described"], 80), F.when(x["described"].isNull(), one("metadata", x["keywords"], 75)), one("text", x["text"], 60))
+    return bound(met, lambda x: F.filter(each(x), lambda c: c["industry"].isNotNull()))
+
+
+def page_industries(pages: DataFrame) -> DataFrame:
+    """page_id, source, industry, confidence of each source of a page that tells of an industry."""
+    rows = pages.select("page_id", F.explode(told(F.col("html"))).alias("c"))
+    return rows.select("page_id", "c.source", "c.industry", (F.col("c.conf") / F.lit(100.0)).alias("confidence"))
+
+
+def best_in_row(html: Column) -> Column:
+    """The surest industry of one page as a struct(source, industry, conf), null if none."""
+    return F.get(told(html), F.lit(0))
 
 
 def best_industries(pages: DataFrame) -> DataFrame:
-    """The surest industry of each page, else the default."""
-    best = page_industries(pages).groupBy("page_id").agg(F.max_by(F.struct("industry", "source", "confidence"), "confidence").alias("b"))
-    joined = pages.select("page_id").join(best, "page_id", "left")
-    return joined.select("page_id", F.coalesce("b.industry", F.lit(DEFAULT)).alias("industry"), F.coalesce("b.source", F.lit("fallback")).alias("source"), F.coalesce("b.confidence", F.lit(0.3)).alias("confidence"))
+    """The surest industry of each page row, else the default."""
+    rows = pages.select("page_id", best_in_row(F.col("html")).alias("b"))
+    return rows.select("page_id", F.coalesce("b.industry", F.lit(DEFAULT)).alias("industry"), F.coalesce("b.source", F.lit("fallback")).alias("source"), (F.coalesce("b.conf", F.lit(30)) / F.lit(100.0)).alias("confidence"))
 
 
 def described(texts: DataFrame, key: str, text: str) -> DataFrame:

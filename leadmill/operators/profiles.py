@@ -12,16 +12,20 @@ from leadmill.operators.pages import crawl_status, host
 
 
 def company_profiles(pages: DataFrame) -> DataFrame:
-    """One row a page: best address, name, industry and form with their confidences. The parts are joined by page_id, which must be unique."""
-    base = pages.select("page_id", "url", host(F.col("url")).alias("host"), crawl_status(F.col("html")).alias("crawl_status"))
-    mail = emails.ranked(pages).select("page_id", "email", F.col("confidence").alias("email_confidence"))
-    name = companies.completed(pages, companies.chosen(companies.candidates(pages))).select("page_id", "company_name", F.col("confidence").alias("name_confidence"))
-    trade = industry.best_industries(pages).select("page_id", "industry", F.col("confidence").alias("industry_confidence"))
-    form = forms.scored_forms(pages).groupBy("page_id").agg(F.max_by(F.struct("url", "detection"), F.struct("score", -F.col("pos"))).alias("f"))
-    rows = base
-    for part in (mail, name, trade, form):
-        rows = rows.join(part.hint("shuffle_hash"), "page_id", "left")
-    return rows.select("page_id", "host", "crawl_status", "email", "email_confidence", "company_name", "name_confidence", "industry", "industry_confidence", F.coalesce("f.url", "url").alias("form_url"), F.when(F.col("f").isNotNull(), "enhanced_detector").otherwise("homepage_fallback").alias("form_method"))
+    """One row a page row: best address, name, industry and form with their confidences. Each is found and ranked within the row, so that
+    nothing is joined or shuffled, repeated ids are rows like others, and the same expressions serve a stream. A page without html has none
+    of them but the default industry."""
+    html, url = F.col("html"), F.col("url")
+    found = pages.select(
+        "page_id", "url", host(url).alias("host"), crawl_status(html).alias("crawl_status"), emails.best_in_row(html, url).alias("mail"), companies.best_in_row(html).alias("name"),
+        industry.best_in_row(html).alias("trade"), forms.best_in_row(html, url).alias("form"),
+    )
+    share = lambda points: points / F.lit(100.0)
+    return found.select(
+        "page_id", "host", "crawl_status", "mail.email", share(F.col("mail.score")).alias("email_confidence"), "name.company_name", share(F.col("name.conf")).alias("name_confidence"),
+        F.coalesce("trade.industry", F.lit(industry.DEFAULT)).alias("industry"), share(F.coalesce("trade.conf", F.lit(30))).alias("industry_confidence"),
+        F.col("url").alias("form_url"), F.when(F.col("form").isNotNull(), "enhanced_detector").otherwise("homepage_fallback").alias("form_method"),
+    )
 
 
 def values(profiles: DataFrame) -> DataFrame:
