@@ -21,6 +21,11 @@ def bound(value: Column, of: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), of), F.lit(0))
 
 
+def listed(words: list[str]) -> Column:
+    """Words as one array; Spark works it out once."""
+    return F.split(F.lit("\x1f".join(words)), "\x1f")
+
+
 def visible_text(html: Column) -> Column:
     """Text outside scripts, styles and tags, with single spaces."""
     for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>", r"(?s)<[^>]*>"):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
-from leadmill.functions.text import bound
+from leadmill.functions.text import bound, listed
 
 #: Legal forms, labels, suffixes and marks of other text, as fixed values.
 LEGAL = ["株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "一般社団法人", "一般財団法人", "公益社団法人", "公益財団法人", "特定非営利活動法人", "学校法人", "医療法人", "社会医療法人", "社会福祉法人", "宗教法人", "労働組合", "組合", "行政書士", "弁護士", "法務書士", "税理士", "公認会計士", "弁護士法人"]
@@ -38,7 +38,7 @@ CANDIDATE = "array<struct<method:string,name:string,conf:int,legal:boolean>>"
 
 
 def array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return listed(words)
 
 
 def holds(text: Column, words: list[str]) -> Column:

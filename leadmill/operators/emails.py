@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
 from leadmill.functions.structured import strings_of_objects
-from leadmill.functions.text import EMAIL, bound, normalised_email, plain_signs, valid_email
+from leadmill.functions.text import EMAIL, bound, listed, normalised_email, plain_signs, valid_email
 
 #: Words that tell an address, those that raise its score, and the detectors' base scores. Fixed values.
 KEYWORDS = ["email", "mail", "e-mail", "メール", "メールアドレス", "contact", "お問い合わせ", "連絡先", "電子メール", "eメール", "inquiry", "お問合せ"]
@@ -18,7 +18,7 @@ FOUND = "array<struct<method:string,raw:string,snippet:string>>"
 
 
 def told(text: Column, words: list[str] = KEYWORDS) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), w))
+    return F.exists(listed(words), lambda w: F.contains(F.lower(text), w))
 
 
 def snippet(text: Column, mail: Column, around: int = 50) -> Column:
@@ -74,7 +74,7 @@ def score_of(email: Column, method: Column, snippet: Column, url: Column, footer
     domain = lambda x: F.regexp_replace(F.lower(x), r"^[w.]+", "")
     same = domain(F.element_at(F.split(email, "@"), -1)) == domain(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
     base = F.element_at(F.create_map(*[F.lit(x) for p in BASE.items() for x in p]), method)
-    words = F.size(F.filter(F.array(*[F.lit(w) for w in CONTEXT]), lambda w: F.contains(F.lower(snippet), w)))
+    words = F.size(F.filter(listed(CONTEXT), lambda w: F.contains(F.lower(snippet), w)))
     score = base + F.when(F.contains(F.lower(footer), email), 15).otherwise(0) + F.when(same, 30).otherwise(0) + F.least(F.lit(20), 5 * words)
     return F.least(score, F.lit(100)).cast("long")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
-from leadmill.functions.text import bound, extract
+from leadmill.functions.text import bound, extract, listed
 from leadmill.operators.pages import CONTACT_PATHS, CONTACT_TEXTS, INQUIRY, anchors_with_text, host, joined_url
 
 #: What excludes a form, what its fields are for (in order of precedence), and the patterns of captchas. Fixed values.
@@ -46,7 +46,7 @@ INVALID = r"(?i)required|必須.*入力|please\s+enter|invalid\s+email"
 
 def hits(text: Column, words: list[str]) -> Column:
     """The words that a text holds, in the order of the list."""
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(F.lower(text), F.lower(w)))
+    return F.filter(listed(words), lambda w: F.contains(F.lower(text), F.lower(w)))
 
 
 def first_kind(text: Column, patterns: dict[str, str], otherwise: str | None = None) -> Column:

@@ -34,10 +34,16 @@ FREE_TEXT = {
 }
 
 
+def table_of(keywords: dict[str, str]) -> Column:
+    """The keywords as a constant array of structs(industry, place, words)."""
+    row = lambda i, name, words: f"struct('{name}' AS industry, {-i} AS place, array({', '.join(repr(w) for w in words.split('|'))}) AS words)"
+    return F.expr(f"array({', '.join(row(i, name, words) for i, (name, words) in enumerate(keywords.items()))})")
+
+
 def best_match(text: Column) -> Column:
     """The industry with most keywords in a text, the first one at a tie; null if none. A text is in lower case, as keywords in capitals never match."""
-    counted = [F.struct(F.size(F.filter(F.array(*[F.lit(w) for w in words.split("|")]), lambda w: F.contains(text, w))).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("industry")) for i, (name, words) in enumerate(KEYWORDS.items())]
-    best = F.array_max(F.array(*counted))
+    held = lambda g: F.size(F.filter(g["words"], lambda w: F.contains(text, w)))
+    best = F.array_max(F.transform(table_of(KEYWORDS), lambda g: F.struct(held(g).alias("n"), g["place"].alias("place"), g["industry"].alias("industry"))))
     return F.when(best["n"] > 0, best["industry"])
 
 
