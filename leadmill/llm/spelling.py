@@ -108,7 +108,10 @@ def near_pairs(words: DataFrame) -> DataFrame:
     pivots = pivots.select("a", "last_a", "gram", (F.col("length") + F.col("m.longer")).alias("length"), (F.col("place") + F.col("m.shift")).alias("place"))
     prefixes = index.where("not pivot").select(F.col("word").alias("b"), last("b"), "gram", "length", "place")
     found = pivots.hint("merge").join(prefixes, ["gram", "length", "place"]).where("a <> b and last_a <= last_b")
-    pairs = found.where(F.levenshtein("a", "b", 1) == 1).select("a", "b")
+    # one edit leaves the first two letters or the last two as they are: a quick test before the edit distance
+    ends = lambda c: (F.substring(c, 1, 2), F.substring(c, -2, 2))
+    alike = (ends("a")[0] == ends("b")[0]) | (ends("a")[1] == ends("b")[1])
+    pairs = found.where(alike).where(F.levenshtein("a", "b", 1) == 1).select("a", "b")
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
