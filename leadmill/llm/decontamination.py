@@ -4,10 +4,10 @@ Texts are normalised to lower-case letters and digits with one blank between wor
 ``segment`` characters of the item (the whole item, if it is shorter) matches with at most k edits. Then the two share at least
 (m - q + 1) - k * q of the segment's q-grams, all on diagonals (text position minus item position) within k of each other. So
 shared q-grams are sorted into overlapping bands of diagonals, and in each band a window slides over their item positions:
-where as many as the bound asks for begin within one segment, the segments that begin at the first and end at the last of them
-are verified. One passes when it equals the text; where no segment of an item does, by an alignment limited to the band.
+where as many as the bound asks for begin within one segment, every segment that holds them is verified. One passes when it
+equals the text; where no segment of an item does, by an alignment limited to the band.
 
-An unedited excerpt is surely caught from ``segment`` normalised characters on, wherever it begins. Items under q normalised
+So an excerpt of ``segment`` normalised characters with at most k edits is surely caught, wherever it begins. Items under q normalised
 characters can't be told from chance inside a text; they match only texts that hold nothing else.
 
 The index of a block of items (about ``block_chars`` characters, or one longer item; a fixed bound) goes to every task; a larger
@@ -78,29 +78,28 @@ def qgrams(codes: np.ndarray, q: int) -> np.ndarray:
     return out ^ (out >> np.uint64(33))
 
 
-def within(pattern: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int] | None:
-    """Least number of edits, if at most k, between the pattern and a stretch of text, and the end of the first such one.
-
-    Banded: text position minus pattern position stays between low and high. The stretch may begin and end anywhere.
-    """
-    width, far = high - low + 1, k + 1
-    padded = np.full(len(pattern) + width + abs(low) + len(text), np.iinfo(np.uint32).max, dtype=np.uint32)  # equals no code
-    shift = max(0, -low)
-    padded[shift : shift + len(text)] = text
-    step = np.arange(width, dtype=np.int32)
-    begins = np.arange(low, high + 1)
-    row = np.where((begins >= 0) & (begins <= len(text)), 0, far).astype(np.int32)  # row i, cell d: text position i + low + d
-    for i, c in enumerate(pattern, 1):
-        at = i + low
-        new = row + (padded[shift + at - 1 : shift + at - 1 + width] != c)
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        outside = (at + step < 0) | (at + step > len(text))
-        new[outside] = far
-        row = np.minimum(np.minimum.accumulate(new - step) + step, far)
-        row[outside] = far
-        if row.min() > k:
-            return None
-    return int(row.min()), int(row.argmin()) + len(pattern) + low
+def aligned(own: np.ndarray, begin: np.ndarray, codes: np.ndarray, low: np.ndarray, m: int, k: int, rows: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment own[begin : begin + m] the least number of edits to a stretch of codes (k + 1: more than k) and the end of the first such
+    one. Banded: the stretch begins at one of the 2k + 2 diagonals (text position minus item position) from low on, and the alignment
+    stays within k of them. All segments are aligned together, a letter a step."""
+    starts, far = 2 * k + 2, k + 1
+    width = starts + 2 * k
+    cell = np.arange(width)
+    edits, ends = np.full(len(begin), far), np.zeros(len(begin), dtype=np.int64)
+    for a in range(0, len(begin), rows):
+        first = begin[a : a + rows]
+        origin = (first + low[a : a + rows] - k)[:, None] + cell  # text position of each cell before the first letter
+        row = np.where((cell >= k) & (cell < k + starts) & (origin >= 0) & (origin <= len(codes)), 0, far)
+        for i in range(1, m + 1):
+            at = origin + i
+            out = (at < 0) | (at > len(codes))
+            new = row + (codes[np.clip(at - 1, 0, len(codes) - 1)] != own[first + i - 1][:, None]) + ((at < 1) | out) * far
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)  # a letter of the segment alone
+            new[out] = far
+            row = np.minimum(np.minimum.accumulate(new - cell, axis=1) + cell, far)  # letters of the text alone
+            row[out] = far
+        edits[a : a + rows], ends[a : a + rows] = row.min(axis=1), (origin + m)[np.arange(len(first)), row.argmin(axis=1)]
+    return edits, ends
 
 
 class Index:
@@ -131,7 +130,8 @@ class Index:
         self.keys, self.number, self.place = keys[order], number[order], place[order]
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[self.keys >> np.uint64(42)] = True
-        self.m = np.array([min(segment, len(c)) for c in self.codes], dtype=np.int64)
+        self.length = np.array([len(c) for c in self.codes], dtype=np.int64)
+        self.m = np.minimum(segment, self.length)
         self.k = np.minimum((edit_rate * self.m).astype(np.int64), (self.m - q) // q)
         self.bound = self.m - q + 1 - self.k * q
         self.longest = max((len(c) for c in self.codes), default=0)
@@ -153,7 +153,8 @@ class Index:
         return at[enough], number[enough].astype(np.int64), place[enough]
 
     def candidates(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(item, text positions, item positions): by item, where segments that reach the bound begin."""
+        """(item, segments' item positions, least diagonals): by item, every segment that shares as many q-grams as the bound asks for within a
+        band, with that band's least diagonal. They are all those that can match."""
         at, number, place = self.hits(codes)
         if not len(at):
             return
@@ -162,50 +163,45 @@ class Index:
         for shift in (0, 1):  # bands overlap by half: any 2k + 1 diagonals lie within one
             band = (at - place + shift * (width // 2) + width * (1 + self.longest // width)) // width
             order = np.lexsort((at, place, band, number))
-            n, b, p, t = number[order], band[order], place[order], at[order]
+            n, b, p, w = number[order], band[order], place[order], width[order]
             once = np.ones(len(order), dtype=bool)
             once[1:] = (n[1:] != n[:-1]) | (b[1:] != b[:-1]) | (p[1:] != p[:-1])
-            n, b, p, t = n[once], b[once], p[once], t[once]
+            n, b, p, w = n[once], b[once], p[once], w[once]
             last = np.arange(len(n)) + self.bound[n] - 1
             fits = last < len(n)
             i, j = np.flatnonzero(fits), last[fits]
             near = (n[i] == n[j]) & (b[i] == b[j]) & (p[j] - p[i] <= self.m[n[i]] - self.q)
             i, j = i[near], j[near]
-            begin = np.maximum(0, p[j] + self.q - self.m[n[j]])  # of the segment that ends with the last of them
-            found += [np.stack([n[i], t[i], p[i]], axis=1), np.stack([n[j], t[j] - (p[j] - begin), begin], axis=1)]
+            low = np.maximum(0, p[j] + self.q - self.m[n[j]])  # of the first segment that holds them all
+            many = np.minimum(p[i], self.length[n[i]] - self.m[n[i]]) - low + 1
+            begin = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            diagonal = b[i] * w[i] - shift * (w[i] // 2) - w[i] * (1 + self.longest // w[i])
+            found.append(np.unique(np.stack([np.repeat(n[i], many), begin, np.repeat(diagonal, many)], axis=1), axis=0))
         every = np.unique(np.concatenate(found), axis=0)
         for item in np.unique(every[:, 0]):
             own = every[every[:, 0] == item]
             yield int(item), own[:, 1], own[:, 2]
 
     def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(item, start, end, edits, segments) of one block of codes; the segments are those verified."""
-        for item, at, place in self.candidates(codes):
+        """(item, start, end, edits, segments) of one block of codes; the segments are those that match: all that equal the text, and if
+        none does, all with at most k edits."""
+        for item, begin, low in self.candidates(codes):
             own, m, k = self.codes[item], int(self.m[item]), int(self.k[item])
-            first = np.minimum(place, len(own) - m)  # where the segment begins: it may not pass the item's end
-            start = at - (place - first)
-            whole = (start >= 0) & (start + m <= len(codes))
-            equal = np.zeros(len(start), dtype=bool)
-            step = np.arange(m)
-            for part in np.array_split(np.flatnonzero(whole), max(1, whole.sum() * m // (1 << 20))):
-                equal[part] = (codes[start[part][:, None] + step] == own[first[part][:, None] + step]).all(axis=1)
+            equal, start = np.zeros(len(begin), dtype=bool), np.zeros(len(begin), dtype=np.int64)
+            for step in range(2 * (2 * k + 1)):  # along each diagonal of the band
+                t = begin + low + step
+                inside = np.flatnonzero((t >= 0) & (t + m <= len(codes)) & ~equal)
+                inside = inside[codes[t[inside]] == own[begin[inside]]]
+                for part in np.array_split(inside, max(1, len(inside) * m // (1 << 20))):
+                    same = part[(codes[t[part][:, None] + np.arange(m)] == own[begin[part][:, None] + np.arange(m)]).all(axis=1)]
+                    equal[same], start[same] = True, t[same]
             if equal.any():
-                s = start[equal]
-                yield item, int(s.min()), int(s.max()) + m, 0, len(np.unique(first[equal]))
+                yield item, int(start[equal].min()), int(start[equal].max()) + m, 0, len(np.unique(begin[equal]))
                 continue
-            tried: set[tuple[int, int]] = set()
-            spans = []
-            for t, s in zip(start.tolist(), first.tolist(), strict=True):
-                if (key := (s // 4, (t - s) // (2 * k + 1))) in tried:  # at most 3 characters from a segment that was tried
-                    continue
-                tried.add(key)
-                base = max(0, t - k)
-                window = codes[base : t + m + 2 * k + 1]
-                if hit := within(own[s : s + m], window, t - base - k, t - base + k, k):
-                    end = base + hit[1]
-                    spans.append((max(0, end - m), end, hit[0]))
-            if spans:
-                yield item, min(x[0] for x in spans), max(x[1] for x in spans), min(x[2] for x in spans), len(spans)
+            edits, end = aligned(own, begin, codes, low + k, m, k)
+            hit = edits <= k
+            if hit.any():
+                yield item, int(np.maximum(0, end[hit] - m).min()), int(end[hit].max()), int(edits[hit].min()), len(np.unique(begin[hit]))
 
     def scan(self, text: str | None) -> dict[int, tuple[int, int, int, int]]:
         """By item: start and end (code points of the text) of what its matched segments span, the least edits, segments."""

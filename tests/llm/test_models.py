@@ -88,9 +88,12 @@ def test_decontamination_of_short_excerpts(spark):
     assert decontamination.without_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).where(F.col("doc_id").isin(list(whole))).count() == 0
 
 
-def test_within():
+def test_aligned():
     p, t = np.array([1, 2, 3, 4, 5]), np.array([9, 9, 1, 2, 7, 4, 5, 9])
-    assert decontamination.within(p, t, 0, 3, 1) == (1, 7) and decontamination.within(p, t, 0, 3, 0) is None and decontamination.within(p, t, 5, 7, 1) is None
+    of = lambda low, k: tuple(int(x[0]) for x in decontamination.aligned(p, np.array([0]), t, np.array([low]), 5, k))
+    assert of(0, 1) == (1, 7) and of(2, 0)[0] == 1 and of(5, 1)[0] == 2
+    edits, ends = decontamination.aligned(p, np.array([0, 1, 2]), t, np.array([0, 0, 0]), 3, 1, rows=2)
+    assert edits.tolist() == [1, 1, 1] and ends.tolist() == [4, 6, 7]
 
 
 def brute_components(rows, size, percent):
