@@ -280,5 +280,5 @@ def info_page_names(pages: DataFrame, names: DataFrame, most: int = 15) -> DataF
     info = pages.where(F.col("url").rlike(r"(?i)^https?://[^/?#]+/(?:[^?#]*/)?(?:company|about|gaiyou|profile|corporate|outline)")).select(site.alias("site"), "page_id", "url")
     first = F.row_number().over(Window.partitionBy("site").orderBy("url", "page_id"))
     info = info.withColumn("rn", first).where(F.col("rn") <= most)
-    best = info.join(names, "page_id").groupBy("site").agg(F.max(F.struct("conf", "name")).alias("m"), F.countDistinct("page_id").alias("n_pages"))
-    return pages.select("page_id", site.alias("site")).join(best, "site").select("page_id", "site", F.col("m.name").alias("name"), "n_pages")
+    best = info.join(names.hint("merge"), "page_id").groupBy("site").agg(F.max(F.struct("conf", "name")).alias("m"), F.countDistinct("page_id").alias("n_pages"))
+    return pages.select("page_id", site.alias("site")).join(best.hint("merge"), "site").select("page_id", "site", F.col("m.name").alias("name"), "n_pages")

@@ -67,12 +67,12 @@ def from_lines(replies: DataFrame) -> DataFrame:
 
 def answers(replies: DataFrame) -> DataFrame:
     """One value a url and field, of whichever form the reply has: page_id, field, value, conf (hundredths)."""
-    keyed = replies.select("url", "page_id")
+    keyed = replies.select("url", "page_id").distinct()
     flat = from_labels(replies).select("url", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), F.lit(c).alias("conf")) for f, c in (("company_name", 90), ("email", 95), ("industry", 80))])).alias("c")).select("url", "c.*", F.lit(1).alias("form"))
     nested = from_json(replies).select("url", "field", "value", F.round(100 * F.col("confidence")).cast("int").alias("conf"), F.lit(0).alias("form"))
     rows = nested.unionByName(flat).where("value is not null")
     best = rows.groupBy("url", "field").agg(F.min_by(F.struct("value", "conf"), "form").alias("b"))
-    return best.join(keyed, "url").select("page_id", "field", "b.value", "b.conf")
+    return best.join(keyed.hint("merge"), "url").select("page_id", "field", "b.value", "b.conf")
 
 
 def with_page_addresses(found: DataFrame, pages: DataFrame) -> DataFrame:
@@ -89,10 +89,11 @@ def requests(values: DataFrame) -> DataFrame:
 
 
 def merged(values: DataFrame, replies: DataFrame) -> DataFrame:
-    """The rule's value where it is sure enough, else the model's (capped), else the rule's (capped lower)."""
+    """The rule's value where it is sure enough, else the model's (capped), else the rule's (capped lower). One row a row of values; of several
+    replies for a page the surest counts, then that of the greatest value."""
     least = F.element_at(F.create_map(*[F.lit(x) for p in ENOUGH.items() for x in p]), F.col("field"))
-    model = answers(replies).select("page_id", "field", F.col("value").alias("m_value"), F.col("conf").alias("m_conf"))
-    rows = values.join(model, ["page_id", "field"], "left")
+    model = answers(replies).groupBy("page_id", "field").agg(F.max(F.struct("conf", "value")).alias("m")).select("page_id", "field", F.col("m.value").alias("m_value"), F.col("m.conf").alias("m_conf"))
+    rows = values.hint("merge").join(model, ["page_id", "field"], "left")
     sure = F.col("value").isNotNull() & (F.col("conf") >= least)
     used = ~sure & F.col("m_value").isNotNull()
     conf = F.when(sure, F.col("conf")).when(used, F.least("m_conf", F.lit(MODEL_CAP))).when(F.col("value").isNotNull(), F.least("conf", F.lit(FALLBACK_CAP))).otherwise(0)

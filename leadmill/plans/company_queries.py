@@ -52,10 +52,14 @@ DETECTED = [(v, m, e) for v, e, ms in [
 ] for m in ms.split()]
 add_pages("e1_e9_detectors", lambda p: emails.candidates(p).select("page_id", "method", "email").distinct(), planted("method, email", DETECTED))
 add_pages("e12_e14_ranked_addresses", emails.ranked, planted("email, method, confidence, n_emails, candidates", RANKED))
-add_pages("e16_context", lambda p: emails.scored(emails.candidates(p)).where("method <> 'regex_plain'").select("page_id", "email", "snippet"), planted("email, snippet", [
-    (0, "info{k}@s{k}.example.jp", "メール:info{k}＠s{k}．example．jp"), (0, "x{k}@cell.example.jp", "x{k}@cell.example.jp"), (1, "info{k}@s{k}.example.jp", "メール:info{k}@s{k}.example.jp"), (1, "li{k}@list.example.jp", "contact: li{k}@list.example.jp"),
+CONTEXT = planted("email, snippet", [
+    (0, "info{k}@s{k}.example.jp", "メール:info{k}＠s{k}．example．jp"), (0, "x{k}@cell.example.jp", "x{k}@cell.example.jp"), (1, "info{k}@s{k}.example.jp", "メール:info{k}@s{k}.example.jp"),
+    (1, "li{k}@list.example.jp", "contact: li{k}@list.example.jp"), (2, "ld{k}@ld.example.jp", '{six}","industry":"金融","contactPoint":[{"email":"ld{k}@ld.example.jp"}]}</script></head><body><p>Welcome to our site</'),
     (3, "sp{k}@c{k}.example.jp", "お問い合わせ:sp{k}@c{k}.example.jp"), (5, "sales{k}@m.example.jp", "営業"),
-]))
+    (5, "box{k}@box.example.jp", 'length in this place</p><div class="contact-box">box{k}@box.example.jp</div><p>The end of it all, which is also told at'),
+    (6, "foot{k}@foot.example.jp", 'ooter><img src="f.png" alt="{n}事務所">foot{k}@foot.example.jp</footer></body></html>'),
+])
+add_pages("e16_context", lambda p: emails.scored(emails.candidates(p)).select("page_id", "email", "snippet"), f"SELECT page_id, email, replace(snippet, '{{six}}', lpad(CAST(page_id % 1000000 AS VARCHAR), 6, '0')) AS snippet FROM ({CONTEXT})")
 
 add_pages("h3_h5_h6_h9_labels", lambda p: profiles.shredded(p).where("kind <> 'heading'"), planted("kind, pos, label, value", [
     (0, "table", 0, "会社名", "株式会社{n}"), (0, "table", 1, "メール", "info{k}＠s{k}．example．jp"), (0, "table", 2, "備考", "x{k}@cell.example.jp"), (0, "sibling", 0, "会社名", "株式会社{n}"), (0, "sibling", 1, "メール", "info{k}＠s{k}．example．jp"), (0, "sibling", 2, "備考", "x{k}@cell.example.jp"),
@@ -64,10 +68,15 @@ add_pages("h3_h5_h6_h9_labels", lambda p: profiles.shredded(p).where("kind <> 'h
 ]))
 add_pages("h8_headings", lambda p: profiles.shredded(p).where("kind = 'heading'").select("page_id", "label", "value"), planted("label, value", [(1, "h2", "About"), (6, "h2", "団体名")]))
 add_pages("h4_json_values", profiles.json_values, planted("block, key, value", [(2, 0, "@type", "Organization"), (2, 0, "name", "株式会社{n}"), (2, 0, "industry", "金融"), (2, 0, "email", "ld{k}@ld.example.jp")]))
-add_pages("h12_excerpts", lambda p: profiles.excerpts(p).where("page_id % 8 in (0, 2, 6)"), planted("excerpt", [
-    (0, "TITLE: 株式会社{n} | 会社概要\nH1: 会社概要\nFOOTER: Copyright © 2024 株式会社{n} All Rights Reserved\nBODY: 株式会社{n} | 会社概要 会社概要 会社名 株式会社{n} メール info{k}＠s{k}．example．jp 備考 x{k}@cell.example.jp Copyright © 2024 株式会社{n} All Rights Reserved"),
-    (2, "TITLE: Home\nFOOTER: site\nBODY: Home Welcome to our site"), (6, "TITLE: Guide\nH1: 税理士法人{n}｜会社概要\nFOOTER: foot{k}@foot.example.jp\nBODY: Guide 税理士法人{n}｜会社概要 団体名 協会{n} ■会社名 株式会社{n} ■所在地 東京 foot{k}@foot.example.jp"),
-]))
+#: By variant: title, first heading, footer (null: the last fifth of the text), text.
+TOLD = planted("title, h1, footer, body", [
+    (0, "株式会社{n} | 会社概要", "会社概要", "Copyright © 2024 株式会社{n} All Rights Reserved", "株式会社{n} | 会社概要 会社概要 会社名 株式会社{n} メール info{k}＠s{k}．example．jp 備考 x{k}@cell.example.jp Copyright © 2024 株式会社{n} All Rights Reserved"),
+    (1, "Profile", None, "Since 2001", "Profile About 商号 合同会社{n} メール info{k}@s{k}.example.jp contact: li{k}@list.example.jp Open daily Since 2001"),
+    (2, "Home", None, None, "Home Welcome to our site"), (3, "{n} Home", "Start", None, "{n} Home Open house Start お問い合わせ sp{k}@c{k}.example.jp"), (4, "Write to us", None, None, "Write to us お名前 Mail Tel 会社 Text"),
+    (5, "Members", None, None, "Members Login News of the year and other things that are told at some length here 営業 Opening hours and further notes, again told at some length in this place box{k}@box.example.jp The end of it all, which is also told at length"),
+    (6, "Guide", "税理士法人{n}｜会社概要", "foot{k}@foot.example.jp", "Guide 税理士法人{n}｜会社概要 団体名 協会{n} ■会社名 株式会社{n} ■所在地 東京 foot{k}@foot.example.jp"), (7, "Ask", None, None, "Ask Step 1 of 3 Next Ask お問い合わせ"),
+])
+add_pages("h12_excerpts", profiles.excerpts, f"""SELECT page_id, 'TITLE: ' || title || coalesce(chr(10) || 'H1: ' || h1, '') || chr(10) || 'FOOTER: ' || coalesce(footer, trim(substr(body, CAST(floor(length(body) * 0.8) AS BIGINT) + 1))) || chr(10) || 'BODY: ' || body AS excerpt FROM ({TOLD})""")
 
 add_pages("h11_a2_form_fields", forms.form_fields, planted("pos, field_pos, name, type, required, purpose", [
     (4, 0, 0, "yourname", "text", True, "name"), (4, 0, 1, "mail", "email", True, "email"), (4, 0, 2, "tel", "tel", False, "phone"), (4, 0, 3, "company", "text", False, "company"), (4, 0, 4, "body", "text", False, "unknown"),
@@ -111,7 +120,7 @@ add_pages("u10_polite_times", outreach.polite_times, "SELECT k AS page_id, 'c' |
 FOUND["h1_visible_text"] = (lambda spark, d: pages.visible_texts(read_table(spark, d, "pages")), f"SELECT page_id, {visible('html')} AS text FROM pages")
 FOUND["h2_headings"] = (lambda spark, d: pages.headings(read_table(spark, d, "pages")), "SELECT page_id, 1::BIGINT AS level, 0::BIGINT AS pos, trim(regexp_replace(regexp_replace(regexp_replace(string_split(string_split(html, '<h1>')[2], '</h1>')[1], '&amp;', '&', 'g'), '[ \t\r\n]+', ' ', 'g'), '<[^>]*>', '', 'g')) AS heading FROM pages")
 add_pages("h10_sections", pages.page_sections, planted("header, footer, images", [(0, None, "Copyright © 2024 株式会社{n} All Rights Reserved", ""), (1, None, "Since 2001", ""), (3, "Open house", None, ""), (6, None, "foot{k}@foot.example.jp", "{n}事務所")]))
-add_pages("c27_sure_completion", lambda p: p.where("page_id % 8 = 6").select("page_id", companies.surely_completed(F.col("html"), F.lit("協会")).alias("near"), companies.surely_completed(F.col("html"), F.lit("所在地")).alias("none")), planted("near, none", [(6, "株式会社協会", "株式会社所在地")]))
+add_pages("c27_sure_completion", lambda p: p.select("page_id", companies.surely_completed(F.col("html"), F.lit("協会")).alias("near"), companies.surely_completed(F.col("html"), F.lit("所在地")).alias("none")), "SELECT k AS page_id, CASE WHEN v IN (0, 6) THEN '株式会社協会' END AS near, CASE WHEN v IN (0, 6) THEN '株式会社所在地' END AS none FROM p")
 FOUND["u10_site_times"] = (lambda spark, d: outreach.polite_times(read_table(spark, d, "pages"), 10), "SELECT page_id, split_part(split_part(url, '//', 2), '/', 1) AS site, CAST(epoch(TIMESTAMP '2024-01-30 12:00:00') + 10 * (row_number() OVER (PARTITION BY split_part(split_part(url, '//', 2), '/', 1) ORDER BY page_id) - 1) AS BIGINT) AS at_seconds FROM pages")
 
 
