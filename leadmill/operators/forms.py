@@ -272,18 +272,22 @@ def csrf_tokens(pages: DataFrame) -> DataFrame:
 
 
 def multi_step(pages: DataFrame) -> DataFrame:
-    """Pages whose form has several steps, and what shows it."""
+    """Page rows whose forms have several steps, and what shows it; each within its row."""
     html = F.col("html")
     text = F.lower(H.inner_text(H.outside_scripts(html), " "))
     step = r"(?:step\s+(\d+)\s+of\s+(\d+)|ステップ\s*(\d+)\s*/\s*(\d+)|(\d+)\s*/\s*(\d+))"
-    number = lambda groups: F.coalesce(*[F.nullif(F.regexp_extract(text, step, g), F.lit("")) for g in groups]).cast("long")
-    rows = page_forms(pages).groupBy("page_id").agg(F.flatten(F.collect_list("fields")).alias("fields"), F.collect_list("button").alias("buttons"), F.first("html").alias("html"))
-    hidden = F.filter("fields", lambda f: (f["type"] == "hidden") & f["name"].rlike("(?i)step|page"))
-    shown = F.array_compact(F.array(
-        F.when(text.rlike(step), F.concat(F.lit("Step indicator: "), number((1, 3, 5)).cast("string"), F.lit("/"), number((2, 4, 6)).cast("string"))), F.when(F.size(hidden) > 0, F.concat(F.lit("Hidden step field: "), hidden[0]["name"])),
-        F.when(F.exists("buttons", lambda b: b.rlike("(?i)next|次へ|continue|続ける")), "Next/Continue button"), F.when(html.rlike(r"""(?i)class\s*=\s*["'][^"']*(?:wizard|step)"""), "Wizard-like structure detected"),
-    ))
-    return rows.select("page_id", number((1, 3, 5)).alias("current_step"), number((2, 4, 6)).alias("total_steps"), F.array_join(shown, "; ").alias("indicators")).where("indicators <> ''")
+    number = lambda groups: F.coalesce(*[F.nullif(F.regexp_extract("text", step, g), F.lit("")) for g in groups]).cast("long")
+    wizard = html.rlike(r"""(?i)class\s*=\s*["'][^"']*(?:wizard|step)""")
+    parts = F.transform(F.when(F.contains(F.lower(html), F.lit("<form")), H.every(html, H.FORM)), form_parts)
+    rows = pages.select("page_id", text.alias("text"), wizard.alias("wizard"), parts.alias("parts")).where(F.size("parts") > 0)
+    rows = rows.withColumn("current_step", number((1, 3, 5))).withColumn("total_steps", number((2, 4, 6)))
+    hidden = F.filter(F.flatten(F.transform("parts", lambda p: p["fields"])), lambda f: (f["type"] == "hidden") & f["name"].rlike("(?i)step|page"))
+    onward = F.exists("parts", lambda p: F.coalesce(p["button"].rlike("(?i)next|次へ|continue|続ける"), F.lit(False)))
+    shown = F.concat_ws(
+        "; ", F.when(F.rlike("text", F.lit(step)), F.concat(F.lit("Step indicator: "), F.col("current_step").cast("string"), F.lit("/"), F.col("total_steps").cast("string"))),
+        F.concat(F.lit("Hidden step field: "), F.get(hidden, F.lit(0))["name"]), F.when(onward, "Next/Continue button"), F.when(F.col("wizard"), "Wizard-like structure detected"),
+    )
+    return rows.select("page_id", "current_step", "total_steps", shown.alias("indicators")).where("indicators <> ''")
 
 
 def outcomes(responses: DataFrame) -> DataFrame:
