@@ -104,5 +104,5 @@ def weaker_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 NAME = "replace(c_name, '#', '')"
-FOUND["c5_c6_c15_c21_to_c23_names"] = (weaker_names, f"""SELECT c_custkey AS page_id, CASE c_custkey % 6 WHEN 0 THEN '合同会社' || {NAME} WHEN 1 THEN '株式会社山田商店' || c_custkey WHEN 2 THEN '株式会社名古屋' WHEN 3 THEN '株式会社N' || c_custkey WHEN 4 THEN '株式会社' || {NAME} ELSE {NAME} || '商店・略称:' || c_custkey || '(ワイ)' END AS company_name,
+FOUND["c5_c6_c15_c21_to_c23_names"] = (weaker_names, f"""SELECT c_custkey AS page_id, CASE c_custkey % 6 WHEN 0 THEN '合同会社' || {NAME} WHEN 1 THEN '株式会社山田商店' || c_custkey WHEN 2 THEN '株式会社名古屋' WHEN 3 THEN '株式会社N' || c_custkey WHEN 4 THEN '株式会社' || {NAME} ELSE {NAME} || '商店・略称:Y(ワイ)' END AS company_name,
  CASE c_custkey % 6 WHEN 0 THEN 'dt_merged' WHEN 1 THEN 'text_pattern_label' WHEN 2 THEN 'business_name' ELSE 'table_field' END AS method, CASE c_custkey % 6 WHEN 0 THEN 0.97 WHEN 1 THEN 0.82 WHEN 2 THEN 0.82 ELSE 0.99 END::DOUBLE AS confidence FROM customer""")

@@ -157,7 +157,7 @@ def contact_sites(customers: DataFrame) -> DataFrame:
 #: a name before an address and a person, labels and names whose UTF-8 was read as Latin-1, a full name with its short form.
 NAMED = {
     0: "<dl><dt>会社名 合同会社{n} 代表 山田<dt>x</dl>", 1: "<p>会社名：山田商店{k}</p>", 2: "<h1>名古屋の探偵事務所なら{n}</h1>", 3: "<table><tr><td>会社名<td>株式会社N{k} 東京都港区1-1</table>",
-    4: "<table><tr><td>{garbled}<td>{garbled_name}{n}</table>", 5: "<table><tr><td>法人名<td>{n}商店・略称：{k}（ワイ）</table>",
+    4: "<table><tr><td>{garbled}<td>{garbled_name}{n}</table>", 5: "<table><tr><td>法人名<td>{n}商店・略称：Y（ワイ）</table>",
 }
 
 
