@@ -97,12 +97,12 @@ class Block:
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         self.low, self.high = np.minimum.reduceat(self.p, self.starts[:-1]), np.maximum.reduceat(self.p, self.starts[:-1])
 
-    def search(self, row: int, v: np.ndarray, p: np.ndarray, bound: float, k: int, quantile: float) -> tuple[list, list[float], int]:
-        """Ids and distances of the k nearest rows at most bound away, and the number of rows verified. The bound shrinks to the k-th distance met."""
+    def search(self, row: int, v: np.ndarray, p: np.ndarray, bound: float, k: int, quantile: float) -> tuple[list, list[int], list[float]]:
+        """Ids, rows and distances of the k nearest rows at most bound away. The bound shrinks to the k-th distance met."""
         box = np.sqrt((np.maximum(np.maximum(self.low - p, p - self.high), 0) ** 2).sum(axis=1))
         order = np.argsort(box, kind="stable")
         slack = 1e-9 * (1 + float(np.abs(p).max()))  # equal vectors may differ by rounding here
-        best_d, best_i, best_id, done, take, met = np.empty(0), np.empty(0, int), np.empty(0), 0, 1, 0
+        best_d, best_i, best_id, done, take = np.empty(0), np.empty(0, int), np.empty(0), 0, 1
         while done < len(order):
             reach = bound * math.sqrt(quantile) + slack
             if box[order[done]] > reach:  # the stopping test, for all rows that are left
@@ -111,7 +111,6 @@ class Block:
             done, take = done + take, 2 * take
             own = own[((self.p[own] - p) ** 2).sum(axis=1) <= reach * reach]
             own = own[self.rows[own] != row]
-            met += len(own)
             d = np.concatenate([best_d, np.sqrt(((self.v[own] - v) ** 2).sum(axis=1))])
             i, ids = np.concatenate([best_i, own]), np.concatenate([best_id, self.ids[own]])
             first = np.lexsort((ids, d))[:k]
@@ -119,7 +118,7 @@ class Block:
             if len(best_d) == k:
                 bound = min(bound, float(best_d[-1]))
         near = best_d <= bound
-        return best_id[near].tolist(), best_d[near].tolist(), met
+        return best_id[near].tolist(), self.rows[best_i[near]].tolist(), best_d[near].tolist()
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding",
@@ -171,15 +170,15 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
                 ids = its["key"].astype("float64").fillna(np.inf).to_numpy() if its["key"].isna().any() else its["key"].to_numpy()
                 tied = Block(ids, its["row_id"].to_numpy(), np.stack(its["v"].to_numpy()), np.stack(its["p"].to_numpy()))
                 for row, name, v, p, bound in asked[["row_id", "key", "v", "p", "bound"]].itertuples(index=False):
-                    near, far, _ = tied.search(row, np.asarray(v), np.asarray(p), bound, k, quantile)
-                    out += [(row, name, None if i == np.inf else int(i), x) for i, x in zip(near, far, strict=True)]
-            return pd.DataFrame(out, columns=["row_id", "query_id", "id", "score"]).astype({"id": "Int64", "query_id": "Int64"})
+                    ids_, rows_, far = tied.search(row, np.asarray(v), np.asarray(p), bound, k, quantile)
+                    out += [(row, name, None if i == np.inf else int(i), r, x) for i, r, x in zip(ids_, rows_, far, strict=True)]
+            return pd.DataFrame(out, columns=["row_id", "query_id", "id", "near", "score"]).astype({"id": "Int64", "query_id": "Int64"})
 
         by = ["cell", "part", "q"]
         pairs = left.select("row_id", "key", "v", "p", *by).groupBy(*by).cogroup(right.select("row_id", "key", "v", "p", "bound", *by).groupBy(*by))
-        return pairs.applyInPandas(search, "row_id long, query_id long, id long, score double")
+        return pairs.applyInPandas(search, "row_id long, query_id long, id long, near long, score double")
 
-    home = found(queries.withColumn("bound", F.lit(math.inf)), True)
+    home = staged(found(queries.withColumn("bound", F.lit(math.inf)), True), "neighbours-home")
     bounds = staged(home.groupBy("row_id").agg(F.when(F.count("*") >= k, F.max("score")).otherwise(math.inf).alias("bound")), "neighbours-bounds")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,4 +191,6 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", v
     bounded = queries.select("row_id", "key", "v", "p").join(bounds.hint("merge"), "row_id", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
     visits = staged(bounded.mapInArrow(visit, "row_id long, key long, v array<double>, p array<double>, bound double, cell int"), "neighbours-visits")
     order = Window.partitionBy("row_id").orderBy("score", F.col("id").asc_nulls_last())
-    return found(visits, False).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
+    # what the first block gave stays: with its bound the test may now reject some of it
+    every = found(visits, False).unionByName(home).dropDuplicates(["row_id", "near"])
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")

@@ -183,6 +183,12 @@ def test_neighbours_of_odd_rows_and_equal_vectors(spark):
     tied = sorted((r.rank, r.vec_id) for r in found if r.query_id == 200)
     assert tied == [(i + 1, v) for i, v in enumerate(range(1, 11))] and {r.score for r in found if r.query_id == 200} == {0.0}
     assert sorted(r.rank for r in found if r.query_id == 100) == sorted([*range(1, 11)] * 2) and not {r.vec_id for r in found} & set(range(700, 707))
+    spread = spark.createDataFrame([(i, rng.standard_normal(64).tolist()) for i in range(3000)], "vec_id long, embedding array<double>")
+    for size in (200, 16384):  # far neighbours, so that the test rejects much
+        ranks = {}
+        for r in neighbours.nearest(spread, F.col("vec_id") % 100 == 0, block_rows=size, confidence=0.5).collect():
+            ranks.setdefault(r.query_id, []).append(r.rank)
+        assert len(ranks) == 30 and all(sorted(v) == list(range(1, 11)) for v in ranks.values())
     few = neighbours.nearest(df.where("vec_id in (299, 300, 1000)"), F.col("vec_id") == 300).orderBy("rank").collect()
     assert [(r.rank, r.vec_id) for r in few] == [(1, 299), (2, 1000)]
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0 and neighbours.nearest(df.where("vec_id = 300"), F.lit(True)).count() == 0
