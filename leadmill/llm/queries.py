@@ -82,7 +82,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     found = scan(docs, train(docs))
-    counts = [F.size(F.filter("base_spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    # a second argument of filter's function would be the place in the array
+    count = lambda i: F.size(F.filter("base_spans", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 

@@ -32,7 +32,6 @@ PATTERN = {
 LEAST_VALUE = 6
 MIN_CHARS = 16
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-KEY_LIKE = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z]"
 #: Symbols of the models by position from 1; any other character is 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_"
 STATES = len(ALPHABET) + 1
@@ -86,7 +85,7 @@ def train(docs: DataFrame, sample_docs: int = 3000, joined_words: int = 60, smoo
     labelled = drawn.withColumn("random", F.lit(1)).unionByName(values.withColumn("random", F.lit(1))).unionByName(joined.withColumn("random", F.lit(0)))
     # one string a row, behind a sign for its start; signs outside the alphabet count as one
     signs = labelled.select("random", F.concat(F.lit("~"), F.regexp_replace("s", f"[^{ALPHABET}]", "~")).alias("s"))
-    seen = signs.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
+    seen = signs.select("random", F.explode(F.regexp_extract_all("s", F.lit("(?=(..))"), F.lit(1))).alias("pair"))  # each string is read once, however long
     table = [[smoothing] * STATES**2 for _ in range(2)]
     place = {c: i for i, c in enumerate("~" + ALPHABET)}
     for r in seen.groupBy("random", "pair").count().collect():  # two rows a transition at most
@@ -98,6 +97,11 @@ def train(docs: DataFrame, sample_docs: int = 3000, joined_words: int = 60, smoo
     return out
 
 
+def key_like(string: Column) -> Column:
+    """A digit and a letter, or a capital behind a small letter. Each test reads the string once, however long it is."""
+    return (string.rlike("[0-9]") & string.rlike("[A-Za-z]")) | string.rlike("[a-z][A-Z]")
+
+
 def ratio(string: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio a character."""
     table = F.from_json(F.lit(json.dumps([round(x, 4) for x in model])), "array<double>")
@@ -113,7 +117,7 @@ def scan(docs: DataFrame, model: list[float], threshold: float = 1.0) -> DataFra
     base = docs.withColumn("base_spans", base_spans(text))
     added = F.filter(
         spans_of(text, CANDIDATE, len(KINDS)),
-        lambda s: F.transform(F.array(F.substring(text, s["start"] + 1, s["end"] - s["start"])), lambda c: c.rlike(KEY_LIKE) & (ratio(c, model) >= threshold))[0]
+        lambda s: F.transform(F.array(F.substring(text, s["start"] + 1, s["end"] - s["start"])), lambda c: key_like(c) & (ratio(c, model) >= threshold))[0]
         & ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
     )
     return base.withColumn("spans", F.sort_array(F.concat("base_spans", added)))

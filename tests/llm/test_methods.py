@@ -207,6 +207,20 @@ def test_base_columns_of_secrets(spark):
         assert set(base.split(",")) <= set(r.spans.split(","))
 
 
+def test_counts_of_secrets_by_kind_and_long_texts(spark, tmp_path):
+    """Several spans of all kinds in mixed order; runs of 200,000 characters, which a test or a count that is quadratic in them does not end on."""
+    import hashlib
+
+    key, hexes = "AKIA" + "B7" * 9, "deadbeef" * 4
+    texts = [f"{key} token=abcdef1 {hexes} {key} secret: x{hexes}", f"{hexes} {hexes} api_key='abcdef'", "token=abcdef token=abcdef token=abcdef", "token=abc", "", None, "a" * 200_000, "password=" + "a" * 200_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_secret_scans(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        base = brute_spans(text)
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [len(re.findall(k, base)) for k in ("assign", "access", "hex")]
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
 @pytest.mark.parametrize(
     "name, columns",
     [
