@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leadmill.functions.text import bound
+
 #: An item up to its end, the next item or the end of its list.
 ITEM = r"(?is)<(?:li|dd)(?:\s[^>]*)?>(.*?)(?:</(?:li|dd|ul|ol|dl)\s*>|(?=<(?:li|dt|dd)[\s>])|\z)"
 PAIR = r"(?is)<dt(?:\s[^>]*)?>((?:(?!<dt[\s>]).)*?)(?:</dt\s*>)?\s*<dd(?:\s[^>]*)?>(.*?)(?=</dd|<dt|<dd|</dl|\z)"
@@ -33,7 +35,8 @@ def every_pair(text: Column, pattern: str, a: int, b: int) -> Column:
 
 def attribute(tag: Column, names: str) -> Column:
     """The value of the tag's first attribute of one of the names, empty if none."""
-    return F.concat(*[F.regexp_extract(tag, rf"""(?i)[\s"'](?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k) for k in (1, 2, 3)])
+    value = lambda t: F.concat(*[F.regexp_extract(t, rf"""(?i)[\s"'](?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k) for k in (1, 2, 3)])
+    return bound(tag, value)
 
 
 def unescaped(text: Column) -> Column:
@@ -62,13 +65,13 @@ def lines(html: Column) -> Column:
 
 def meta_content(html: Column, name: str) -> Column:
     """The content of the first meta tag of a name or property, null if none."""
-    tags = F.filter(every(html, META), lambda t: F.lower(attribute(t, "name|property")) == name)
-    return F.when(F.size(tags) > 0, unescaped(attribute(tags[0], "content")))
+    tag = F.get(F.filter(every(html, META), lambda t: F.lower(attribute(t, "name|property")) == name), F.lit(0))
+    return unescaped(attribute(tag, "content"))
 
 
 def footer_text(html: Column) -> Column:
     """The footer's text; without one, the last fifth of the visible text."""
-    text = inner_text(outside_scripts(html), " ")
-    tail = F.trim(F.substring(text, F.floor(F.length(text) * 0.8).cast("int") + 1, F.length(text)))
+    last = lambda t: F.trim(F.substring(t, F.floor(F.length(t) * 0.8).cast("int") + 1, F.length(t)))
+    tail = bound(inner_text(outside_scripts(html), " "), last)
     part = F.regexp_extract(html, r"(?is)<footer[^>]*>(.*?)(?:</footer\s*>|\z)", 1)
     return F.when(html.rlike(r"(?i)<footer[\s>]"), inner_text(part, " ")).otherwise(tail)

@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
+from leadmill.functions.text import bound
 
 MOST_DEPTH = 10
 
 
 def kind(value: Column) -> Column:
     """object, array, string, number, boolean or null."""
-    told = F.schema_of_variant(value)
-    plain = F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "STRING", "string")
-    return plain.when(told == "BOOLEAN", "boolean").when(told == "VOID", "null").otherwise("number")
+    plain = lambda told: F.when(told.startswith("OBJECT"), "object").when(told.startswith("ARRAY"), "array").when(told == "STRING", "string")
+    return bound(F.schema_of_variant(value), lambda told: plain(told).when(told == "BOOLEAN", "boolean").when(told == "VOID", "null").otherwise("number"))
 
 
 def node(block: Column, path: Column, key: Column, value: Column, is_open: bool | Column) -> Column:
@@ -40,7 +40,7 @@ def json_nodes(html: Column, depth: int = MOST_DEPTH) -> Column:
     Each step puts the children of the nodes found last behind them; nodes known before stay, so the expression grows with the depth only."""
     blocks = F.transform(H.every(html, H.JSON_LD, 1), lambda b, i: F.struct(i.cast("long").alias("i"), F.try_parse_json(b).alias("v")))
     nodes = F.transform(F.filter(blocks, lambda b: b["v"].isNotNull()), lambda b: node(b["i"], F.lit("$"), F.lit(None).cast("string"), b["v"], True))
-    closed = lambda x: node(x["block"], x["path"], x["key"], x["v"], False)
+    closed = lambda x: F.struct(*[x[c].alias(c) for c in ("block", "path", "key", "kind", "v")], F.lit(False).alias("open"))
     for _ in range(depth):
         nodes = F.flatten(F.transform(nodes, lambda x: F.when(x["open"], F.concat(F.array(closed(x)), children(x))).otherwise(F.array(x))))
     return nodes

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,16 +34,13 @@ def visible_text(html: Column) -> Column:
 
 def extract(text: Column, pattern: str, group: int = 1) -> Column:
     """The first match, null if none."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return bound(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
 
 
 def plain_signs(text: Column) -> Column:
     """Full-width signs, entities and obfuscated signs of addresses to @ and dots."""
-    plain, lower = text, F.lower(text)
-    for sign, forms in SIGNS.items():
-        plain = F.regexp_replace(plain, forms, sign)
-    hints = ("＠", "．", "&#", "&commat;", "&period;", "at]", "at)", "at）", "dot]", "dot)", "dot）")
-    return F.when(reduce(or_, (F.contains(lower, F.lit(h)) for h in hints)), plain).otherwise(text)  # most texts hold none
+    plain = lambda t: reduce(lambda x, s: F.regexp_replace(x, SIGNS[s], s), SIGNS, t)
+    return bound(text, lambda t: F.when(t.rlike(r"(?i)[＠．]|&(?:#|commat;|period;)|(?:at|dot)[\])）]"), plain(t)).otherwise(t))  # most texts hold none
 
 
 def normalised_email(address: Column) -> Column:
@@ -55,9 +51,9 @@ def normalised_email(address: Column) -> Column:
     out = plain_signs(F.trim(address))
     for pattern in (r"(?i)^mailto:", r"\?.*$", r"[（）()]", r"代表|担当|事務局"):
         out = F.regexp_replace(out, pattern, "")
-    local, domain = F.substring_index(out, "@", 1), F.regexp_replace(out, r"^[^@]*@", "")
-    local = F.coalesce(extract(local, r"[A-Za-z][A-Za-z0-9._%+-]*$", 0), extract(local, r"[\p{L}\p{N}._%+-]+(?=[^\p{L}\p{N}._%+-]*$)", 0), local)
-    return F.when(F.contains(out, F.lit("@")), F.lower(F.concat(local, F.lit("@"), domain)))
+    own = lambda a: F.coalesce(extract(a, r"[A-Za-z][A-Za-z0-9._%+-]*$", 0), extract(a, r"[\p{L}\p{N}._%+-]+(?=[^\p{L}\p{N}._%+-]*$)", 0), a)
+    local = lambda o: bound(F.substring_index(o, "@", 1), own)
+    return bound(out, lambda o: F.when(F.contains(o, F.lit("@")), F.lower(F.concat(local(o), F.lit("@"), F.regexp_replace(o, r"^[^@]*@", "")))))
 
 
 def valid_email(address: Column) -> Column:

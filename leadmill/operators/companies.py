@@ -58,7 +58,8 @@ def clean(text: Column) -> Column:
 
 
 def without_seo(text: Column) -> Column:
-    return reduce(lambda t, s: F.trim(F.regexp_replace(t, s + "$", "")), SEO_SUFFIXES, text)
+    cut = lambda text: reduce(lambda t, s: F.trim(F.regexp_replace(t, s + "$", "")), SEO_SUFFIXES, text)
+    return bound(text, lambda t: F.when(t.rlike("(?:" + "|".join(SEO_SUFFIXES) + r")[\s\x{85}\x{2028}\x{2029}]*\z"), cut(t)).otherwise(F.trim(t)))  # most texts end otherwise
 
 
 def has_legal(name: Column) -> Column:
@@ -77,12 +78,12 @@ def valid(name: Column) -> Column:
 
 def label_boost(label: Column) -> Column:
     """How surely a label announces a company name: 100, 95 or 85; null if it doesn't."""
-    low, bare = F.lower(F.trim(label)), F.regexp_replace(label, r"\s+", "")
-    both = lambda w: F.contains(label, w) | F.contains(low, w)
-    first = F.filter(array(PRIMARY_LABELS), lambda w: both(w) | (w == bare))
-    exact = (F.get(first, F.lit(0)) == label) | (F.get(first, F.lit(0)) == bare)
-    second = F.when(holds(label, SECONDARY_LABELS) | holds(low, SECONDARY_LABELS), F.when(~label.rlike("概要|(?i)overview"), 85))
-    return F.when((label == "") | F.exists(array(EXCLUDED_LABELS), both), None).when(F.size(first) > 0, F.when(exact, 100).otherwise(95)).otherwise(second)
+    x = F.struct(label.alias("label"), F.lower(F.trim(label)).alias("low"), F.regexp_replace(label, r"\s+", "").alias("bare"))
+    both = lambda x, w: F.contains(x["label"], w) | F.contains(x["low"], w)
+    first = lambda x: F.get(F.filter(array(PRIMARY_LABELS), lambda w: both(x, w) | (w == x["bare"])), F.lit(0))
+    second = lambda x: F.when(holds(x["label"], SECONDARY_LABELS) | holds(x["low"], SECONDARY_LABELS), F.when(~x["label"].rlike("概要|(?i)overview"), 85))
+    sure = lambda x, w: F.when(w.isNotNull(), F.when((w == x["label"]) | (w == x["bare"]), 100).otherwise(95)).otherwise(second(x))
+    return bound(x, lambda x: F.when((x["label"] == "") | F.exists(array(EXCLUDED_LABELS), lambda w: both(x, w)), None).otherwise(bound(first(x), lambda w: sure(x, w))))
 
 
 def unmixed(text: Column) -> Column:
@@ -93,6 +94,7 @@ def unmixed(text: Column) -> Column:
 
 
 def candidate(method: str, name: Column, conf: Column) -> Column:
+    """name: what is cheap to work out thrice, a bound one."""
     return F.struct(F.lit(method).alias("method"), name.alias("name"), conf.cast("int").alias("conf"), has_legal(name).alias("legal"))
 
 
@@ -119,8 +121,8 @@ def detected(html: Column) -> Column:
     pair = lambda a, b: F.struct(a.alias("label"), b.alias("value"))
     blocks = F.filter(H.every(html, H.JSON_LD, 1), lambda b: F.lower(F.coalesce(F.get_json_object(b, "$['@type']"), F.get_json_object(b, "$[0]['@type']"))).contains("organization"))
     tail = r"[‣›•▸▹►\s]+$"
-    json = F.transform(blocks, lambda b: candidate("json_ld", F.trim(F.regexp_replace(F.coalesce(F.get_json_object(b, "$.name"), F.get_json_object(b, "$[0].name")), tail, "")), F.lit(96)))
-    og = lambda name, conf: F.slice(F.filter(F.transform(F.split(F.coalesce(H.meta_content(html, name), F.lit("")), r"[|｜/\-]"), lambda p: candidate("meta_tag", F.trim(F.regexp_replace(F.trim(p), tail, "")), F.lit(conf))), lambda c: valid(c["name"]) & c["legal"] & ~c["name"].rlike("ご相談|お問い合わせ|ください|選び")), 1, 1)
+    json = F.transform(F.transform(blocks, lambda b: F.trim(F.regexp_replace(F.coalesce(F.get_json_object(b, "$.name"), F.get_json_object(b, "$[0].name")), tail, ""))), lambda name: candidate("json_ld", name, F.lit(96)))
+    og = lambda name, conf: F.slice(F.filter(F.transform(F.split(F.coalesce(H.meta_content(html, name), F.lit("")), r"[|｜/\-]"), lambda p: bound(F.trim(F.regexp_replace(F.trim(p), tail, "")), lambda name: candidate("meta_tag", name, F.lit(conf)))), lambda c: valid(c["name"]) & c["legal"] & ~c["name"].rlike("ご相談|お問い合わせ|ください|選び")), 1, 1)
     tables = F.filter(F.transform(H.every(html, H.TABLE, 1), lambda t, i: F.when((i == 0) | ~H.inner_text(t).rlike("関連会社|子会社|パートナー"), t)), lambda t: t.isNotNull())
     cells = F.filter(F.transform(F.flatten(F.transform(tables, lambda t: H.every(t, H.ROW, 1))), lambda r: F.transform(H.every(r, H.CELL, 1), lambda x: H.inner_text(x))), lambda c: F.size(c) >= 2)
     rows = F.transform(cells, lambda c: pair(c[0], c[1]))
@@ -128,30 +130,34 @@ def detected(html: Column) -> Column:
     heads = F.transform(H.every_pair(html, r"(?is)<h[23](?:\s[^>]*)?>([^<]*)</h[23]\s*>(?=\s*(?:<(?:h[1-6]|nav)(?:\s[^>]*)?>[^<]*</(?:h[1-6]|nav)\s*>\s*)*<(?:div|span|p|td|dd)(?:\s[^>]*)?>([^<]*))", 1, 2), lambda x: pair(F.trim(x["a"]), F.trim(x["b"])))
     heads = F.filter(heads, lambda p: F.char_length(p["value"]).between(3, 80) & ~p["value"].rlike(NAV) & label_boost(p["value"]).isNull())
     title = H.inner_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1))
-    parts = F.filter(F.transform(F.split(title, r"[|｜～]| - | — "), lambda x: F.trim(x)), lambda p: F.char_length(p).between(3, 60) & ~p.rlike("ご相談|サービス|news|blog|サイト"))
-    titles = when_valid(F.transform(F.when(title.rlike(r"[|｜～]| - | — "), parts).otherwise(F.array().cast("array<string>")), lambda p: candidate("title", clean(without_seo(p)), F.lit(84))))
-    pure = F.filter(titles, lambda c: c["legal"] & ~holds(c["name"], DESCRIPTORS))
+    parts = lambda t: F.filter(F.transform(F.split(t, r"[|｜～]| - | — "), lambda x: F.trim(x)), lambda p: F.char_length(p).between(3, 60) & ~p.rlike("ご相談|サービス|news|blog|サイト"))
+    cut = bound(title, lambda t: F.when(t.rlike(r"[|｜～]| - | — "), parts(t)).otherwise(F.array().cast("array<string>")))
+    titles = when_valid(F.transform(cut, lambda p: bound(clean(without_seo(p)), lambda name: candidate("title", name, F.lit(84)))))
+    pure = lambda titles: F.filter(titles, lambda c: c["legal"] & ~holds(c["name"], DESCRIPTORS))
     strip = lambda c: F.trim(F.regexp_replace(c["name"], "^(?:" + "|".join(DESCRIPTORS) + ")|(?:" + "|".join(DESCRIPTORS) + ")$", ""))
-    stripped = F.transform(titles, lambda c: F.when((strip(c) != c["name"]) & valid(strip(c)), candidate("title", strip(c), F.when(c["legal"], 90).otherwise(86))).otherwise(candidate("title", c["name"], F.when(c["legal"], 88).otherwise(84))))
+    renamed = lambda c, s: F.when((s != c["name"]) & valid(s), candidate("title", s, F.when(c["legal"], 90).otherwise(86))).otherwise(candidate("title", c["name"], F.when(c["legal"], 88).otherwise(84)))
+    stripped = lambda titles: F.transform(titles, lambda c: bound(strip(c), lambda s: renamed(c, s)))
     rank = lambda c: F.struct(holds(c["name"], DESCRIPTORS).alias("d"), (~c["legal"]).alias("l"), (-c["conf"]).alias("c"), F.char_length(c["name"]).alias("n"))
     by = lambda key: lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
-    best_title = F.when(F.size(pure) > 0, F.slice(F.transform(F.array_sort(pure, by(lambda c: F.char_length(c["name"]))), lambda c: candidate("title", c["name"], F.lit(88))), 1, 1)).otherwise(F.slice(F.array_sort(stripped, by(rank)), 1, 1))
+    shortest = lambda found: F.slice(F.transform(F.array_sort(found, by(lambda c: F.char_length(c["name"]))), lambda c: candidate("title", c["name"], F.lit(88))), 1, 1)
+    of = lambda titles: bound(pure(titles), lambda found: F.when(F.size(found) > 0, shortest(found)).otherwise(F.slice(F.array_sort(stripped(titles), by(rank)), 1, 1)))
+    best_title = bound(titles, of)
     marks = H.every(html, r"(?is)■([^■]*?(?:名　+称|商　*号|会社名|法人名|企業名)[^■]*?)(?:<br|\n)", 1)
     marked = F.transform(F.transform(marks, lambda m: clean(F.regexp_replace(m, r"<[^>]+>", ""))), lambda m: F.regexp_extract(m, rf"(?:{TEXT_LABELS})(.*?)(?:■|東京|〒|TEL|代表|所在地|$)", 1))
     bare = F.transform(marked, lambda m: F.trim(F.regexp_replace(clean(without_seo(F.trim(m))), r"[（(][^）)]*[）)]", "")))
     squares = when_valid(F.transform(F.transform(bare, unmixed), lambda m: candidate("black_square", m, F.when(has_legal(m), 97).otherwise(96))))
     footer = H.footer_text(html)
-    copies = F.transform(H.every(footer, r"(?i)Copyright\s*(?:\(C\)|©)\s*[0-9]{0,4}\s*(.+?)(?:\s+All Rights Reserved|$)", 1), lambda m: candidate("footer", clean(m), F.when(has_legal(m), 94).otherwise(91)))
+    copies = F.transform(H.every(footer, r"(?i)Copyright\s*(?:\(C\)|©)\s*[0-9]{0,4}\s*(.+?)(?:\s+All Rights Reserved|$)", 1), lambda m: bound(clean(m), lambda name: candidate("footer", name, F.when(has_legal(m), 94).otherwise(91))))
     alts = lambda part: F.transform(H.every(part, r"(?i)<img\s[^>]*>"), lambda t: clean(H.attribute(t, "alt")))
     images = F.transform(F.filter(alts(F.regexp_extract(html, r"(?is)<footer[^>]*>(.*?)(?:</footer|\z)", 1)), lambda a: (F.char_length(a) >= 5) & (has_legal(a) | a.rlike("役場|割|事務所|オフィス"))), lambda a: candidate("footer_img", a, F.lit(92)))
     heading = F.transform(H.every(html, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1), lambda h: clean(H.inner_text(h)))
     piped = F.filter(F.transform(F.flatten(F.transform(F.filter(heading, lambda h: F.contains(h, F.lit("|"))), lambda h: F.split(h, r"\|"))), lambda x: F.trim(x)), lambda p: ~F.lower(p).rlike("概要|案内|について|とは|overview|about|info") & (has_legal(p) | p.rlike("司法書士|事務所|オフィス")))
     h1 = F.slice(when_valid(F.transform(piped, lambda p: candidate("h1_smart_split", p, F.when(has_legal(p), 94).otherwise(91)))), 1, 1)
     said = F.regexp_extract(text, rf"(?:{TEXT_LABELS})\s*[:：]\s*([぀-ヿ一-鿿0-9ー]{{2,50}})", 1)
-    told = F.when((said != "") & ~said.rlike(DATE), when_valid(F.array(candidate("text_pattern_label", clean(without_seo(said)), F.lit(85))))).otherwise(none)
-    meta = og("og:site_name", 95)
+    told = bound(said, lambda s: F.when((s != "") & ~s.rlike(DATE), when_valid(F.transform(F.array(clean(without_seo(s))), lambda name: candidate("text_pattern_label", name, F.lit(85))))).otherwise(none))
+    meta = bound(og("og:site_name", 95), lambda m: F.when(F.size(m) > 0, m).otherwise(og("og:title", 90)))
     return F.concat(
-        F.slice(when_valid(json, False), 1, 1), F.when(F.size(meta) > 0, meta).otherwise(og("og:title", 90)), labelled(rows, "table_field", 99, 95, True), labelled(dls, "dl_field", 98, 94, False),
+        F.slice(when_valid(json, False), 1, 1), meta, labelled(rows, "table_field", 99, 95, True), labelled(dls, "dl_field", 98, 94, False),
         F.slice(labelled(heads, "semantic_pair", 96, 93, True), 1, 1), best_title, squares, when_valid(F.filter(copies, lambda c: F.char_length(c["name"]) >= 5), False), when_valid(images, False), h1, told,
     )
 
@@ -171,8 +177,8 @@ def more_detected(html: Column) -> Column:
     heading = lambda n: F.transform(H.every(html, rf"(?is)<h{n}(?:\s[^>]*)?>(.*?)</h{n}", 1), lambda h: clean(H.inner_text(h)))
     forms = "|".join(LEGAL)
     whole = F.filter(heading(1), lambda h: ~F.contains(h, F.lit("|")))
-    first = lambda h: F.coalesce(*[F.when(F.char_length(F.regexp_extract(h, rf"^((?:{forms}).*?){d}", 1)).between(5, 40), F.trim(F.regexp_extract(h, rf"^((?:{forms}).*?){d}", 1))) for d in ("での", "による", "へ", "の")], h)
-    starts = F.transform(F.filter(whole, lambda h: h.rlike(f"^(?:{forms})")), lambda h: candidate("h1_smart_split", first(h), F.lit(94)))
+    first = lambda h: F.coalesce(*[bound(F.regexp_extract(h, rf"^((?:{forms}).*?){d}", 1), lambda p: F.when(F.char_length(p).between(5, 40), F.trim(p))) for d in ("での", "による", "へ", "の")], h)
+    starts = F.transform(F.transform(F.filter(whole, lambda h: h.rlike(f"^(?:{forms})")), first), lambda name: candidate("h1_smart_split", name, F.lit(94)))
     holding = F.transform(F.filter(whole, lambda h: has_legal(h) & ~h.rlike(f"^(?:{forms})")), lambda h: F.coalesce(F.nullif(F.trim(F.regexp_extract(h, rf"^(.+?(?:{forms}).*?)(?: |での|による|の|へ|、)", 1)), F.lit("")), h))
     split = F.slice(when_valid(F.concat(starts, F.transform(holding, lambda h: candidate("h1_smart_split", h, F.lit(93))))), 1, 1)
     trades = F.filter(whole, lambda h: h.rlike(BUSINESS) & ~has_legal(h))
@@ -187,7 +193,7 @@ def more_detected(html: Column) -> Column:
 
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, pos, method, name, conf, legal: every name that a detector finds, in order of discovery, each name once a method."""
-    found = pages.select("page_id", F.posexplode(F.concat(detected(F.col("html")), more_detected(F.col("html")))).alias("pos", "c"))
+    found = pages.select("page_id", F.posexplode(bound(F.col("html"), lambda html: F.concat(detected(html), more_detected(html)))).alias("pos", "c"))
     return found.groupBy("page_id", "c.method", "c.name").agg(F.min("pos").cast("long").alias("pos"), F.max("c.conf").cast("long").alias("conf"), F.first("c.legal").alias("legal"))
 
 
@@ -219,14 +225,17 @@ def completion(text: Column, c: Column) -> Column:
     """struct(company_name, conf, completed) of a chosen name c(name, conf, legal, phase). One of the final rank without a legal form gets one: that which
     stands beside the name, else the page's commonest, else the usual one."""
     name = c["name"]
-    near = F.filter(array(LEGAL), lambda e: F.contains(text, F.concat(e, name)) | F.contains(text, F.concat(e, F.lit(" "), name)))
-    behind = F.filter(array(LEGAL), lambda e: F.contains(text, F.concat(name, e)) | F.contains(text, F.concat(name, F.lit(" "), e)))
+    first = lambda test: F.get(F.filter(array(LEGAL), test), F.lit(0))
+    near = first(lambda e: F.contains(text, F.concat(e, name)) | F.contains(text, F.concat(e, F.lit(" "), name)))
+    behind = first(lambda e: F.contains(text, F.concat(name, e)) | F.contains(text, F.concat(name, F.lit(" "), e)))
     counts = F.filter(F.transform(array(LEGAL), lambda e, i: F.struct((F.length(text) - F.length(F.replace(text, e))).alias("n"), (-i).alias("i"), e.alias("e"))), lambda x: x["n"] > 0)
     often = F.array_max(F.transform(counts, lambda x: F.struct((x["n"] / F.length(x["e"])).alias("n"), x["i"], x["e"])))["e"]
     wants = (c["phase"] == 9) & ~c["legal"] & ~name.rlike(BRANDS)
-    whole = F.when(~wants, name).when(F.size(near) > 0, F.concat(near[0], name)).when(F.size(behind) > 0, F.concat(name, behind[0])).otherwise(F.concat(F.coalesce(often, F.lit("株式会社")), name))
-    sure = ~wants | (F.size(near) > 0) | (F.size(behind) > 0)
-    return F.struct(whole.alias("company_name"), F.when(sure, c["conf"]).otherwise(F.least(c["conf"], F.lit(82))).alias("conf"), wants.alias("completed"))
+    beside = F.coalesce(F.concat(near, name), F.concat(name, behind))
+    known = F.struct(wants.alias("wants"), F.when(wants, beside).alias("beside"))
+    whole = lambda x: F.when(~x["wants"], name).otherwise(F.coalesce(x["beside"], F.concat(F.coalesce(often, F.lit("株式会社")), name)))
+    sure = lambda x: ~x["wants"] | x["beside"].isNotNull()
+    return bound(known, lambda x: F.struct(whole(x).alias("company_name"), F.when(sure(x), c["conf"]).otherwise(F.least(c["conf"], F.lit(82))).alias("conf"), x["wants"].alias("completed")))
 
 
 def completed(pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -249,14 +258,18 @@ def best_in_row(html: Column) -> Column:
 def surely_completed(text: Column, name: Column, rewrite: bool = False) -> Column:
     """The name with the legal form that the text shows beside it, else with one that the text has twice or more, else with one
     within 50 characters of it; null if none. rewrite: the reference's change of 有限会社 to 株式会社, off by default."""
-    low, bare = F.lower(text), F.lower(name)
-    squeezed = F.regexp_replace(low, r"\s+", "")
-    tight = F.regexp_replace(bare, r"\s+", "")
-    before, behind = F.filter(array(LEGAL), lambda e: F.contains(squeezed, F.concat(e, tight))), F.filter(array(LEGAL), lambda e: F.contains(squeezed, F.concat(tight, e)))
-    times = F.filter(F.transform(array(LEGAL), lambda e, i: F.struct(((F.length(low) - F.length(F.replace(low, e))) / F.length(e)).alias("n"), (-i).alias("i"), e.alias("e"))), lambda c: c["n"] >= 2)
-    around = F.substring(low, F.greatest(F.lit(1), F.instr(low, bare) - 50), F.length(bare) + 100)
-    near = F.when(F.instr(low, bare) > 0, F.filter(array(LEGAL), lambda e: F.contains(around, e))).otherwise(F.array().cast("array<string>"))
-    out = F.when(F.size(before) > 0, F.concat(before[0], name)).when(F.size(behind) > 0, F.concat(name, behind[0])).when(F.size(times) > 0, F.concat(F.array_max(times)["e"], name)).when(F.size(near) > 0, F.concat(near[0], name))
+    squeezed = lambda t: F.regexp_replace(t, r"\s+", "")
+    first = lambda test: F.get(F.filter(array(LEGAL), test), F.lit(0))
+    times = lambda low: F.filter(F.transform(array(LEGAL), lambda e, i: F.struct(((F.length(low) - F.length(F.replace(low, e))) / F.length(e)).alias("n"), (-i).alias("i"), e.alias("e"))), lambda c: c["n"] >= 2)
+    around = lambda x, at: F.substring(x["low"], F.greatest(F.lit(1), at - 50), F.length(x["bare"]) + 100)
+    near = lambda x: bound(F.instr(x["low"], x["bare"]), lambda at: F.when(at > 0, bound(around(x, at), lambda part: first(lambda e: F.contains(part, e)))))
+    # each way is worked out once, and only where those before it find nothing; a form is never empty
+    whole = lambda x: F.coalesce(
+        F.concat(first(lambda e: F.contains(x["squeezed"], F.concat(e, x["tight"]))), x["name"]), F.concat(x["name"], first(lambda e: F.contains(x["squeezed"], F.concat(x["tight"], e)))),
+        F.concat(F.array_max(times(x["low"]))["e"], x["name"]), F.concat(near(x), x["name"]),
+    )
+    parts = lambda y: F.struct(y["low"].alias("low"), y["bare"].alias("bare"), squeezed(y["low"]).alias("squeezed"), squeezed(y["bare"]).alias("tight"), y["name"].alias("name"))
+    out = bound(bound(F.struct(F.lower(text).alias("low"), F.lower(name).alias("bare"), name.alias("name")), parts), whole)
     return F.replace(out, F.lit("有限会社"), F.lit("株式会社")) if rewrite else out
 
 

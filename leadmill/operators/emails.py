@@ -18,14 +18,14 @@ FOUND = "array<struct<method:string,raw:string,snippet:string>>"
 
 
 def told(text: Column, words: list[str] = KEYWORDS) -> Column:
-    return F.exists(listed(words), lambda w: F.contains(F.lower(text), w))
+    return bound(F.lower(text), lambda low: F.exists(listed(words), lambda w: F.contains(low, w)))
 
 
 def snippet(text: Column, mail: Column, around: int = 50) -> Column:
     """The address with what stands around it."""
-    at = F.instr(F.lower(text), F.lower(mail))
-    start = F.greatest(at - around, F.lit(1))
-    return F.when(at > 0, F.trim(F.regexp_replace(F.substring(text, start, at + F.length(mail) + around - start), r"\s+", " "))).otherwise("")
+    start = lambda at: F.greatest(at - around, F.lit(1))
+    shown = lambda at: F.trim(F.regexp_replace(F.substring(text, start(at), at + F.length(mail) + around - start(at)), r"\s+", " "))
+    return bound(F.instr(F.lower(text), F.lower(mail)), lambda at: F.when(at > 0, shown(at)).otherwise(""))
 
 
 def mails(method: str, text: Column, context: Column) -> Column:
@@ -41,7 +41,8 @@ def detected(html: Column) -> Column:
     pairs = H.every_pair(html, H.PAIR, 1, 2)
     siblings = H.every_pair(html, H.SIBLINGS, 2, 4)
     rows = F.transform(each(H.every(html, H.TABLE, 1), lambda t: H.every(t, H.ROW, 1)), lambda r: F.transform(H.every(r, H.CELL, 1), lambda x: H.inner_text(x)))
-    labelled = lambda method, x: F.when(told(x["a"]), mails(method, H.inner_text(x["b"]), F.substring(F.concat(H.inner_text(x["a"]), F.lit(":"), H.inner_text(x["b"])), 1, 150))).otherwise(none)
+    said = lambda a, b: F.substring(F.concat(H.inner_text(a), F.lit(":"), b), 1, 150)
+    labelled = lambda method, x: F.when(told(x["a"]), bound(H.inner_text(x["b"]), lambda b: mails(method, b, said(x["a"], b)))).otherwise(none)
     row = lambda c: F.when((F.size(c) >= 2) & told(F.get(c, F.lit(0))), mails("table_cell", F.get(c, F.lit(1)), F.concat(F.get(c, F.lit(0)), F.lit(": "), F.get(c, F.lit(1))))).otherwise(none)
     item = lambda t: F.when(told(t), mails("list_item_email", t, F.substring(t, 1, 150))).otherwise(none)
     plain = F.transform(mails("regex_plain", html, F.lit("")), lambda c: F.struct(c["method"], c["raw"], snippet(html, c["raw"]).alias("snippet")))
@@ -62,11 +63,17 @@ def likely(html: Column) -> Column:
     return F.contains(html, F.lit("@")) | F.rlike(html, F.lit("(?i)＠|&#|&commat;|at[\\])）]"))
 
 
+def normalised(html: Column) -> Column:
+    """The candidates with their addresses in normal form, null if a text holds none, and their places."""
+    return F.transform(detected(html), lambda c, i: F.struct(normalised_email(c["raw"]).alias("email"), i.alias("pos"), c["method"].alias("method"), c["snippet"].alias("snippet")))
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """page_id, url, pos, method, email, snippet of every address that a detector finds, normalised and valid; in order of discovery."""
-    found = pages.select("page_id", "url", H.footer_text(F.col("html")).alias("footer"), F.posexplode(F.when(likely(F.col("html")), detected(F.col("html")))).alias("pos", "c"))
-    rows = found.select("page_id", "url", "footer", "pos", "c.method", normalised_email(F.col("c.raw")).alias("email"), "c.snippet")
-    return rows.where(valid_email(F.col("email")))
+    page = bound(F.col("html"), lambda html: F.struct(H.footer_text(html).alias("footer"), F.filter(normalised(html), lambda c: valid_email(c["email"])).alias("all")))
+    # sorted out before the rows are made: Spark would work out a column again for a filter on it
+    rows = pages.where(likely(F.col("html"))).select("page_id", "url", F.explode(F.array(page)).alias("x")).select("page_id", "url", "x.footer", F.explode("x.all").alias("c"))
+    return rows.select("page_id", "url", "footer", "c.pos", "c.method", "c.email", "c.snippet")
 
 
 def score_of(email: Column, method: Column, snippet: Column, url: Column, footer: Column) -> Column:
@@ -74,7 +81,7 @@ def score_of(email: Column, method: Column, snippet: Column, url: Column, footer
     domain = lambda x: F.regexp_replace(F.lower(x), r"^[w.]+", "")
     same = domain(F.element_at(F.split(email, "@"), -1)) == domain(F.regexp_extract(url, r"^https?://([^/?#:]+)", 1))
     base = F.element_at(F.create_map(*[F.lit(x) for p in BASE.items() for x in p]), method)
-    words = F.size(F.filter(listed(CONTEXT), lambda w: F.contains(F.lower(snippet), w)))
+    words = bound(F.lower(snippet), lambda low: F.size(F.filter(listed(CONTEXT), lambda w: F.contains(low, w))))
     score = base + F.when(F.contains(F.lower(footer), email), 15).otherwise(0) + F.when(same, 30).otherwise(0) + F.least(F.lit(20), 5 * words)
     return F.least(score, F.lit(100)).cast("long")
 
@@ -89,11 +96,10 @@ def scored(found: DataFrame) -> DataFrame:
 def best_in_row(html: Column, url: Column) -> Column:
     """The best address of one page as a struct(email, score), null if none: what ranked() finds, without leaving the row. Candidates stand in order of
     address and discovery, so that the first of each address is the one behind another address."""
-    found = F.transform(F.when(likely(html), detected(html)), lambda c, i: F.struct(normalised_email(c["raw"]).alias("email"), i.alias("pos"), c["method"].alias("method"), c["snippet"].alias("snippet")))
     inside = lambda x: F.filter(x["all"], lambda c, i: (i == 0) | (F.get(x["all"], i - 1)["email"] != c["email"]))
     score = lambda c, x: score_of(c["email"], c["method"], c["snippet"], x["url"], x["footer"])
     ranks = lambda x: F.transform(inside(x), lambda c: F.struct(score(c, x).alias("score"), (-c["pos"]).alias("place"), c["email"].alias("email")))
-    page = F.struct(F.array_sort(F.filter(found, lambda c: valid_email(c["email"]))).alias("all"), H.footer_text(html).alias("footer"), url.alias("url"))
+    page = F.struct(F.array_sort(F.filter(F.when(likely(html), normalised(html)), lambda c: valid_email(c["email"]))).alias("all"), H.footer_text(html).alias("footer"), url.alias("url"))
     best = bound(page, lambda x: F.array_max(ranks(x)))
     return F.when(best.isNotNull(), best)
 

@@ -46,7 +46,7 @@ INVALID = r"(?i)required|必須.*入力|please\s+enter|invalid\s+email"
 
 def hits(text: Column, words: list[str]) -> Column:
     """The words that a text holds, in the order of the list."""
-    return F.filter(listed(words), lambda w: F.contains(F.lower(text), F.lower(w)))
+    return bound(F.lower(text), lambda low: F.filter(listed([w.lower() for w in words]), lambda w: F.contains(low, w)))
 
 
 def first_kind(text: Column, patterns: dict[str, str], otherwise: str | None = None) -> Column:
@@ -66,21 +66,29 @@ def first_pattern(text: Column, patterns: dict[str, str]) -> Column:
 def field(tag: Column, before: Column) -> Column:
     """A field's attributes; before: the markup between the field before and this one, where its label stands."""
     name, kind = H.attribute(tag, "name"), F.lower(H.attribute(tag, "type"))
-    element = F.lower(F.regexp_extract(tag, r"^<(\w+)", 1))
-    said = F.lower(F.concat_ws(" ", name, H.attribute(tag, "id"), H.attribute(tag, "placeholder")))
-    kind = F.when(kind == "", "text").otherwise(kind)
-    typed = F.when(kind == "email", "email").when(kind == "tel", F.when(said.rlike(f"(?i){FIELD_KINDS['email']}"), "email").otherwise("phone")).otherwise(first_kind(said, FIELD_KINDS))
+    kind = bound(kind, lambda k: F.when(k == "", "text").otherwise(k))
     label = F.lower(H.inner_text(F.element_at(F.concat(F.array(F.lit("")), H.every(before, r"(?is)<label(?:\s[^>]*)?>(.*?)</label", 1)), -1)))
+    told = bound(name, lambda n: F.struct(n.alias("name"), F.lower(F.concat_ws(" ", n, H.attribute(tag, "id"), H.attribute(tag, "placeholder"))).alias("said")))
+    parts = F.struct(tag.alias("tag"), told.alias("told"), F.lower(F.regexp_extract(tag, r"^<(\w+)", 1)).alias("element"), kind.alias("kind"), label.alias("label"))
+    return bound(parts, lambda x: read_field(x["tag"], x["told"]["name"], x["told"]["said"], x["element"], x["kind"], x["label"]))
+
+
+def read_field(tag: Column, name: Column, said: Column, element: Column, kind: Column, label: Column) -> Column:
+    typed = F.when(kind == "email", "email").when(kind == "tel", F.when(said.rlike(f"(?i){FIELD_KINDS['email']}"), "email").otherwise("phone")).otherwise(first_kind(said, FIELD_KINDS))
     return F.struct(
         name.alias("name"), element.alias("element"), kind.alias("type"), H.attribute(tag, "value").alias("value"), tag.rlike(r"(?i)\s(?:aria-)?required(?:[\s=>/])").alias("required"), typed.alias("kind"),
-        ((element == "textarea") | said.rlike(f"(?i){MESSAGE}")).alias("message"), first_kind(F.concat_ws(" ", said, label), PURPOSES, "unknown").alias("purpose"),
+        ((element == "textarea") | said.rlike(f"(?i){MESSAGE}")).alias("message"), bound(F.concat_ws(" ", said, label), lambda x: first_kind(x, PURPOSES, "unknown")).alias("purpose"),
     )
 
 
 def form_parts(form: Column) -> Column:
     """A form's attributes, fields, first button with a text, and text, as a struct."""
-    tag = F.regexp_extract(form, r"^<[^>]*>", 0)
-    tags, gaps = H.every(form, H.FIELD), F.split(form, H.FIELD)
+    cut = F.struct(form.alias("form"), F.regexp_extract(form, r"^<[^>]*>", 0).alias("tag"), H.every(form, H.FIELD).alias("tags"))
+    return bound(cut, lambda x: read_form(x["form"], x["tag"], x["tags"]))
+
+
+def read_form(form: Column, tag: Column, tags: Column) -> Column:
+    gaps = F.split(form, H.FIELD)
     buttons = F.concat(
         F.transform(H.every(form, r"""(?is)<button(?:\s[^>]*)?>(.*?)</button"""), lambda x: H.inner_text(F.regexp_extract(x, r"""(?is)<button(?:\s[^>]*)?>(.*?)</button""", 1))),
         F.transform(F.filter(tags, lambda t: t.rlike(r"""(?i)type\s*=\s*["']?(?:submit|button)""")), lambda t: F.trim(H.attribute(t, "value"))),
@@ -95,8 +103,9 @@ def form_parts(form: Column) -> Column:
 
 def page_forms(pages: DataFrame) -> DataFrame:
     """One row a form: page, place, attributes, fields, buttons, text; and the whole html beside it for what stands outside."""
-    forms = pages.where(F.contains(F.lower("html"), F.lit("<form"))).select("page_id", "url", "html", F.posexplode(H.every(F.col("html"), H.FORM)).alias("pos", "form"))
-    return forms.select("page_id", "url", "html", F.col("pos").cast("long").alias("pos"), "form", form_parts(F.col("form")).alias("p")).select("page_id", "url", "html", "pos", "form", "p.*")
+    parts = F.transform(H.every(F.col("html"), H.FORM), lambda f: F.struct(f.alias("form"), form_parts(f).alias("p")))
+    forms = pages.where(F.contains(F.lower("html"), F.lit("<form"))).select("page_id", "url", "html", F.posexplode(parts).alias("pos", "x"))
+    return forms.select("page_id", "url", "html", F.col("pos").cast("long").alias("pos"), "x.form", "x.p.*")
 
 
 def form_fields(pages: DataFrame) -> DataFrame:
@@ -276,18 +285,21 @@ def multi_step(pages: DataFrame) -> DataFrame:
     html = F.col("html")
     text = F.lower(H.inner_text(H.outside_scripts(html), " "))
     step = r"(?:step\s+(\d+)\s+of\s+(\d+)|ステップ\s*(\d+)\s*/\s*(\d+)|(\d+)\s*/\s*(\d+))"
-    number = lambda groups: F.coalesce(*[F.nullif(F.regexp_extract("text", step, g), F.lit("")) for g in groups]).cast("long")
+    number = lambda text, groups: F.coalesce(*[extract(text, step, g) for g in groups]).cast("long")
     wizard = html.rlike(r"""(?i)class\s*=\s*["'][^"']*(?:wizard|step)""")
     parts = F.transform(F.when(F.contains(F.lower(html), F.lit("<form")), H.every(html, H.FORM)), form_parts)
-    rows = pages.select("page_id", text.alias("text"), wizard.alias("wizard"), parts.alias("parts")).where(F.size("parts") > 0)
-    rows = rows.withColumn("current_step", number((1, 3, 5))).withColumn("total_steps", number((2, 4, 6)))
-    hidden = F.filter(F.flatten(F.transform("parts", lambda p: p["fields"])), lambda f: (f["type"] == "hidden") & f["name"].rlike("(?i)step|page"))
-    onward = F.exists("parts", lambda p: F.coalesce(p["button"].rlike("(?i)next|次へ|continue|続ける"), F.lit(False)))
-    shown = F.concat_ws(
-        "; ", F.when(F.rlike("text", F.lit(step)), F.concat(F.lit("Step indicator: "), F.col("current_step").cast("string"), F.lit("/"), F.col("total_steps").cast("string"))),
-        F.concat(F.lit("Hidden step field: "), F.get(hidden, F.lit(0))["name"]), F.when(onward, "Next/Continue button"), F.when(F.col("wizard"), "Wizard-like structure detected"),
+    hidden = lambda x: F.filter(F.flatten(F.transform(x["parts"], lambda p: p["fields"])), lambda f: (f["type"] == "hidden") & f["name"].rlike("(?i)step|page"))
+    onward = lambda x: F.exists(x["parts"], lambda p: F.coalesce(p["button"].rlike("(?i)next|次へ|continue|続ける"), F.lit(False)))
+    shown = lambda x: F.concat_ws(
+        "; ", F.when(F.rlike(x["text"], F.lit(step)), F.concat(F.lit("Step indicator: "), x["current_step"].cast("string"), F.lit("/"), x["total_steps"].cast("string"))),
+        F.concat(F.lit("Hidden step field: "), F.get(hidden(x), F.lit(0))["name"]), F.when(onward(x), "Next/Continue button"), F.when(x["wizard"], "Wizard-like structure detected"),
     )
-    return rows.select("page_id", "current_step", "total_steps", shown.alias("indicators")).where("indicators <> ''")
+    counted = lambda x: F.struct(x["text"].alias("text"), x["wizard"].alias("wizard"), x["parts"].alias("parts"), number(x["text"], (1, 3, 5)).alias("current_step"), number(x["text"], (2, 4, 6)).alias("total_steps"))
+    told = lambda x: F.struct(x["current_step"].alias("current_step"), x["total_steps"].alias("total_steps"), shown(x).alias("indicators"))
+    # rows are sorted out within arrays: a filter on columns would work each of them out again
+    page = F.filter(F.array(F.struct(text.alias("text"), wizard.alias("wizard"), parts.alias("parts"))), lambda x: F.size(x["parts"]) > 0)
+    found = F.filter(F.transform(F.transform(page, counted), told), lambda x: x["indicators"] != "")
+    return pages.where(F.contains(F.lower("html"), F.lit("<form"))).select("page_id", F.explode(found).alias("x")).select("page_id", "x.*")
 
 
 def outcomes(responses: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ def table_of(keywords: dict[str, str]) -> Column:
 
 def best_match(text: Column) -> Column:
     """The industry with most keywords in a text, the first one at a tie; null if none. A text is in lower case, as keywords in capitals never match."""
-    held = lambda g: F.size(F.filter(g["words"], lambda w: F.contains(text, w)))
-    best = F.array_max(F.transform(table_of(KEYWORDS), lambda g: F.struct(held(g).alias("n"), g["place"].alias("place"), g["industry"].alias("industry"))))
-    return F.when(best["n"] > 0, best["industry"])
+    held = lambda g, t: F.size(F.filter(g["words"], lambda w: F.contains(t, w)))
+    best = lambda t: F.array_max(F.transform(table_of(KEYWORDS), lambda g: F.struct(held(g, t).alias("n"), g["place"].alias("place"), g["industry"].alias("industry"))))
+    return bound(text, lambda t: F.when(t != "", bound(best(t), lambda b: F.when(b["n"] > 0, b["industry"]))))
 
 
 def first_match(text: Column, patterns: dict[str, str]) -> Column:

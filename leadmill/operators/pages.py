@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions.html import ITEM, attribute, inner_text
-from leadmill.functions.text import EMAIL, extract, normalised_email, plain_signs, valid_email, visible_text
+from leadmill.functions.text import EMAIL, bound, extract, normalised_email, plain_signs, valid_email, visible_text
 
 def host(url: Column) -> Column:
     return extract(url, r"^https?://([^/?#]+)")
@@ -46,14 +46,17 @@ def without_dots(path: Column) -> Column:
 
 def joined_url(base: Column, href: Column) -> Column:
     """An absolute URL without fragment; null where the link leaves http."""
-    href = F.regexp_replace(F.trim(href), r"#.*$", "")
+    return bound(F.struct(base.alias("base"), F.regexp_replace(F.trim(href), r"#.*$", "").alias("href")), lambda x: resolved(x["base"], x["href"]))
+
+
+def resolved(base: Column, href: Column) -> Column:
     origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     path = F.coalesce(extract(base, r"^https?://[^/?#]+([^?#]*)"), F.lit("/"))
-    target, query = F.regexp_extract(href, r"^([^?]*)", 1), F.regexp_extract(href, r"^[^?]*(\?.*)$", 1)
-    relative = F.when(target.startswith("/"), target).otherwise(F.concat(F.regexp_replace(path, r"[^/]*$", ""), target))
+    query = F.regexp_extract(href, r"^[^?]*(\?.*)$", 1)
+    relative = bound(F.regexp_extract(href, r"^([^?]*)", 1), lambda t: F.when(t.startswith("/"), t).otherwise(F.concat(F.regexp_replace(path, r"[^/]*$", ""), t)))
     return (
         F.when(href == "", None).when(href.rlike(r"^https?://"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^(https?:)", 1), href))
-        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("?"), F.concat(origin, path, href)).otherwise(F.concat(origin, without_dots(relative), query))
+        .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(href.startswith("?"), F.concat(origin, path, href)).otherwise(F.concat(origin, bound(relative, without_dots), query))
     )
 
 
@@ -75,11 +78,13 @@ HREF = r"""(?i)(?:^|[\s"'])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+))"""
 def anchors_with_text(pages: DataFrame) -> DataFrame:
     """page_id, pos, url, target, text (lower case) of each link outside comments and scripts, however its href is quoted."""
     html = F.regexp_replace("html", r"(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>", " ")
-    piece = pages.select("page_id", "url", F.posexplode(F.slice(F.split(html, r"(?i)<a\s"), F.lit(2), F.lit(1 << 30))).alias("pos", "piece")).withColumn("tag", F.regexp_extract("piece", IN_TAG, 0))
-    href = F.replace(F.trim(F.concat(*[F.regexp_extract("tag", HREF, k) for k in (1, 2, 3)])), F.lit("&amp;"), F.lit("&"))
-    inside = F.regexp_extract(F.expr("substring(piece, length(tag) + 2)"), r"(?is)^(.*?)(?:</a[\s>]|\z)", 1)
-    text = F.lower(F.trim(F.regexp_replace(inside, r"<[^>]*>", "")))
-    return piece.select("page_id", F.col("pos").cast("long").alias("pos"), "url", joined_url(F.col("url"), href).alias("target"), text.alias("text"))
+    href = lambda tag: F.replace(F.trim(F.concat(*[F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)])), F.lit("&amp;"), F.lit("&"))
+    inside = lambda piece, tag: F.regexp_extract(F.substring(piece, F.length(tag) + 2, F.length(piece)), r"(?is)^(.*?)(?:</a[\s>]|\z)", 1)
+    text = lambda piece, tag: F.lower(F.trim(F.regexp_replace(inside(piece, tag), r"<[^>]*>", "")))
+    link = lambda piece: bound(F.regexp_extract(piece, IN_TAG, 0), lambda tag: F.struct(joined_url(F.col("url"), href(tag)).alias("target"), text(piece, tag).alias("text")))
+    # targets are made before the rows: Spark would work out a column again for a filter on it
+    links = F.transform(F.slice(F.split(html, r"(?i)<a\s"), F.lit(2), F.lit(1 << 30)), link)
+    return pages.select("page_id", "url", F.posexplode(links).alias("pos", "x")).select("page_id", F.col("pos").cast("long").alias("pos"), "url", "x.target", "x.text")
 
 
 def site_links(pages: DataFrame, exclude: tuple[str, ...] = ()) -> DataFrame:

@@ -48,8 +48,16 @@ def filled(template: str, **values: Column) -> Column:
     return F.translate(out, "\x01\x02", "{}")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all cores. A row of a key table is small, a file of them is read by one or a few tasks, but the page made from
+    each costs much to take apart."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def company_pages(customers: DataFrame) -> DataFrame:
     """page_id, url, html: a page for each customer."""
+    customers = dealt(customers)
     k, variant = F.col("c_custkey").cast("string"), F.col("c_custkey") % 8
     captcha = chosen(F.floor(F.col("c_custkey") / 8) % 4, dict(enumerate(CAPTCHAS)))
     values = {"n": F.replace(F.col("c_name"), F.lit("#"), F.lit("")), "k": k, "c": captcha}
@@ -96,6 +104,7 @@ LINKED = """<html><body><!-- <a href="/p{next}">old</a> --><script>var a = '<a h
 def linked_pages(customers: DataFrame) -> DataFrame:
     """page_id, url, html: sites of 24 pages that link each other in all ways that anchors are written; every seventh page has a form, page 8
     is empty."""
+    customers = dealt(customers)
     j, site = F.col("c_custkey") % SITE_PAGES, F.floor(F.col("c_custkey") / SITE_PAGES).cast("string")
     host = F.concat(F.lit("g"), site, F.lit(".example.jp"))
     to = lambda x: (x % SITE_PAGES).cast("string")
@@ -133,6 +142,7 @@ GRAPHS = {
 
 def graph_pages(customers: DataFrame) -> DataFrame:
     """page_id, url, html: a page for each customer whose content is structured data."""
+    customers = dealt(customers)
     k = F.col("c_custkey").cast("string")
     html = chosen(F.col("c_custkey") % 4, {v: filled(t, k=k) for v, t in GRAPHS.items()})
     return customers.select(F.col("c_custkey").alias("page_id"), F.concat(F.lit("https://j"), k, F.lit(".example.jp/")).alias("url"), html.alias("html"))
@@ -146,6 +156,7 @@ GUARDS = {0: CAPTCHAS[0], 1: CAPTCHAS[2]}
 
 def contact_sites(customers: DataFrame) -> DataFrame:
     """page_id, url, html: two pages for each customer, the home page (2 * key) and its form (2 * key + 1)."""
+    customers = dealt(customers)
     k, n = F.col("c_custkey").cast("string"), F.replace(F.col("c_name"), F.lit("#"), F.lit(""))
     site = F.concat(F.lit("https://q"), k, F.lit(".example.jp"))
     home = F.struct((2 * F.col("c_custkey")).alias("page_id"), F.concat(site, F.lit("/")).alias("url"), filled(ASKING, n=n, k=k).alias("html"))
@@ -163,6 +174,7 @@ NAMED = {
 
 def name_pages(customers: DataFrame) -> DataFrame:
     """page_id, url, html: a page for each customer that tells its name in one of six ways."""
+    customers = dealt(customers)
     k, n = F.col("c_custkey").cast("string"), F.replace(F.col("c_name"), F.lit("#"), F.lit(""))
     garbled = lambda text: F.lit(text.encode().decode("latin-1"))
     values = {"n": n, "k": k, "garbled": garbled("会社名"), "garbled_name": garbled("株式会社")}
