@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadmill.functions.text import EMAIL, extract
+from leadmill.functions.text import EMAIL, bound, extract
 
 #: Labels by field, separators in order, placeholders, and marks of addresses that aren't taken. Fixed values.
 LABELS = {"company_name": ["会社名", "company name", "company"], "email": ["メールアドレス", "email address", "email", "e-mail"], "industry": ["業界", "industry"]}
@@ -18,8 +18,9 @@ ENOUGH, MODEL_CAP, FALLBACK_CAP = {"company_name": 60, "email": 50, "industry":
 
 def labelled_value(text: Column, field: str) -> Column:
     """The first value of two characters or more behind one of the field's labels, by label and then by separator."""
-    each = [extract(text, rf"(?im){label}{separator}([^\n]+?)\s*$") for label in LABELS[field] for separator in SEPARATORS]
-    return F.coalesce(*[F.when(F.char_length(F.trim(v)) > 1, F.trim(v)) for v in each])
+    long = lambda v: F.when(F.char_length(v) > 1, v)
+    each = [(label, separator) for label in LABELS[field] for separator in SEPARATORS]
+    return bound(text, lambda t: F.coalesce(*[bound(F.trim(F.regexp_extract(t, rf"(?im){a}{b}([^\n]+?)\s*$", 1)), long) for a, b in each]))
 
 
 def cleaned_value(value: Column, rewrite: bool = False) -> Column:
@@ -27,7 +28,7 @@ def cleaned_value(value: Column, rewrite: bool = False) -> Column:
     for pattern in (r"^\s+|\s+$", r"^[「」]+|[「」]+$", r"^\s+|\s+$", r"^[【】]+|[【】]+$", r"^[\s<>]+|[\s<>]+$", r"^[\s`]+|[\s`]+$", r"^\[.+?\]\s*", r"\s*\(.+?\)\s*$", r"\s*（.+?）\s*$", r"^\s+|\s+$"):
         value = F.regexp_replace(value, pattern, "")
     value = F.replace(value, F.lit("有限会社"), F.lit("株式会社")) if rewrite else value
-    return F.when(~F.lower(value).isin(PLACEHOLDERS), value)
+    return bound(value, lambda v: F.when(~F.lower(v).isin(PLACEHOLDERS), v))
 
 
 def address_in(text: Column) -> Column:
