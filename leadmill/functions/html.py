@@ -35,12 +35,16 @@ def every_pair(text: Column, pattern: str, a: int, b: int) -> Column:
 
 def attribute(tag: Column, names: str) -> Column:
     """The value of the tag's first attribute of one of the names, empty if none."""
-    value = lambda t: F.concat(*[F.regexp_extract(t, rf"""(?i)[\s"'](?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", k) for k in (1, 2, 3)])
-    return bound(tag, value)
+    bare = lambda v: F.when(v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+    return bound(F.regexp_extract(tag, rf"""(?i)[\s"'](?:{names})\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1), bare)
 
 
 def unescaped(text: Column) -> Column:
     """The commonest character references resolved."""
+    return bound(text, lambda t: F.when(F.contains(t, F.lit("&")), resolved(t)).otherwise(t))  # most texts hold none
+
+
+def resolved(text: Column) -> Column:
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     return text
@@ -48,7 +52,7 @@ def unescaped(text: Column) -> Column:
 
 def inner_text(html: Column, between: str = "") -> Column:
     """Text without tags, squeezed and trimmed."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, r"(?s)<[^>]*>", between)), r"[\s　]+", " "))
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(html, r"(?s)<[^>]*>", between)), r"[\s　]{2,}|[\t-\r　]", " "))  # single spaces stay where they are
 
 
 def outside_scripts(html: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+#: The same, as it is sought in a text: a run of signs that no @ follows is passed over at once, not anew from each of its signs.
+EMAILS = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 #: What tells a placeholder address, as the reference lists it. Fixed values.
 PLACEHOLDER = r"test@test|@test\.|noreply|no-reply|placeholder|dummy@|@dummy"
 #: Ways to write the signs of an address. Fixed values.
@@ -25,6 +28,12 @@ def listed(words: list[str]) -> Column:
     return F.split(F.lit("\x1f".join(words)), "\x1f")
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of any of the words, in their order; where no word begins, one look tells."""
+    firsts = "".join(sorted({re.escape(w[0]) for w in words}))
+    return f"(?=[{firsts}])(?:" + "|".join(map(re.escape, words)) + ")"
+
+
 def visible_text(html: Column) -> Column:
     """Text outside scripts, styles and tags, with single spaces."""
     for pattern in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?is)<noscript[^>]*>.*?</noscript>", r"(?s)<[^>]*>"):
@@ -40,7 +49,7 @@ def extract(text: Column, pattern: str, group: int = 1) -> Column:
 def plain_signs(text: Column) -> Column:
     """Full-width signs, entities and obfuscated signs of addresses to @ and dots."""
     plain = lambda t: reduce(lambda x, s: F.regexp_replace(x, SIGNS[s], s), SIGNS, t)
-    return bound(text, lambda t: F.when(t.rlike(r"(?i)[＠．]|&(?:#|commat;|period;)|(?:at|dot)[\])）]"), plain(t)).otherwise(t))  # most texts hold none
+    return bound(text, lambda t: F.when(t.rlike(r"[＠．&\])）](?:(?<=[＠．])|(?<=&)[#cpCP]|(?<=[tT].))"), plain(t)).otherwise(t))  # most texts hold none
 
 
 def normalised_email(address: Column) -> Column:
@@ -48,7 +57,12 @@ def normalised_email(address: Column) -> Column:
 
     The reference also cuts up to the last '+' of the local part, which gives another address; that is kept here.
     """
-    out = plain_signs(F.trim(address))
+    usual = r"^[A-Za-z][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\z"
+    return bound(F.trim(address), lambda a: F.when(a.rlike(usual), F.lower(a)).otherwise(unusual_email(a)))
+
+
+def unusual_email(address: Column) -> Column:
+    out = plain_signs(address)
     for pattern in (r"(?i)^mailto:", r"\?.*$", r"[（）()]", r"代表|担当|事務局"):
         out = F.regexp_replace(out, pattern, "")
     own = lambda a: F.coalesce(extract(a, r"[A-Za-z][A-Za-z0-9._%+-]*$", 0), extract(a, r"[\p{L}\p{N}._%+-]+(?=[^\p{L}\p{N}._%+-]*$)", 0), a)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
-from leadmill.functions.text import bound, listed
+from leadmill.functions.text import any_of, bound, listed
 
 #: Legal forms, labels, suffixes and marks of other text, as fixed values.
 LEGAL = ["株式会社", "有限会社", "合同会社", "合資会社", "合名会社", "一般社団法人", "一般財団法人", "公益社団法人", "公益財団法人", "特定非営利活動法人", "学校法人", "医療法人", "社会医療法人", "社会福祉法人", "宗教法人", "労働組合", "組合", "行政書士", "弁護士", "法務書士", "税理士", "公認会計士", "弁護士法人"]
@@ -42,7 +42,7 @@ def array(words: list[str]) -> Column:
 
 
 def holds(text: Column, words: list[str]) -> Column:
-    return F.exists(array(words), lambda w: F.contains(text, w))
+    return text.rlike(any_of(words))
 
 
 def repaired(text: Column) -> Column:
@@ -59,11 +59,11 @@ def clean(text: Column) -> Column:
 
 def without_seo(text: Column) -> Column:
     cut = lambda text: reduce(lambda t, s: F.trim(F.regexp_replace(t, s + "$", "")), SEO_SUFFIXES, text)
-    return bound(text, lambda t: F.when(t.rlike("(?:" + "|".join(SEO_SUFFIXES) + r")[\s\x{85}\x{2028}\x{2029}]*\z"), cut(t)).otherwise(F.trim(t)))  # most texts end otherwise
+    return bound(text, lambda t: F.when(t.rlike(any_of(SEO_SUFFIXES) + r"[\s\x{85}\x{2028}\x{2029}]*\z"), cut(t)).otherwise(F.trim(t)))  # most texts end otherwise
 
 
 def has_legal(name: Column) -> Column:
-    return name.rlike("|".join(LEGAL))
+    return name.rlike(any_of(LEGAL))
 
 
 def valid(name: Column) -> Column:
@@ -71,8 +71,8 @@ def valid(name: Column) -> Column:
     n = F.char_length(name)
     particles = F.regexp_count(name, F.lit("にて|から|まで|なら|への"))
     return (
-        (n >= 2) & (n <= F.when(name.rlike(LONG_FORMS), 80).otherwise(30)) & ~name.rlike(f"{FORM_MARKS}|Q&A|生産終了品|。|(?:ます|です|ください|ませ)$")
-        & (F.size(F.filter(array(MENU_WORDS), lambda w: F.contains(name, w))) < 2) & (particles < 2) & (name.rlike(r"[一-鿿぀-ヿ]") | (F.regexp_count(name, F.lit("[a-zA-Z]")) > 3))
+        (n >= 2) & ((n <= 30) | (n <= 80) & name.rlike(LONG_FORMS)) & ~name.rlike(f"{FORM_MARKS}|Q&A|生産終了品|。|(?:ます|です|ください|ませ)$")
+        & (~holds(name, MENU_WORDS) | (F.size(F.filter(array(MENU_WORDS), lambda w: F.contains(name, w))) < 2)) & (particles < 2) & (name.rlike(r"[一-鿿぀-ヿ]") | (F.regexp_count(name, F.lit("[a-zA-Z]")) > 3))
     )
 
 
@@ -80,17 +80,18 @@ def label_boost(label: Column) -> Column:
     """How surely a label announces a company name: 100, 95 or 85; null if it doesn't."""
     x = F.struct(label.alias("label"), F.lower(F.trim(label)).alias("low"), F.regexp_replace(label, r"\s+", "").alias("bare"))
     both = lambda x, w: F.contains(x["label"], w) | F.contains(x["low"], w)
-    first = lambda x: F.get(F.filter(array(PRIMARY_LABELS), lambda w: both(x, w) | (w == x["bare"])), F.lit(0))
-    second = lambda x: F.when(holds(x["label"], SECONDARY_LABELS) | holds(x["low"], SECONDARY_LABELS), F.when(~x["label"].rlike("概要|(?i)overview"), 85))
+    held = lambda x, words: holds(x["label"], words) | holds(x["low"], words)
+    first = lambda x: F.when(held(x, PRIMARY_LABELS) | x["bare"].isin(PRIMARY_LABELS), F.get(F.filter(array(PRIMARY_LABELS), lambda w: both(x, w) | (w == x["bare"])), F.lit(0)))
+    second = lambda x: F.when(held(x, SECONDARY_LABELS), F.when(~x["label"].rlike("概要|(?i)overview"), 85))
     sure = lambda x, w: F.when(w.isNotNull(), F.when((w == x["label"]) | (w == x["bare"]), 100).otherwise(95)).otherwise(second(x))
-    return bound(x, lambda x: F.when((x["label"] == "") | F.exists(array(EXCLUDED_LABELS), lambda w: both(x, w)), None).otherwise(bound(first(x), lambda w: sure(x, w))))
+    return bound(x, lambda x: F.when((x["label"] == "") | held(x, EXCLUDED_LABELS), None).otherwise(bound(first(x), lambda w: sure(x, w))))
 
 
 def unmixed(text: Column) -> Column:
     """The name at the start of a text that holds an address or a person too."""
     parts = F.transform(F.filter(array(CUTS), lambda c: F.contains(text, c)), lambda c: F.trim(F.split_part(text, c, F.lit(1))))
     first = F.get(F.filter(parts, valid), F.lit(0))
-    return F.when(text.rlike("^(?:" + "|".join(LEGAL) + ")"), F.coalesce(first, F.when(F.char_length(text) <= 50, text), text)).otherwise(text)
+    return F.when(text.rlike("^" + any_of(LEGAL)), F.coalesce(first, F.when(F.char_length(text) <= 50, text), text)).otherwise(text)
 
 
 def candidate(method: str, name: Column, conf: Column) -> Column:
@@ -104,11 +105,11 @@ def when_valid(found: Column, garbage: bool = True) -> Column:
 
 
 def labelled(pairs: Column, method: str, legal: int, base: int, garbage: bool) -> Column:
-    """Candidates of (label, value) pairs whose label announces a name; step by step, so that no step is written out twice."""
-    read = F.transform(pairs, lambda p: F.struct(repaired(p["label"]).alias("label"), repaired(p["value"]).alias("value")))
+    """Candidates of (label, value) pairs whose label announces a name; step by step, so that no step is written out twice. Few labels do, so they are read first."""
+    known = F.filter(F.transform(pairs, lambda p: F.struct(label_boost(repaired(p["label"])).alias("boost"), p["value"].alias("value"))), lambda p: p["boost"].isNotNull())
+    read = F.transform(known, lambda p: F.struct(p["boost"], repaired(p["value"]).alias("value")))
     fit = F.filter(read, lambda p: ~p["value"].rlike(DATE) & valid(p["value"]))
-    known = F.transform(fit, lambda p: F.struct(label_boost(p["label"]).alias("boost"), clean(without_seo(p["value"])).alias("value")))
-    named = F.transform(F.filter(known, lambda p: p["boost"].isNotNull()), lambda p: F.struct(p["boost"], unmixed(p["value"]).alias("name")))
+    named = F.transform(F.transform(fit, lambda p: F.struct(p["boost"], clean(without_seo(p["value"])).alias("value"))), lambda p: F.struct(p["boost"], unmixed(p["value"]).alias("name")))
     fuller = lambda name: completeness(name) * 0.02 if method == "table_field" else F.lit(0)
     sure = lambda p: F.when(has_legal(p["name"]), legal).otherwise(base + 4 * p["boost"] / 100) + fuller(p["name"])
     return when_valid(F.transform(named, lambda p: candidate(method, p["name"], F.least(F.lit(99), sure(p)))), garbage)
@@ -153,7 +154,7 @@ def detected(html: Column) -> Column:
     heading = F.transform(H.every(html, r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1", 1), lambda h: clean(H.inner_text(h)))
     piped = F.filter(F.transform(F.flatten(F.transform(F.filter(heading, lambda h: F.contains(h, F.lit("|"))), lambda h: F.split(h, r"\|"))), lambda x: F.trim(x)), lambda p: ~F.lower(p).rlike("概要|案内|について|とは|overview|about|info") & (has_legal(p) | p.rlike("司法書士|事務所|オフィス")))
     h1 = F.slice(when_valid(F.transform(piped, lambda p: candidate("h1_smart_split", p, F.when(has_legal(p), 94).otherwise(91)))), 1, 1)
-    said = F.regexp_extract(text, rf"(?:{TEXT_LABELS})\s*[:：]\s*([぀-ヿ一-鿿0-9ー]{{2,50}})", 1)
+    said = F.regexp_extract(text, any_of(TEXT_LABELS.split("|")) + r"\s*[:：]\s*([぀-ヿ一-鿿0-9ー]{2,50})", 1)
     told = bound(said, lambda s: F.when((s != "") & ~s.rlike(DATE), when_valid(F.transform(F.array(clean(without_seo(s))), lambda name: candidate("text_pattern_label", name, F.lit(85))))).otherwise(none))
     meta = bound(og("og:site_name", 95), lambda m: F.when(F.size(m) > 0, m).otherwise(og("og:title", 90)))
     return F.concat(
@@ -176,19 +177,19 @@ def more_detected(html: Column) -> Column:
     images = when_valid(F.filter(F.transform(F.transform(named, lambda a: F.trim(F.regexp_extract(a, "^([^〒【】]*)", 1))), lambda a: candidate("img_alt", a, F.when(has_legal(a), 92).otherwise(89))), lambda c: F.char_length(c["name"]).between(5, 60)), False)
     heading = lambda n: F.transform(H.every(html, rf"(?is)<h{n}(?:\s[^>]*)?>(.*?)</h{n}", 1), lambda h: clean(H.inner_text(h)))
     forms = "|".join(LEGAL)
-    whole = F.filter(heading(1), lambda h: ~F.contains(h, F.lit("|")))
     first = lambda h: F.coalesce(*[bound(F.regexp_extract(h, rf"^((?:{forms}).*?){d}", 1), lambda p: F.when(F.char_length(p).between(5, 40), F.trim(p))) for d in ("での", "による", "へ", "の")], h)
-    starts = F.transform(F.transform(F.filter(whole, lambda h: h.rlike(f"^(?:{forms})")), first), lambda name: candidate("h1_smart_split", name, F.lit(94)))
-    holding = F.transform(F.filter(whole, lambda h: has_legal(h) & ~h.rlike(f"^(?:{forms})")), lambda h: F.coalesce(F.nullif(F.trim(F.regexp_extract(h, rf"^(.+?(?:{forms}).*?)(?: |での|による|の|へ|、)", 1)), F.lit("")), h))
-    split = F.slice(when_valid(F.concat(starts, F.transform(holding, lambda h: candidate("h1_smart_split", h, F.lit(93))))), 1, 1)
-    trades = F.filter(whole, lambda h: h.rlike(BUSINESS) & ~has_legal(h))
-    trade = F.slice(when_valid(F.transform(F.transform(trades, lambda h: F.coalesce(F.nullif(F.regexp_extract(h, "^(.{2,}?)(?: |での|なら|へ|の)", 1), F.lit("")), h)), lambda h: candidate("business_name", h, F.lit(88))), False), 1, 1)
+    starts = lambda whole: F.transform(F.transform(F.filter(whole, lambda h: h.rlike(f"^(?:{forms})")), first), lambda name: candidate("h1_smart_split", name, F.lit(94)))
+    holding = lambda whole: F.transform(F.filter(whole, lambda h: has_legal(h) & ~h.rlike(f"^(?:{forms})")), lambda h: F.coalesce(F.nullif(F.trim(F.regexp_extract(h, rf"^(.+?(?:{forms}).*?)(?: |での|による|の|へ|、)", 1)), F.lit("")), h))
+    split = lambda whole: F.slice(when_valid(F.concat(starts(whole), F.transform(holding(whole), lambda h: candidate("h1_smart_split", h, F.lit(93))))), 1, 1)
+    trades = lambda whole: F.filter(whole, lambda h: h.rlike(BUSINESS) & ~has_legal(h))
+    trade = lambda whole: F.slice(when_valid(F.transform(F.transform(trades(whole), lambda h: F.coalesce(F.nullif(F.regexp_extract(h, "^(.{2,}?)(?: |での|なら|へ|の)", 1), F.lit("")), h)), lambda h: candidate("business_name", h, F.lit(88))), False), 1, 1)
+    headed = bound(F.filter(heading(1), lambda h: ~F.contains(h, F.lit("|"))), lambda whole: F.concat(split(whole), trade(whole)))
     texts = F.concat(heading(1), heading(2), F.array(clean(H.inner_text(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1)))))
-    left = F.filter(F.transform(texts, lambda t: F.regexp_replace(F.regexp_extract(t, f"^(.*?)の?(?:{INTRODUCTIONS})$", 1), r"[\s|-]+$", "")), lambda t: has_legal(t) | t.rlike(DESIGNATIONS))
-    introduced = F.transform(left, lambda t: candidate("title_intro", F.regexp_replace(t, f"^(?:{DESIGNATIONS})+", ""), F.when(has_legal(t), 90).otherwise(88)))
+    left = lambda texts: F.filter(F.transform(texts, lambda t: F.regexp_replace(F.regexp_extract(t, f"^(.*?)の?(?:{INTRODUCTIONS})$", 1), r"[\s|-]+$", "")), lambda t: has_legal(t) | t.rlike(DESIGNATIONS))
+    introduced = lambda texts: F.transform(left(texts), lambda t: candidate("title_intro", F.regexp_replace(t, f"^(?:{DESIGNATIONS})+", ""), F.when(has_legal(t), 90).otherwise(88)))
     kinds = r"^(.*?(?:事務所|オフィス)|.*?(?=法人|株式会社|会社|協会|組合))(?:法人|株式会社|会社|協会|組合)?の(?:" + INTRODUCTIONS + ")"
-    offices = F.transform(F.filter(F.transform(texts, lambda t: F.regexp_extract(t, kinds, 1)), lambda t: t != ""), lambda t: candidate("title_intro", t, F.when(has_legal(t), 89).otherwise(87)))
-    return F.concat(dts, labels, images, split, trade, F.slice(when_valid(F.concat(introduced, offices)), 1, 1))
+    offices = lambda texts: F.transform(F.filter(F.transform(texts, lambda t: F.regexp_extract(t, kinds, 1)), lambda t: t != ""), lambda t: candidate("title_intro", t, F.when(has_legal(t), 89).otherwise(87)))
+    return F.concat(dts, labels, images, headed, F.slice(when_valid(bound(texts, lambda texts: F.concat(introduced(texts), offices(texts)))), 1, 1))
 
 
 def candidates(pages: DataFrame) -> DataFrame:
@@ -226,16 +227,16 @@ def completion(text: Column, c: Column) -> Column:
     stands beside the name, else the page's commonest, else the usual one."""
     name = c["name"]
     first = lambda test: F.get(F.filter(array(LEGAL), test), F.lit(0))
-    near = first(lambda e: F.contains(text, F.concat(e, name)) | F.contains(text, F.concat(e, F.lit(" "), name)))
-    behind = first(lambda e: F.contains(text, F.concat(name, e)) | F.contains(text, F.concat(name, F.lit(" "), e)))
-    counts = F.filter(F.transform(array(LEGAL), lambda e, i: F.struct((F.length(text) - F.length(F.replace(text, e))).alias("n"), (-i).alias("i"), e.alias("e"))), lambda x: x["n"] > 0)
-    often = F.array_max(F.transform(counts, lambda x: F.struct((x["n"] / F.length(x["e"])).alias("n"), x["i"], x["e"])))["e"]
+    near = lambda t: first(lambda e: F.contains(t, F.concat(e, name)) | F.contains(t, F.concat(e, F.lit(" "), name)))
+    behind = lambda t: first(lambda e: F.contains(t, F.concat(name, e)) | F.contains(t, F.concat(name, F.lit(" "), e)))
+    counts = lambda t: F.filter(F.transform(array(LEGAL), lambda e, i: F.struct((F.length(t) - F.length(F.replace(t, e))).alias("n"), (-i).alias("i"), e.alias("e"))), lambda x: x["n"] > 0)
+    often = lambda t: F.array_max(F.transform(counts(t), lambda x: F.struct((x["n"] / F.length(x["e"])).alias("n"), x["i"], x["e"])))["e"]
     wants = (c["phase"] == 9) & ~c["legal"] & ~name.rlike(BRANDS)
-    beside = F.coalesce(F.concat(near, name), F.concat(name, behind))
-    known = F.struct(wants.alias("wants"), F.when(wants, beside).alias("beside"))
-    whole = lambda x: F.when(~x["wants"], name).otherwise(F.coalesce(x["beside"], F.concat(F.coalesce(often, F.lit("株式会社")), name)))
-    sure = lambda x: ~x["wants"] | x["beside"].isNotNull()
-    return bound(known, lambda x: F.struct(whole(x).alias("company_name"), F.when(sure(x), c["conf"]).otherwise(F.least(c["conf"], F.lit(82))).alias("conf"), x["wants"].alias("completed")))
+    beside = lambda t: F.coalesce(F.concat(near(t), name), F.concat(name, behind(t)))
+    told = lambda whole, conf, wants: F.struct(whole.alias("company_name"), conf.alias("conf"), F.lit(wants).alias("completed"))
+    made = lambda t: bound(beside(t), lambda b: F.when(b.isNotNull(), told(b, c["conf"], True)).otherwise(told(F.concat(F.coalesce(often(t), F.lit("株式会社")), name), F.least(c["conf"], F.lit(82)), True)))
+    # the text is made only where it is looked at
+    return F.when(wants, bound(text, made)).otherwise(told(name, c["conf"], False))
 
 
 def completed(pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -250,9 +251,8 @@ def best_in_row(html: Column) -> Column:
     found = F.concat(detected(html), more_detected(html))
     order = lambda c, i: ranking(c["method"], c["name"], c["conf"].cast("long"), c["legal"], i.cast("long"))
     ranks = F.transform(found, lambda c, i: F.struct(order(c, i).alias("order"), c["name"].alias("name"), c["conf"].cast("long").alias("conf"), c["legal"].alias("legal")))
-    page = F.struct(F.array_min(ranks).alias("best"), page_text(html).alias("text"))
-    chosen_ = lambda x: F.struct(x["best"]["name"].alias("name"), x["best"]["conf"].alias("conf"), x["best"]["legal"].alias("legal"), x["best"]["order"]["phase"].alias("phase"))
-    return bound(page, lambda x: F.when(x["best"].isNotNull(), completion(x["text"], chosen_(x))))
+    chosen_ = lambda best: F.struct(best["name"].alias("name"), best["conf"].alias("conf"), best["legal"].alias("legal"), best["order"]["phase"].alias("phase"))
+    return bound(F.array_min(ranks), lambda best: F.when(best.isNotNull(), completion(page_text(html), chosen_(best))))
 
 
 def surely_completed(text: Column, name: Column, rewrite: bool = False) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
 from leadmill.functions.structured import strings_of_objects
-from leadmill.functions.text import EMAIL, bound, listed, normalised_email, plain_signs, valid_email
+from leadmill.functions.text import EMAIL, EMAILS, any_of, bound, listed, normalised_email, plain_signs, valid_email
 
 #: Words that tell an address, those that raise its score, and the detectors' base scores. Fixed values.
 KEYWORDS = ["email", "mail", "e-mail", "メール", "メールアドレス", "contact", "お問い合わせ", "連絡先", "電子メール", "eメール", "inquiry", "お問合せ"]
@@ -18,7 +18,7 @@ FOUND = "array<struct<method:string,raw:string,snippet:string>>"
 
 
 def told(text: Column, words: list[str] = KEYWORDS) -> Column:
-    return bound(F.lower(text), lambda low: F.exists(listed(words), lambda w: F.contains(low, w)))
+    return F.lower(text).rlike(any_of(words))
 
 
 def snippet(text: Column, mail: Column, around: int = 50) -> Column:
@@ -30,7 +30,8 @@ def snippet(text: Column, mail: Column, around: int = 50) -> Column:
 
 def mails(method: str, text: Column, context: Column) -> Column:
     """The addresses of one text as candidates with a context."""
-    return F.transform(H.every(plain_signs(text), EMAIL), lambda m: F.struct(F.lit(method).alias("method"), m.alias("raw"), context.alias("snippet")))
+    found = bound(plain_signs(text), lambda t: F.when(F.contains(t, F.lit("@")), H.every(t, EMAILS)).otherwise(F.array().cast("array<string>")))  # most texts hold none
+    return F.transform(found, lambda m: F.struct(F.lit(method).alias("method"), m.alias("raw"), context.alias("snippet")))
 
 
 def detected(html: Column) -> Column:
@@ -100,8 +101,7 @@ def best_in_row(html: Column, url: Column) -> Column:
     score = lambda c, x: score_of(c["email"], c["method"], c["snippet"], x["url"], x["footer"])
     ranks = lambda x: F.transform(inside(x), lambda c: F.struct(score(c, x).alias("score"), (-c["pos"]).alias("place"), c["email"].alias("email")))
     page = F.struct(F.array_sort(F.filter(F.when(likely(html), normalised(html)), lambda c: valid_email(c["email"]))).alias("all"), H.footer_text(html).alias("footer"), url.alias("url"))
-    best = bound(page, lambda x: F.array_max(ranks(x)))
-    return F.when(best.isNotNull(), best)
+    return bound(page, lambda x: F.array_max(ranks(x)))
 
 
 def ranked(pages: DataFrame) -> DataFrame:

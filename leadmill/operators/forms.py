@@ -163,8 +163,7 @@ def scored_forms(pages: DataFrame, found_by: str | None = None) -> DataFrame:
 
 def best_in_row(html: Column, url: Column) -> Column:
     """The best form of one page as a struct with its score and detection, null if none."""
-    best = F.array_max(F.transform(scored(html, url), lambda c: F.struct(c["score"].alias("score"), (-c["pos"]).alias("place"), c["detection"].alias("detection"))))
-    return F.when(best.isNotNull(), best)
+    return F.array_max(F.transform(scored(html, url), lambda c: F.struct(c["score"].alias("score"), (-c["pos"]).alias("place"), c["detection"].alias("detection"))))
 
 
 def best_forms(pages: DataFrame, keep: int = 3) -> DataFrame:

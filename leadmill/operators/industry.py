@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadmill.functions import html as H
 from leadmill.functions.structured import json_nodes, text_of
-from leadmill.functions.text import bound
+from leadmill.functions.text import any_of, bound
 
 #: Keywords by industry, in order of precedence, and their names. Fixed values.
 KEYWORDS = {
@@ -44,7 +44,8 @@ def best_match(text: Column) -> Column:
     """The industry with most keywords in a text, the first one at a tie; null if none. A text is in lower case, as keywords in capitals never match."""
     held = lambda g, t: F.size(F.filter(g["words"], lambda w: F.contains(t, w)))
     best = lambda t: F.array_max(F.transform(table_of(KEYWORDS), lambda g: F.struct(held(g, t).alias("n"), g["place"].alias("place"), g["industry"].alias("industry"))))
-    return bound(text, lambda t: F.when(t != "", bound(best(t), lambda b: F.when(b["n"] > 0, b["industry"]))))
+    known = any_of([w for words in KEYWORDS.values() for w in words.split("|")])
+    return bound(text, lambda t: F.when(t.rlike(known), best(t)["industry"]))  # most texts hold none
 
 
 def first_match(text: Column, patterns: dict[str, str]) -> Column:
