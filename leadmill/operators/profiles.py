@@ -16,14 +16,15 @@ def company_profiles(pages: DataFrame) -> DataFrame:
     nothing is joined or shuffled, repeated ids are rows like others, and the same expressions serve a stream. A page without html has none
     of them but the default industry."""
     html, url = F.col("html"), F.col("url")
-    found = pages.select(
-        "page_id", "url", host(url).alias("host"), crawl_status(html).alias("crawl_status"), emails.best_in_row(html, url).alias("mail"), companies.best_in_row(html).alias("name"),
-        industry.best_in_row(html).alias("trade"), forms.best_in_row(html, url).alias("form"),
-    )
+    # one after the other: together they are too wide for generated code and take twice as long, and a filter on one of them would work it out again
+    mailed = pages.select("page_id", "url", "html", F.explode(F.array(emails.best_in_row(html, url))).alias("mail"))
+    named = mailed.select("page_id", "url", "html", "mail", F.explode(F.array(companies.best_in_row(html))).alias("name"))
+    placed = named.select("page_id", "url", "html", "mail", "name", industry.best_in_row(html).alias("trade"))
+    found = placed.select("page_id", "url", host(url).alias("host"), crawl_status(html).alias("crawl_status"), "mail", "name", "trade.industry", "trade.conf", forms.best_in_row(html, url).alias("form"))
     share = lambda points: points / F.lit(100.0)
     return found.select(
         "page_id", "host", "crawl_status", "mail.email", share(F.col("mail.score")).alias("email_confidence"), "name.company_name", share(F.col("name.conf")).alias("name_confidence"),
-        F.coalesce("trade.industry", F.lit(industry.DEFAULT)).alias("industry"), share(F.coalesce("trade.conf", F.lit(30))).alias("industry_confidence"),
+        F.coalesce("industry", F.lit(industry.DEFAULT)).alias("industry"), share(F.coalesce("conf", F.lit(30))).alias("industry_confidence"),
         F.col("url").alias("form_url"), F.when(F.col("form").isNotNull(), "enhanced_detector").otherwise("homepage_fallback").alias("form_method"),
     )
 
