@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from leadmill.llm._shared import staged
 
 
-def fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").bitwiseAND(F.lit(0xFFFFFFFF)))).first())
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node of the distinct edges(a, b), a > b, either has one edge to a smaller node or none: such edges name the components."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    held = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not held.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges(a, b): component is the smallest node reachable.
 
     Each round points every node's larger neighbours to the smallest one, then every node's smaller ones; the rounds needed
-    grow with the logarithm of the longest path. The edges of a round are a staged table, so a lost executor costs little. Repeated
-edges, loops and edges with a null end change nothing; without edges there are no rows.
+    grow with the logarithm of the longest path, and edges that are stars already need none. The edges of a round are a staged
+    table, so a lost executor costs little. Repeated edges, loops and edges with a null end change nothing; without edges there
+    are no rows.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = fingerprint(edges)
-    while before[0]:
+    while not are_stars(edges):
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
@@ -30,9 +33,5 @@ edges, loops and edges with a null end change nothing; without edges there are n
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
         edges = staged(small.distinct(), "edges")
-        after = fingerprint(edges)
-        if after == before:
-            break
-        before = after
     roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(roots.join(edges.select(F.col("a").alias("node")), "node", "left_anti"))

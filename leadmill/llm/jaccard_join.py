@@ -122,14 +122,13 @@ def summed(parts: DataFrame) -> np.ndarray:
     return out
 
 
-def prefix_of(found: np.ndarray, sketch: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The shingles of a set's prefix in the common order, and the shared ones it asks for."""
+def prefix_of(found: np.ndarray, sketch: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
+    """The shingles of a set's prefix in the common order, and the shared ones it asks for. noise: the sketch's mean, found once a task."""
     n = len(found)
     least = -(-percent * n // 100)
     load = sketch[(found >> np.uint64(44)).astype(np.int64)]
     most = min(n - least + MOST_MATCHES, n)
-    order = np.lexsort((found, load))[:most]
-    noise = sketch.mean()
+    order = np.argsort(load, kind="stable")[:most]  # found is sorted, so ties stand by hash
     extra = np.cumsum(np.maximum(0, load[order] - noise - 4 * noise**0.5 - 1))
     matches = np.arange(1, most - (n - least) + 1)
     scanned = extra[n - least + matches - 1]
@@ -146,6 +145,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
+        noise = sent.value.mean()
         for pdf in batches:
             tokens, nodes, metas, parts = [], [], [], []
             for text in pdf["text"]:
@@ -155,7 +155,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, size: int, percent: int) -> Da
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(node)
-                own, matches = prefix_of(found, sent.value, percent)
+                own, matches = prefix_of(found, sent.value, noise, percent)
                 tokens.append(own.astype(np.int64))
                 parts.append(1 + (sent.value[(own >> np.uint64(44)).astype(np.int64)] // PART_ROWS).astype(np.int64))
                 nodes.append(np.full(len(own), node))
@@ -332,11 +332,14 @@ def linked(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFra
     hubs = staged(list_hubs(shared), "lists")
     first = staged(hub_pairs(shared, hubs, percent), "hubs")
     links = staged(verified(first, docs, classes, size, percent), "links")
-    rest = cross_pairs(shared, hubs, components(links), classes, percent)
+    near = staged(components(links), "near")
+    rest = cross_pairs(shared, hubs, near, classes, percent)
     tried = first.select("a", "b").unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = staged(rest.join(tried.hint("shuffle_hash"), ["a", "b"], "left_anti").withColumn("parts", F.lit(1).cast("long")), "pairs")
     more = verified(rest, docs, classes, size, percent)
-    return own.drop("spread"), staged(components(links.unionByName(more)), "components")
+    # the hubs' components go on as stars, so only what the rest links takes further rounds
+    stars = near.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return own.drop("spread"), staged(components(stars.unionByName(more)), "components")
 
 
 def similar_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
