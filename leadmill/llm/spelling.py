@@ -108,8 +108,9 @@ def near_pairs(words: DataFrame) -> DataFrame:
     pivots = pivots.select("a", "last_a", "gram", (F.col("length") + F.col("m.longer")).alias("length"), (F.col("place") + F.col("m.shift")).alias("place"))
     prefixes = index.where("not pivot").select(F.col("word").alias("b"), last("b"), "gram", "length", "place")
     found = pivots.hint("merge").join(prefixes, ["gram", "length", "place"]).where("a <> b and last_a <= last_b")
-    pairs = found.where(F.levenshtein("a", "b", 1) == 1).select("a", "b")
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    way = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    # both ways from one join: a union of the pairs with their reverse would join and measure them twice
+    return found.where(F.levenshtein("a", "b", 1) == 1).select(F.inline(F.array(way("a", "b"), way("b", "a")))).distinct()
 
 
 def forms(words: DataFrame, times: int = 5) -> DataFrame:
