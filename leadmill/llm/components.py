@@ -20,18 +20,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours to the smallest one, then every node's smaller ones; the rounds needed
     grow with the logarithm of the longest path, and edges that are stars already need none. The edges of a round are a staged
-    table, so a lost executor costs little. Repeated edges, loops and edges with a null end change nothing; without edges there
+    table, so a lost executor costs little. The joins name their strategy: Spark would broadcast the small ones, and tables of nodes
+    then pass through the driver, round after round. Repeated edges, loops and edges with a null end change nothing; without edges there
     are no rows.
     """
     edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while not are_stars(edges):
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = ways.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        kept = ways.where("b > a").groupBy("a").agg(F.min("b")).join(least, "a").where("m < a").select("a", F.col("m").alias("b"))  # a hub stays tied to its own least
+        near = ways.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.max(F.col("b") > F.col("a")).alias("has_larger"))
+        large = edges.join(near.select(F.col("a").alias("b"), "m").hint("shuffle_hash"), "b").select("a", F.col("m").alias("b"))
+        kept = near.where("has_larger and m < a").select("a", F.col("m").alias("b"))  # a hub stays tied to its own least
         large = large.unionByName(kept).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
+        small = large.join(low.hint("shuffle_hash"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b")))
         edges = staged(small.distinct(), "edges")
-    roots = edges.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(roots.join(edges.select(F.col("a").alias("node")), "node", "left_anti"))
+    # of stars, each larger end has one edge and no smaller end has any
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

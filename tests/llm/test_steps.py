@@ -1,5 +1,7 @@
 """Near duplicates: no pass over the sketch for a document, no round over edges that are stars."""
 
+import random
+
 import numpy as np
 
 from leadmill.llm import components, jaccard_join
@@ -29,3 +31,25 @@ def test_stars_take_no_round(spark, monkeypatch):
     edges = spark.range(1, 40).selectExpr("id as a", "id % 3 * 0 as b").where("a < 20").unionByName(spark.range(50, 60).selectExpr("id as a", "49L as b"))
     found = {r.node: r.component for r in components.components(edges).collect()}
     assert found == {**dict.fromkeys(range(20), 0), **dict.fromkeys(range(49, 60), 49)} and written == ["edges"]
+
+
+def test_rounds_pass_no_nodes_through_the_driver(spark, monkeypatch):
+    """Before, each round's joins had no strategy, so Spark sent tables of nodes to the driver and on to all executors."""
+    staged, plans = components.staged, []
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(components, "staged", watched)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(900, k) for k in range(700, 740)]
+    found = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    least = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(400):
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found == least
+    rounds = [p for p in plans if "Join" in p]
+    assert rounds and all(p.count("Join ") == p.count("strategy=shuffle_hash") for p in rounds)
